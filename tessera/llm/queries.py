@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import packing, quality, simhash
 from .common import table
 
 
@@ -17,5 +17,9 @@ def op5_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_print("print").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op5_bit_sliced_simhash)}
+def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op5_bit_sliced_simhash, op7_shortest_pack_first)}
 ORACLE_SQL: dict[str, str] = {}
