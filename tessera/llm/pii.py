@@ -270,10 +270,10 @@ def train(spark: SparkSession, n: int = EXAMPLES, seed: int = SEED) -> tuple[lis
     return trees, limits
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple | None = None) -> DataFrame:
-    """doc_id, text, base and spans: arrays of (start, ord, kind, end) by start, then kind; all in one projection of the rows."""
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns in carry, base and spans: arrays of (start, ord, kind, end) by start, then kind; all in one projection of the rows."""
     trees, limits = model or train(docs.sparkSession)
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)))
     text = F.col("text")
     df = df.withColumns({f"b_{k}": base_spans(text, k) for k in BASE} | {f"g_{k}": candidates(text, k) for k in GENERATORS})
 
@@ -293,7 +293,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     df = df.withColumn("free", free)
     better = lambda d, c: (d["score"] > c["score"]) | ((d["score"] == c["score"]) & ((d["span"]["start"] < c["span"]["start"]) | ((d["span"]["start"] == c["span"]["start"]) & (d["span"]["ord"] < c["span"]["ord"]))))
     best = F.filter("free", lambda c: ~F.exists("free", lambda d: meets(d["span"], c["span"]) & better(d, c)))
-    return df.select("doc_id", "text", "base", F.array_sort(F.concat("base", F.transform(best, lambda c: c["span"]))).alias("spans"))
+    return df.select("doc_id", "text", *(F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)), "base", F.array_sort(F.concat("base", F.transform(best, lambda c: c["span"]))).alias("spans"))
 
 
 def count_of(spans: str, kind: str) -> Column:
