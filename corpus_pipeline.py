@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, simhash
+from tessera.llm import packing, pii, quality, simhash, suffix_dedup
 from tessera.llm.common import cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,7 +23,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the passages that also start in a document with a smaller doc_id; n_chars follows."""
+    out = suffix_dedup.remove_repeats(docs, with_text=True, carry=("lang", "source"))
+    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with each span of personal data replaced by its kind; n_chars follows."""
+    found = pii.find(docs, carry=("lang", "source")).select("doc_id", pii.redacted().alias("text"), "lang", "source")
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("personal_data", personal_data),
+    ("packed", packed),
+]
 
 #: The models' and sorters' stages have no SQL; tests hold them against brute force.
 ORACLE_SQL = None
