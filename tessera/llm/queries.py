@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality, simhash, suffix_dedup
+from . import ann, html_extract, packing, pii, quality, simhash, suffix_dedup, toxicity
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_two_stage_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.BASE]
@@ -32,5 +36,25 @@ def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_two_stage_suffix_array, op4_boosted_candidates, op5_bit_sliced_simhash, op7_shortest_pack_first)}
+def op8_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_compression_bands,
+        op2_two_stage_suffix_array,
+        op3_tag_path_ratios,
+        op4_boosted_candidates,
+        op5_bit_sliced_simhash,
+        op7_shortest_pack_first,
+        op8_adaptive_dimension_scan,
+        op10_factorization_machine,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
