@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, packing, pii, quality, simhash, suffix_dedup, toxicity
+from . import ann, html_extract, lm, packing, pii, quality, sentence_pieces, simhash, suffix_dedup, toxicity
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_print("print").alias("fingerprint"), "component_id")
 
 
+def op6_gated_recurrent_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,10 @@ def op8_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_aho_corasick_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op10_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,8 +60,10 @@ QUERIES = {
         op3_tag_path_ratios,
         op4_boosted_candidates,
         op5_bit_sliced_simhash,
+        op6_gated_recurrent_model,
         op7_shortest_pack_first,
         op8_adaptive_dimension_scan,
+        op9_aho_corasick_viterbi,
         op10_factorization_machine,
     )
 }
