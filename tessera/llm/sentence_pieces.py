@@ -28,7 +28,7 @@ from .common import arrow_limits
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 FALLBACK = 10.0
-#: Pieces at or below this score are never chosen in encoding; they can be decoded.
+#: Longer pieces at or below this score are never chosen in encoding, single characters count as the worst other piece; all can be decoded.
 BARRED = -1e8
 MEMORY = 500_000
 
@@ -40,14 +40,15 @@ class Pieces:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        usable = {i: x for i, x in pieces.items() if x[1] > BARRED}
+        worst = min((s for _, s in pieces.values() if s > BARRED), default=0.0)
+        usable = {i: (p, s if s > BARRED else worst) for i, (p, s) in pieces.items() if s > BARRED or len(p) == 1}
         for i, (piece, score) in usable.items():
             self.automaton.add_word(piece, (i, len(piece), score))
         self.automaton.make_automaton()
         self.byte_ids = byte_ids
-        self.unknown = min((s for _, s in usable.values()), default=0.0) - FALLBACK
+        self.unknown = worst - FALLBACK
         self.bytes_of = {i: p.replace(BLANK, " ").encode() for i, (p, _) in pieces.items()} | {b: bytes([n]) for n, b in enumerate(byte_ids)}
-        self.score_of = {i: s for i, (_, s) in pieces.items()}
+        self.score_of = {i: s for i, (_, s) in (pieces | usable).items()}
         parted = not any(BLANK in p.lstrip(BLANK) for p, _ in pieces.values())
         lines = not any("\n" in p for p, _ in pieces.values())
         self.unit = re.compile(rf"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n" if parted and lines else rf"{BLANK}*[^{BLANK}]+|{BLANK}+" if parted else r"(?s).+")
