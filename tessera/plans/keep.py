@@ -1,0 +1,20 @@
+"""Where iterative plans put a level aside."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write df into the folder named in spark.checkpoint.dir (a fresh local one where it is unset) and read it back."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/level-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
