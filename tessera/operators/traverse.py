@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import degrees
+from .keep import keep as put_aside
+
+#: Levels that a plan may hold unrolled; beyond it each level is written, as plans double with each.
+UNROLLED = 3
 
 
 def reverse_bfs(edges: DataFrame, start: DataFrame, depth: int = 3, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """id, hop of everything that depends on the ids in start, at the first hop that reaches it (start itself not included).
 
-    keep: how a level is put aside between hops (a checkpoint, say) when depth is large; by default the plan is left whole.
+    keep: how a level is put aside between hops; by default not at all up to UNROLLED hops, else written to the shared folder.
     """
+    if keep is None and depth > UNROLLED:
+        keep = put_aside
     seen = start.select("id", F.lit(0).alias("hop"))
     frontier = seen
     for hop in range(1, depth + 1):
@@ -22,6 +28,8 @@ def reverse_bfs(edges: DataFrame, start: DataFrame, depth: int = 3, keep: Callab
         frontier = near.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
         if keep:
             frontier = keep(frontier)
+            if frontier.isEmpty():
+                break
         seen = seen.unionByName(frontier)
     return seen.where("hop > 0")
 

@@ -10,7 +10,7 @@ from ..operators import graph, traverse
 from ..registry import query
 from ..sources import tables
 from ..sources.tables import DEGREES_SQL, EDGES_SQL, GRAPH_SQL, NODES_SQL, SPARSE_SQL, edges, nodes
-from .keep import keep
+from ..operators.keep import keep
 
 N = f"WITH {NODES_SQL} "
 

@@ -9,7 +9,7 @@ from ..functions import code, text
 from ..operators import search, traverse
 from ..registry import query
 from ..sources.tables import table
-from .keep import keep
+from ..operators.keep import keep
 
 BM25 = ("the", "of", "stupid")
 _TERMS = ", ".join(f"'{w}'" for w in BM25)
