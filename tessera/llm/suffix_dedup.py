@@ -12,7 +12,7 @@ Every LENGTH-byte string (window) is held against all others, without shipping a
 4. Removed ranges go back by document, where they are merged and cut out of the whole text.
 
 The text is dealt out once, by document; steps 3 and 4 share that exchange. A bucket holds what hashing gives it: a passage that
-very many documents share takes 28 bytes for each of them there, its bytes only once for each batch.
+very many documents share takes 24 bytes for each of them there, its bytes only once for each batch.
 
 Null or empty text: zero bytes, nothing removed, the digest of no bytes. A null doc_id is neither smaller nor larger than
 another: its text stays and removes nothing. Rows of the same doc_id don't remove each other. Extra columns are ignored.
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -287,8 +288,65 @@ def _anchors(buckets: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition's buckets, the anchors that occur in two rows or more, back by row."""
+#: Packed values for many row keys on their way to the partition (route) of those keys.
+PACKED = "route int, high int, keys binary, counts binary, data binary"
+
+
+def _routed(keys: np.ndarray, counts: np.ndarray, data: np.ndarray, routes: int, high: int = 0) -> Iterator[pa.RecordBatch]:
+    """One packed row for each route; data holds counts[i] words of 32 bits for keys[i], one after the other; high: the upper half of all."""
+    if not len(keys):
+        return
+    start = np.cumsum(counts) - counts
+    rows = []
+    for r, at in _split_by(keys % routes):
+        n = counts[at]
+        words = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        rows.append((r, high, keys[at].tobytes(), n.astype("<u4").tobytes(), data[words].astype("<u4").tobytes()))
+    types = (pa.int32(), pa.int32(), *[pa.binary()] * 3)
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["route", "high", "keys", "counts", "data"])
+
+
+def _regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each key of the partition with all its words."""
+    keys, counts, data = [], [], []
+    for batch in batches:
+        for to, column, kind in ((keys, "keys", "<i8"), (counts, "counts", "<u4")):
+            to.extend(np.frombuffer(x, kind) for x in batch.column(column).to_pylist())
+        for high, x in zip(batch.column("high").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            data.append(np.frombuffer(x, "<u4").astype(np.int64) | high << 32)
+    if not keys:
+        return
+    k, n, words = np.concatenate(keys), np.concatenate(counts).astype(np.int64), np.concatenate(data)
+    del keys, counts, data
+    words = words[np.argsort(np.repeat(k, n), kind="stable")]
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], n[order]
+    edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    k, n = k[edge], np.add.reduceat(n, edge)
+    end = np.cumsum(n)
+    for a in range(0, len(k), 2000):
+        blobs = [words[e - m : e].tobytes() for e, m in zip(end[a : a + 2000].tolist(), n[a : a + 2000].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 2000]), pa.array(blobs, pa.binary())], names=["key", "data"])
+
+
+def _shared(routes: int):
+    """Of one partition's buckets, the anchors that occur in two rows or more, back towards those rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, keys, count, h in _anchor_buckets(batches):
+            order = np.sort(h)
+            twice = np.unique(order[1:][order[1:] == order[:-1]])
+            if not len(twice):
+                continue
+            hit = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+            owners, n = np.unique(np.repeat(np.arange(len(keys)), count)[hit], return_counts=True)
+            yield from _routed(keys[owners], n, h[hit], routes, bucket)
+
+    return run
+
+
+def _anchor_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each bucket of the partition: number, row keys, anchors of each, anchor hashes."""
     rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
     rows.sort(key=lambda r: r[0])
     i = 0
@@ -302,20 +360,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = np.frombuffer(b"".join(r[3] for r in rows[i:j]), "<u4")
         rows[i:j] = [(bucket,)] * (j - i)  # lets go of the bytes
         i = j
-        order = np.sort(h)
-        twice = np.unique(order[1:][order[1:] == order[:-1]])
-        if not len(twice):
-            continue
-        at = np.minimum(np.searchsorted(twice, h), len(twice) - 1)
-        hit = twice[at] == h
-        row = np.repeat(np.arange(len(keys)), count)[hit]
-        h = h[hit]
-        owners, start = np.unique(row, return_index=True)
-        ends = [*start[1:], len(row)]
-        for a in range(0, len(owners), 20_000):
-            part = owners[a : a + 20_000]
-            blobs = [h[s:e].tobytes() for s, e in zip(start[a : a + 20_000], ends[a : a + 20_000], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(np.full(len(part), bucket, np.int32)), pa.array(blobs, pa.binary())], names=["key", "bucket", "hashes"])
+        yield bucket, keys, count, h
 
 
 def _cutter(anchor_buckets: int, buckets: int, length: int = LENGTH):
@@ -324,10 +369,7 @@ def _cutter(anchor_buckets: int, buckets: int, length: int = LENGTH):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, doc = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
-            known = []
-            for got in batch.column("shared").to_pylist():
-                full = [np.frombuffer(g["hashes"], "<u4").astype(np.uint64) | np.uint64(g["bucket"]) << np.uint64(32) for g in got]
-                known.append(np.sort(np.concatenate(full)))
+            known = [np.sort(np.frombuffer(x, "<u8")) for x in batch.column("data").to_pylist()]
             packed: dict[int, list] = {}
             for buffer, start, last, h, number, shift in _segments_of(_texts(batch.column("text"))):
                 mine = h & np.uint64(0xFFFFFFFF) | (h >> np.uint64(32)) % np.uint64(anchor_buckets) << np.uint64(32)
@@ -345,10 +387,10 @@ def _cutter(anchor_buckets: int, buckets: int, length: int = LENGTH):
                     own[2].append(key[i])
                     own[3].append(doc[i])
                     own[4].append(s + shift[at[sel]])
-            rows = []
+            rows, z = [], zstandard.ZstdCompressor(level=1)
             for b, (seen, part, keys, docs, places) in packed.items():
                 sizes = np.fromiter(map(len, seen), "<u4", len(seen))
-                rows.append((b, b"".join(seen), sizes.tobytes(), np.array(part, "<u4").tobytes(), np.concatenate(keys).tobytes(), np.concatenate(docs).tobytes(), np.concatenate(places).astype("<i8").tobytes()))
+                rows.append((b, *map(z.compress, (b"".join(seen), sizes.tobytes(), np.array(part, "<u4").tobytes(), np.concatenate(keys).tobytes(), np.concatenate(docs).tobytes(), np.concatenate(places).astype("<u4").tobytes()))))
             if rows:
                 types = (pa.int32(), *[pa.binary()] * 6)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "text", "sizes", "part", "keys", "docs", "places"])
@@ -356,11 +398,23 @@ def _cutter(anchor_buckets: int, buckets: int, length: int = LENGTH):
     return run
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition's segments, the ranges that a smaller doc_id has too, packed by row key."""
+def _removed(routes: int):
+    """Of one partition's segments, the ranges that a smaller doc_id has too, back towards the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n, ranges in _ranges(batches):
+            yield from _routed(keys, n, ranges, routes)
+
+    return run
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row keys, words for each, and start, end, start, end, ... of removed ranges."""
     held: dict[int, list] = {}
+    z = zstandard.ZstdDecompressor()
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            r = (packed[0], *map(z.decompress, packed[1:]))
             seen, part, keys, docs, places = held.setdefault(r[0], [{}, [], [], [], []])
             sizes = np.frombuffer(r[2], "<u4").tolist()
             own, at = [], 0
@@ -368,8 +422,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own.append(seen.setdefault(r[1][at : at + n], len(seen)))
                 at += n
             part.append(np.array(own)[np.frombuffer(r[3], "<u4")])
-            for to, raw in ((keys, r[4]), (docs, r[5]), (places, r[6])):
-                to.append(np.frombuffer(raw, "<i8"))
+            keys.append(np.frombuffer(r[4], "<i8"))
+            docs.append(np.frombuffer(r[5], "<i8"))
+            places.append(np.frombuffer(r[6], "<u4").astype(np.int64))
     while held:
         _, (seen, part, keys, docs, places) = held.popitem()
         part, keys, docs, places = map(np.concatenate, (part, keys, docs, places))
@@ -391,12 +446,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cutp = np.concatenate(([True], (k[1:] != k[:-1]) | (place[1:] > place[:-1] + LENGTH)))
             s = np.flatnonzero(cutp)
             e = np.concatenate((s[1:], [len(k)])) - 1
-            ranges = np.stack((place[s], place[e] + LENGTH), 1).astype("<i8")
-            k = k[s]
-            edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            ends = np.concatenate((edge[1:], [len(k)]))
-            blobs = [ranges[x:y].tobytes() for x, y in zip(edge, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(k[edge]), pa.array(blobs, pa.binary())], names=["key", "ranges"])
+            ranges = np.stack((place[s], place[e] + LENGTH), 1).astype("<i8").ravel()
+            keys_of, n = np.unique(k[s], return_counts=True)  # k is sorted
+            yield keys_of, 2 * n, ranges
 
 
 def _spans_of_rows(counts: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
@@ -410,11 +462,11 @@ def _spans_of_rows(counts: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[
         a = b
 
 
-def merged(ranges: list[bytes] | None) -> np.ndarray:
+def merged(ranges: bytes | None) -> np.ndarray:
     """Maximal removed runs as rows (start, end)."""
     if not ranges:
         return np.empty((0, 2), np.int64)
-    r = np.frombuffer(b"".join(ranges), "<i8").reshape(-1, 2)
+    r = np.frombuffer(ranges, "<i8").reshape(-1, 2)
     r = r[np.argsort(r[:, 0], kind="stable")]
     reach = np.maximum.accumulate(r[:, 1])
     fresh = np.concatenate(([True], r[1:, 0] > reach[:-1]))
@@ -434,7 +486,7 @@ def _finish(carry: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, ranges in zip(_texts(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
+            for text, ranges in zip(_texts(batch.column("text")), batch.column("data").to_pylist(), strict=True):
                 runs = merged(ranges)
                 kept = _kept(text, runs)
                 # a range may end inside a character, of which the rest then goes too
@@ -457,10 +509,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, carry: tuple[str, .
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     dealt = rows.repartition(n, "key")
     anchors = rows.where("doc_id is not null").select("key", "text").mapInArrow(_anchors(anchor_buckets), "bucket int, keys binary, counts binary, hashes binary")
-    shared = anchors.repartition(anchor_buckets, "bucket").mapInArrow(_shared, "key long, bucket int, hashes binary")
-    shared = shared.groupBy("key").agg(F.collect_list(F.struct("bucket", "hashes")).alias("shared"))
+    shared = anchors.repartition(anchor_buckets, "bucket").mapInArrow(_shared(n), PACKED)
+    shared = shared.repartition(n, "route").mapInArrow(_regrouped, "key long, data binary")
     found = dealt.join(shared.hint("shuffle_merge"), "key").mapInArrow(_cutter(anchor_buckets, buckets), "bucket int, text binary, sizes binary, part binary, keys binary, docs binary, places binary")
-    ranges = found.repartition(buckets, "bucket").mapInArrow(_removed, "key long, ranges binary").groupBy("key").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = found.repartition(buckets, "bucket").mapInArrow(_removed(n), PACKED)
+    ranges = ranges.repartition(n, "route").mapInArrow(_regrouped, "key long, data binary")
     schema = ", ".join(["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), COLUMNS])
     out = dealt.join(ranges.hint("shuffle_merge"), "key", "left").mapInArrow(_finish(list(carry), with_text), schema)
     return out if with_text else out.drop("kept")
