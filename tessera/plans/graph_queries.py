@@ -134,13 +134,13 @@ FRAGMENTS = """fragments AS (SELECT id, CASE WHEN community = 1 THEN '' ELSE lab
 @query(f"""WITH {NODES_SQL}, {FRAGMENTS},
 merged AS (SELECT id, arg_min(CASE WHEN label <> '' THEN label END, CASE WHEN label <> '' THEN ord END) AS label, arg_min(CASE WHEN type NOT IN ('', 'unknown') THEN type END, CASE WHEN type NOT IN ('', 'unknown') THEN ord END) AS type,
   arg_min(summary, CASE WHEN summary <> '' THEN ord END) AS summary, min(community) AS community FROM fragments GROUP BY id)
-SELECT id, COALESCE(label, id) AS label, COALESCE(type, 'unknown') AS type, summary, community FROM merged""")
+SELECT id, COALESCE(label, id) AS label, COALESCE(type, 'unknown') AS type, summary, COALESCE(community, -1) AS community FROM merged""")
 def graph_merge(spark: SparkSession, sf: str) -> DataFrame:
     d = nodes(spark, sf)
     one = d.withColumns({"label": F.when(F.col("community") == 1, "").otherwise(F.col("label")), "type": F.when(F.col("type") == "function", "unknown").otherwise(F.col("type")), "summary": F.lit(None).cast("string"), "ord": F.lit(1)})
     two = d.where("type <> 'external'").withColumns({"label": F.upper("label"), "ord": F.lit(2)})
     merged, _ = graph.merge_fragments(one.unionByName(two), edges(spark, sf))
-    return merged.select("id", "label", "type", "summary", "community")
+    return merged.select("id", "label", "type", "summary", F.coalesce("community", F.lit(-1)).alias("community"))
 
 
 @query("SELECT 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst, 'imports' AS relation FROM lineitem GROUP BY l_suppkey, l_partkey")

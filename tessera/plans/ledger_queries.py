@@ -50,9 +50,9 @@ def budget_first_exceed(spark: SparkSession, sf: str) -> DataFrame:
     return r.groupBy("session").agg(F.min("spent").alias("spent"), F.min_by("call", "spent").alias("call"))
 
 
-@query(L + "SELECT session AS task, call AS checkpoint, lag(call) OVER (PARTITION BY session ORDER BY ts, call) AS parent FROM ledger")
+@query(L + "SELECT session AS task, call AS checkpoint, COALESCE(lag(call) OVER (PARTITION BY session ORDER BY ts, call), -1) AS parent FROM ledger")
 def checkpoint_chain(spark: SparkSession, sf: str) -> DataFrame:
-    return op.checkpoint_chain(ledger(spark, sf)).select(F.col("session").alias("task"), F.col("call").alias("checkpoint"), "parent")
+    return op.checkpoint_chain(ledger(spark, sf)).select(F.col("session").alias("task"), F.col("call").alias("checkpoint"), F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
 POINTS = "points AS (SELECT session, min(ts) AS since FROM ledger WHERE tool = (SELECT min(tool) FROM ledger) AND k >= 50 GROUP BY session)"
@@ -165,9 +165,9 @@ def first_seen_refs(spark: SparkSession, sf: str) -> DataFrame:
     return ledger(spark, sf).select("call", "session", "tool", F.row_number().over(W.partitionBy("session", "tool").orderBy("ts", "call")).alias("seen"))
 
 
-@query(L + "SELECT session, tool, max(ts) AS last_used FROM ledger GROUP BY session, tool QUALIFY row_number() OVER (ORDER BY max(ts) DESC, session, tool) <= 500")
+@query(L + "SELECT session, tool, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_used FROM ledger GROUP BY session, tool QUALIFY row_number() OVER (ORDER BY max(ts) DESC, session, tool) <= 500")
 def lru_keep(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger(spark, sf).groupBy("session", "tool").agg(F.max("ts").alias("last_used")).orderBy(F.desc("last_used"), "session", "tool").limit(500)
+    return ledger(spark, sf).groupBy("session", "tool").agg(F.max("ts").alias("last_used")).orderBy(F.desc("last_used"), "session", "tool").limit(500).select("session", "tool", F.date_format("last_used", "yyyy-MM-dd HH:mm:ss").alias("last_used"))
 
 
 @query("SELECT source AS file, count(*) AS runs, round(avg(quality * 4 + toxic), 4) AS avg_score FROM labels JOIN documents USING (doc_id) GROUP BY source")
