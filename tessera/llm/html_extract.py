@@ -48,19 +48,24 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 
 #: Share of the best path's fused ratio that a path needs, and share of the selected text that the content node holds.
 THRESHOLD, HOLDS = 0.25, 0.9
+#: Class and id words count only if what they leave is at least this share of the text.
+LEAST_LEFT = 0.02
 #: Weights of a block's neighbours in smoothing, nearest first.
 KERNEL = (1.0, 0.6, 0.15)
 
 
 class Node:
-    __slots__ = ("boiler", "content", "heading", "link", "parent", "path", "tag")
+    """An open element. boiler: boilerplate by tag, role or hiding; soft: by its class or id words only."""
 
-    def __init__(self, tag: str, parent: Node | None, words: frozenset[str] = frozenset(), boiler: bool = False):
+    __slots__ = ("boiler", "content", "heading", "link", "parent", "path", "soft", "tag")
+
+    def __init__(self, tag: str, parent: Node | None, words: frozenset[str] = frozenset(), boiler: bool = False, soft: bool = False):
         self.tag, self.parent = tag, parent
         self.link = tag == "a" or (parent is not None and parent.link)
         self.heading = tag in HEADINGS or (parent is not None and parent.heading)
         self.boiler = boiler or (parent is not None and parent.boiler)
-        self.content = tag in CONTENT or bool(words & CONTENT_WORDS)
+        self.soft = soft or (parent is not None and parent.soft)
+        self.content = tag in CONTENT or (tag not in ("body", "html") and bool(words & CONTENT_WORDS))
         self.path = ((parent.path if parent else "") + ("" if tag in INLINE else "/" + tag + "".join("." + w for w in sorted(words)))) if parent else "/" + tag
 
 
@@ -84,9 +89,8 @@ def _open(tag: str, rest: str, parent: Node) -> Node:
                 boiler |= value in ROLES
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 boiler = True
-    if tag not in ("body", "html") and words & BOILERPLATE_WORDS and not (tag in CONTENT and not words & {"comment", "comments", "reply", "related", "ad"}):
-        boiler = True
-    return Node(tag, parent, frozenset(words), boiler)
+    soft = tag not in ("body", "html") and bool(words & BOILERPLATE_WORDS) and not (tag in CONTENT and not words & {"comment", "comments", "reply", "related", "ad"})
+    return Node(tag, parent, frozenset(words), boiler, soft)
 
 
 def blocks(page: str) -> list[tuple[str, Node, int]]:
@@ -200,7 +204,10 @@ def path_scores(found: list[tuple[str, Node, int]]) -> dict[str, float]:
 
 def extract(page: str | None) -> str:
     """Main text of one page."""
-    found = [b for b in blocks(page or "") if not b[1].boiler]
+    every = [b for b in blocks(page or "") if not b[1].boiler]
+    found = [b for b in every if not b[1].soft]
+    if sum(len(b[0]) for b in found) < LEAST_LEFT * sum(len(b[0]) for b in every):
+        found = every  # a class word such as "sidebar" on the frame around everything says nothing
     if not found:
         return ""
     scores = path_scores(found)
