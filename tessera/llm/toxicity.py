@@ -51,7 +51,7 @@ def buckets(word: bytes, bits: int = BITS) -> tuple[int, ...]:
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = [sorted({b for w in words(x.as_py()) for b in buckets(w)}) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["toxic", "terms"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.list_(pa.int32()))], names=["toxic", "doc_id", "terms"])
 
 
 class Machine:
@@ -99,8 +99,8 @@ def fit(labels: np.ndarray, terms: list[np.ndarray], seed: int = SEED) -> Machin
         return Machine(np.empty(0, np.int64), -40.0, np.empty(0), np.empty((0, RANK)), 1.0, 0.0)
     held = np.zeros(n, bool)
     held[rng.permutation(n)[: n // 5]] = True
-    flat = np.concatenate(terms).astype(np.int64)
-    row = np.repeat(np.arange(n), [len(t) for t in terms])
+    flat = np.concatenate(terms).astype(np.int32)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
     train = ~held[row]
     in_toxic = np.bincount(flat[train & (labels[row] == 1)], minlength=1 << BITS)
     in_all = np.bincount(flat[train], minlength=1 << BITS)
@@ -169,11 +169,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionAll(known.where("toxic = 0").orderBy(*order).limit(MAX_OTHER))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = texts.select("toxic", "text", "doc_id").mapInArrow(_terms, "toxic int, terms array<int>").toArrow()
-    rows = sorted(zip(got.column("toxic").to_pylist(), got.column("terms").to_pylist(), strict=True))
-    if not rows:
-        return fit(np.empty(0), [])
-    return fit(np.array([r[0] for r in rows], float), [np.array(r[1], np.int64) for r in rows])
+    got = texts.select("toxic", "text", "doc_id").mapInArrow(_terms, "toxic int, doc_id long, terms array<int>").toArrow()
+    toxic, ids = got.column("toxic").to_numpy().astype(float), got.column("doc_id").to_numpy()
+    terms = [x for c in got.column("terms").chunks for x in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1]) if len(c)]
+    del got
+    order = np.lexsort((np.array([len(t) for t in terms]), toxic, ids))
+    return fit(toxic[order], [terms[i] for i in order])
 
 
 def _scorer(machine: Machine):
