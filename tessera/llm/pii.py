@@ -41,7 +41,7 @@ GUARDS = {
     "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"),
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
 def _digits(hit: Column) -> Column:

@@ -142,6 +142,16 @@ def test_pii(spark, docs):
     assert pii.find(docs, model=model).count() == len(DOCS)
 
 
+def test_pii_zero_parts(spark):
+    good = ["10.0.0.1", "0.0.0.0", "00.0.000.1", "1.2.3.0", "10.20.30.0", "192.168.1.1", "0" * 5000 + ".0.0." + "0" * 5000]
+    bad = ["256.0.0.0", "0.0.0.300", "0001000.0.0.0", "0" * 5000 + "999.0.0.0"]
+    df = spark.createDataFrame(list(enumerate(f"at {x} now" for x in good + bad)), "doc_id long, text string")
+    model = ([], dict.fromkeys(pii.GENERATORS, float("inf")))  # base spans only
+    rows = sorted(pii.find(df, model=model).select("doc_id", pii.count_of("base", "ip").alias("n"), pii.redacted().alias("r")).collect())
+    assert [r.n for r in rows] == [1] * len(good) + [0] * len(bad)
+    assert [r.r for r in rows] == ["at <IP> now"] * len(good) + [f"at {x} now" for x in bad]
+
+
 def test_simhash(docs, empty, spark):
     def fp(t):
         w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
