@@ -33,6 +33,8 @@ RECALL, TRIALS, LEAST_PROBES = 0.96, 256, 12
 BLOCK, COLUMNS, STRIDE, CHUNK = 4096, 16, 512, 64
 #: Width of the test: a candidate goes if its scaled partial distance is over (1 + EPSILON / sqrt(columns read)) times the bound.
 EPSILON = 2.1
+#: Room for float32 rounding in the test, as a share of the squared norms; without it copies of a query fail a bound of 0.
+SLACK = 4e-6
 
 
 @dataclass
@@ -50,7 +52,10 @@ def fit(ids: np.ndarray, vectors: np.ndarray, rows: int, seed: int = SEED) -> In
     d = vectors.shape[1]
     lists = int(np.clip(round(math.sqrt(rows)), 1, max(1, len(vectors) // 8)))
     x = vectors.astype(np.float32)
-    centres = x[rng.permutation(len(x))[:lists]].copy()
+    order = rng.permutation(len(x))
+    order = order[np.sort(np.unique(x[order], axis=0, return_index=True)[1])]  # equal centres would part equal rows
+    centres = x[order[:lists]].copy()
+    lists = len(centres)
     for _ in range(ROUNDS):
         own = nearest(x, centres, 1)[:, 0]
         count = np.bincount(own, minlength=lists)
@@ -105,6 +110,7 @@ def scan(block_ids: np.ndarray, original: np.ndarray, rotated: np.ndarray, query
     """vec_id and distance of the block's rows that may be among the k nearest; rotated is (dimensions, rows)."""
     d, n = rotated.shape
     best_far, best_id = np.empty(0), np.empty(0, np.int64)
+    slack = SLACK * (float(query @ query) + np.einsum("ij,ij->j", rotated, rotated))
     for a in range(0, n, STRIDE):
         alive = np.arange(a, min(n, a + STRIDE))
         alive = alive[block_ids[alive] != query_id]
@@ -116,7 +122,7 @@ def scan(block_ids: np.ndarray, original: np.ndarray, rotated: np.ndarray, query
             partial = partial + np.einsum("ij,ij->j", step, step)
             read = min(d, c + COLUMNS)
             if read < d:
-                stay = partial * (d / read) <= (bound * (1 + EPSILON / math.sqrt(read))) ** 2
+                stay = partial * (d / read) <= (bound * (1 + EPSILON / math.sqrt(read))) ** 2 + slack[alive] * (d / read)
                 alive, partial = alive[stay], partial[stay]
         if not len(alive):
             continue

@@ -336,6 +336,25 @@ def test_ann(spark):
     assert ann.search(df.where("false")).count() == 0
 
 
+def test_ann_copies(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 64)).astype(np.float32)
+    x[::3] = x[0]  # a third of the rows
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got: dict = {}
+    for r in ann.search(df, every=150).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 1500, 150))
+    for q, found in got.items():
+        assert sorted(found) == [(i + 1, v, 0.0) for i, v in enumerate([v for v in range(0, 36, 3) if v != q][:10])]
+    # a bound that falls to 0 inside a block must not lose smaller ids that come later
+    ids, d = np.arange(1500)[::-1].copy(), 64
+    turn = np.linalg.qr(rng.normal(size=(d, d)))[0].astype(np.float32)
+    y = x[::-1].astype(float)
+    a, b = ann.scan(ids, y, np.ascontiguousarray((y.astype(np.float32) @ turn).T), -1, y[-1], y[-1].astype(np.float32) @ turn, np.inf)
+    assert a.tolist() == list(range(0, 30, 3)) and not b.any()
+
+
 def test_sentence_pieces(spark, docs):
     m = sentence_pieces.load()
     usable = {p.decode().replace(" ", "▁"): (i, m.score_of[i]) for i, p in m.bytes_of.items() if m.score_of.get(i, -1e9) > -1e8}
