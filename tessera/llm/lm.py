@@ -6,7 +6,7 @@
 3. P(word) = P(class | state) * P(word | class, state). Head words are binned by frequency into classes of WIDTH, with a softmax
    inside the class; the others fall into TAIL classes by a hash of their last letters, inside which a word has (c + 1) / (N_k + V_k + 1),
    which leaves one share for all words never seen. The gated unit reads the word before (a head word or a tail class).
-4. Training passes over ROUNDS of PARTS parts of the training documents, so it grows with them. In a round each task goes on from the same weights by truncated
+4. Training passes once over all training documents, a part of PARTS a round. In a round each task goes on from the same weights by truncated
    backpropagation through windows of STEPS tokens, many documents side by side (lanes); the tasks' weights are averaged in two levels.
 5. Scoring runs whole documents through lanes, the state carried from window to window and cleared only where a document begins.
 
@@ -31,8 +31,8 @@ from .common import LOWER, arrow_limits, cut, fold, fold_of, shuffle_partitions
 FOLDS, HELD_OUT = 7, 2
 HEAD, WIDTH, TAIL = 1536, 48, 48
 EMBED, HIDDEN, STEPS, RATE, CLIP, SEED = 16, 24, 16, 0.008, 1.0, 5
-#: Training documents fall into PARTS by hash of doc_id; round r trains on part r.
-ROUNDS, PARTS = 2, 4
+#: Training documents fall into PARTS by hash of doc_id; round r trains on part r, so the rounds pass over all of them once.
+ROUNDS = PARTS = 4
 #: Lanes side by side in training and scoring. A training document goes in stretches of SPAN tokens, each from a cleared state.
 LANES, SCORE_LANES, SPAN = 256, 512, 256
 END = b"\n"  # white space, so no word
@@ -201,22 +201,21 @@ def _forward(p: dict, table: np.ndarray, inputs: np.ndarray, fresh: np.ndarray,
     steps, lanes = inputs.shape
     states = np.empty((steps, lanes, HIDDEN), h.dtype)
     saved = []
-    u, u2 = p["state"][:, : 2 * HIDDEN], p["state"][:, 2 * HIDDEN :]
-    any_fresh = fresh.any(1)
+    u, u2 = -p["state"][:, : 2 * HIDDEN], p["state"][:, 2 * HIDDEN :].copy()
+    any_fresh = fresh.any(1).tolist()
+    x = table[inputs]  # of all steps at once; the gates are kept negated up to their exp
+    every_gate, every_c = -x[..., : 2 * HIDDEN], x[..., 2 * HIDDEN :].copy()
     for t in range(steps):
         if any_fresh[t]:
             h = h.copy()
             h[fresh[t]] = 0
-        x = table[inputs[t]]
-        gates = x[:, : 2 * HIDDEN]
+        gates, c = every_gate[t], every_c[t]
         gates += h @ u
-        np.negative(gates, out=gates)
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
         rh = r * h
-        c = x[:, 2 * HIDDEN :]
         c += rh @ u2
         np.tanh(c, out=c)
         new = states[t]
@@ -283,21 +282,24 @@ def _gradients(p: dict, bins: int, table: np.ndarray, inputs: np.ndarray, fresh:
     dh = np.zeros((lanes, HIDDEN), flat.dtype)
     dx = np.empty((steps, lanes, 3 * HIDDEN), flat.dtype)
     ut, u2t = p["state"][:, : 2 * HIDDEN].T.copy(), p["state"][:, 2 * HIDDEN :].T.copy()
+    before, z, r, rh, c = (np.stack(x) for x in zip(*saved, strict=True))
+    rest = 1 - z
+    by_c, by_z, by_r = z * (1 - c * c), (c - before) * z * rest, before * r * (1 - r)
     for t in reversed(range(steps)):
-        before, z, r, rh, c = saved[t]
         dh += dh_out[t]
-        dc = dx[t, :, 2 * HIDDEN :]
-        np.multiply(dh, z, out=dc)
-        dc *= 1 - c * c
+        dc, gates = dx[t, :, 2 * HIDDEN :], dx[t, :, : 2 * HIDDEN]
+        np.multiply(dh, by_c[t], out=dc)
         drh = dc @ u2t
-        gates = dx[t, :, : 2 * HIDDEN]
-        gates[:, :HIDDEN] = dh * (c - before) * z * (1 - z)
-        gates[:, HIDDEN:] = drh * before * r * (1 - r)
-        dh = dh * (1 - z) + drh * r + gates @ ut
+        np.multiply(dh, by_z[t], out=gates[:, :HIDDEN])
+        np.multiply(drh, by_r[t], out=gates[:, HIDDEN:])
+        dh *= rest[t]
+        drh *= r[t]
+        dh += drh
+        dh += gates @ ut
         dh[fresh[t]] = 0
     flat_dx = dx.reshape(-1, 3 * HIDDEN)
-    g["state"][:, : 2 * HIDDEN] = np.concatenate([x[0] for x in saved]).T @ flat_dx[:, : 2 * HIDDEN]
-    g["state"][:, 2 * HIDDEN :] = np.concatenate([x[3] for x in saved]).T @ flat_dx[:, 2 * HIDDEN :]
+    g["state"][:, : 2 * HIDDEN] = before.reshape(-1, HIDDEN).T @ flat_dx[:, : 2 * HIDDEN]
+    g["state"][:, 2 * HIDDEN :] = rh.reshape(-1, HIDDEN).T @ flat_dx[:, 2 * HIDDEN :]
     g["bias"] = flat_dx.sum(0)
     order = np.argsort(inputs.ravel(), kind="stable")
     number = inputs.ravel()[order]

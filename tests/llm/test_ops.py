@@ -238,6 +238,18 @@ def test_lm(spark, docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_lm_trains_on_all():
+    sizes = [5 + i % 7 for i in range(300)]
+    count = Counter({b"w%d" % i: 10 for i in range(50)})
+    vocabulary = lm.Vocabulary(count.most_common(), np.full(lm.TAIL, 50), np.full(lm.TAIL, 5))
+    tokens = np.random.default_rng(1).integers(0, 50, sum(sizes))
+    row = {"docs": list(range(300)), "sizes": sizes, "tokens": tokens.astype("<u4").tobytes(), "inputs": vocabulary.number(list(count)).astype("<u2").tobytes()}
+    p = lm.initial(vocabulary)
+    adam = lm.Adam(p)
+    trained = sum(lm.train_block(p, adam, vocabulary, row, part) for part in range(lm.ROUNDS))
+    assert trained == sum(n for i, n in enumerate(sizes) if zlib.crc32(str(i).encode()) % 7 != 2)
+
+
 def test_lm_gradients():
     rng = np.random.default_rng(0)
     count = Counter({b"w%d" % i: 200 - i for i in range(200)})
