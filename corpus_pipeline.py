@@ -18,9 +18,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of near duplicates: one with the smallest doc_id (of rows that share it, the first read).
+
+    Groups are of rows, not of doc_ids: a row is judged by its own text, whether its doc_id is repeated or null. A null doc_id comes
+    after all others, so such a row stays unless its text is a near duplicate of another row's.
+    """
+    rows = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    found = simhash.near_duplicates(rows.withColumn("own", F.col("doc_id").cast("long")), id_col="row", carry=("own",))
+    best = F.min(F.struct(F.col("own").isNull(), "own", F.col("doc_id").alias("row")))  # near_duplicates calls the row key doc_id
+    first = found.groupBy("component_id").agg(best.alias("best")).select("best.row")
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,13 +59,14 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "print"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), *batch.columns[2:]], names=["doc_id", "print", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, print (the fingerprint's bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, print (the fingerprint's bits as a signed long), the long columns in carry."""
     arrow_limits(docs.sparkSession)
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_fingerprints, "doc_id long, print long")
+    schema = ", ".join(("doc_id long, print long", *(f"{c} long" for c in carry)))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *carry).mapInArrow(_fingerprints, schema)
 
 
 def blocks_for(rows: int, radius: int = RADIUS) -> int:
@@ -250,14 +251,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, print, component_id for each document."""
-    each = cut(fingerprints(docs, id_col, text_col), "prints")
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, print, component_id, the long columns in carry for each document."""
+    each = cut(fingerprints(docs, id_col, text_col, carry), "prints")
     distinct = cut(each.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id")), "distinct-prints")
     grouped = components(links(distinct, distinct.count(), radius))
     named = distinct.join(grouped, "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
     out = each.join(named, "print", "left")
-    return out.select("doc_id", "print", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "print", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *carry)
 
 
 def hex_print(column: str = "print"):

@@ -23,3 +23,17 @@ def test_stages(spark, tmp_path):
     assert seen[4].where("n_chars <> length(text)").count() == 0
     assert {r.doc_id for r in seen[5].select("doc_id").collect()} == first
     assert seen[5].groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    def text(k):
+        return " ".join(f"w{k}x{i * i}" for i in range(80))
+
+    rows = [(1, text(1)), (2, text(2)), (2, text(1)), (3, text(3)), (3, text(3)), (4, text(3)), (5, text(5)), (5, text(6)), (None, text(7)), (None, text(8)), (None, text(7)), (None, text(1))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    want = [(1, text(1)), (2, text(2)), (3, text(3)), (5, text(5)), (5, text(6)), (None, text(7)), (None, text(8))]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
+    left = corpus_pipeline.personal_data(spark, corpus_pipeline.repeated_passages(spark, kept, SF), SF)
+    assert left.count() == len(want) and left.where("doc_id is null and n_chars > 0").count() == 2
