@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: inverted lists, scanned by adaptive dimensions.
 
 Fit (on at most SAMPLE rows, those first by hash of vec_id): k-means centres of about sqrt(n) lists and a random rotation. Every row is
-indexed: it goes to its nearest centre's list, in blocks of at most BLOCK rows that keep the rotated vectors by column.
+indexed: it goes to its nearest centre's list, in blocks of at most BLOCK rows that keep the rotated vectors by column. A list that holds
+far more rows than the mean is dealt in parts; of equal vectors there a part keeps those that some query may find (`fewer`).
 A query probes its nearest lists. Within a block it reads COLUMNS rotated columns at a time; after each, a hypothesis test holds the
 partial distance, scaled to all dimensions, against the distance of the worst neighbour so far, and drops candidates that are
 farther with high confidence. What is left gets its distance from the original vectors in double precision.
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import arrow_limits, cut, shuffle_partitions
+from .common import cut, discard, mapped, shuffle_partitions
 
 K = 10
 SAMPLE, BOUND_SAMPLE, ROUNDS, SEED = 20_000, 4096, 8, 11
 #: As many lists are probed as hold this share of the true neighbours of TRIALS rows within the sample, and LEAST_PROBES at least.
 RECALL, TRIALS, LEAST_PROBES = 0.96, 256, 12
 BLOCK, COLUMNS, STRIDE, CHUNK = 4096, 16, 512, 64
+#: A list is dealt in parts of about twice the mean list's rows, within these bounds: at least this, at most 16 blocks.
+LEAST_PART = 256
 #: Width of the test: a candidate goes if its scaled partial distance is over (1 + EPSILON / sqrt(columns read)) times the bound.
 EPSILON = 2.1
 #: Room for float32 rounding in the test, as a share of the squared norms; without it copies of a query fail a bound of 0.
@@ -151,34 +154,47 @@ def _assign(index: Index):
     return run
 
 
-def _block(index: Index):
+def fewer(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the rows of one list that some query may find: of adjacent equal vectors (ids ascending) those of the first k + 1
+    different ids, each at most k times. Whatever the query's own id, its k nearest of these copies are among them."""
+    fresh = np.concatenate(([True], (x[1:] != x[:-1]).any(1)))
+    other = fresh | np.concatenate(([True], ids[1:] != ids[:-1]))
+    at = np.arange(len(ids))
+    number = np.cumsum(other)  # of different ids
+    begin = np.maximum.accumulate(np.where(fresh, number, 0))
+    first = np.maximum.accumulate(np.where(other, at, 0))
+    return (number - begin <= k) & (at - first < k)
+
+
+def _block(index: Index, k: int):
+    """Blocks of a list's part; rows come by list, part and vector, so copies that no query can find leave as they come."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(lists: int, ids: list, rows: list) -> pa.RecordBatch:
-            i, x = np.concatenate(ids), np.concatenate(rows)
+        def out(at: tuple[int, int], i: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             turned = np.ascontiguousarray((x.astype(np.float32) @ index.rotation).T)
-            return pa.RecordBatch.from_arrays([pa.array([lists], pa.int32()), pa.array([i.tobytes()]), pa.array([x.astype("<f8").tobytes()]), pa.array([turned.astype("<f4").tobytes()])], names=["list", "ids", "original", "rotated"])
+            columns = [pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([i.tobytes()]), pa.array([x.astype("<f8").tobytes()]), pa.array([turned.astype("<f4").tobytes()])]
+            return pa.RecordBatch.from_arrays(columns, names=["list", "part", "ids", "original", "rotated"])
 
-        now, ids, rows, size = -1, [], [], 0
+        now, ids, x = (-1, -1), np.empty(0, np.int64), np.empty((0, 0))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, i, x = batch.column("list").to_numpy(), batch.column("vec_id").to_numpy(), _matrix(batch.column("v"))
-            edge = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            lists, parts, i, v = batch.column("list").to_numpy(), batch.column("part").to_numpy(), batch.column("vec_id").to_numpy(), _matrix(batch.column("v"))
+            edge = [0, *(np.flatnonzero((lists[1:] != lists[:-1]) | (parts[1:] != parts[:-1])) + 1).tolist(), len(lists)]
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if size and own[a] != now:
-                    yield out(now, ids, rows)
-                    ids, rows, size = [], [], 0
-                now = int(own[a])
-                while a < b:
-                    take = min(b - a, BLOCK - size)
-                    ids.append(i[a : a + take])
-                    rows.append(x[a : a + take])
-                    size, a = size + take, a + take
-                    if size == BLOCK:
-                        yield out(now, ids, rows)
-                        ids, rows, size = [], [], 0
-        if size:
-            yield out(now, ids, rows)
+                at = int(lists[a]), int(parts[a])
+                if len(ids) and at != now:
+                    yield out(now, ids, x)
+                    ids, x = ids[:0], x[:0]
+                if len(ids):
+                    ids, x = np.concatenate((ids, i[a:b])), np.concatenate((x, v[a:b]))
+                else:
+                    ids, x = i[a:b], v[a:b]
+                now, some = at, fewer(ids, x, k)
+                ids, x = ids[some], x[some]
+                while len(ids) > BLOCK:
+                    yield out(now, ids[:BLOCK], x[:BLOCK])
+                    ids, x = ids[BLOCK:], x[BLOCK:]
+        if len(ids):
+            yield out(now, ids, x)
 
     return run
 
@@ -231,7 +247,6 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 def search(vectors: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each row whose id is divisible by `every`."""
     spark = vectors.sparkSession
-    arrow_limits(spark)
     rows, d = usable(vectors, id_col, vector_col)
     n = rows.count()
     if not n:
@@ -239,14 +254,20 @@ def search(vectors: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     index = fit(some.column("vec_id").to_numpy(), np.array(some.column("v").to_pylist(), float), n)
     parts = shuffle_partitions(spark)
-    listed = rows.mapInArrow(_assign(index), "list int, vec_id long, v array<double>")
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, math.ceil(n / len(index.centres) / BLOCK))))  # a list of usual size stays whole
-    blocks = listed.repartition(parts, "list", salt).sortWithinPartitions("list").mapInArrow(_block(index), "list int, ids binary, original binary, rotated binary")
-    blocks = cut(blocks, "blocks")
-    probes = rows.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(_probe(index, k), "list int, query_id long, vector binary, bound double")
+    listed = cut(mapped(rows, _assign(index), "list int, vec_id long, v array<double>"), "listed")
+    part_rows = min(16 * BLOCK, max(LEAST_PART, 2 * n // len(index.centres)))
+    sizes = listed.groupBy("list").count().withColumn("parts", F.ceil(F.col("count") / part_rows).cast("int")).drop("count").collect()  # a row a centre
+    split = spark.createDataFrame(sizes, "list int, parts int")
+    dealt = listed.join(F.broadcast(split), "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    dealt = dealt.select("list", "part", "vec_id", "v", F.xxhash64("v").alias("same"))
+    dealt = dealt.repartition(parts, "list", "part").sortWithinPartitions("list", "part", "same", "vec_id")
+    blocks = cut(mapped(dealt, _block(index, k), "list int, part int, ids binary, original binary, rotated binary", rows=10_000), "blocks")
+    discard(listed)
+    probes = mapped(rows.where(F.pmod("vec_id", F.lit(every)) == 0), _probe(index, k), "list int, query_id long, vector binary, bound double")
     chunks = max(1, math.ceil(n / every * index.probes / len(index.centres) / CHUNK))
-    asked = probes.groupBy("list", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("query_id", "vector", "bound")).alias("queries"))
-    units = blocks.join(asked, "list").select("ids", "original", "rotated", "queries")
-    found = units.mapInArrow(_search(index.rotation, k), "query_id long, vec_id long, score double")
+    probes = probes.join(F.broadcast(split), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = probes.groupBy("list", "part", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("query_id", "vector", "bound")).alias("queries"))
+    units = blocks.join(asked, ["list", "part"]).select("ids", "original", "rotated", "queries")
+    found = mapped(units, _search(index.rotation, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a fresh local one on a local master (tests);
+    on a cluster executors would write where nobody else can read, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -36,13 +41,36 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def arrow_limits(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of Python stages by rows and by bytes, so long texts don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what `cut` wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows and bytes (one row may be larger), none of them empty."""
+    for batch in batches:
+        left = [batch] if batch.num_rows else []
+        while left:
+            now = left.pop()
+            n = now.num_rows
+            if n > 1 and (n > rows or now.nbytes > size):
+                half = rows if n > rows and now.nbytes <= size else n // 2
+                left += [now.slice(half), now.slice(0, half)]
+            else:
+                yield now
+
+
+def mapped(df: DataFrame, function: Callable, schema, rows: int = BATCH_ROWS) -> DataFrame:
+    """df.mapInArrow(function, schema) with batches bounded by rows and bytes inside the worker, so that what a function holds for
+    a batch is bounded too; the session's settings stay as they are."""
+    return df.mapInArrow(lambda batches: function(sliced(batches, rows)), schema)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

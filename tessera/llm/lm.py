@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_limits, cut, fold, fold_of, shuffle_partitions
+from .common import LOWER, cut, discard, fold, fold_of, mapped, shuffle_partitions
 
 FOLDS, HELD_OUT = 7, 2
 HEAD, WIDTH, TAIL = 1536, 48, 48
@@ -503,26 +503,26 @@ def _scorer(vocabulary: Vocabulary, weights: dict):
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     spark = docs.sparkSession
-    arrow_limits(spark)
     n = shuffle_partitions(spark)
-    blocks = cut(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_blocks, BLOCK), "blocks")
-    arrow_limits(spark, rows=1)  # from here on a row is a block
-    asked = blocks.select("block", "flat", "widths", "seen").mapInArrow(_ask(n), "bucket int, block long, places binary, flat binary, widths binary, seen binary")
-    answers = cut(asked.repartition(n, "bucket").mapInArrow(_answer, ANSWER), "answers")
+    blocks = cut(mapped(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), _blocks, BLOCK), "blocks")
+    # from here on a row is a block
+    asked = mapped(blocks.select("block", "flat", "widths", "seen"), _ask(n), "bucket int, block long, places binary, flat binary, widths binary, seen binary")
+    answers = cut(mapped(asked.repartition(n, "bucket"), _answer, ANSWER), "answers")
     head = [(bytes(r[0]), r[1]) for r in answers.where("word is not null").select("word", "total").orderBy(F.desc("total"), "word").limit(HEAD).collect()]
     sums = {r[0]: (r[1], r[2]) for r in answers.where("class is not null").groupBy("class").agg(F.sum("n"), F.sum("v")).collect()}
     n_of, v_of = (np.array([sums.get(k, (0, 0))[i] for k in range(TAIL)], np.int64) for i in (0, 1))
     vocabulary = Vocabulary(head, n_of, v_of)
     back = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("places", "counts")).alias("answers"))
-    encoded = cut(blocks.drop("seen").join(back, "block").mapInArrow(_encoder(vocabulary), ENCODED), "encoded")
+    encoded = cut(mapped(blocks.drop("seen").join(back, "block"), _encoder(vocabulary), ENCODED), "encoded")
+    discard(blocks, answers)
     weights = initial(vocabulary)
     for part in range(ROUNDS if vocabulary.train_tokens else 0):
-        own = encoded.drop("counts").mapInArrow(_trainer(vocabulary, weights, part, RATE / (1 + part)), "n long, weights binary")
-        few = list(own.repartition(8).mapInArrow(_mean, "n long, weights binary").toLocalIterator())
+        own = mapped(encoded.drop("counts"), _trainer(vocabulary, weights, part, RATE / (1 + part)), "n long, weights binary")
+        few = list(mapped(own.repartition(8), _mean, "n long, weights binary").toLocalIterator())
         total = sum(r[0] for r in few)
         if total:
             mean = sum(np.frombuffer(bytes(r[1]), "<f4").astype(np.float64) * (r[0] / total) for r in few)
             weights = _load(mean.astype("<f4").tobytes(), weights)
-    scored = encoded.mapInArrow(_scorer(vocabulary, weights), RESULT)
+    scored = mapped(encoded, _scorer(vocabulary, weights), RESULT)
     held = fold("doc_id", FOLDS) == HELD_OUT
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import arrow_limits, cut
+from .common import cut, mapped
 
 TOKENIZER = "byte_bpe_50k"
 END_ID = 1
@@ -148,8 +148,7 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, most: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece."""
     spark = docs.sparkSession
-    arrow_limits(spark)
-    pieces = cut(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_cutter(tokenizer, end_id, most), PIECES), "pieces")
+    pieces = cut(mapped(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), _cutter(tokenizer, end_id, most), PIECES), "pieces")
     counts = cut(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `most` rows
     places = spark.createDataFrame(slots(pack_histogram(histogram, most)), "length long, first long, last long, base long, offset long")

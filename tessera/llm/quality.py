@@ -1,8 +1,10 @@
 """Quality rules: word statistics plus zstandard compression bands over whole documents and fixed chunks.
 
 Repetitive text compresses too well and random text too badly. What is normal depends on length (a short text has
-little to refer back to), so each band has its own limits for its range of lengths. A document is kept if it passes
-the base rules and its whole-text ratio and every full chunk's ratio lie inside the band.
+little to refer back to), so each band has its own limits for its range of lengths, of whole texts and of chunks: CHUNK bytes each,
+the last one what is left, if that is at least LEAST_CHUNK. A document is kept if it passes the base rules, its whole-text ratio lies
+inside the band, and at most a share BAD_SHARE of its judged chunks' bytes lie in chunks outside theirs. So one bad chunk
+rejects a document of up to nine, and a long one may hold a table or a listing, but no large part of junk.
 
 Null or empty text: no words, base_failed true, ratios null. Null doc_id stays null. Repeated rows each get a row.
 Extra input columns are ignored.
@@ -18,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import SPACES, arrow_limits
+from .common import SPACES, mapped
 
 SYMBOLS = b"#*$%&|<>"
 LEVEL = 3
@@ -35,11 +37,11 @@ class Band:
 
 
 #: By length of the whole text, ascending. Natural prose lies near 0.3 to 0.65 from a few hundred bytes on, base64 at 0.76.
-WHOLE = (Band(0, 0.0, 9.0), Band(256, 0.25, 0.95), Band(1024, 0.20, 0.80), Band(4096, 0.18, 0.72), Band(32768, 0.15, 0.68))
-#: For a chunk of CHUNK bytes; a shorter last chunk is judged with the whole text only.
-CHUNKS = Band(CHUNK, 0.18, 0.74)
-#: A document may have at most this share of chunks outside the band.
-BAD_CHUNKS = 0.5
+WHOLE = (Band(0, 0.20, 1.30), Band(256, 0.25, 0.95), Band(1024, 0.20, 0.80), Band(4096, 0.18, 0.72), Band(32768, 0.15, 0.68))
+#: By length of the chunk, ascending; the first is the shortest that is judged by itself.
+CHUNKS = (Band(512, 0.22, 0.90), Band(1024, 0.21, 0.80), Band(2048, 0.20, 0.76), Band(CHUNK, 0.18, 0.72))
+LEAST_CHUNK = CHUNKS[0].min_bytes
+BAD_SHARE = 0.1
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean,"
@@ -75,7 +77,20 @@ def band(n_bytes: int, bands: tuple[Band, ...] = WHOLE) -> Band:
     return next(b for b in reversed(bands) if n_bytes >= b.min_bytes)
 
 
-def score(text: str | None, packer: zstandard.ZstdCompressor, whole: tuple[Band, ...] = WHOLE, chunks: Band = CHUNKS) -> tuple:
+def chunk_sizes(b: bytes, packer: zstandard.ZstdCompressor, chunks: tuple[Band, ...] = CHUNKS) -> tuple[list[int], list[int]]:
+    """Bytes of each chunk that is judged, and of those outside their band."""
+    judged, bad = [], []
+    for i in range(0, len(b), CHUNK):
+        chunk = b[i : i + CHUNK]
+        if len(chunk) >= chunks[0].min_bytes:
+            limits = band(len(chunk), chunks)
+            judged.append(len(chunk))
+            if not limits.low <= len(packer.compress(chunk)) / len(chunk) <= limits.high:
+                bad.append(len(chunk))
+    return judged, bad
+
+
+def score(text: str | None, packer: zstandard.ZstdCompressor, whole: tuple[Band, ...] = WHOLE, chunks: tuple[Band, ...] = CHUNKS) -> tuple:
     """All columns but doc_id for one text."""
     b = (text or "").encode()
     words = b.split()
@@ -87,10 +102,9 @@ def score(text: str | None, packer: zstandard.ZstdCompressor, whole: tuple[Band,
     failed = n < 50 or 100 * n_repeat > 50 * n
     ratio = len(packer.compress(b)) / len(b) if b else None
     limits = band(len(b), whole)
-    full = [len(packer.compress(b[i : i + chunks.min_bytes])) / chunks.min_bytes for i in range(0, len(b) - chunks.min_bytes + 1, chunks.min_bytes)]
-    bad = sum(not chunks.low <= x <= chunks.high for x in full)
-    kept = not failed and ratio is not None and limits.low <= ratio <= limits.high and bad <= BAD_CHUNKS * len(full)
-    return n, word_chars, n_symbols, len(lines) - len(set(lines)), n_repeat, failed, kept, len(b), ratio, limits.low, limits.high, len(full), bad
+    judged, bad = chunk_sizes(b, packer, chunks)
+    kept = not failed and ratio is not None and limits.low <= ratio <= limits.high and sum(bad) <= BAD_SHARE * sum(judged)
+    return n, word_chars, n_symbols, len(lines) - len(set(lines)), n_repeat, failed, kept, len(b), ratio, limits.low, limits.high, len(judged), len(bad)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +120,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its statistics and verdict; a map over the rows, without a shuffle."""
-    arrow_limits(docs.sparkSession)
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_batches, SCHEMA)
+    return mapped(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), _batches, SCHEMA)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,5 +131,4 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs (with all their columns) whose text passes; a map over the rows, without a join."""
-    arrow_limits(docs.sparkSession)
-    return docs.mapInArrow(_kept, docs.schema)
+    return mapped(docs, _kept, docs.schema)

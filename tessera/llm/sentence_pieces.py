@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_limits
+from .common import mapped
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
@@ -159,8 +159,7 @@ RESULT = "doc_id long, n_ids long, n_byte_ids long, score double, ids_crc32 long
 
 def encode(docs: DataFrame, model: str = MODEL, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: number of ids and of byte pieces among them, score, crc32 of the ids, whether decoding gives the text back, and ids."""
-    arrow_limits(docs.sparkSession)
-    out = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_encoder(model, with_ids), RESULT)
+    out = mapped(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), _encoder(model, with_ids), RESULT)
     return out if with_ids else out.drop("ids")
 
 
@@ -175,5 +174,4 @@ def _decoder(model: str):
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and text from doc_id and ids."""
-    arrow_limits(encoded.sparkSession)
-    return encoded.select("doc_id", "ids").mapInArrow(_decoder(model), "doc_id long, text string")
+    return mapped(encoded.select("doc_id", "ids"), _decoder(model), "doc_id long, text string")

@@ -8,8 +8,8 @@
 4. Inside a key, fingerprints are compared bit-sliced: 64 bit planes, one bit a lane, 64 lanes a word. Differences are added
    with carry-save counters, and words (blocks of lanes) leave once all their lanes exceed the radius.
    Runs of up to RUN rows compare at offsets 1, 2, ...; longer ones (a hot key) grow one component at a time, comparing its
-   frontier with what is still unreached only, so a large group of near copies costs about one pass. Only links that
-   span the components found are emitted: fewer than rows.
+   frontier with what is still unreached only, so a large group of near copies costs about one pass; runs beyond SPLIT fall
+   apart by parts of their bits first. Only links that span the components found are emitted.
 5. Components by alternating large-star and small-star rounds over the links, until nothing changes.
 
 Null or empty text, or no words: fingerprint zero, linked like any other. Rows with a null doc_id form no component
@@ -27,10 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_limits, cut, shuffle_partitions
+from .common import LOWER, cut, discard, mapped, shuffle_partitions
 
 WORDS, RADIUS, SEED = 4, 4, 42
-RUN = 48
+#: Longest run that compares at offsets, and the run from which on one is split by parts of its bits.
+RUN, SPLIT = 48, 4096
 FRONTIER = 64
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -64,9 +65,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, print (the fingerprint's bits as a signed long), the long columns in carry."""
-    arrow_limits(docs.sparkSession)
     schema = ", ".join(("doc_id long, print long", *(f"{c} long" for c in carry)))
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *carry).mapInArrow(_fingerprints, schema)
+    return mapped(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *carry), _fingerprints, schema)
 
 
 def blocks_for(rows: int, radius: int = RADIUS) -> int:
@@ -164,6 +164,25 @@ def _grow(prints: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]
     return links
 
 
+def _split(prints: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Spanning links of a very long run: prints within radius bits agree on one of radius + 1 parts of the bits that vary in the
+    run, so the run falls apart by each part in turn, and what is unrelated is hardly ever compared."""
+    differ = np.bitwise_or.reduce(prints ^ prints[0])
+    bits = [1 << i for i in range(64) if int(differ) >> i & 1]
+    if len(bits) <= radius:
+        return [(np.zeros(len(prints) - 1, np.int64), np.arange(1, len(prints)))]
+    links = []
+    for i in range(radius + 1):
+        key = prints & np.uint64(sum(bits[i :: radius + 1]))
+        order = np.argsort(key, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1], [True])))
+        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if e - s > 1:
+                own = order[s:e]
+                links += [(own[a], own[b]) for a, b in _grow(prints[own], radius)]
+    return links
+
+
 def link_sorted(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links (id, id) among rows of the same key; keys are sorted."""
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -171,7 +190,7 @@ def link_sorted(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, radius: i
     short = np.repeat((length > 1) & (length <= RUN), length)
     left, right = [], []
     for s, n in zip(start[length > RUN], length[length > RUN], strict=True):
-        for a, b in _grow(prints[s : s + n], radius):
+        for a, b in _split(prints[s : s + n], radius) if n > SPLIT else _grow(prints[s : s + n], radius):
             left.append(ids[s + a])
             right.append(ids[s + b])
     k, p, x = keys[short], prints[short], ids[short]
@@ -224,10 +243,10 @@ def links(prints: DataFrame, rows: int, radius: int = RADIUS) -> DataFrame:
     keyed = keyed.select(F.xxhash64("pos", "col").alias("key"), "print", "id")
     n = shuffle_partitions(spark)
     sorted_ = keyed.repartition(n, "key").sortWithinPartitions("key")
-    return sorted_.mapInArrow(_linker(radius), "a long, b long").where("a <> b").distinct()
+    return mapped(sorted_, _linker(radius), "a long, b long", rows=10_000).where("a <> b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) for each id of edges (a, b). Large-star then small-star, until stable."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
 
@@ -235,19 +254,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = mark(now)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
-        now = cut(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct(), "links")
-        after = mark(now)
+        old, now = now, cut(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct(), "links")
+        discard(old)
+        before, after = mark(now), before
         if after == before:
             break
-        before = after
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 

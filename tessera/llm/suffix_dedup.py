@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, shuffle_partitions
+from .common import mapped, shuffle_partitions
 
 LENGTH = 50
 K = 20
@@ -409,7 +409,7 @@ def _removed(routes: int):
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row keys, words for each, and start, end, start, end, ... of removed ranges."""
+    """Row keys, words for each, and lower and upper half of doc_id, start, end of each removed range."""
     held: dict[int, list] = {}
     z = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -441,14 +441,15 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             row, place = row[hit], (places[row] + window)[hit]
             if not len(row):
                 continue
-            order = np.lexsort((place, keys[row]))
-            k, place = keys[row][order], place[order]
-            cutp = np.concatenate(([True], (k[1:] != k[:-1]) | (place[1:] > place[:-1] + LENGTH)))
+            order = np.lexsort((place, docs[row], keys[row]))
+            k, d, place = keys[row][order], docs[row][order], place[order]
+            cutp = np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (place[1:] > place[:-1] + LENGTH)))
             s = np.flatnonzero(cutp)
             e = np.concatenate((s[1:], [len(k)])) - 1
-            ranges = np.stack((place[s], place[e] + LENGTH), 1).astype("<i8").ravel()
+            own = d[s].view(np.uint64)
+            ranges = np.stack((own & np.uint64(0xFFFFFFFF), own >> np.uint64(32), place[s].astype(np.uint64), (place[e] + LENGTH).astype(np.uint64)), 1).ravel()
             keys_of, n = np.unique(k[s], return_counts=True)  # k is sorted
-            yield keys_of, 2 * n, ranges
+            yield keys_of, 4 * n, ranges
 
 
 def _spans_of_rows(counts: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
@@ -462,11 +463,14 @@ def _spans_of_rows(counts: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[
         a = b
 
 
-def merged(ranges: bytes | None) -> np.ndarray:
-    """Maximal removed runs as rows (start, end)."""
-    if not ranges:
+def merged(ranges: bytes | None, doc_id: int | None) -> np.ndarray:
+    """Maximal removed runs of that doc_id as rows (start, end)."""
+    if not ranges or doc_id is None:
         return np.empty((0, 2), np.int64)
-    r = np.frombuffer(ranges, "<i8").reshape(-1, 2)
+    r = np.frombuffer(ranges, "<i8").reshape(-1, 4)
+    r = r[(r[:, 0] | r[:, 1] << 32) == doc_id, 2:]
+    if not len(r):
+        return r
     r = r[np.argsort(r[:, 0], kind="stable")]
     reach = np.maximum.accumulate(r[:, 1])
     fresh = np.concatenate(([True], r[1:, 0] > reach[:-1]))
@@ -486,8 +490,8 @@ def _finish(carry: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, ranges in zip(_texts(batch.column("text")), batch.column("data").to_pylist(), strict=True):
-                runs = merged(ranges)
+            for text, doc, ranges in zip(_texts(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                runs = merged(ranges, doc)
                 kept = _kept(text, runs)
                 # a range may end inside a character, of which the rest then goes too
                 rows.append((len(text), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
@@ -499,21 +503,24 @@ def _finish(carry: list[str], with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the columns in carry, n_bytes, n_removed, n_spans, kept_sha256 and (with_text) the kept text, for each row."""
+def remove_repeats(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """doc_id, the columns in carry, n_bytes, n_removed, n_spans, kept_sha256 and (with_text) the kept text, for each row.
+
+    key: where a row's ranges come back to, by default a hash of doc_id and text. Ranges carry their doc_id, so rows of different
+    doc_ids may share a key; rows of one doc_id that share one must have the same text.
+    """
     spark = docs.sparkSession
-    arrow_limits(spark)
     n = shuffle_partitions(spark)
     anchor_buckets, buckets = max(8, n // 3), 2 * n
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"), *(docs[c].alias(f"c_{i}") for i, c in enumerate(carry)))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text") if key is None else key)
     dealt = rows.repartition(n, "key")
-    anchors = rows.where("doc_id is not null").select("key", "text").mapInArrow(_anchors(anchor_buckets), "bucket int, keys binary, counts binary, hashes binary")
-    shared = anchors.repartition(anchor_buckets, "bucket").mapInArrow(_shared(n), PACKED)
-    shared = shared.repartition(n, "route").mapInArrow(_regrouped, "key long, data binary")
-    found = dealt.join(shared.hint("shuffle_merge"), "key").mapInArrow(_cutter(anchor_buckets, buckets), "bucket int, text binary, sizes binary, part binary, keys binary, docs binary, places binary")
-    ranges = found.repartition(buckets, "bucket").mapInArrow(_removed(n), PACKED)
-    ranges = ranges.repartition(n, "route").mapInArrow(_regrouped, "key long, data binary")
+    anchors = mapped(rows.where("doc_id is not null").select("key", "text"), _anchors(anchor_buckets), "bucket int, keys binary, counts binary, hashes binary")
+    shared = mapped(anchors.repartition(anchor_buckets, "bucket"), _shared(n), PACKED)
+    shared = mapped(shared.repartition(n, "route"), _regrouped, "key long, data binary")
+    found = mapped(dealt.join(shared.hint("shuffle_merge"), "key"), _cutter(anchor_buckets, buckets), "bucket int, text binary, sizes binary, part binary, keys binary, docs binary, places binary")
+    ranges = mapped(found.repartition(buckets, "bucket"), _removed(n), PACKED)
+    ranges = mapped(ranges.repartition(n, "route"), _regrouped, "key long, data binary")
     schema = ", ".join(["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), COLUMNS])
-    out = dealt.join(ranges.hint("shuffle_merge"), "key", "left").mapInArrow(_finish(list(carry), with_text), schema)
+    out = mapped(dealt.join(ranges.hint("shuffle_merge"), "key", "left"), _finish(list(carry), with_text), schema)
     return out if with_text else out.drop("kept")

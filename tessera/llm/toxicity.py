@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, fold
+from .common import fold, mapped
 
 FOLDS, HELD_OUT, CUTOFF = 3, 1, 0.7
 BITS, PREFIX, LEAST_Z, LEAST_DOCS, MOST_FEATURES = 20, 4, 4.0, 4, 8192
@@ -163,13 +163,12 @@ def _calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """A machine from the labelled rows of the training fold: at most MAX_TOXIC + MAX_OTHER of them come to the driver."""
-    arrow_limits(docs.sparkSession)
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").distinct()
     known = known.where(fold("doc_id", FOLDS) != HELD_OUT)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionAll(known.where("toxic = 0").orderBy(*order).limit(MAX_OTHER))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = texts.select("toxic", "text", "doc_id").mapInArrow(_terms, "toxic int, doc_id long, terms array<int>").toArrow()
+    got = mapped(texts.select("toxic", "text", "doc_id"), _terms, "toxic int, doc_id long, terms array<int>").toArrow()
     toxic, ids = got.column("toxic").to_numpy().astype(float), got.column("doc_id").to_numpy()
     terms = [x for c in got.column("terms").chunks for x in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1]) if len(c)]
     del got
@@ -189,5 +188,5 @@ def _scorer(machine: Machine):
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
     machine = train(docs, labels)
-    scored = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(_scorer(machine), "doc_id long, score double, predicted int")
+    scored = mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), _scorer(machine), "doc_id long, score double, predicted int")
     return scored.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
