@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, discard, fold, fold_of, mapped, shuffle_partitions
+from .common import cut, discard, fold, fold_of, mapped, shuffle_partitions
 
 FOLDS, HELD_OUT = 7, 2
 HEAD, WIDTH, TAIL = 1536, 48, 48
@@ -57,23 +58,30 @@ def _unpack(flat: bytes, sizes: bytes) -> list[bytes]:
 BLOCK = "block long, docs array<long>, sizes array<long>, tokens binary, flat binary, widths binary, seen binary"
 
 
+def tokens_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words (END first), the number of each token, tokens of each text (words, then END)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))  # ascii_lower makes a fresh array of a slice
+    words = lists.flatten().cast(pa.binary())
+    real = np.asarray(pc.greater(pc.binary_length(words), 0))  # white space at an end gives an empty word
+    before = np.concatenate(([0], np.cumsum(real)))[lists.offsets.to_numpy()]
+    coded = words.filter(pa.array(real)).dictionary_encode()
+    tokens = np.zeros(len(coded) + len(texts), "<u4")
+    ends = before[1:] + np.arange(len(texts))
+    own = np.ones(len(tokens), bool)
+    own[ends] = False
+    tokens[own] = coded.indices.to_numpy() + 1
+    return [END, *coded.dictionary.to_pylist()], tokens, np.diff(before) + 1
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     for i, batch in enumerate(batches):
-        number: dict[bytes, int] = {END: 0}
-        docs, parts, train = batch.column(0).to_pylist(), [], []
-        for doc, text in zip(docs, batch.column(1), strict=True):
-            words = (text.as_py() or "").encode().translate(LOWER).split()
-            words.append(END)
-            parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), "<u4", len(words)))
-            train.append(fold_of(doc, FOLDS) not in (None, HELD_OUT))
-        if not parts:
-            continue
-        seen = np.zeros(len(number), np.int64)
-        if any(train):
-            seen += np.bincount(np.concatenate([p for p, t in zip(parts, train, strict=True) if t]), minlength=len(number))
-        flat, widths = _pack(list(number))
-        row = [[part << 32 | i], [docs], [[len(p) for p in parts]], [np.concatenate(parts).tobytes()], [flat], [widths], [seen.astype("<u4").tobytes()]]
+        docs = batch.column(0).to_pylist()
+        words, tokens, sizes = tokens_of(batch.column(1))
+        train = np.repeat([fold_of(doc, FOLDS) not in (None, HELD_OUT) for doc in docs], sizes)
+        seen = np.bincount(tokens[train], minlength=len(words))
+        flat, widths = _pack(words)
+        row = [[part << 32 | i], [docs], [sizes], [tokens.tobytes()], [flat], [widths], [seen.astype("<u4").tobytes()]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 4), strict=True)], names=[x.split()[0] for x in BLOCK.split(", ")])
 
 
@@ -179,7 +187,7 @@ def initial(vocabulary: Vocabulary, seed: int = SEED) -> dict[str, np.ndarray]:
     head[: len(vocabulary.head_counts)] = vocabulary.head_counts
     by_class[: vocabulary.bins] = head.reshape(bins.shape).sum(1)[: vocabulary.bins]
     by_class[vocabulary.bins :] = vocabulary.n_of + 1
-    return {
+    p = {
         "embed": draw(vocabulary.inputs, EMBED),
         "in": draw(EMBED, 3 * HIDDEN) * 3,
         "state": draw(HIDDEN, 3 * HIDDEN) * 2,
@@ -189,6 +197,7 @@ def initial(vocabulary: Vocabulary, seed: int = SEED) -> dict[str, np.ndarray]:
         "word": draw(*bins.shape[:1], HIDDEN, WIDTH) * 0.1,
         "word_bias": (mass - mass.max()).reshape(bins.shape).astype(np.float32),
     }
+    return views(flat_of(p), p)
 
 
 def input_table(p: dict) -> np.ndarray:
@@ -228,30 +237,36 @@ def _forward(p: dict, table: np.ndarray, inputs: np.ndarray, fresh: np.ndarray,
     return states, h, saved
 
 
-def _exp_sum(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(x), in place, and its row sums. Biases are at most 0 and states within 1, so nothing overflows."""
-    np.minimum(x, 80, out=x)
+def _exp_sum(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(states @ weights + bias) and its row sums. Biases are at most 0 and states within 1, so most weights can't overflow."""
+    x = states @ weights
+    x += bias
+    if float(np.abs(weights).sum(0).max(initial=0)) + float(bias.max(initial=0)) > 80:
+        np.minimum(x, 80, out=x)
     np.exp(x, out=x)
-    return x, x.sum(1)
+    return x, x @ np.ones(x.shape[1], x.dtype)
 
 
-def _by_bin(classes: np.ndarray, bins: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
-    edge = np.searchsorted(classes[order], np.arange(bins + 1))
-    for k in range(bins):
-        if edge[k] < edge[k + 1]:
-            yield k, order[edge[k] : edge[k + 1]]
+def _by_bin(classes: np.ndarray, bins: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows in order of their class, and (bin, first, end) of each bin of head words in that order."""
+    order = np.argsort(classes.astype(np.uint16), kind="stable")
+    edge = np.searchsorted(classes[order], np.arange(bins + 1)).tolist()
+    return order, [(k, edge[k], edge[k + 1]) for k in range(bins) if edge[k] < edge[k + 1]]
 
 
 def log_probabilities(p: dict, bins: int, states: np.ndarray, classes: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Natural log of P(class) and, in the head, P(word | class), for each row of states."""
     out = np.empty(len(states))
-    for a in range(0, len(states), 8192):
-        e, total = _exp_sum(states[a : a + 8192] @ p["class"] + p["class_bias"])
-        out[a : a + 8192] = np.log(np.maximum(e[np.arange(len(e)), classes[a : a + 8192]] / total, 1e-30))
-    for k, at in _by_bin(classes, bins):
-        e, total = _exp_sum(states[at] @ p["word"][k] + p["word_bias"][k])
-        out[at] += np.log(np.maximum(e[np.arange(len(at)), places[at]] / total, 1e-30))
+    for a in range(0, len(states), 2048):
+        e, total = _exp_sum(states[a : a + 2048], p["class"], p["class_bias"])
+        out[a : a + 2048] = np.log(np.maximum(e[np.arange(len(e)), classes[a : a + 2048]] / total, 1e-30))
+    order, runs = _by_bin(classes, bins)
+    order = order[: runs[-1][2] if runs else 0]
+    rows, place, inside = states[order], places[order], np.empty(len(order), states.dtype)
+    for k, a, b in runs:
+        e, total = _exp_sum(rows[a:b], p["word"][k], p["word_bias"][k])
+        inside[a:b] = e[np.arange(b - a), place[a:b]] / total
+    out[order] += np.log(np.maximum(inside, 1e-30))
     return out
 
 
@@ -261,21 +276,25 @@ def _gradients(p: dict, bins: int, table: np.ndarray, inputs: np.ndarray, fresh:
     states, last, saved = _forward(p, table, inputs, fresh, h, True)
     flat, on = states.reshape(-1, HIDDEN), np.flatnonzero(live.ravel())
     rows, k, place = flat[on], classes.ravel()[on], places.ravel()[on]
-    g = {name: np.zeros_like(v) for name, v in p.items()}
+    g = views(np.zeros(sum(v.size for v in p.values()), flat.dtype), p)
     scale = flat.dtype.type(1.0 / max(1, len(on)))
-    d, total = _exp_sum(rows @ p["class"] + p["class_bias"])
+    d, total = _exp_sum(rows, p["class"], p["class_bias"])
     d *= (scale / total)[:, None]
     d[np.arange(len(k)), k] -= scale
-    g["class"], g["class_bias"] = rows.T @ d, d.sum(0)
+    np.matmul(rows.T, d, out=g["class"])
+    g["class_bias"][:] = np.ones(len(d), d.dtype) @ d
     back = d @ p["class"].T
-    for b, at in _by_bin(k, bins):
-        own = rows[at]
-        e, total = _exp_sum(own @ p["word"][b] + p["word_bias"][b])
+    order, runs = _by_bin(k, bins)
+    order = order[: runs[-1][2] if runs else 0]
+    rows, place, inner = rows[order], place[order], np.empty((len(order), HIDDEN), flat.dtype)
+    for b, i, j in runs:
+        e, total = _exp_sum(rows[i:j], p["word"][b], p["word_bias"][b])
         e *= (scale / total)[:, None]
-        e[np.arange(len(at)), place[at]] -= scale
-        g["word"][b] = own.T @ e
+        e[np.arange(j - i), place[i:j]] -= scale
+        np.matmul(rows[i:j].T, e, out=g["word"][b])
         g["word_bias"][b] = e.sum(0)
-        back[at] += e @ p["word"][b].T
+        np.matmul(e, p["word"][b].T, out=inner[i:j])
+    back[order] += inner
     dh_out = np.zeros_like(flat)
     dh_out[on] = back
     dh_out = dh_out.reshape(states.shape)
@@ -300,32 +319,52 @@ def _gradients(p: dict, bins: int, table: np.ndarray, inputs: np.ndarray, fresh:
     flat_dx = dx.reshape(-1, 3 * HIDDEN)
     g["state"][:, : 2 * HIDDEN] = before.reshape(-1, HIDDEN).T @ flat_dx[:, : 2 * HIDDEN]
     g["state"][:, 2 * HIDDEN :] = rh.reshape(-1, HIDDEN).T @ flat_dx[:, 2 * HIDDEN :]
-    g["bias"] = flat_dx.sum(0)
-    order = np.argsort(inputs.ravel(), kind="stable")
+    g["bias"][:] = np.ones(len(flat_dx), flat_dx.dtype) @ flat_dx
+    order = np.argsort((inputs.ravel() + 1).astype(np.uint16), kind="stable")  # at most HEAD + TAIL inputs
     number = inputs.ravel()[order]
     edge = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
     used, summed = number[edge], np.add.reduceat(flat_dx[order], edge, axis=0)
     if used[0] < 0:
         used, summed = used[1:], summed[1:]
-    g["in"] = p["embed"][used].T @ summed
+    np.matmul(p["embed"][used].T, summed, out=g["in"])
     g["embed"][used] = summed @ p["in"].T
     return g, last
 
 
+def views(flat: np.ndarray, like: dict) -> dict:
+    """Arrays shaped as in `like` over one flat array, by name."""
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
+def flat_of(p: dict) -> np.ndarray:
+    """The flat array under `views`."""
+    return np.concatenate([p[k].ravel() for k in sorted(p)])
+
+
 class Adam:
+    """Steps over weights p that are views of one flat array."""
+
     def __init__(self, p: dict, rate: float = RATE):
-        self.m, self.v, self.t, self.rate = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0, rate
+        flat = next(iter(p.values())).base
+        self.flat, self.m, self.v, self.t, self.rate = flat, np.zeros_like(flat), np.zeros_like(flat), 0, rate
 
-    def step(self, p: dict, g: dict) -> None:
+    def step(self, g: dict) -> None:
         self.t += 1
-        norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
-        shrink = np.float32(min(1.0, CLIP / (norm + 1e-9)))
+        x = next(iter(g.values())).base
+        x *= np.float32(min(1.0, CLIP / (float(np.sqrt(x @ x)) + 1e-9)))
         rate = np.float32(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
-        for k in p:
-            x = g[k] * shrink
-            self.m[k] += np.float32(0.1) * (x - self.m[k])
-            self.v[k] += np.float32(0.001) * (x * x - self.v[k])
-            p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
+        self.m += np.float32(0.1) * (x - self.m)
+        x *= x
+        self.v += np.float32(0.001) * (x - self.v)
+        np.sqrt(self.v, out=x)
+        x += np.float32(1e-8)
+        np.divide(self.m, x, out=x)
+        x *= rate
+        self.flat -= x
 
 
 def lanes_of(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -394,41 +433,38 @@ def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def train_block(p: dict, adam: Adam, vocabulary: Vocabulary, row: dict, part: int) -> int:
     """One pass of truncated backpropagation over the block's training documents of this part; returns its tokens."""
-    tokens, sizes, numbers = _arrays(row)
-    chosen = np.array([i for i, d in enumerate(row["docs"]) if fold_of(d, FOLDS) not in (None, HELD_OUT) and zlib.crc32(f"part {d}".encode()) % PARTS == part], np.int64)
-    if not len(chosen):
+    chosen = np.array([fold_of(d, FOLDS) not in (None, HELD_OUT) and zlib.crc32(f"part {d}".encode()) % PARTS == part for d in row["docs"]], bool)
+    if not chosen.any():
         return 0
-    inputs = numbers[tokens]
+    tokens, sizes, numbers = _arrays(row)
+    inputs = numbers[tokens[np.repeat(chosen, sizes)]]
+    sizes = sizes[chosen]
     classes, places = vocabulary.classes_of(inputs)
-    begin = (np.cumsum(sizes) - sizes)[chosen]
-    cuts = -(-sizes[chosen] // SPAN)
+    begin = np.cumsum(sizes) - sizes
+    cuts = -(-sizes // SPAN)
     inner = (np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * SPAN
     first = np.repeat(begin, cuts) + inner
     h = np.zeros((LANES, HIDDEN), np.float32)
-    for here, start, before in windows(first, np.minimum(SPAN, np.repeat(sizes[chosen], cuts) - inner), LANES, inputs):
+    for here, start, before in windows(first, np.minimum(SPAN, np.repeat(sizes, cuts) - inner), LANES, inputs):
         live = here >= 0
         where = np.maximum(here, 0)
         h = h[: here.shape[1]]
         g, h = _gradients(p, vocabulary.bins, input_table(p), before, start, h, classes[where], places[where], live)
-        adam.step(p, g)
-    return int(sizes[chosen].sum())
+        adam.step(g)
+    return len(inputs)
 
 
 def _dump(p: dict) -> bytes:
-    return b"".join(p[k].astype("<f4").tobytes() for k in sorted(p))
+    return flat_of(p).astype("<f4").tobytes()
 
 
 def _load(raw: bytes, like: dict) -> dict:
-    out, flat, at = {}, np.frombuffer(raw, "<f4"), 0
-    for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).copy()
-        at += like[k].size
-    return out
+    return views(np.frombuffer(raw, "<f4").copy(), like)
 
 
 def _trainer(vocabulary: Vocabulary, weights: dict, part: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, n = {k: v.copy() for k, v in weights.items()}, 0
+        p, n = views(flat_of(weights), weights), 0
         adam = Adam(p, rate)
         for batch in batches:
             for row in batch.to_pylist():
@@ -504,7 +540,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    blocks = cut(mapped(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), _blocks, BLOCK), "blocks")
+    blocks = cut(mapped(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), _blocks, BLOCK), "blocks")
     # from here on a row is a block
     asked = mapped(blocks.select("block", "flat", "widths", "seen"), _ask(n), "bucket int, block long, places binary, flat binary, widths binary, seen binary")
     answers = cut(mapped(asked.repartition(n, "bucket"), _answer, ANSWER), "answers")
