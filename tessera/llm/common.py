@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +74,18 @@ def mapped(df: DataFrame, function: Callable, schema, rows: int = BATCH_ROWS) ->
     return df.mapInArrow(lambda batches: function(sliced(batches, rows)), schema)
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Smaller Arrow batches for the jobs that run inside; the session's setting comes back after them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

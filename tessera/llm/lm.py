@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, fold, fold_of, mapped, shuffle_partitions
+from .common import batch_bytes, cut, discard, fold, fold_of, mapped, shuffle_partitions
 
 FOLDS, HELD_OUT = 7, 2
 HEAD, WIDTH, TAIL = 1536, 48, 48
@@ -209,7 +209,7 @@ def _forward(p: dict, table: np.ndarray, inputs: np.ndarray, fresh: np.ndarray,
     """States before each token of a window (steps, lanes, hidden). inputs[t] is the token before, -1 where a text begins (fresh)."""
     steps, lanes = inputs.shape
     states = np.empty((steps, lanes, HIDDEN), h.dtype)
-    saved = []
+    before, reset = (np.empty_like(states), np.empty_like(states)) if keep else (None, None)
     u, u2 = -p["state"][:, : 2 * HIDDEN], p["state"][:, 2 * HIDDEN :].copy()
     any_fresh = fresh.any(1).tolist()
     x = table[inputs]  # of all steps at once; the gates are kept negated up to their exp
@@ -232,16 +232,21 @@ def _forward(p: dict, table: np.ndarray, inputs: np.ndarray, fresh: np.ndarray,
         new *= z
         new += h
         if keep:
-            saved.append((h, z, r, rh, c))
+            before[t], reset[t] = h, rh
         h = new
-    return states, h, saved
+    return states, h, (before, every_gate[..., :HIDDEN], every_gate[..., HIDDEN:], reset, every_c)
 
 
-def _exp_sum(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(states @ weights + bias) and its row sums. Biases are at most 0 and states within 1, so most weights can't overflow."""
+def _large(p: dict) -> bool:
+    """Whether exp of an output may overflow; states are within 1."""
+    return any(float(np.abs(p[k]).sum(-2).max(initial=0) + p[k + "_bias"].max(initial=0)) > 80 for k in ("class", "word"))
+
+
+def _exp_sum(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray]:
+    """exp(states @ weights + bias) and its row sums."""
     x = states @ weights
     x += bias
-    if float(np.abs(weights).sum(0).max(initial=0)) + float(bias.max(initial=0)) > 80:
+    if large:
         np.minimum(x, 80, out=x)
     np.exp(x, out=x)
     return x, x @ np.ones(x.shape[1], x.dtype)
@@ -256,15 +261,15 @@ def _by_bin(classes: np.ndarray, bins: int) -> tuple[np.ndarray, list[tuple[int,
 
 def log_probabilities(p: dict, bins: int, states: np.ndarray, classes: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Natural log of P(class) and, in the head, P(word | class), for each row of states."""
-    out = np.empty(len(states))
+    out, large = np.empty(len(states)), _large(p)
     for a in range(0, len(states), 2048):
-        e, total = _exp_sum(states[a : a + 2048], p["class"], p["class_bias"])
+        e, total = _exp_sum(states[a : a + 2048], p["class"], p["class_bias"], large)
         out[a : a + 2048] = np.log(np.maximum(e[np.arange(len(e)), classes[a : a + 2048]] / total, 1e-30))
     order, runs = _by_bin(classes, bins)
     order = order[: runs[-1][2] if runs else 0]
     rows, place, inside = states[order], places[order], np.empty(len(order), states.dtype)
     for k, a, b in runs:
-        e, total = _exp_sum(rows[a:b], p["word"][k], p["word_bias"][k])
+        e, total = _exp_sum(rows[a:b], p["word"][k], p["word_bias"][k], large)
         inside[a:b] = e[np.arange(b - a), place[a:b]] / total
     out[order] += np.log(np.maximum(inside, 1e-30))
     return out
@@ -278,7 +283,8 @@ def _gradients(p: dict, bins: int, table: np.ndarray, inputs: np.ndarray, fresh:
     rows, k, place = flat[on], classes.ravel()[on], places.ravel()[on]
     g = views(np.zeros(sum(v.size for v in p.values()), flat.dtype), p)
     scale = flat.dtype.type(1.0 / max(1, len(on)))
-    d, total = _exp_sum(rows, p["class"], p["class_bias"])
+    large = _large(p)
+    d, total = _exp_sum(rows, p["class"], p["class_bias"], large)
     d *= (scale / total)[:, None]
     d[np.arange(len(k)), k] -= scale
     np.matmul(rows.T, d, out=g["class"])
@@ -288,7 +294,7 @@ def _gradients(p: dict, bins: int, table: np.ndarray, inputs: np.ndarray, fresh:
     order = order[: runs[-1][2] if runs else 0]
     rows, place, inner = rows[order], place[order], np.empty((len(order), HIDDEN), flat.dtype)
     for b, i, j in runs:
-        e, total = _exp_sum(rows[i:j], p["word"][b], p["word_bias"][b])
+        e, total = _exp_sum(rows[i:j], p["word"][b], p["word_bias"][b], large)
         e *= (scale / total)[:, None]
         e[np.arange(j - i), place[i:j]] -= scale
         np.matmul(rows[i:j].T, e, out=g["word"][b])
@@ -301,7 +307,7 @@ def _gradients(p: dict, bins: int, table: np.ndarray, inputs: np.ndarray, fresh:
     dh = np.zeros((lanes, HIDDEN), flat.dtype)
     dx = np.empty((steps, lanes, 3 * HIDDEN), flat.dtype)
     ut, u2t = p["state"][:, : 2 * HIDDEN].T.copy(), p["state"][:, 2 * HIDDEN :].T.copy()
-    before, z, r, rh, c = (np.stack(x) for x in zip(*saved, strict=True))
+    before, z, r, rh, c = saved
     rest = 1 - z
     by_c, by_z, by_r = z * (1 - c * c), (c - before) * z * rest, before * r * (1 - r)
     for t in reversed(range(steps)):
@@ -320,14 +326,14 @@ def _gradients(p: dict, bins: int, table: np.ndarray, inputs: np.ndarray, fresh:
     g["state"][:, : 2 * HIDDEN] = before.reshape(-1, HIDDEN).T @ flat_dx[:, : 2 * HIDDEN]
     g["state"][:, 2 * HIDDEN :] = rh.reshape(-1, HIDDEN).T @ flat_dx[:, 2 * HIDDEN :]
     g["bias"][:] = np.ones(len(flat_dx), flat_dx.dtype) @ flat_dx
-    order = np.argsort((inputs.ravel() + 1).astype(np.uint16), kind="stable")  # at most HEAD + TAIL inputs
-    number = inputs.ravel()[order]
-    edge = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
-    used, summed = number[edge], np.add.reduceat(flat_dx[order], edge, axis=0)
-    if used[0] < 0:
-        used, summed = used[1:], summed[1:]
-    np.matmul(p["embed"][used].T, summed, out=g["in"])
-    g["embed"][used] = summed @ p["in"].T
+    number = inputs.ravel()
+    some = np.flatnonzero(number >= 0)
+    order = some[np.argsort(number[some].astype(np.uint16), kind="stable")]  # at most HEAD + TAIL inputs
+    number = number[order]
+    edge = np.flatnonzero(np.concatenate((number[:1] >= 0, number[1:] != number[:-1])))
+    np.matmul(p["embed"][number].T, flat_dx[order], out=g["in"])
+    if len(edge):
+        g["embed"][number[edge]] = np.add.reduceat((flat_dx @ p["in"].T)[order], edge, axis=0)
     return g, last
 
 
@@ -539,26 +545,27 @@ def _scorer(vocabulary: Vocabulary, weights: dict):
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    blocks = cut(mapped(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), _blocks, BLOCK), "blocks")
-    # from here on a row is a block
-    asked = mapped(blocks.select("block", "flat", "widths", "seen"), _ask(n), "bucket int, block long, places binary, flat binary, widths binary, seen binary")
-    answers = cut(mapped(asked.repartition(n, "bucket"), _answer, ANSWER), "answers")
-    head = [(bytes(r[0]), r[1]) for r in answers.where("word is not null").select("word", "total").orderBy(F.desc("total"), "word").limit(HEAD).collect()]
-    sums = {r[0]: (r[1], r[2]) for r in answers.where("class is not null").groupBy("class").agg(F.sum("n"), F.sum("v")).collect()}
-    n_of, v_of = (np.array([sums.get(k, (0, 0))[i] for k in range(TAIL)], np.int64) for i in (0, 1))
-    vocabulary = Vocabulary(head, n_of, v_of)
-    back = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("places", "counts")).alias("answers"))
-    encoded = cut(mapped(blocks.drop("seen").join(back, "block"), _encoder(vocabulary), ENCODED), "encoded")
-    discard(blocks, answers)
-    weights = initial(vocabulary)
-    for part in range(ROUNDS if vocabulary.train_tokens else 0):
-        own = mapped(encoded.drop("counts"), _trainer(vocabulary, weights, part, RATE / (1 + part)), "n long, weights binary")
-        few = list(mapped(own.repartition(8), _mean, "n long, weights binary").toLocalIterator())
-        total = sum(r[0] for r in few)
-        if total:
-            mean = sum(np.frombuffer(bytes(r[1]), "<f4").astype(np.float64) * (r[0] / total) for r in few)
-            weights = _load(mean.astype("<f4").tobytes(), weights)
+    with batch_bytes(spark):
+        n = shuffle_partitions(spark)
+        blocks = cut(mapped(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), _blocks, BLOCK), "blocks")
+        # from here on a row is a block
+        asked = mapped(blocks.select("block", "flat", "widths", "seen"), _ask(n), "bucket int, block long, places binary, flat binary, widths binary, seen binary")
+        answers = cut(mapped(asked.repartition(n, "bucket"), _answer, ANSWER), "answers")
+        head = [(bytes(r[0]), r[1]) for r in answers.where("word is not null").select("word", "total").orderBy(F.desc("total"), "word").limit(HEAD).collect()]
+        sums = {r[0]: (r[1], r[2]) for r in answers.where("class is not null").groupBy("class").agg(F.sum("n"), F.sum("v")).collect()}
+        n_of, v_of = (np.array([sums.get(k, (0, 0))[i] for k in range(TAIL)], np.int64) for i in (0, 1))
+        vocabulary = Vocabulary(head, n_of, v_of)
+        back = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("places", "counts")).alias("answers"))
+        encoded = cut(mapped(blocks.drop("seen").join(back, "block"), _encoder(vocabulary), ENCODED), "encoded")
+        discard(blocks, answers)
+        weights = initial(vocabulary)
+        for part in range(ROUNDS if vocabulary.train_tokens else 0):
+            own = mapped(encoded.drop("counts"), _trainer(vocabulary, weights, part, RATE / (1 + part)), "n long, weights binary")
+            few = list(mapped(own.repartition(8), _mean, "n long, weights binary").toLocalIterator())
+            total = sum(r[0] for r in few)
+            if total:
+                mean = sum(np.frombuffer(bytes(r[1]), "<f4").astype(np.float64) * (r[0] / total) for r in few)
+                weights = _load(mean.astype("<f4").tobytes(), weights)
     scored = mapped(encoded, _scorer(vocabulary, weights), RESULT)
     held = fold("doc_id", FOLDS) == HELD_OUT
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
