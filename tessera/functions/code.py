@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -77,7 +78,9 @@ PATTERNS: dict[str, dict[str, tuple[str, ...]]] = {
     "css": {"import": (r"""@import\s+(?:url\s*\(\s*)?['"]?([^'"\s)]+)['"]?""",), "class": (r"\.([\w-]+)\s*\{",), "function": (), "interface": ()},
     "generic": {"import": (r"""(?:import|include|require|use)\s+['"]?([^\s'"<>]+)['"]?""",), "class": (r"(?:class|interface|struct|type)\s+(\w+)",), "function": (r"(?:function|def|fn|func|method|fun)\s+(\w+)",), "interface": ()},
 }
-MOST_FUNCTIONS = 50
+# Words that function patterns catch but that name nothing; function matches of a file that count.
+NOISE = ("if", "for", "while", "return", "new", "delete", "const", "let", "var")
+MOST_FUNCTIONS = 51
 
 
 def suffix(path: Column) -> Column:
@@ -90,50 +93,107 @@ def language(path: Column) -> Column:
     return reduce(lambda c, kv: c.when(s.isin(*kv[1]), kv[0]), LANGUAGES.items(), F).otherwise("generic")
 
 
-def symbols(content: Column, lang: Column) -> Column:
-    """array<struct<kind, name>>: distinct names of each kind, functions at most MOST_FUNCTIONS, names cut at 80 characters, imports at 200."""
+def _by_language(lang: Column, of) -> Column:
+    named = [k for k in PATTERNS if k != "generic"]
+    return reduce(lambda c, k: c.when(lang == k, of(PATTERNS[k])), named[1:], F.when(lang == named[0], of(PATTERNS[named[0]]))).otherwise(of(PATTERNS["generic"]))
+
+
+def definitions(content: Column, lang: Column) -> Column:
+    """array<struct<kind, name, base>> of each match, classes first, then interfaces, then functions: names of at most 80 characters,
+    functions without noise words and only the first MOST_FUNCTIONS. base: what a class extends, empty if nothing."""
+
+    def matches(kind: str, pattern: str) -> Column:
+        get = lambda g: F.regexp_extract_all(content, F.lit(pattern), F.lit(g))
+        base = get(2) if re.compile(pattern).groups > 1 and kind == "class" else None
+        pairs = F.arrays_zip(get(1).alias("n"), base.alias("b")) if base is not None else F.transform(get(1), lambda n: F.struct(n.alias("n"), F.lit("").alias("b")))
+        return F.transform(pairs, lambda x: F.struct(F.lit(kind).alias("kind"), x["n"].alias("name"), x["b"].alias("base")))
 
     def of(kinds: dict[str, tuple[str, ...]]) -> Column:
         parts = []
-        for kind, patterns in kinds.items():
-            if not patterns:
-                continue
-            found = F.array_distinct(F.concat(*[F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in patterns]))
-            found = F.slice(found, 1, MOST_FUNCTIONS) if kind == "function" else found
-            cut = 200 if kind == "import" else 80
-            parts.append(F.transform(found, _named(kind, cut)))
-        return F.concat(*parts)
+        for kind in ("class", "interface", "function"):
+            if kinds[kind]:
+                found = F.concat(*[matches(kind, p) for p in kinds[kind]])
+                fine = F.filter(found, lambda x: (x["name"] != "") & (F.length(x["name"]) <= 80) & (~x["name"].isin(*NOISE) if kind == "function" else F.lit(True)))  # noqa: B023
+                parts.append(F.slice(fine, 1, MOST_FUNCTIONS) if kind == "function" else fine)
+        return F.concat(*parts) if parts else F.array().cast("array<struct<kind:string,name:string,base:string>>")
 
-    named = [k for k in PATTERNS if k != "generic"]
-    chosen = reduce(lambda c, k: c.when(lang == k, of(PATTERNS[k])), named[1:], F.when(lang == named[0], of(PATTERNS[named[0]])))
-    return chosen.otherwise(of(PATTERNS["generic"]))
+    return _by_language(lang, of)
+
+
+def imports(content: Column, lang: Column) -> Column:
+    """Distinct imports in the order of their patterns, of at most 200 characters."""
+    every = _by_language(lang, lambda kinds: F.concat(*[F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in kinds["import"]]))
+    return F.filter(F.array_distinct(every), lambda m: (m != "") & (F.length(m) <= 200))
+
+
+def symbols(content: Column, lang: Column) -> Column:
+    """array<struct<kind, name>>: distinct names of each kind, imports last."""
+    own = F.array_distinct(F.transform(definitions(content, lang), lambda d: F.struct(d["kind"].alias("kind"), d["name"].alias("name"))))
+    return F.concat(own, F.transform(imports(content, lang), lambda m: F.struct(F.lit("import").alias("kind"), m.alias("name"))))
+
+
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def stem(path: Column) -> Column:
+    """File name without its last suffix."""
+    return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*$", "")
 
 
-def _named(kind: str, most: int):
-    return lambda name: F.struct(F.lit(kind).alias("kind"), F.substring(name, 1, most).alias("name"))
+def folder(path: Column) -> Column:
+    """What stands before the last slash, empty if there is none."""
+    return F.regexp_replace(F.regexp_replace(path, r"[^/]*$", ""), "/$", "")
+
+
+def normal_path(path: Column) -> Column:
+    """The path without empty and "." steps, each ".." taking the step before it."""
+
+    def step(acc: Column, p: Column) -> Column:
+        return F.when(p.isin("", "."), acc).when((p == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
+
+    steps = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(path.startswith("/"), F.concat(F.lit("/"), steps)).otherwise(steps)
+
+
+def import_target(module: Column, path: Column) -> Column:
+    """Node id that an import of a file leads to: pkg:<package>, or a relative import joined to the importing file's folder."""
+    return F.when(module.startswith("."), normal_path(F.concat_ws("/", folder(path), module))).otherwise(package_of(module))
 
 
 def package_of(module: Column) -> Column:
     """pkg:<name> of a non-relative import (two parts of a scoped one), the path itself of a relative one."""
     parts = F.split(module, "/")
     scoped = module.startswith("@") & (F.size(parts) >= 2)
-    return F.when(module.startswith("."), module).when(scoped, F.concat(F.lit("pkg:"), parts[0], F.lit("/"), parts[1])).otherwise(F.concat(F.lit("pkg:"), parts[0]))
+    return F.when(module.startswith("."), module).when(scoped, F.concat(F.lit("pkg:"), parts[0], F.lit("/"), F.get(parts, F.lit(1)))).otherwise(F.concat(F.lit("pkg:"), parts[0]))
+
+
+# File names and imported packages that tell a layer, in order of precedence.
+CONFIG_NAMES = ("config.py", "settings.py", "constants.py", "env.py", "conf.py")
+LAYER_IMPORTS = {
+    "test": ("pytest", "unittest"),
+    "api": ("fastapi", "flask", "starlette", "aiohttp", "django", "sanic", "tornado", "falcon", "bottle", "quart"),
+    "ui": ("tkinter", "PyQt5", "PyQt6", "wx", "streamlit", "dash", "gradio", "panel", "bokeh", "kivy"),
+}
+
+
+def _is_test(name: Column) -> Column:
+    return name.startswith("test_") | name.endswith("_test.py")
 
 
 def layer(path: Column, imports: Column) -> Column:
     """Architectural layer of a Python file: by name (test, config), else by what it imports, else util."""
-    name = F.element_at(F.split(path, "/"), -1)
-    has = lambda *m: F.arrays_overlap(imports, F.array(*[F.lit(x) for x in m]))
-    return (
-        F.when(~F.lower(path).endswith(".py"), "unknown")
-        .when(name.startswith("test_") | name.endswith("_test.py"), "test")
-        .when(name.isin("config.py", "settings.py"), "config")
-        .when(has("pytest", "unittest"), "test")
-        .when(has("fastapi", "flask", "django", "starlette"), "api")
-        .when(has("streamlit", "tkinter", "PyQt5", "gradio"), "ui")
-        .when(has("sqlalchemy", "psycopg2", "sqlite3", "pymongo"), "db")
-        .otherwise("util")
-    )
+    top = F.transform(imports, lambda m: F.split(F.regexp_replace(m, r"^\.+", ""), r"\.")[0])
+    name = base_name(path)
+    out = F.when(~path.endswith(".py"), "unknown").when(_is_test(F.lower(name)), "test").when(name.isin(*CONFIG_NAMES), "config")
+    return reduce(lambda c, kv: c.when(F.arrays_overlap(top, F.array(*[F.lit(x) for x in kv[1]])), kv[0]), LAYER_IMPORTS.items(), out).otherwise("util")
+
+
+def layer_of_diff(diff: Column) -> Column:
+    """Layer by the first file name in a diff's headers that tells one, else util."""
+    heads = F.transform(F.regexp_extract_all(diff, F.lit(r"(?m)^(?:\+\+\+|---)[^\n]*?(\S+)[ \t]*$"), F.lit(1)), lambda p: F.lower(base_name(p)))
+    told = F.transform(heads, lambda n: F.when(_is_test(n), "test").when(n.isin(*CONFIG_NAMES), "config"))
+    return F.coalesce(F.get(F.filter(told, lambda x: x.isNotNull()), F.lit(0)), F.lit("util"))
 
 
 def added_imports(diff: Column) -> Column:

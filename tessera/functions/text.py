@@ -7,8 +7,16 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Question words that carry no meaning.
-STOP_WORDS = ("the", "and", "for", "are", "was", "what", "how", "why", "who", "does", "did", "this", "that", "with", "from", "where", "when", "which")
+# Words that carry no meaning in a question: as keywords, and in ranking.
+STOP_WORDS = (
+    "what", "who", "where", "when", "how", "why", "which", "does", "do", "is", "are", "was", "were", "the", "a", "an", "in", "on", "at", "to", "for", "of",
+    "with", "that", "this", "it", "its", "and", "or", "not", "can", "could", "would", "should", "all", "any", "there", "their", "they", "from", "about", "into",
+    "through", "between", "being", "been",
+)
+RANKING_STOP_WORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "in", "on", "at", "to", "of", "and", "or", "how", "does", "what", "where", "which", "do", "connect", "connects",
+    "use", "uses", "with",
+)
 
 
 def tokens(text: Column) -> Column:
@@ -17,7 +25,14 @@ def tokens(text: Column) -> Column:
 
 
 def keywords(text: Column) -> Column:
-    return F.filter(tokens(text), lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS))
+    """Words of a question that begin with a letter, have three letters or more and mean something; lower case, repeats included."""
+    words = F.transform(F.regexp_extract_all(text, F.lit("[a-zA-Z_][a-zA-Z0-9_]*"), F.lit(0)), lambda w: F.lower(w))
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS))
+
+
+def ranking_terms(text: Column) -> Column:
+    """Words for ranking: of two letters or more, without stop words."""
+    return F.filter(tokens(text), lambda w: (F.length(w) > 1) & ~w.isin(*RANKING_STOP_WORDS))
 
 
 def token_estimate(text: Column) -> Column:
@@ -63,12 +78,19 @@ def scrub(text: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Colu
 
 
 def rule_counts(text: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:
-    """array<struct<rule, n>>: matches of each rule in the text as it stands at that rule."""
-    out, now = [], text
-    for name, pattern, replacement in rules:
-        out.append(F.struct(F.lit(name).alias("rule"), F.regexp_count(now, F.lit(pattern)).cast("long").alias("n")))
-        now = F.regexp_replace(now, pattern, replacement)
-    return F.array(*out)
+    """array<struct<rule, n>>: matches of each rule in the text as it stands at that rule; each stage of the text is worked out once."""
+    state = F.array(F.struct(text.alias("now"), F.array().cast("array<struct<rule:string,n:bigint>>").alias("out")))
+
+    def applied(name: str, pattern: str, replacement: str):
+        def one(s: Column) -> Column:
+            n = F.struct(F.lit(name).alias("rule"), F.regexp_count(s["now"], F.lit(pattern)).cast("long").alias("n"))
+            return F.struct(F.regexp_replace(s["now"], pattern, replacement).alias("now"), F.concat(s["out"], F.array(n)).alias("out"))
+
+        return one
+
+    for rule in rules:
+        state = F.transform(state, applied(*rule))
+    return state[0]["out"]
 
 
 def has_secrets(text: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:
@@ -85,40 +107,128 @@ def collapse_blank(text: Column) -> Column:
 
 
 def strip_badges(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?m)^\s*\[?!\[[^\]]*\]\([^)]*\)(?:\]\([^)]*\))?[ \t]*\n?", "")
+    """Without lines that are a badge image."""
+    kinds = "Build|CI|Tests?|Coverage|Version|License|NPM|PyPI|Downloads?|Stars?|Issues?|PRs?|codecov|GitHub"
+    return F.regexp_replace(text, rf"(?im)^\[?!\[(?:{kinds})[^\]]*\]\([^)]+\)\]?(?:\([^)]+\))?\s*\n", "")
 
 
 def strip_install(text: Column) -> Column:
-    """Drops an installation section up to the next heading."""
-    return F.regexp_replace(text, r"(?ims)^#{1,3}[ \t]+install(?:ation|ing)?\b.*?(?=^#{1,3}[ \t]|\z)", "")
+    """Without sections on installing and starting, each up to the next heading."""
+    return F.regexp_replace(text, r"(?im)^#{1,3}\s*(?:Installation|Install|Getting Started|Quick Start)\b[^\n]*\n(?:(?!^#)[^\n]*\n)*", "")
+
+
+# What a licence header looks like: comment blocks, docstrings, comment lines.
+LICENSES = (
+    r"(?im)^/\*[\s\S]*?(?:MIT License|Apache License|GNU General|SPDX)[\s\S]*?\*/\s*",
+    r'(?im)^"""[\s\S]*?(?:MIT License|Apache License|GNU General|Copyright)[\s\S]*?"""\s*',
+    r"(?im)^\'\'\'[\s\S]*?(?:MIT License|Apache License|GNU General|Copyright)[\s\S]*?\'\'\'\s*",
+    r"(?im)^(?:#|//|<!--).*?(?:Copyright|License|SPDX).*\n(?:(?:#|//|<!--).*\n)*",
+)
 
 
 def strip_license(text: Column) -> Column:
-    """Drops a leading block comment or comment lines that speak of a licence or copyright."""
-    block = F.regexp_replace(text, r"(?is)\A\s*/\*(?:(?!\*/).)*?(?:copyright|licen[cs]e)(?:(?!\*/).)*\*/\s*", "")
-    return F.regexp_replace(block, r"(?i)\A(?:[ \t]*(?:#|//)[^\n]*\n)*?[ \t]*(?:#|//)[^\n]*(?:copyright|licen[cs]e)[^\n]*\n(?:[ \t]*(?:#|//)[^\n]*\n)*", "")
+    return F.regexp_replace(reduce(lambda t, p: F.regexp_replace(t, p, ""), LICENSES, text), r"\A\n+", "")
+
+
+def _rewritten(text: Column, block: str, one) -> Column:
+    """The text with each match of `block` put through `one`: gaps and matches are zipped together again."""
+    both = F.struct(F.split(text, block, -1).alias("g"), F.regexp_extract_all(text, F.lit(block), F.lit(0)).alias("m"))
+    joined = lambda x: F.array_join(F.transform(x["g"], lambda g, i: F.concat(g, F.when(i < F.size(x["m"]), one(F.get(x["m"], i))).otherwise(""))), "")
+    return F.transform(F.array(both), joined)[0]
+
+
+def compress_imports(text: Column) -> Column:
+    """Each block of import lines (Python, then JavaScript) as one comment with the first eight distinct names."""
+
+    def line(mark: str, name: str):
+        def one(block: Column) -> Column:
+            names = F.regexp_extract_all(block, F.lit(name), F.lit(1))
+            more = F.when(F.size(names) > 8, ", ...").otherwise("")
+            return F.concat(F.lit(f"{mark} imports: "), F.array_join(F.slice(F.array_distinct(names), 1, 8), ", "), more, F.lit("\n"))
+
+        return one
+
+    python = _rewritten(text, r"(?m)(?:^(?:import|from)\s+\S+[^\n]*\n)+", line("#", r"(?:import|from)\s+(\w+)"))
+    return _rewritten(python, r"""(?m)(?:^import\s+.*?from\s+['"][^'"]+['"]\s*;?\s*\n)+""", line("//", r"""from\s+['"]([^'"]+)['"]"""))
+
+
+def strip_redundant_comments(text: Column) -> Column:
+    """Without comment lines that begin with a plain verb and stand over a line, as deep, that does just that."""
+    verbs = "increment|decrement|return|set|get|call|check|add|remove|create|delete|update|loop|iterate|print|log"
+    return F.regexp_replace(text, rf"(?im)^([ \t]*)#\s*(?:{verbs})\b[^\n]*\n(?=\1(?:return|counter|result|self\.|[a-z_]+\s*[+\-*]=|print|log)\b)", "")
+
+
+_DEFINITION = r"(?:def|class)\s+\w+[^\n]*:\n(?:[ \t]+(?!def |class )[^\n]*\n)*"
+_BODY = r"((?:export\s+)?(?:async\s+)?(?:function|class|const\s+\w+\s*=\s*(?:async\s+)?(?:function|\())[^\n]*?)\s*\{[^{}]*(?:\{[^{}]*\}[^{}]*)?\}"
+
+
+def signatures_only(text: Column) -> Column:
+    """Definitions without their bodies: Python keeps the head and at most 200 characters of a docstring, JavaScript the head."""
+
+    def head(block: Column) -> Column:
+        first = F.concat(F.substring_index(block, "\n", 1), F.lit("\n"))
+        doc = F.regexp_extract(block, r'(?s)\A[^\n]*\n[ \t]+"""(.*?)"""', 1)
+        has = block.rlike(r'(?s)\A[^\n]*\n[ \t]+""".*?"""')
+        return F.concat(first, F.when(has, F.concat(F.lit('    """'), F.substring(doc, 1, 200), F.lit('"""\n'))).otherwise("    ...\n"))
+
+    script = F.when(text.rlike(r"\bfunction\b|\bclass\b"), F.regexp_replace(text, _BODY, r"$1 { ... }")).otherwise(text)
+    return F.when(text.rlike(r"(?m)^(?:def |class )"), _rewritten(text, _DEFINITION, head)).otherwise(script)
 
 
 def repeated_lines_removed(text: Column, times: int = 3, longest: int = 80) -> Column:
-    """Without short, non-blank lines that occur `times` times or more."""
+    """Without short, non-blank lines that occur `times` times or more. Sorted, a line's repeats are neighbours, so the cost is that of
+    a sort, not of all pairs."""
 
     def rare(lines: Column) -> Column:
-        counts = lambda x: F.size(F.filter(lines, lambda y: y == x))
-        often = F.filter(F.array_distinct(lines), lambda x: (F.length(x) < longest) & (F.trim(x) != "") & (counts(x) >= times))
-        return F.array_join(F.filter(lines, lambda x: ~F.array_contains(often, x)), "\n")
+        short = F.array_sort(F.filter(lines, lambda x: (F.length(F.trim(x)) < longest) & (F.trim(x) != "")))
+
+        def often(s: Column) -> Column:
+            return F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i + times - 1)))
+
+        return F.transform(F.array(F.transform(F.array(short), often)[0]), lambda noise: F.array_join(F.filter(lines, lambda x: ~F.array_contains(noise, x)), "\n"))[0]
 
     return F.transform(F.array(F.split(text, "\n")), rare)[0]
 
 
-def compressed(text: Column) -> Column:
-    """The document pipeline: licence header, badges, install section, line ends, blank lines."""
-    return F.trim(collapse_blank(strip_line_ends(strip_install(strip_badges(strip_license(text))))))
+# Suffixes whose texts are compressed as code and as documents; above so many characters code keeps signatures only.
+CODE_SUFFIXES = ("py", "ts", "tsx", "js", "jsx", "go", "rs", "java", "kt", "swift", "dart", "vue", "rb", "php", "cs", "cpp", "c", "h")
+DOCUMENT_SUFFIXES = ("md", "rst", "txt", "mdx")
+LONG_CODE = 20_000
+
+
+def compressed(text: Column, path: Column | None = None, aggressive: bool = False) -> Column:
+    """A text without what a model needn't read, by the file's suffix: licence header and line ends for all; import blocks and redundant
+    comments (and bodies of long files) for code; badges, install sections and blank lines for documents; repeated lines for pdf."""
+    base = strip_line_ends(strip_license(text))
+    if path is None:
+        return collapse_blank(strip_install(strip_badges(base)))
+    suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    bound = lambda t, f: F.transform(F.array(t), f)[0]  # noqa: E731  (works t out once)
+    short = F.lit(False) if aggressive else F.length(text) <= LONG_CODE
+    return bound(base, lambda b: F.when(suffix.isin(*CODE_SUFFIXES), bound(strip_redundant_comments(compress_imports(b)), lambda x: F.when(short, x).otherwise(signatures_only(x))))
+        .when(suffix.isin(*DOCUMENT_SUFFIXES), collapse_blank(strip_install(strip_badges(b))))
+        .when(suffix == "pdf", collapse_blank(repeated_lines_removed(b)))
+        .otherwise(collapse_blank(b)))
 
 
 def first_sentence(text: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(F.trim(text), r"\s+", " "), r"^([^.!?]{5,150}[.!?])", 1)
 
 
+def first_paragraph(text: Column, enough: int = 150, most: int = 200) -> Column:
+    """The first lines that are no headings, joined, up to a blank line or `enough` characters; at most `most` characters."""
+    zero = F.struct(F.lit("").alias("t"), F.lit(False).alias("done"))
+
+    def step(acc: Column, line: Column) -> Column:
+        joined = F.when(acc["t"] == "", line).otherwise(F.concat(acc["t"], F.lit(" "), line))
+        blank, skip = line == "", line.rlike("^[#=]")
+        t = F.when(acc["done"] | blank | skip, acc["t"]).otherwise(joined)
+        return F.struct(t.alias("t"), (acc["done"] | (blank & (acc["t"] != "")) | (F.length(t) > enough)).alias("done"))
+
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.substring(F.aggregate(lines, zero, step)["t"], 1, most)
+
+
 def headings(text: Column) -> Column:
     """array<struct<level, title>> of markdown headings, levels 1 to 4."""
     found = F.regexp_extract_all(text, F.lit(r"(?m)^#{1,4}[ \t]+[^\n]+$"), F.lit(0))

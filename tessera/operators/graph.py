@@ -109,3 +109,10 @@ def diff_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     key = ["src", "dst", "relation"]
     added = new.select(*key).distinct().join(old, key, "left_anti").withColumn("change", F.lit("added"))
     return added.unionByName(old.select(*key).distinct().join(new, key, "left_anti").withColumn("change", F.lit("removed")))
+
+
+def project(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """nodes of representatives put down for their duplicates: pairs (file, old, new) say which file stands for one, and the stems."""
+    text = [f.name for f in nodes.schema if f.dataType.simpleString() == "string"]
+    out = nodes.join(pairs, "file")
+    return out.select(*(F.replace(c, F.col("old"), F.col("new")).alias(c) if c in text else c for c in nodes.columns))

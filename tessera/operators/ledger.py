@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -64,16 +67,24 @@ def sessions(ledger: DataFrame, gap_minutes: int) -> DataFrame:
     return numbered.groupBy("session", "part").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
 
 
-def debounce(ledger: DataFrame, key: str, seconds: float) -> DataFrame:
-    """Calls that come at least `seconds` after the last accepted one of their key. A fold in order of time, which a window over
-    neighbours can't say; a key's times are folded as one array, so keys of any number but not of unbounded length."""
-    gap = int(seconds * 1e6)
-    row = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "call")
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+def _accepted(gap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            kept = []
+            for i, (key, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key != now or last is None or t - last >= gap:
+                    now, last = key, t
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64())).select([0, 2])
 
-    def step(acc: Column, x: Column) -> Column:
-        fine = acc["last"].isNull() | (x["t"] - acc["last"] >= gap)
-        return F.struct(F.when(fine, x["t"]).otherwise(acc["last"]).alias("last"), F.when(fine, F.concat(acc["kept"], F.array(x["call"]))).otherwise(acc["kept"]).alias("kept"))
+    return run
 
-    folded = ledger.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return folded.select(key, F.explode(F.aggregate("rows", zero, step)["kept"]).alias("call"))
+
+def debounce(ledger: DataFrame, key: str, seconds: float) -> DataFrame:
+    """Calls that come at least `seconds` after the last accepted one of their key. A fold in order of time, which a window over
+    neighbours can't say: rows are sorted by key and time and stream through with the last accepted time, so a key may have any number."""
+    t = F.unix_micros(F.col("ts").cast("timestamp")).alias("t")
+    rows = ledger.select(F.col(key), t, "call").repartition(key).sortWithinPartitions(key, "t", "call")
+    kind = lambda c: ledger.schema[c].dataType.simpleString()
+    return rows.mapInArrow(_accepted(int(seconds * 1e6)), f"{key} {kind(key)}, call {kind('call')}")

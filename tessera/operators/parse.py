@@ -97,12 +97,13 @@ def docstrings(files: DataFrame, lang: Column) -> DataFrame:
         sentence = F.regexp_extract(clean, r"^([^.!?]{5,150}[.!?])", 1)
         return F.when(sentence != "", sentence).otherwise(F.substring(clean, 1, 150))
 
-    parts = []
-    for language, (pattern, name, text) in DOCSTRINGS.items():
-        found = lambda g, p=pattern: F.regexp_extract_all(F.col("content"), F.lit(p), F.lit(g))
-        own = df.where(F.col("lang") == language).select("path", F.explode(F.arrays_zip(found(name).alias("name"), found(text).alias("text"))).alias("z"))
-        parts.append(own.select("path", F.col("z.name").alias("name"), of("z.name", F.col("z.text")).alias("doc")))
-    return reduce(DataFrame.unionByName, parts).where("doc <> ''")
+    def found(pattern: str, name: int, text: int) -> Column:
+        get = lambda g: F.regexp_extract_all(F.col("content"), F.lit(pattern), F.lit(g))
+        return F.arrays_zip(get(name).alias("name"), get(text).alias("text"))
+
+    pairs = reduce(lambda c, kv: c.when(F.col("lang") == kv[0], found(*kv[1])), DOCSTRINGS.items(), F)
+    own = df.where(F.col("lang").isin(*DOCSTRINGS)).select("path", F.explode(pairs).alias("z"))
+    return own.select("path", F.col("z.name").alias("name"), of("z.name", F.col("z.text")).alias("doc")).where("doc <> ''")
 
 
 def enrich(nodes: DataFrame, docs: DataFrame, short: int = 20) -> DataFrame:
@@ -112,13 +113,24 @@ def enrich(nodes: DataFrame, docs: DataFrame, short: int = 20) -> DataFrame:
     return nodes.join(one, ["file", "label"], "left").withColumn("summary", F.when(weak & F.col("doc").isNotNull(), F.col("doc")).otherwise(F.col("summary"))).select(*nodes.columns)
 
 
-# Marks of generated files.
-GENERATED_NAMES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "cargo.lock", "go.sum", "composer.lock", "gemfile.lock")
-GENERATED_PATHS = (r"\.min\.(?:js|css)$", r"\.bundle\.js$", r"\.map$", r"_pb2(?:_grpc)?\.py$", r"\.pb\.go$", r"\.g\.dart$", r"\.generated\.\w+$", r"(?:^|/)__generated__/", r"(?:^|/)migrations/\d+", r"\.designer\.cs$")
-GENERATED_MARKS = ("GENERATED BY", "AUTO-GENERATED", "AUTOGENERATED", "AUTOMATICALLY GENERATED", "DO NOT EDIT", "DO NOT MODIFY", "CODE GENERATED")
+# Marks of generated files: names, patterns of name or path, and what stands in the first 500 bytes.
+GENERATED_NAMES = (
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "Pipfile.lock", "composer.lock", "Gemfile.lock", "bun.lockb", ".DS_Store",
+    "Thumbs.db", "desktop.ini", "MANIFEST.in",
+)
+GENERATED_PATHS = (
+    r"(?i)\.min\.(js|css)$", r"(?i)\.bundle\.(js|css)$", r"(?i)[-.]generated\.\w+$", r"\.pb\.go$", r"_pb2(_grpc)?\.py$", r"\.g\.dart$", r"\.freezed\.dart$",
+    r"\.gr\.dart$", r"__generated__", r"\.snap$", r"(?i)schema\.generated\.\w+$", r"(?i)migrations?/\d{4}", r"\.d\.ts$", r"(?i)stubs?/.*\.py$",
+)
+GENERATED_MARKS = (
+    "// Code generated by", "// DO NOT EDIT", "// This file was generated", "// Auto-generated", "// Generated by", "/* eslint-disable */",
+    "# This file is auto-generated", "# DO NOT EDIT", "# Generated by", "// GENERATED CODE - DO NOT MODIFY BY HAND", "THIS FILE IS GENERATED", "@generated",
+    "// autogenerated", "# autogenerated", "AUTOGENERATED FILE",
+)
 
 
 def is_generated(path: Column, content: Column) -> Column:
-    name, head = F.lower(F.element_at(F.split(path, "/"), -1)), F.upper(F.substring(content, 1, 500))
-    by_path = reduce(lambda a, b: a | b, [F.lower(path).rlike(p) for p in GENERATED_PATHS])
-    return name.isin(*GENERATED_NAMES) | by_path | reduce(lambda a, b: a | b, [head.contains(m) for m in GENERATED_MARKS])
+    """By exact name, by a pattern of the lower-case name or the path, or by a mark at the top, in any case."""
+    name, head = F.element_at(F.split(path, "/"), -1), F.upper(F.substring(content, 1, 500))
+    by_path = reduce(lambda a, b: a | b, [F.lower(name).rlike(p) | path.rlike(p) for p in GENERATED_PATHS])
+    return name.isin(*GENERATED_NAMES) | by_path | reduce(lambda a, b: a | b, [head.contains(m.upper()) for m in GENERATED_MARKS])

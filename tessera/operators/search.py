@@ -2,11 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import jaccard, tokens
+from ..functions.text import jaccard, ranking_terms, tokens
+from .keep import ranked
+
+
+def weighted(nodes: DataFrame) -> DataFrame:
+    """id, terms, fields of graph nodes for ranking: the label three times, the summary twice, file and type once; fields: each once."""
+    filled = lambda c: F.coalesce(F.col(c), F.lit(""))
+    body = F.concat_ws(" ", *[filled("label")] * 3, *[filled("summary")] * 2, filled("file"), filled("type"))
+    return nodes.select("id", ranking_terms(body).alias("terms"), ranking_terms(F.concat_ws(" ", filled("label"), filled("summary"), filled("file"), filled("type"))).alias("fields"))
+
+
+def keyword_search(nodes: DataFrame, question: list[str], k: int = 10) -> DataFrame:
+    """id, score of the k best nodes by BM25 over weighted fields, a document's length against 20 terms; all terms found: half more."""
+    words = sorted(set(question))
+    base = weighted(nodes).where(F.size("terms") > 0)
+    asked = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    hits = base.select("id", F.size("terms").alias("n"), F.explode(F.filter("terms", lambda x: F.array_contains(asked, x))).alias("term")).groupBy("id", "n", "term").agg(F.count("*").alias("tf"))
+    frequency = base.select(F.explode(F.array_distinct(F.filter("fields", lambda x: F.array_contains(asked, x)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    total = nodes.agg(F.count("*").alias("docs"))
+    joined = hits.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(total))  # a row for each term of the question, and one row
+    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (F.lit(0.25) + 0.75 * F.col("n") / 20.0))
+    full = F.when(F.countDistinct("term") == len(words), 1.5).otherwise(1.0)
+    return joined.groupBy("id").agg(F.round(F.sum(part) * full, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def bm25(docs: DataFrame, question: list[str], k: int = 10, k1: float = 1.5, b: float = 0.75, average: float | None = None, boost: float = 1.5) -> DataFrame:
@@ -24,6 +51,22 @@ def bm25(docs: DataFrame, question: list[str], k: int = 10, k1: float = 1.5, b:
     return joined.groupBy("id").agg(F.round(F.sum(part) * full, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def question_key(question: Column) -> Column:
+    """Key of a stored question: twelve hex digits of its md5, without case and outer white space."""
+    return F.substring(F.md5(F.lower(F.trim(question)).cast("binary")), 1, 12)
+
+
+def question_words(question: Column) -> Column:
+    """Distinct words of letters and digits, for likeness of questions."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(question), F.lit("[a-z0-9]+"), F.lit(0)))
+
+
+def stored_answer(stored: DataFrame, question: str, key: str, least: float = 0.8) -> DataFrame:
+    """key, answer of the stored question (key, question, answer) of that key, else of the most similar one at or over `least`."""
+    like = jaccard(question_words(F.col("question")), question_words(F.lit(question)))
+    return stored.select("key", "answer", F.when(F.col("key") == key, 2.0).otherwise(like).alias("j")).where(F.col("j") >= least).orderBy(F.desc("j"), "key").limit(1).select("key", "answer")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -63,6 +106,89 @@ def shingles(text: Column, n: int = 4) -> Column:
     return F.transform(F.array(tokens(text)), of)[0]
 
 
+#: Rows of one word that are paired directly; the rows of a more frequent word are grown into groups.
+PAIRED = 64
+
+
+def _jaccard_grow(words: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
+    """Links that span the groups of similar sets: the frontier of a group against what is not yet in one."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat, row = np.concatenate(words), np.repeat(np.arange(len(words)), sizes)
+    rest = np.ones(len(words), bool)
+    for start in range(len(words)):
+        if not rest[start]:
+            continue
+        rest[start], frontier = False, [start]
+        while frontier:
+            now = frontier.pop()
+            open_ = rest[row]
+            both = np.bincount(row[open_][np.isin(flat[open_], words[now])], minlength=len(words))
+            hit = np.flatnonzero(rest & (both >= least * (sizes + sizes[now] - both) - 1e-9))
+            rest[hit] = False
+            frontier.extend(hit.tolist())
+            yield from ((now, h) for h in hit.tolist())
+            flat, row = flat[open_], row[open_]
+
+
+def _grown(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, words = None, [], []
+
+        def out() -> pa.RecordBatch:
+            pairs = [(ids[a], ids[b]) for a, b in _jaccard_grow(words, least)]
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:  # sorted by word
+            for x, i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if x != now and ids:
+                    yield out()
+                    ids, words = [], []
+                now = x
+                ids.append(i)
+                words.append(np.unique(np.array(s, np.int64)))
+        if ids:
+            yield out()
+
+    return run
+
+
+def similar_pairs(docs: DataFrame, least: float) -> DataFrame:
+    """a, b (a < b): links of rows (id, s: a set) with Jaccard at or over `least`; every group of such rows is spanned, no link
+    between different groups is lost, and not all pairs within a group are made.
+
+    Sets this similar share one of their rarest words (prefix filter), which is exact where banded signatures only likely find a
+    pair. Words of at most PAIRED rows pair them; the rows of a more frequent word grow into groups in one pass over them each.
+    Equal sets are one row before.
+    """
+    sets = docs.where(F.size("s") > 0).select("id", F.transform("s", lambda x: F.xxhash64(x)).alias("s"))
+    words = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("x"))
+    rarity = words.groupBy("x").agg(F.count("*").alias("df"))
+    order = F.row_number().over(W.partitionBy("id").orderBy("df", "x"))
+    prefix = words.join(rarity, "x").withColumn("rn", order).where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("x", "id")
+    often = prefix.groupBy("x").agg(F.count("*").alias("m"))
+    few = prefix.join(often.where(F.col("m").between(2, PAIRED)), "x").select("x", "id")
+    pairs = few.join(few.withColumnRenamed("id", "other"), "x").where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    near = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    near = near.where(jaccard(F.col("sa"), F.col("sb")) >= least).select("a", "b")
+    hot = prefix.join(often.where(F.col("m") > PAIRED), "x").join(sets, "id").select("x", "id", "s")
+    grown = hot.repartition("x").sortWithinPartitions("x", "id").mapInArrow(_grown(least), "a long, b long")
+    return near.unionByName(grown).distinct()
+
+
+def representatives(groups: DataFrame) -> DataFrame:
+    """component, representative, members, similarity of groups (component, id, text, s: a set) with two members and more: the member
+    with the longest text (ties: the first by id), and the average similarity of pairs as MinHash estimates it: the share of equal
+    hashes in HASHES positions. Positions are counted by value, so no pairs are made."""
+    many = groups.groupBy("component").agg(F.count("*").alias("members"), F.min_by("id", F.struct((-F.length("text")).alias("neg"), "id")).alias("representative")).where("members > 1")
+    signed = groups.join(many.select("component"), "component").select("component", F.posexplode(minhash(F.col("s"), HASHES)).alias("i", "h"))
+    equal = signed.groupBy("component", "i", "h").agg((F.count("*") * (F.count("*") - 1) / 2).alias("p")).groupBy("component").agg(F.sum("p").alias("p"))
+    pairs = F.col("members") * (F.col("members") - 1) / 2
+    return many.join(equal, "component").select("component", "representative", "members", F.round(F.col("p") / (pairs * HASHES), 6).alias("similarity"))
+
+
+HASHES = 128
+
+
 def minhash(sets: Column, hashes: int) -> Column:
     """Signature: the least hash of the set for each of `hashes` seeds."""
     return F.array(*[_least(sets, i) for i in range(hashes)])
@@ -72,35 +198,28 @@ def _least(sets: Column, seed: int) -> Column:
     return F.array_min(F.transform(sets, lambda s: F.xxhash64(F.lit(seed), s)))
 
 
-def similar_pairs(docs: DataFrame, least: float, bands: int = 16, rows: int = 4) -> DataFrame:
-    """a, b, similarity of rows (id, s: a set) with Jaccard at or over `least`, found by banded MinHash and verified exactly.
-
-    A bucket links its rows to their smallest id and each to the next, not all pairs; rows of equal sets are one row before.
-    """
-    sets = docs.where(F.size("s") > 0)
-    signed = sets.select("id", minhash(F.col("s"), bands * rows).alias("m"))
-    keyed = signed.select("id", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.slice("m", i * rows + 1, rows)) for i in range(bands)])).alias("band", "key"))
-    order = W.partitionBy("band", "key").orderBy("id")
-    first = keyed.select("id", F.min("id").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("lead"), F.lag("id").over(order).alias("prev"))
-    pairs = first.select(F.explode(F.array("lead", "prev")).alias("a"), F.col("id").alias("b")).where("a < b").distinct()
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return joined.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
-
-
-def next_fit(sizes: DataFrame, capacity: int, shards: int = 1) -> DataFrame:
-    """id, shard, batch: items in descending order go to the current batch, or open the next when it is full; each shard by itself.
+def next_fit(sizes: DataFrame, capacity: int) -> DataFrame:
+    """id, batch: items (id, tokens; at most some ten thousand different sizes) in descending order, ties by id, go to the current batch
+    or open the next when it is full; an item over the capacity has a batch of its own.
 
-    A fold over the ordered array of a shard; give shards in proportion to the rows.
+    Items of one size fill batches in a regular way: some go to the batch that is open, the others in equal numbers to the next ones. So the
+    histogram says where each rank of a size goes, and items find their batch by a join on the size: one packing, without a fold.
     """
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    rows = sizes.select("id", "tokens", shard.alias("shard")).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct((-F.col("tokens")).alias("neg"), "id"))).alias("r"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("batch"), F.array().cast("array<struct<id:bigint,batch:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        size = -x["neg"]
-        fits = (acc["used"] + size <= capacity) | (acc["used"] == 0)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        used = F.when(fits, acc["used"] + size).otherwise(size)
-        return F.struct(used.cast("long").alias("used"), batch.alias("batch"), F.concat(acc["out"], F.array(F.struct(x["id"].cast("long").alias("id"), batch.alias("batch")))).alias("out"))
-
-    return rows.select("shard", F.inline(F.aggregate("r", zero, step)["out"]))
+    placed = ranked(sizes.select("id", "tokens"), F.desc("tokens"), F.col("id"))
+    histogram = [(r.tokens, r.n) for r in placed.groupBy("tokens").agg(F.count("*").alias("n")).orderBy(F.desc("tokens")).collect()]
+    rows, batch, used, first = [], -1, capacity + 1, 0  # batch: the open one; nothing is open at first
+    for tokens, n in histogram:
+        room = max(1, capacity // tokens) if tokens > 0 else n
+        here = min(n, (capacity - used) // tokens if tokens > 0 else n) if 0 <= used <= capacity else 0
+        rows.append((tokens, first, here, batch, room))
+        left = n - here
+        if left:
+            batch += -(-left // room)
+            used = (left - 1) % room * tokens + tokens
+        else:
+            used += here * tokens
+        first += n
+    slots = sizes.sparkSession.createDataFrame(rows, "tokens long, first long, here long, open long, room long")
+    r = F.col("rank") - F.col("first")
+    found = placed.withColumn("tokens", F.col("tokens").cast("long")).join(slots, "tokens")
+    return found.select("id", F.when(r < F.col("here"), F.col("open")).otherwise(F.col("open") + 1 + F.floor((r - F.col("here")) / F.col("room"))).cast("long").alias("batch"))

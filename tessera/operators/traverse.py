@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .graph import degrees
+from .keep import discard, keep_marked, ranked
 from .keep import keep as put_aside
 
 #: Levels that a plan may hold unrolled; beyond it each level is written, as plans double with each.
@@ -51,6 +53,15 @@ def impact(nodes: DataFrame, edges: DataFrame, target: str, depth: int = 3, freq
     return out.select("id", "hop", "in_degree", F.round(F.least(risk, F.lit(1.0)), 4).alias("risk"))
 
 
+def impact_listed(scores: DataFrame, most: int = 100, each_hop: int = 15) -> DataFrame:
+    """The `most` scores of highest risk (then nearest, then by id) with their place, and place_in_hop where they are among a hop's
+    first `each_hop`."""
+    best = scores.orderBy(F.desc("risk"), "hop", "id").limit(most)
+    place = F.row_number().over(W.orderBy(F.desc("risk"), "hop", "id"))  # at most `most` rows
+    within = F.row_number().over(W.partitionBy("hop").orderBy(F.desc("risk"), "id"))
+    return best.withColumns({"place": place, "in_hop": within}).withColumn("in_hop", F.when(F.col("in_hop") <= each_hop, F.col("in_hop")))
+
+
 def impact_rollup(scores: DataFrame) -> DataFrame:
     return scores.agg(
         F.count("*").alias("affected"),
@@ -61,15 +72,22 @@ def impact_rollup(scores: DataFrame) -> DataFrame:
     )
 
 
-def khop(edges: DataFrame, seeds: DataFrame, k: int = 1) -> DataFrame:
-    """id, hop of everything within k undirected hops of the seeds, seeds included."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = seeds.select("id", F.lit(0).alias("hop"))
-    frontier = seen
+def khop(edges: DataFrame, seeds: DataFrame, k: int = 1, enough: int | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """id, hop of everything within k undirected hops of the seeds, seeds included. No further hop once `enough` ids are reached.
+
+    keep: how a level is put aside between hops; by default not at all for one hop, else written to the shared folder.
+    """
+    keep = keep or (put_aside if k > 1 else None)
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    seen = seeds.select("id", F.lit(0).alias("hop")).distinct()
+    frontier = seen = keep(seen) if keep else seen
     for hop in range(1, k + 1):
         near = both.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         frontier = near.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = keep(frontier) if keep else frontier
         seen = seen.unionByName(frontier)
+        if hop < k and (frontier.isEmpty() or (enough is not None and seen.count() >= enough)):
+            break
     return seen
 
 
@@ -79,32 +97,54 @@ def induced(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "relation")
 
 
-def shortest_path_length(edges: DataFrame, source: str, target: str, most: int = 4) -> DataFrame:
-    """Hops of the shortest directed path, if there is one within `most`."""
-    start = edges.sparkSession.createDataFrame([(source,)], "id string")
-    flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return reverse_bfs(flipped, start, most).where(F.col("id") == target).select(F.lit(source).alias("source"), F.lit(target).alias("target"), "hop")
-
+def shortest_path(edges: DataFrame, source: str, target: str, most: int = 8) -> DataFrame:
+    """source, target, hop, path (ids) of a shortest directed path within `most` hops, the first by its ids; no row if there is none.
 
-def connected_components(ids: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFrame], most_rounds: int = 60) -> DataFrame:
-    """id, component (smallest id of the undirected component). Alternating large-star and small-star rounds; `keep` cuts the lineage."""
-    now = keep(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(now)
-    for _ in range(most_rounds):
-        if not before[0]:
+    Each level keeps, for every id, the one it is reached from (of several the smallest), so rows don't grow with the paths.
+    """
+    spark = edges.sparkSession
+    seen = put_aside(spark.createDataFrame([(source, None, 0)], "id string, via string, hop int"))
+    frontier, steps = seen, edges.where("src <> dst").select("src", "dst")
+    for hop in range(1, most + 1):
+        if not seen.where(F.col("id") == target).isEmpty():
             break
+        near = steps.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("via"))
+        frontier = put_aside(near.join(seen, "id", "left_anti").select("id", "via", F.lit(hop).alias("hop")))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    schema, path, at = "source string, target string, hop int, path array<string>", [], target
+    while at is not None:  # at most `most` lookups
+        row = seen.where(F.col("id") == at).first()
+        if row is None:
+            return spark.createDataFrame([], schema)
+        path, at = [at, *path], row.via
+    return spark.createDataFrame([(source, target, len(path) - 1, path)], schema)
+
+
+def connected_components(ids: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """id, component (smallest id of the undirected component). Alternating large-star and small-star rounds over ranks of the ids, to
+    the fixed point; each round is written, and the write itself says whether anything changed. `keep` is not needed any more."""
+    flat = edges.where("src <> dst").select("src", "dst")
+    ends = put_aside(flat.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    number = put_aside(ranked(ends, "id", name="n"))
+    to = lambda side: number.withColumnsRenamed({"id": side, "n": f"{side}_n"})
+    pairs = flat.join(to("src"), "src").join(to("dst"), "dst").select(F.greatest("src_n", "dst_n").alias("u"), F.least("src_n", "dst_n").alias("v")).distinct()
+    now, mark = keep_marked(pairs, "u", "v")
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
-        now = keep(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct())
-        after = mark(now)
-        if after == before:
+        old, before = now, mark
+        now, mark = keep_marked(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct(), "u", "v")
+        discard(old)
+        if mark == before:
             break
-        before = after
-    return ids.join(now.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
+    root = now.join(number.withColumnsRenamed({"id": "component", "n": "v"}), "v").select("u", "component")
+    named = number.withColumnRenamed("n", "u").join(root, "u").select("id", "component")
+    return ids.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def label_propagation(ids: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFrame], rounds: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import graph, traverse
+from ..operators import communities, context, graph, importance, traverse
 from ..registry import query
 from ..sources import tables
 from ..sources.tables import DEGREES_SQL, EDGES_SQL, GRAPH_SQL, NODES_SQL, SPARSE_SQL, edges, nodes
@@ -167,12 +167,36 @@ scores AS (SELECT d.id, hop, CAST(in_degree AS BIGINT) AS in_degree, round(least
 
 @query(IMPACT + "SELECT id, hop, in_degree, CAST(risk AS DOUBLE) AS risk FROM scores")
 def impact_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return traverse.impact(nodes(spark, sf), edges(spark, sf), "part:1", 3)
+    return _impact(spark, sf)
+
+
+def _impact(spark: SparkSession, sf: str, frequencies: DataFrame | None = None) -> DataFrame:
+    return traverse.impact(nodes(spark, sf), keep(edges(spark, sf)), "part:1", 3, frequencies)
+
+
+FREQUENT = "frequent AS (SELECT 'crm/' || n_name AS file, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)"
+GIT_IMPACT = IMPACT.replace("scores AS (", f"{FREQUENT}, scores AS (").replace("+ CASE WHEN community", "+ 0.2 * COALESCE(n / (SELECT max(n) FROM frequent), 0) + CASE WHEN community").replace("JOIN degrees d USING (id)", "JOIN degrees d USING (id) LEFT JOIN frequent USING (file)")
+
+
+def _frequent(spark: SparkSession, sf: str) -> DataFrame:
+    o, c, n = (tables.table(spark, sf, t) for t in ("orders", "customer", "nation"))
+    by = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return by.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("crm/"), "n_name").alias("file"), "n")
+
+
+@query(GIT_IMPACT + "SELECT id, hop, in_degree, CAST(risk AS DOUBLE) AS risk FROM scores")
+def impact_scores_git(spark: SparkSession, sf: str) -> DataFrame:
+    return _impact(spark, sf, _frequent(spark, sf))
+
+
+@query(IMPACT + ", best AS (SELECT *, row_number() OVER (ORDER BY risk DESC, hop, id) AS place FROM scores ORDER BY risk DESC, hop, id LIMIT 100), placed AS (SELECT *, row_number() OVER (PARTITION BY hop ORDER BY risk DESC, id) AS p FROM best) SELECT id, CAST(place AS INTEGER) AS place, COALESCE(CAST(CASE WHEN p <= 15 THEN p END AS INTEGER), -1) AS in_hop FROM placed")
+def impact_listed(spark: SparkSession, sf: str) -> DataFrame:
+    return traverse.impact_listed(_impact(spark, sf)).select("id", "place", F.coalesce("in_hop", F.lit(-1)).alias("in_hop"))
 
 
 @query(IMPACT + "SELECT count(*) AS affected, CAST(max(risk) AS DOUBLE) AS max_risk, count(*) FILTER (risk >= 0.7) AS high, count(*) FILTER (risk >= 0.4 AND risk < 0.7) AS medium, count(*) FILTER (risk < 0.4) AS low FROM scores")
 def impact_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return traverse.impact_rollup(traverse.impact(nodes(spark, sf), edges(spark, sf), "part:1", 3))
+    return traverse.impact_rollup(_impact(spark, sf))
 
 
 KHOP = f"""WITH {NODES_SQL}, {EDGES_SQL}, {DEGREES_SQL}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
@@ -184,15 +208,39 @@ def khop_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.khop(edges(spark, sf), nodes(spark, sf).where("id = 'nation:1'").select("id"), 1)
 
 
+NEAR2 = f"""WITH {NODES_SQL}, {SPARSE_SQL}, both_ways AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse), h0 AS (SELECT id, 0 AS hop FROM nodes WHERE id IN ('supplier:1', 'part:7')),
+h1 AS (SELECT * FROM h0 UNION ALL SELECT DISTINCT dst, 1 FROM both_ways WHERE src IN (SELECT id FROM h0) AND dst NOT IN (SELECT id FROM h0)),
+h2 AS (SELECT * FROM h1 UNION ALL SELECT DISTINCT dst, 2 FROM both_ways WHERE src IN (SELECT id FROM h1 WHERE hop = 1) AND dst NOT IN (SELECT id FROM h1)) """
+
+
+@query(NEAR2 + "SELECT id, hop, 'all' AS reach FROM h2 UNION ALL SELECT id, hop, 'enough' FROM h1")
+def khop_early_stop(spark: SparkSession, sf: str) -> DataFrame:
+    """Two hops, and the same with an end once two ids are reached, which is after the first."""
+    e = keep(edges(spark, sf, sparse=True))
+    start = nodes(spark, sf).where("id in ('supplier:1', 'part:7')").select("id")
+    return traverse.khop(e, start, 2).withColumn("reach", F.lit("all")).unionByName(traverse.khop(e, start, 2, enough=2).withColumn("reach", F.lit("enough")))
+
+
+@query(KHOP + """, emb AS (SELECT 'customer:' || vec_id AS id, abs(embedding[1]) AS score FROM embeddings), git AS (SELECT 'supplier:' || s_suppkey AS id, (s_suppkey % 10) / 10.0 AS score FROM supplier)
+SELECT id, CAST(round(CASE WHEN hop = 0 THEN 0.5 ELSE 0.0 END + 0.4 * CAST(COALESCE(emb.score, 0) AS DOUBLE) + 0.4 * total / (SELECT max(total) FROM h1 JOIN degrees USING (id)) + 0.2 * COALESCE(git.score, 0), 6) AS DOUBLE) AS score FROM h1 JOIN degrees USING (id) LEFT JOIN emb USING (id) LEFT JOIN git USING (id)""")
+def subgraph_relevance(spark: SparkSession, sf: str) -> DataFrame:
+    """All terms: seeds, similarity of vectors, degrees, git."""
+    e = keep(edges(spark, sf))
+    near = traverse.khop(e, nodes(spark, sf).where("id = 'nation:1'").select("id"), 1)
+    emb = tables.table(spark, sf, "embeddings").select(F.concat(F.lit("customer:"), F.col("vec_id").cast("string")).alias("id"), F.abs(F.col("embedding")[0]).alias("score"))
+    git_ = tables.table(spark, sf, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"), ((F.col("s_suppkey") % 10) / 10.0).alias("score"))
+    return context.relevance(nodes(spark, sf), e, near, emb, git_).select("id", "score")
+
+
 RANK = "round(CASE WHEN hop = 0 THEN 0.5 ELSE 0.0 END + 0.4 * total / (SELECT max(total) FROM h1 JOIN degrees USING (id)), 6)"
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    near = traverse.khop(edges(spark, sf), nodes(spark, sf).where("id = 'nation:1'").select("id"), 1)
-    d = graph.degrees(nodes(spark, sf), edges(spark, sf)).join(near, "id")
-    top = d.agg(F.max("total").alias("top"))
-    score = F.when(F.col("hop") == 0, 0.5).otherwise(0.0) + F.lit(0.4) * F.col("total") / F.col("top")
-    return d.crossJoin(F.broadcast(top)).select("id", "label", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(60)
+    return _chosen(spark, sf, keep(edges(spark, sf))).select("id", "label", "score")
+
+
+def _chosen(spark: SparkSession, sf: str, e: DataFrame) -> DataFrame:
+    return context.subgraph(nodes(spark, sf), e, nodes(spark, sf).where("id = 'nation:1'").select("id"))
 
 
 @query(KHOP + f"SELECT id, CAST({RANK} AS DOUBLE) AS score FROM h1 JOIN degrees USING (id) ORDER BY score DESC, id LIMIT 60")
@@ -202,7 +250,8 @@ def subgraph_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(KHOP + f", chosen AS (SELECT id, {RANK} AS score FROM h1 JOIN degrees USING (id) ORDER BY score DESC, id LIMIT 60) SELECT src, dst, relation FROM edges WHERE src IN (SELECT id FROM chosen) AND dst IN (SELECT id FROM chosen)")
 def induced_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return traverse.induced(edges(spark, sf), _ranked(spark, sf))
+    e = keep(edges(spark, sf))
+    return traverse.induced(e, keep(_chosen(spark, sf, e).select("id")))
 
 
 @query(KHOP + f""", chosen AS (SELECT id, label, {RANK} AS score FROM h1 JOIN degrees USING (id) ORDER BY score DESC, id LIMIT 60),
@@ -218,7 +267,7 @@ def token_budget_pack(spark: SparkSession, sf: str) -> DataFrame:
 rep AS (SELECT id, community, total FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY total DESC, id) AS rn FROM degrees WHERE community IS NOT NULL AND id NOT IN (SELECT id FROM top)) WHERE rn = 1)
 SELECT id, 'top' AS why FROM top UNION ALL SELECT id, 'community' FROM rep""")
 def landmarks(spark: SparkSession, sf: str) -> DataFrame:
-    d = graph.degrees(nodes(spark, sf), edges(spark, sf)).select("id", "community", "total")
+    d = keep(graph.degrees(nodes(spark, sf), edges(spark, sf)).select("id", "community", "total"))
     top = d.orderBy(F.desc("total"), "id").limit(25)
     rank = F.row_number().over(W.partitionBy("community").orderBy(F.desc("total"), "id"))
     rep = d.where("community is not null").join(F.broadcast(top.select("id")), "id", "left_anti").withColumn("rn", rank).where("rn = 1")
@@ -227,13 +276,23 @@ def landmarks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {EDGES_SQL}, {_bfs('region:0', 4)} SELECT 'customer:1' AS source, 'region:0' AS target, hop FROM reached WHERE id = 'customer:1'")
 def shortest_path_len(spark: SparkSession, sf: str) -> DataFrame:
-    return traverse.shortest_path_length(edges(spark, sf), "customer:1", "region:0", 4)
+    return traverse.shortest_path(keep(edges(spark, sf)), "customer:1", "region:0").select("source", "target", "hop")
+
+
+_F = ["f0 AS (SELECT 'customer:1' AS id, 0 AS hop)"] + [f"f{h} AS (SELECT * FROM f{h - 1} UNION ALL SELECT DISTINCT dst, {h} FROM edges WHERE src IN (SELECT id FROM f{h - 1} WHERE hop = {h - 1}) AND dst NOT IN (SELECT id FROM f{h - 1}))" for h in (1, 2, 3, 4)]
+
+
+@query(f"""WITH {EDGES_SQL}, {', '.join(_F)}, d AS (SELECT hop AS n FROM f4 WHERE id = 'region:0'),
+b0 AS (SELECT 'region:0' AS id, (SELECT n FROM d) AS hop), """ + ", ".join(f"b{i} AS (SELECT min(src) AS id, max(b.hop) - 1 AS hop FROM edges JOIN b{i - 1} b ON dst = b.id JOIN f4 f ON f.id = src AND f.hop = b.hop - 1)" for i in (1, 2, 3, 4)) + """
+SELECT string_agg(id, ' > ' ORDER BY hop) AS path FROM (SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM b4) WHERE id IS NOT NULL""")
+def shortest_path_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return traverse.shortest_path(keep(edges(spark, sf)), "customer:1", "region:0").select(F.array_join("path", " > ").alias("path"))
 
 
 @query(f"""WITH RECURSIVE {NODES_SQL}, {SPARSE_SQL}, both_ways AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse),
 c0 AS (SELECT id, id AS c FROM nodes), """ + ", ".join(f"c{i} AS (SELECT a.id, min(least(a.c, COALESCE(b.c, a.c))) AS c FROM c{i - 1} a LEFT JOIN both_ways e ON e.src = a.id LEFT JOIN c{i - 1} b ON b.id = e.dst GROUP BY a.id)" for i in range(1, 13)) + " SELECT id, c AS component FROM c12")
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return traverse.connected_components(nodes(spark, sf).select("id"), edges(spark, sf, sparse=True), keep)
+    return traverse.connected_components(nodes(spark, sf).select("id"), edges(spark, sf, sparse=True))
 
 
 @query()
@@ -241,6 +300,21 @@ def label_communities(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.label_propagation(nodes(spark, sf).select("id"), edges(spark, sf, sparse=True), keep)
 
 
+@query()
+def modularity_communities(spark: SparkSession, sf: str) -> DataFrame:
+    """Parallel local moving is a heuristic without an SQL form; the tests hold it against planted groups and label propagation."""
+    return communities.louvain(nodes(spark, sf).select("id"), edges(spark, sf, sparse=True))
+
+
+@query(f"""WITH {NODES_SQL}, {SPARSE_SQL}, e AS (SELECT s.community AS a, t.community AS b FROM sparse JOIN nodes s ON s.id = src JOIN nodes t ON t.id = dst), m AS (SELECT 2.0 * count(*) AS two_m FROM sparse),
+deg AS (SELECT c, count(*) AS k FROM (SELECT COALESCE(n.community, 99) AS c FROM (SELECT src AS id FROM sparse UNION ALL SELECT dst FROM sparse) x JOIN nodes n USING (id)) GROUP BY c),
+ins AS (SELECT COALESCE(a, 99) AS c, 2 * count(*) AS w FROM e WHERE COALESCE(a, 99) = COALESCE(b, 99) GROUP BY 1)
+SELECT round(sum(COALESCE(w, 0) / two_m - (k / two_m) * (k / two_m)), 6) AS q FROM deg LEFT JOIN ins USING (c), m""")
+def community_modularity(spark: SparkSession, sf: str) -> DataFrame:
+    n = nodes(spark, sf).select("id", F.coalesce("community", F.lit(99)).alias("community"))
+    return communities.modularity(n, keep(edges(spark, sf, sparse=True))).select(F.round("q", 6).alias("q"))
+
+
 OLD = f"{NODES_SQL}, old AS (SELECT * FROM nodes WHERE id NOT LIKE '%7'), new AS (SELECT id, label, type, file, lang, CASE WHEN id LIKE '%3' THEN upper(summary) ELSE summary END AS summary, community FROM nodes WHERE id NOT LIKE '%9')"
 
 
@@ -274,25 +348,28 @@ def label_match(spark: SparkSession, sf: str) -> DataFrame:
     return hit.join(F.broadcast(hit.agg(F.min("how").alias("how"))), "how").select("id", "label")
 
 
-@query(N + """SELECT id, CAST(how AS INTEGER) AS how FROM (SELECT id, CASE WHEN id = 'china' THEN 0 WHEN lower(label) = 'china' THEN 1 WHEN contains(lower(label), 'china') THEN 2 END AS how FROM nodes) WHERE how IS NOT NULL ORDER BY how, id LIMIT 1""")
+@query(N + """SELECT id, CAST(how AS INTEGER) AS how FROM (SELECT id, CASE WHEN id = 'nation_1' THEN 0 WHEN lower(label) = 'nation_1' THEN 1 WHEN contains(lower(label), 'nation_1') THEN 2 END AS how FROM nodes) WHERE how IS NOT NULL ORDER BY how, id LIMIT 1""")
 def node_resolve(spark: SparkSession, sf: str) -> DataFrame:
     low = F.lower("label")
-    how = F.when(F.col("id") == "china", 0).when(low == "china", 1).when(low.contains("china"), 2)
+    how = F.when(F.col("id") == "nation_1", 0).when(low == "nation_1", 1).when(low.contains("nation_1"), 2)
     return nodes(spark, sf).select("id", how.alias("how")).where("how is not null").orderBy("how", "id").limit(1)
 
 
-@query(N + """, s AS (SELECT id, CASE WHEN contains(lower(COALESCE(label, '')), 'china') THEN 3 ELSE CASE WHEN contains(lower(COALESCE(file, '')), 'china') THEN 2 ELSE CASE WHEN contains(lower(COALESCE(summary, '')), 'china') THEN 1 ELSE 0 END END END
- + CASE WHEN contains(lower(COALESCE(label, '')), 'steel') THEN 3 ELSE CASE WHEN contains(lower(COALESCE(file, '')), 'steel') THEN 2 ELSE CASE WHEN contains(lower(COALESCE(summary, '')), 'steel') THEN 1 ELSE 0 END END END AS score FROM nodes)
+@query(N + """, s AS (SELECT id, CASE WHEN contains(lower(COALESCE(label, '')), 'nation_1') THEN 3 ELSE CASE WHEN contains(lower(COALESCE(file, '')), 'nation_1') THEN 2 ELSE CASE WHEN contains(lower(COALESCE(summary, '')), 'nation_1') THEN 1 ELSE 0 END END END
+ + CASE WHEN contains(lower(COALESCE(label, '')), 'small') THEN 3 ELSE CASE WHEN contains(lower(COALESCE(file, '')), 'small') THEN 2 ELSE CASE WHEN contains(lower(COALESCE(summary, '')), 'small') THEN 1 ELSE 0 END END END AS score FROM nodes)
 SELECT id, CAST(score AS INTEGER) AS score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 20""")
 def seed_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    has = lambda c, w: F.lower(F.coalesce(c, F.lit(""))).contains(w)
-    points = lambda w: F.when(has("label", w), 3).when(has("file", w), 2).when(has("summary", w), 1).otherwise(0)
-    return nodes(spark, sf).select("id", (points("china") + points("steel")).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(20)
+    return context.seeds(nodes(spark, sf), ["nation_1", "small"])
+
+
+@query(N + "SELECT id FROM nodes WHERE contains(lower(file), 'nation_1')")
+def file_match(spark: SparkSession, sf: str) -> DataFrame:
+    return nodes(spark, sf).where(F.contains(F.lower("file"), F.lit("nation_1"))).select("id")
 
 
 NAMED = "CASE WHEN regexp_matches(file, 'crm') THEN 0.2 WHEN regexp_matches(file, 'geo') THEN -0.1 ELSE 0.0 END"
 IMPORTANCE = f"{GRAPH_SQL}, s AS (SELECT file, round(greatest(0.0, least(1.0, 0.3 + max({NAMED}) + least(max(in_degree) / 20.0, 0.35) + greatest(0.0, 0.15 - 0.015 * len(string_split(file, '/'))))), 4) AS score FROM degrees WHERE file IS NOT NULL GROUP BY file) "
-DEPTH = "CASE WHEN score >= 0.7 THEN 'full' WHEN score >= 0.4 THEN 'standard' WHEN score >= 0.15 THEN 'light' ELSE 'skip' END"
+DEPTH = "CASE WHEN score >= 0.7 THEN 'full' WHEN score >= 0.4 THEN 'standard' WHEN score >= 0.15 THEN 'minimal' ELSE 'name_only' END"
 
 
 def _importance(spark: SparkSession, sf: str) -> DataFrame:
@@ -309,6 +386,4 @@ def importance_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(IMPORTANCE + f"SELECT {DEPTH} AS depth, count(*) AS n FROM s GROUP BY 1")
 def importance_depth(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.col("score")
-    depth = F.when(s >= 0.7, "full").when(s >= 0.4, "standard").when(s >= 0.15, "light").otherwise("skip")
-    return _importance(spark, sf).groupBy(depth.alias("depth")).agg(F.count("*").alias("n"))
+    return _importance(spark, sf).groupBy(importance.depth(F.col("score")).alias("depth")).agg(F.count("*").alias("n"))

@@ -144,7 +144,9 @@ def ledger_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return op.sessions(ledger(spark, sf), 30)
 
 
-@query()
+@query(L.replace("WITH ", "WITH RECURSIVE ") + """, r AS (SELECT session, call, epoch_us(ts) AS t, row_number() OVER (PARTITION BY session ORDER BY ts, call) AS i FROM ledger),
+n AS (SELECT a.session, a.i, min(b.i) AS j FROM r a JOIN r b ON a.session = b.session AND b.i > a.i AND b.t - a.t >= 3600000000 GROUP BY 1, 2),
+k AS (SELECT session, CAST(1 AS BIGINT) AS i FROM r WHERE i = 1 UNION ALL SELECT k.session, n.j FROM k JOIN n ON n.session = k.session AND n.i = k.i) SELECT session, call FROM k JOIN r USING (session, i)""")
 def debounce(spark: SparkSession, sf: str) -> DataFrame:
     return op.debounce(ledger(spark, sf), "session", 3600.0)
 

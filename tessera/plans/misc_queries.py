@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..operators import graph, ledger
 from ..registry import query
+from ..sources import sinks
 from ..sources.tables import EDGES_SQL, GRAPH_SQL, LEDGER_SQL, NODES_SQL, SPARSE_SQL, edges, nodes, table
 from ..sources.tables import ledger as ledger_of
 
@@ -36,14 +37,6 @@ def benchmark_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").where("role = 'assistant'").select(used.alias("u")).agg(F.count("*").alias("answered"), F.round(F.avg("u"), 4).alias("avg_used"), F.round(F.avg((2000 - F.col("u")) * 100.0 / 2000), 4).alias("avg_saved_pct"), F.count_if(F.col("u") > 2000).alias("worse"))
 
 
-@query("SELECT * FROM (VALUES ('api', 'validate input'), ('api', 'keep handlers thin'), ('db', 'no raw SQL')) t(layer, rule)")
-def applicable_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rules = spark.createDataFrame([("api", "validate input"), ("db", "no raw SQL"), ("ui", "no logic")], "layer string, rule string")
-    learned = spark.createDataFrame([("api", "keep handlers thin"), ("test", "x")], "layer string, rule string")
-    wanted = spark.createDataFrame([("api",), ("db",)], "layer string")
-    return rules.unionByName(learned).join(wanted, "layer")
-
-
 @query(GRAPH_SQL + """, top AS (SELECT community, id FROM (SELECT community, id, row_number() OVER (PARTITION BY community ORDER BY total DESC, id) AS rn FROM degrees WHERE community IS NOT NULL) WHERE rn <= 5)
 SELECT 'community:' || community AS src, id AS dst, 'contains' AS relation FROM top""")
 def community_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,18 +51,31 @@ def edge_set_operations(spark: SparkSession, sf: str) -> DataFrame:
     return part(a.intersect(b), "both").unionByName(part(a.subtract(b), "full_only"))
 
 
-@query(f"WITH {NODES_SQL} SELECT id, CAST(i % 10 * 300 AS BIGINT) AS x, CAST(i // 10 * 300 AS BIGINT) AS y FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM nodes ORDER BY id LIMIT 500)")
+@query(f"WITH {NODES_SQL} SELECT id, CAST(i % 10 * 300 AS BIGINT) AS x, CAST(i // 10 * 300 AS BIGINT) AS y, '**' || label || '** (' || type || ')' || chr(10) || chr(10) || COALESCE(summary, '') AS text FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i FROM nodes)")
 def canvas_layout(spark: SparkSession, sf: str) -> DataFrame:
-    first = nodes(spark, sf).orderBy("id").limit(500).agg(F.array_sort(F.collect_list("id")).alias("a")).select(F.posexplode("a").alias("i", "id"))
-    return first.select("id", (F.pmod("i", F.lit(10)) * 300).cast("long").alias("x"), (F.floor(F.col("i") / 10) * 300).cast("long").alias("y"))
+    card = F.from_json("line", "id string, x long, y long, text string")
+    return sinks.canvas(nodes(spark, sf), edges(spark, sf).where("relation = 'defines'")).where("part = 0").select(card.alias("c")).select("c.*")
+
+
+@query(f"WITH {SPARSE_SQL} SELECT src AS from_node, dst AS to_node, min(relation) AS label, src || '-' || dst AS id FROM sparse GROUP BY src, dst")
+def canvas_arrows(spark: SparkSession, sf: str) -> DataFrame:
+    arrow = F.from_json("line", "fromNode string, toNode string, label string, id string")
+    return sinks.canvas(nodes(spark, sf), edges(spark, sf, sparse=True)).where("part = 1").select(arrow.alias("c")).select(F.col("c.fromNode").alias("from_node"), F.col("c.toNode").alias("to_node"), "c.label", "c.id")
 
 
-@query(f"WITH {NODES_SQL} SELECT id, 'MERGE (n:Node {{id: ''' || id || '''}}) SET n.label = ''' || replace(COALESCE(label, ''), '''', chr(92) || '''') || ''', n.type = ''' || type || ''';' AS line FROM nodes WHERE type = 'class'")
+_Q = lambda c: f"replace(COALESCE({c}, ''), '''', chr(92) || '''')"
+
+
+@query(f"""WITH {NODES_SQL}, {EDGES_SQL} SELECT 'MERGE (n:' || type || ' {{id: ''' || id || ''', label: ''' || {_Q('label')} || ''', summary: ''' || {_Q('summary')} || ''', file: ''' || {_Q('file')} || '''}});' AS line FROM nodes
+UNION ALL SELECT 'MATCH (a {{id: ''' || src || '''}}), (b {{id: ''' || dst || '''}}) MERGE (a)-[:' || upper(relation) || ']->(b);' FROM edges""")
 def cypher_lines(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources import sinks
+    return sinks.cypher(nodes(spark, sf), edges(spark, sf)).select("line")
+
 
-    few = nodes(spark, sf).where("type = 'class'")
-    return sinks.cypher(few, edges(spark, sf).limit(0)).select(F.regexp_extract("line", "id: '([^']*)'", 1).alias("id"), "line")
+@query(f"""WITH {NODES_SQL}, {SPARSE_SQL} SELECT '<node id="' || id || '"><data key="label">' || label || '</data>' || CASE WHEN file IS NULL THEN '' ELSE '<data key="file">' || file || '</data>' END || '</node>' AS line FROM nodes
+UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '"><data key="relation">' || min(relation) || '</data></edge>' FROM sparse GROUP BY src, dst""")
+def graphml_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.graphml(nodes(spark, sf).select("id", "label", "file"), edges(spark, sf, sparse=True)).where("part in (1, 2)").select("line")
 
 
 @query(L + "SELECT call, round(tokens * 1.0 / max(tokens) OVER (PARTITION BY session), 6) AS share, CAST(rank() OVER (PARTITION BY session ORDER BY tokens DESC) AS INTEGER) AS place FROM ledger")

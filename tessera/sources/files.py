@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import html as entities
+import io
+import re
+import subprocess
+import zipfile
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +21,10 @@ TYPES = {
     "paper": [".pdf"],
     "image": ".png .jpg .jpeg .gif .webp .svg".split(),
 }
-EXCLUDED = ("node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", ".next", "target", ".idea", ".vscode", "coverage")
+EXCLUDED = (
+    "node_modules", ".git", "dist", "build", "out", "__pycache__", ".venv", "venv", "env", ".env", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".next", ".nuxt",
+    ".svelte-kit", "target", "vendor", ".idea", ".vscode-test", "coverage", ".tox", "egg-info",
+)  # and whatever folder a build writes to
 LARGEST = 2 * 1024 * 1024
 
 NODE_LINK = "nodes array<struct<id:string,label:string,type:string,file:string,lang:string,summary:string,community:int>>, links array<struct<source:string,target:string,relation:string>>"
@@ -38,6 +48,11 @@ def scan(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED, l
     return kept.select(*columns, F.decode("content", F.lit("UTF-8")).alias("content")) if with_content else kept.select(*columns)
 
 
+def below(path: Column, root: str) -> Column:
+    """The part of a path below a root."""
+    return F.regexp_replace(path, r"^.*?" + _escaped(root) + "/?", "")
+
+
 def _escaped(root: str) -> str:
     return "".join("\\" + c if not c.isalnum() and c != "/" else c for c in root.split("://")[-1].rstrip("/"))
 
@@ -72,7 +87,65 @@ def dependencies(manifests: DataFrame) -> DataFrame:
     parsed = F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>")
     js = manifests.where(name == "package.json").withColumn("m", parsed).select("path", F.explode(F.map_concat(F.coalesce("m.dependencies", F.create_map().cast("map<string,string>")), F.coalesce("m.devDependencies", F.create_map().cast("map<string,string>")))).alias("name", "version"))
     line = manifests.where(name.rlike(r"^requirements.*\.txt$")).select("path", F.explode(F.split("content", "\n")).alias("l")).select("path", F.regexp_extract("l", r"^\s*([A-Za-z0-9_.-]+)", 1).alias("name"), F.regexp_extract("l", r"[=<>~^!]+\s*([^\s;,#]+)", 1).alias("version")).where("name <> ''")
-    return js.unionByName(line).withColumn("version", F.regexp_replace("version", r"^[\^~>=<\s]+", ""))
+    listed = F.regexp_extract("content", r"(?ms)^dependencies\s*=\s*\[(.*?)^?\]\s*$", 1)
+    toml = manifests.where(name == "pyproject.toml").select("path", F.explode(F.regexp_extract_all(listed, F.lit(r"""["']([^"']+)["']"""), F.lit(1))).alias("l")).select("path", F.regexp_extract("l", r"^\s*([A-Za-z0-9_.-]+)", 1).alias("name"), F.regexp_extract("l", r"[=<>~^!]+\s*([^\s;,#]+)", 1).alias("version"))
+    return js.unionByName(line).unionByName(toml).withColumn("version", F.regexp_replace("version", r"^[\^~>=<\s]+", ""))
+
+
+def document_text(spark: SparkSession, root: str) -> DataFrame:
+    """path, content of word-processor documents below a root: a line for each paragraph, headings with # in front. A document is a zip
+    of XML, which no built-in reads, so this is a map in Arrow batches."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(root)
+    return files.select("path", "content").mapInArrow(_word_documents, "path string, content string")
+
+
+def _word_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [_paragraphs(b) for b in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "content"])
+
+
+def _paragraphs(raw: bytes) -> str | None:
+    try:
+        xml = zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml").decode(errors="replace")
+    except (zipfile.BadZipFile, KeyError):
+        return None
+    out = []
+    for p in re.findall(r"<w:p[ >].*?</w:p>", xml, re.S):
+        line = entities.unescape("".join(re.findall(r"<w:t(?: [^>]*)?>([^<]*)</w:t>", p))).strip()
+        if line:
+            out.append(("# " if re.search(r'<w:pStyle w:val="Heading', p) else "") + line)
+    return "\n".join(out)
+
+
+def cost_report(spark: SparkSession, path: str) -> DataFrame:
+    """A cost report's fields with what follows from them: naive and actual tokens, tokens saved, compression in percent."""
+    fields = ("cache_hits", "calls_saved", "total_files_processed", "llm_calls_made", "total_input_tokens", "total_output_tokens", "actual_cost_usd", "naive_cost_usd", "cost_saved_usd", "savings_pct", "run_duration_seconds")
+    raw = spark.read.schema(", ".join(f"{f} double" for f in fields)).option("multiLine", True).json(path)
+    return cost_view(raw.fillna(0.0))
+
+
+def cost_view(report: DataFrame, price: float = 3.0) -> DataFrame:
+    naive = F.round(F.col("naive_cost_usd") * 1e6 / price).cast("long")
+    actual = (F.col("total_input_tokens") + F.col("total_output_tokens")).cast("long")
+    out = report.withColumns({"naive_tokens": naive, "actual_tokens": actual})
+    pct = F.when(F.col("naive_tokens") > 0, F.greatest(F.lit(0), F.round((1 - F.col("actual_tokens") / F.col("naive_tokens")) * 100).cast("long"))).otherwise(0)
+    return out.withColumns({"tokens_saved": F.greatest(F.lit(0).cast("long"), F.col("naive_tokens") - F.col("actual_tokens")), "compression_pct": pct.cast("long")})
+
+
+def benchmark_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The summary (first line) and the questions of a line-JSON benchmark file, both as JSON text in order."""
+    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("i", "json"))
+    return rows.where("i = 0").select("json"), rows.where("i > 0").select((F.col("i") - 1).alias("i"), "json")
+
+
+def git(root: str, *args: str) -> str | None:
+    """What git prints in a working tree, null where there is no git or no repository."""
+    try:
+        out = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=15, errors="replace")
+    except (FileNotFoundError, subprocess.TimeoutExpired):
+        return None
+    return out.stdout if out.returncode == 0 else None
 
 
 def lsp_symbols(spark: SparkSession, content: DataFrame) -> DataFrame:

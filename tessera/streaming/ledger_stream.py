@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.code import predicted_questions
+from ..operators.keep import shared_dir
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -45,7 +48,11 @@ def first_seen(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def debounced(stream: DataFrame, key: str = "session", seconds: float = 2.0) -> DataFrame:
-    """Calls at least `seconds` after the last accepted one of their key; the state is that time."""
+    """Calls at least `seconds` after the last accepted one of their key; the state is that time.
+
+    Rows are taken in order of time within a micro-batch. One that comes in a later batch than a newer call of its key is judged against
+    that newer call, as the watched source would: it is dropped unless it lies `seconds` behind. Over one batch this is `ledger.debounce`.
+    """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -74,10 +81,37 @@ def rebuild_on(stream: DataFrame, rebuild: Callable[[DataFrame, int], None], che
 
 
 def settle(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now into a memory table, and return that table."""
+    """Run a stream over what is there now and return the frame of its result. Each micro-batch writes its own folder below the shared
+    one (again the same after a retry); complete mode reads the last, append mode all of them."""
     spark = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    at, seen = f"{shared_dir(spark)}/{name}", []
+
+    def write(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/{i}")
+        seen.append(f"{at}/rows/{i}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.table(name)
+    if not seen:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(seen[-1:] if mode == "complete" else dict.fromkeys(seen)))
+
+
+def progress(query: StreamingQuery, total: int) -> dict:
+    """Rows done of a total and their percentage, by the query's own progress."""
+    done = sum(p["numInputRows"] for p in query.recentProgress)
+    return {"status": "building" if query.isActive else "complete", "files_done": done, "files_total": total, "percent": min(100, 100 * done // max(total, 1))}
+
+
+def prewarm(answer: Callable[[str], str | None], save: Callable[[str, str], None], most: int = 10) -> Callable[[DataFrame, int], None]:
+    """For `rebuild_on`: after each micro-batch of changed files (path) the `most` likeliest questions about them are answered and saved."""
+
+    def run(batch: DataFrame, _: int) -> None:
+        likely = batch.select(F.posexplode(predicted_questions(F.col("path"))).alias("i", "q")).groupBy("q").agg(F.min("i").alias("i")).orderBy("i", "q").limit(most)
+        for r in likely.collect():
+            if said := answer(r.q):
+                save(r.q, said)
+
+    return run
