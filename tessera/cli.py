@@ -65,7 +65,7 @@ def run(spark: SparkSession, argv: list[str]) -> str:
     if a.command == "cost-report":
         return shown(files.cost_report(spark, a.path))
     if a.command == "build-from-lsp":
-        return shown(files.lsp_symbols(spark, spark.read.option("wholetext", True).text(a.path).withColumnRenamed("value", "content")))
+        return shown(files.lsp_symbols(spark, spark.read.text(a.path, wholetext=True).withColumnRenamed("value", "content")))
     if a.command == "diff":
         found = store.load_diff()
         return "no build yet" if found is None else shown(found.groupBy("what", "change").agg(F.count("*").alias("n")).orderBy("what", "change"))
@@ -96,12 +96,12 @@ def run(spark: SparkSession, argv: list[str]) -> str:
     if a.command == "task-progress":
         return shown(engine.tool("get_task_progress", task=a.task))
     if a.command == "rules":
-        content = spark.read.option("wholetext", True).text(a.file).first()
+        content = spark.read.text(a.file, wholetext=True).first()
         return shown(engine.tool("get_applicable_rules", path=a.file, content=content.value if content else ""))
     if a.command == "benchmark":
         return shown(context.repository_benchmark(files.scan(spark, a.root, with_content=True).where(F.col("type").isin("code", "document")), nodes, edges))
     if a.command == "benchmark-suite":
-        asked = files.questions(spark.read.option("wholetext", True).text(a.questions).withColumnRenamed("value", "content"))
+        asked = files.questions(spark.read.text(a.questions, wholetext=True).withColumnRenamed("value", "content"))
         sizes = nodes.select("file").distinct().withColumn("tokens", F.lit(800).cast("long"))
         raw = {r.q: r.tokens for r in context.raw_tokens(asked.select(F.col("question").alias("q"), F.col("question").alias("text")).distinct(), nodes, sizes).collect()}
         rows = [(q, len(engine.ask(q)) // 4, raw[q]) for q in raw]

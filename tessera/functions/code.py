@@ -150,15 +150,21 @@ def normal_path(path: Column) -> Column:
     """The path without empty and "." steps, each ".." taking the step before it."""
 
     def step(acc: Column, p: Column) -> Column:
-        return F.when(p.isin("", "."), acc).when((p == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
+        last = F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(".."))
+        return F.when(p.isin("", "."), acc).when((p == "..") & (last != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
 
     steps = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
     return F.when(path.startswith("/"), F.concat(F.lit("/"), steps)).otherwise(steps)
 
 
+def joined(path: Column, to: Column) -> Column:
+    """A path relative to a file's folder."""
+    return normal_path(F.when(folder(path) == "", to).otherwise(F.concat_ws("/", folder(path), to)))
+
+
 def import_target(module: Column, path: Column) -> Column:
     """Node id that an import of a file leads to: pkg:<package>, or a relative import joined to the importing file's folder."""
-    return F.when(module.startswith("."), normal_path(F.concat_ws("/", folder(path), module))).otherwise(package_of(module))
+    return F.when(module.startswith("."), joined(path, module)).otherwise(package_of(module))
 
 
 def package_of(module: Column) -> Column:

@@ -159,7 +159,7 @@ def strip_redundant_comments(text: Column) -> Column:
 
 
 _DEFINITION = r"(?:def|class)\s+\w+[^\n]*:\n(?:[ \t]+(?!def |class )[^\n]*\n)*"
-_BODY = r"((?:export\s+)?(?:async\s+)?(?:function|class|const\s+\w+\s*=\s*(?:async\s+)?(?:function|\())[^\n]*?)\s*\{[^{}]*(?:\{[^{}]*\}[^{}]*)?\}"
+_BODY = r"((?:export\s+)?(?:async\s+)?(?:function|class|const\s+\w+\s*=\s*(?:async\s+)?(?:function|\())[^\n]*)\s*\{[^{}]*(?:\{[^{}]*\}[^{}]*)?\}"
 
 
 def signatures_only(text: Column) -> Column:

@@ -30,6 +30,7 @@ def merged(files: DataFrame, extract: Callable[[DataFrame], fragments.Fragments]
     fragments of files that no parser knows, in place of stubs."""
     known = files.where(fragments.kind(F.col("path")).isNotNull())
     found = fragments.parse(known) + (extract or fragments.stub)(files.where(fragments.kind(F.col("path")).isNull()))
+    found = fragments.Fragments(keep(found.nodes, "fragments"), keep(found.edges, "fragments"))
     first = F.concat_ws("|", F.coalesce("file", F.lit("~")), F.coalesce("summary", F.lit("")))
     nodes, edges = graph.merge_fragments(found.nodes.withColumns({"community": F.lit(None).cast("int"), "ord": first}), found.edges)
     sources = files.where(fragments.is_code(F.col("path")))

@@ -55,6 +55,10 @@ def _all(content: Column, pattern: str, *groups: int) -> Column:
     return F.arrays_zip(*(F.regexp_extract_all(content, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups))
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def _listed(items: Column, most: int) -> Column:
     return F.array_join(F.slice(items, 1, most), ", ")
 
@@ -132,7 +136,7 @@ def markdown(files: DataFrame) -> Fragments:
     fences = F.array_distinct(F.regexp_extract_all(_content(), F.lit(r"(?m)^```(\w+)"), F.lit(1)))
     langs = files.select("path", F.explode(fences).alias("l")).where(~F.col("l").isin(*NO_LANGUAGE))
     links = F.slice(F.regexp_extract_all(_content(), F.lit(r"\[[^\]]+\]\(([^)]+\.md[^)]*)\)"), F.lit(1)), 1, MOST_LINKS)
-    linked = files.select("path", F.explode(links).alias("to")).withColumn("to", code.normal_path(F.concat_ws("/", code.folder(_path()), F.substring_index("to", "#", 1))))
+    linked = files.select("path", F.explode(links).alias("to")).withColumn("to", code.joined(_path(), F.substring_index("to", "#", 1)))
     kinds = langs.select(F.lit(None).cast("string").alias("path"), "l").distinct()
     nodes = _union(_doc(files, F.coalesce(F.nullif(text.first_paragraph(_content()), F.lit("")), _join("Markdown: ", _name()))), tree.nodes, _nodes(kinds, _join("lang:", F.col("l")), F.col("l"), "external", _join("Programming language: ", F.col("l"))))
     edges = _union(tree.edges, _edges(langs, _path(), _join("lang:", F.col("l")), "uses"), _edges(linked, _path(), F.col("to"), "references"))
@@ -141,7 +145,7 @@ def markdown(files: DataFrame) -> Fragments:
 
 def rst(files: DataFrame) -> Fragments:
     heads = F.slice(F.regexp_extract_all(_content(), F.lit(r"""(?m)^(.+)\n[=\-~`#"^*+]{3,}\s*$"""), F.lit(1)), 1, MOST_RST)
-    tree = _sections(files.select("path", F.explode(heads).alias("title")).withColumn("title", F.trim("title")))
+    tree = _sections(files.select("path", F.explode(heads).alias("title")).withColumn("title", _strip(F.col("title"))))
     return Fragments(_doc(files, F.coalesce(F.nullif(text.first_paragraph(_content()), F.lit("")), _join("RST document: ", _name()))).unionByName(tree.nodes), tree.edges)
 
 
@@ -156,13 +160,13 @@ def pdf(files: DataFrame) -> Fragments:
     """Of extracted text (`sources.files.document_text`): upper-case or numbered section lines. Texts under 50 characters give nothing."""
     fine = files.where(F.length(F.trim(_content())) >= 50)
     heads = F.slice(F.regexp_extract_all(_content(), F.lit(r"(?m)^(?:\d+\.?\s+)?([A-Z][A-Z\s\-]{4,60})$"), F.lit(1)), 1, MOST_PDF)
-    tree = _sections(fine.select("path", F.explode(heads).alias("title")).withColumn("title", F.trim("title")).where("length(title) >= 5"))
+    tree = _sections(fine.select("path", F.explode(heads).alias("title")).withColumn("title", _strip(F.col("title"))).where("length(title) >= 5"))
     return Fragments(_doc(fine, F.coalesce(F.nullif(text.first_paragraph(_content()), F.lit("")), F.lit("PDF document"))).unionByName(tree.nodes), tree.edges)
 
 
 def docx(files: DataFrame) -> Fragments:
     """Of extracted text whose heading lines begin with #: a chain of headings, each below the one before."""
-    lines = F.filter(F.transform(F.split(_content(), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(_content(), "\n"), _strip), lambda x: x != "")
     heads = F.slice(F.transform(F.filter(lines, lambda x: x.startswith("# ")), lambda x: F.substring(x, 3, 100_000)), 1, MOST_DOCX)
     first = F.get(F.filter(lines, lambda x: ~x.startswith("# ")), F.lit(0))
     each = files.select("path", heads.alias("h")).select("path", "h", F.posexplode("h").alias("i", "title")).withColumn("above", F.when(F.col("i") > 0, F.get("h", F.col("i") - 1)))
@@ -440,5 +444,6 @@ def parse(files: DataFrame, parsers: dict | None = None) -> Fragments:
     """Fragments of all files (path, content), each from the parser of its kind; files of no kind become stubs."""
     parsers = parsers or PARSERS
     df = files.withColumn("kind", kind(_path()))
-    parts = [f(df.where(F.col("kind") == name).drop("kind")) for name, f in parsers.items()]
+    there = {r.kind for r in df.select("kind").distinct().collect()}  # at most as many as there are parsers
+    parts = [f(df.where(F.col("kind") == name).drop("kind")) for name, f in parsers.items() if name in there]
     return reduce(Fragments.__add__, [*parts, stub(df.where("kind is null").drop("kind"))])

@@ -51,6 +51,38 @@ def top_members(nodes: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
     return degrees(nodes, edges).where("community is not null").withColumn("rank", rank).where(F.col("rank") <= n).select("community", F.col("rank").cast("int").alias("rank"), "id", "total")
 
 
+def community_texts(nodes: DataFrame) -> DataFrame:
+    """community, summary: size, main type, first members (no externals) and file names of each community as a sentence."""
+    known = nodes.where("community is not null")
+    by_type = known.groupBy("community", "type").agg(F.count("*").alias("n"))
+    main = by_type.groupBy("community").agg(F.sum("n").alias("n"), F.min_by("type", F.struct((-F.col("n")).alias("n"), "type")).alias("main"))
+    listed = lambda df, c, order, most: df.withColumn("rn", F.row_number().over(W.partitionBy("community").orderBy(*order))).where(F.col("rn") <= most).groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", c))), lambda x: x[c]), ", ").alias(f"{c}s"))
+    labels = listed(known.where("type not in ('external', 'community')"), "label", ("label", "id"), 5)
+    names = known.where("file is not null").select("community", F.element_at(F.split("file", "/"), -1).alias("name")).distinct()
+    d = main.join(labels, "community", "left").join(listed(names, "name", ("name",), 4), "community", "left")
+    more = F.when(F.col("n") > 5, F.concat(F.lit(" (+"), (F.col("n") - 5).cast("string"), F.lit(" more)"))).otherwise("")
+    files = F.when(F.col("names").isNotNull(), F.concat(F.lit(" Files: "), "names", F.lit("."))).otherwise("")
+    return d.select("community", F.concat(F.lit("Community "), F.col("community").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" nodes, primarily "), "main", F.lit("s. Members: "), F.coalesce("labels", F.lit("")), more, F.lit("."), files).alias("summary"))
+
+
+def landmark_lines(nodes: DataFrame, edges: DataFrame, top: int = 25, budget: int = 14_000) -> DataFrame:
+    """pos, line: the `top` best connected nodes, then one node for each community (the best not among them), as list items of at most
+    `budget` characters in all."""
+    d = degrees(nodes, edges)
+    best = d.orderBy(F.desc("total"), "id").limit(top).withColumn("part", F.lit(0))
+    rank = F.row_number().over(W.partitionBy("community").orderBy(F.desc("total"), "id"))
+    rest = d.where("community is not null").join(F.broadcast(best.select("id")), "id", "left_anti").withColumn("rn", rank).where("rn = 1").drop("rn").withColumn("part", F.lit(1))
+    chosen = best.unionByName(rest).orderBy("part", F.desc("total"), "id").limit(budget)  # a line has a character at least
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    line = F.concat(
+        F.lit("- **"), F.coalesce("label", "id"), F.lit("**"), F.when(filled("file"), F.concat(F.lit(" `"), "file", F.lit("`"))).otherwise(""),
+        F.lit(" ("), F.coalesce("type", F.lit("node")), F.lit(", degree "), F.col("total").cast("string"), F.lit(")"), F.when(filled("summary"), F.concat(F.lit(" — "), "summary")).otherwise(""),
+    )
+    order = W.orderBy("part", F.desc("total"), "id")  # at most `budget` rows
+    out = chosen.withColumns({"pos": F.row_number().over(order), "line": line})
+    return out.withColumn("used", F.sum(F.length("line")).over(W.orderBy("pos"))).where(F.col("used") <= budget).select("pos", "line")
+
+
 def cross_community(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges between two different known communities, but for imports of externals."""
     s = nodes.select(F.col("id").alias("src"), F.col("community").alias("sc"))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..registry import query
+from ..registry import ORACLE_SQL, query
 from ..sources.tables import LEDGER_SQL
 from ..streaming import ledger_stream as st
 
@@ -37,6 +37,11 @@ def stream_budget(spark: SparkSession, sf: str) -> DataFrame:
     return _run(st.budgets(_ledger(spark, sf), CAP))
 
 
-@query()
+@query(ORACLE_SQL["debounce"])
 def stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
     return _run(st.debounced(_ledger(spark, sf), "session", 3600.0), "append")
+
+
+@query(L + "SELECT session, tool FROM ledger GROUP BY session, tool")
+def stream_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(st.first_seen(_ledger(spark, sf), "3650 days"), "append").select("session", "tool")

@@ -45,7 +45,7 @@ def scan(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED, l
     inside = F.split(F.regexp_replace("path", r"^.*?" + _escaped(root), ""), "/")
     kept = files.where(F.col("length") <= largest).where(~F.arrays_overlap(inside, F.array(*[F.lit(x) for x in excluded]))).withColumn("type", file_type(F.col("path"))).where("type <> 'other'")
     columns = ["path", "length", F.col("modificationTime").alias("modified"), "type"]
-    return kept.select(*columns, F.decode("content", F.lit("UTF-8")).alias("content")) if with_content else kept.select(*columns)
+    return kept.select(*columns, F.decode("content", "UTF-8").alias("content")) if with_content else kept.select(*columns)
 
 
 def below(path: Column, root: str) -> Column:
@@ -135,7 +135,7 @@ def cost_view(report: DataFrame, price: float = 3.0) -> DataFrame:
 
 def benchmark_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The summary (first line) and the questions of a line-JSON benchmark file, both as JSON text in order."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("i", "json"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("i", "json"))
     return rows.where("i = 0").select("json"), rows.where("i > 0").select((F.col("i") - 1).alias("i"), "json")
 
 

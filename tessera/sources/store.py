@@ -167,7 +167,7 @@ class Store:
     def read_text(self, name: str) -> str | None:
         if not self.exists(name):
             return None
-        rows = self.spark.read.option("wholetext", True).text(f"{self.root}/{name}").collect()
+        rows = self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect()
         return "".join(r.value for r in rows)
 
     def write_text(self, name: str, body: str) -> bool:

@@ -26,7 +26,7 @@ def test_graph_and_sinks(spark, tmp_path):
     assert len(root.findall(".//{*}node")) == 2 and len(root.findall(".//{*}edge")) == 1
     text = "\n".join(r.line for r in sinks.cypher(nodes, edges).collect())
     assert "CO_USES" in text and "B\\'s" in text
-    assert json.loads(sinks.canvas(nodes).collect()[1].line)["x"] == 300
+    assert json.loads(sinks.canvas(nodes, edges).where("part = 0").orderBy("line").collect()[1].line)["x"] == 300
     assert "| a |" in sinks.markdown_report({"Nodes": nodes.select("id")})
 
 

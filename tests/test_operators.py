@@ -78,3 +78,144 @@ def test_next_fit_and_packages(spark):
     assert got == {4: 0, 1: 1, 2: 2, 3: 2, 5: 2}
     m = spark.createDataFrame([("./a",), ("@x/y/z",), ("lodash/fp",)], "m string").select(code.package_of(F.col("m")).alias("p"))
     assert [r.p for r in m.collect()] == ["./a", "pkg:@x/y", "pkg:lodash"]
+
+
+def test_similar_pairs_lose_no_link(spark):
+    """Templates of which nearly all buckets are mixed, chains, and a large group of near copies, against all pairs."""
+    import random
+
+    r = random.Random(7)
+    rows = []
+    for t in range(3):
+        common = [f"t{t}w{i}" for i in range(40)]
+        for g in range(6):
+            own = [f"t{t}g{g}w{i}" for i in range(14)]
+            rows += [common + own + [f"x{r.random()}" for _ in range(r.randint(0, 3))] for _ in range(4)]
+    chain = [f"c{i}" for i in range(60)]
+    rows += [chain[i : i + 30] for i in range(0, 30, 2)]
+    big = [f"b{i}" for i in range(50)]
+    rows += [[*big, f"y{i}"] for i in range(120)]
+    sets = [set(x) for x in rows]
+    d = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "id long, s array<string>")
+    got = search.similar_pairs(d, 0.82).collect()
+    jac = lambda a, b: len(a & b) / len(a | b)
+    assert all(x.a < x.b and jac(sets[x.a], sets[x.b]) >= 0.82 for x in got)
+
+    def groups(pairs):
+        head = list(range(len(sets)))
+
+        def find(i):
+            while head[i] != i:
+                i = head[i]
+            return i
+
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            head[b] = a
+        return [find(i) for i in range(len(sets))]
+
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if jac(sets[i], sets[j]) >= 0.82]
+    assert groups((x.a, x.b) for x in got) == groups(want)
+    assert len(got) < len(want)
+
+
+def test_representatives_estimate_pairs(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, 1, "long text", base), (1, 2, "short", base), (1, 3, "mid one", base[:55] + ["z"]), (2, 9, "alone", ["q"])]
+    d = spark.createDataFrame(rows, "component long, id long, text string, s array<string>")
+    r = search.representatives(d).collect()
+    pairs = [1.0, 55 / 61, 55 / 61]
+    assert len(r) == 1 and (r[0].representative, r[0].members) == (1, 3) and abs(r[0].similarity - sum(pairs) / 3) < 0.06
+
+
+def test_next_fit_is_one_packing(spark):
+    import random
+
+    r = random.Random(1)
+    for cap in (50, 97):
+        sizes = [r.randint(0, 120) for _ in range(400)]
+        d = spark.createDataFrame(list(enumerate(sizes)), "id long, tokens long").repartition(5)
+        got = {x.id: x.batch for x in search.next_fit(d, cap).collect()}
+        batch, used, want = -1, cap + 1, {}
+        for i in sorted(range(400), key=lambda i: (-sizes[i], i)):
+            if used + sizes[i] > cap or used > cap:
+                batch, used = batch + 1, 0
+            used += sizes[i]
+            want[i] = batch
+        assert got == want
+
+
+def test_louvain_finds_planted_groups(spark):
+    from tessera.operators import communities
+
+    rows = []
+    for g in range(5):
+        m = [f"g{g}n{i}" for i in range(8)]
+        rows += [(a, b, "r") for i, a in enumerate(m) for b in m[i + 1 :]]
+        rows.append((m[0], f"g{(g + 1) % 5}n1", "r"))
+    e = spark.createDataFrame(rows, "src string, dst string, relation string")
+    ids = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().unionByName(spark.createDataFrame([("alone",)], "id string"))
+    found = {r.id: r.community for r in communities.louvain(ids, e, 2, 4).collect()}
+    assert all(found[f"g{g}n{i}"] == f"g{g}n0" for g in range(5) for i in range(8)) and found["alone"] == "alone"
+    q = lambda df: communities.modularity(df, e).first().q
+    two_m = 2 * len(rows)
+    assert q(ids.withColumn("community", F.substring("id", 1, 2))) == pytest.approx(5 * (2 * 28 / two_m - (58 / two_m) ** 2))
+    n = ids.withColumns({"community": F.lit(3), "file": F.lit("f")})
+    assert communities.cluster(n, e, previous=41) is n  # hardly changed: communities stay
+    again = communities.cluster(n, e, previous=10)
+    assert again.select("community").distinct().count() == 6 and again.where("id = 'alone'").first().community == 5
+
+
+def test_shortest_path(spark):
+    e = spark.createDataFrame([("a", "b", "r"), ("b", "c", "r"), ("a", "x", "r"), ("x", "c", "r"), ("c", "a", "r"), ("c", "d", "r")], "src string, dst string, relation string")
+    path = lambda a, b: [(r.hop, r.path) for r in traverse.shortest_path(e, a, b).collect()]
+    assert path("a", "d") == [(3, ["a", "b", "c", "d"])] and path("d", "a") == [] and path("a", "a") == [(0, ["a"])] and path("a", "nowhere") == []
+
+
+def test_debounce_streams_long_keys(spark):
+    df = spark.range(50_000).select((F.col("id") % 2).alias("session"), F.col("id").alias("call"), F.timestamp_seconds(F.col("id") / 10).alias("ts"))
+    got = ledger.debounce(df, "session", 1.0)
+    assert got.count() == 2 * 5000 and got.where("session = 0 and call % 10 <> 0").count() == 0
+
+
+def test_paths_and_imports(spark):
+    d = spark.createDataFrame([("a/b/c.ts", "../x/./y"), ("a/b/c.ts", "./z"), ("c.ts", "../../q"), ("a/c.ts", "@s/p/r"), ("a/c.ts", "lib/sub")], "p string, m string")
+    assert [r.t for r in d.select(code.import_target(F.col("m"), F.col("p")).alias("t")).collect()] == ["a/x/y", "a/b/z", "../../q", "pkg:@s/p", "pkg:lib"]
+
+
+def test_prewarm_and_progress(spark, tmp_path):
+    from tessera.streaming import ledger_stream as st
+
+    for i, name in enumerate(("auth.py", "user_service.py")):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i}.json").write_text('{"path": "%s"}\n' % name)
+    saved = {}
+    q = st.rebuild_on(spark.readStream.schema("path string").json(str(tmp_path / "in")), st.prewarm(lambda q: q.upper() if "auth" in q else None, saved.__setitem__, 4), str(tmp_path / "state"))
+    q.awaitTermination()
+    assert saved["what does auth do?"] == "WHAT DOES AUTH DO?" and len(saved) <= 4
+    assert st.progress(q, 2) == {"status": "complete", "files_done": 2, "files_total": 2, "percent": 100}
+
+
+def test_shared_folder_is_asked_for(spark):
+    from tessera.operators import keep as k
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "yarn"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    with pytest.raises(ValueError):
+        k.shared_dir(Session)
+    kept = keep(spark.range(3))
+    k.discard(kept)
+    d = k.ranked(spark.range(1000).repartition(7), F.desc("id")).collect()
+    assert all(r["rank"] == 999 - r.id for r in d)
