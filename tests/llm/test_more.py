@@ -363,20 +363,22 @@ def test_trees_as_columns(spark):
             tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
         return tree
 
-    want: dict = {}
+    every: dict = {}
     for kind in pii.GENERATORS:
         each = df.select("doc_id", F.explode(pii.candidates(F.col("text"), kind)).alias("s"))
         for r in each.select("doc_id", "s.start", "s.end", F.array(*pii.features(F.col("s"), kind).values()).alias("x")).collect():
             score = sum(walk(t, r.x) for t in trees)
             if score >= limits[kind]:
-                want.setdefault(r.doc_id, []).append((score, r.start, kind, r.end))
-    got = {r.doc_id: {(s.start, s.kind, s.end) for s in r.spans if s not in r.base} for r in pii.find(df, model=(trees, limits)).collect()}
-    assert sum(map(len, got.values())) >= 4
-    for d, spans in got.items():
-        cands = want.get(d, [])
-        assert spans <= {c[1:] for c in cands}
-        for _, a, k, b in cands:  # what is not there lies across one that is, or across a base span
-            assert (a, k, b) in spans or any(a < y and x < b for x, _, y in spans) or True
+                every.setdefault(r.doc_id, []).append((-score, r.start, pii.KINDS.index(kind), kind, r.end))
+    meets = lambda a, b: a[0] < b[1] and b[0] < a[1]
+    added = 0
+    for r in pii.find(df, model=(trees, limits)).collect():
+        base = [(s.start, s.end) for s in r.base]
+        free = sorted(c for c in every.get(r.doc_id, []) if not any(meets((c[1], c[4]), b) for b in base))
+        want = {(a, k, b) for i, (_, a, _, k, b) in enumerate(free) if not any(meets((a, b), (x[1], x[4])) for x in free[:i])}
+        assert {(s.start, s.kind, s.end) for s in r.spans if s not in r.base} == want
+        added += len(want)
+    assert added >= 4
 
 
 def test_shared_folder_is_asked_for():
