@@ -35,5 +35,13 @@ def test_null_and_repeated_ids(spark):
     want = [(1, text(1)), (2, text(2)), (3, text(3)), (5, text(5)), (5, text(6)), (None, text(7)), (None, text(8))]
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
+    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "", None, None, 0), (3, "a b", "en", "s", 3), (3, "a b", "en", "s", 3)], docs.schema)
+    assert corpus_pipeline.quality_rules(spark, odd, SF).count() == 0
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, odd, SF).collect()) == [1, 3]
+    for stage in (corpus_pipeline.repeated_passages, corpus_pipeline.personal_data):
+        assert sorted(((r.doc_id or 0, r.text, r.n_chars) for r in stage(spark, odd, SF).collect())) == [(0, "", 0), (1, "", 0), (2, "", 0), (3, "a b", 3), (3, "a b", 3)]
+    assert corpus_pipeline.packed(spark, odd, SF).count() == 5
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.where("false"), SF).count() == 0
     left = corpus_pipeline.personal_data(spark, corpus_pipeline.repeated_passages(spark, kept, SF), SF)
     assert left.count() == len(want) and left.where("doc_id is null and n_chars > 0").count() == 2
