@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .graph import degrees
-from .keep import discard, keep_marked, ranked
+from .keep import discard, keep_marked
 from .keep import keep as put_aside
 
 #: Levels that a plan may hold unrolled; beyond it each level is written, as plans double with each.
@@ -123,13 +123,9 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int = 8) ->
 
 
 def connected_components(ids: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """id, component (smallest id of the undirected component). Alternating large-star and small-star rounds over ranks of the ids, to
-    the fixed point; each round is written, and the write itself says whether anything changed. `keep` is not needed any more."""
-    flat = edges.where("src <> dst").select("src", "dst")
-    ends = put_aside(flat.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
-    number = put_aside(ranked(ends, "id", name="n"))
-    to = lambda side: number.withColumnsRenamed({"id": side, "n": f"{side}_n"})
-    pairs = flat.join(to("src"), "src").join(to("dst"), "dst").select(F.greatest("src_n", "dst_n").alias("u"), F.least("src_n", "dst_n").alias("v")).distinct()
+    """id, component (smallest id of the undirected component). Alternating large-star and small-star rounds, to the fixed point; each
+    round is written, and the write itself says whether anything changed. `keep` is not needed any more."""
+    pairs = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     now, mark = keep_marked(pairs, "u", "v")
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -142,9 +138,7 @@ def connected_components(ids: DataFrame, edges: DataFrame, keep: Callable[[DataF
         discard(old)
         if mark == before:
             break
-    root = now.join(number.withColumnsRenamed({"id": "component", "n": "v"}), "v").select("u", "component")
-    named = number.withColumnRenamed("n", "u").join(root, "u").select("id", "component")
-    return ids.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return ids.join(now.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
 def label_propagation(ids: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFrame], rounds: int = 5) -> DataFrame:
