@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, lm, packing, pii, quality, sentence_pieces, simhash, suffix_dedup, toxicity
+from . import ann, codes, html_extract, lm, middle, oracles, packing, pii, quality, sentence_pieces, set_join, simhash, suffix_dedup, toxicity
 from .common import table
 
 
@@ -52,6 +52,21 @@ def op10_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_relational_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    back = middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,6 +80,13 @@ QUERIES = {
         op8_adaptive_dimension_scan,
         op9_aho_corasick_viterbi,
         op10_factorization_machine,
+        op11_heavy_light_join,
+        op12_delta_lloyd,
+        op13_relational_middle,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_heavy_light_join": oracles.SET_JOIN,
+    "op12_delta_lloyd": oracles.CODES,
+    "op13_relational_middle": oracles.FILL_IN_MIDDLE,
+}
