@@ -8,11 +8,13 @@
 3. Sets of at most `boundary` shingles are light: each subset of K from its first shingles is a key, and chance hardly ever makes two sets
    share one. Larger ones are heavy: they scan the inverted lists of single shingles, in which light sets that are large enough for a heavy
    partner stand too. The boundary is where enumerating plus scanning costs least, from the sizes and list lengths of all entries.
-4. Under a key every set meets up to LEADERS sets first (the smallest id in each class of ids): linear in the key's rows, combined before
-   the shuffle. What links becomes components. Keys that still hold several components are finished exactly: all pairs between components
-   for keys of at most LIST rows, else blocks of BLOCK rows in units of two blocks, dealt out over tasks. Rows of a key's largest component
-   don't meet each other again, so a large group of near copies costs about one pass.
-5. Every link is judged on whole sets, and components are grown to the fixed point.
+4. Rows of a key stream past up to LEADERS leaders (the first of each class of ids) in order, so a key is linear in its rows and held by
+   nobody; a key that the counts show hot is dealt out over salts, whose leaders meet again. What links becomes components. Keys that still
+   hold several components are finished exactly: all pairs between components for keys of at most LIST rows, else blocks of BLOCK rows in
+   units of two blocks, dealt out over tasks. Rows of a key's largest component don't meet each other again, so a large group of near
+   copies costs about one pass.
+5. A pair goes on if its signatures allow it: every shingle flips one bit of a set's bitmap, so bits that differ bound the difference of
+   the sets from below. Then whole texts are fetched and sets compared. Components are grown to the fixed point.
 
 Rows are judged each by itself: a repeated doc_id is several nodes. Null or empty text, or no words: an empty set, linked with nothing.
 Rows with a null doc_id link like any other; component_id is the smallest doc_id that isn't null, or null if there is none.
@@ -38,6 +40,8 @@ K = 2  #: shingles of an enumerated subset
 SLOTS, CHUNK = 1 << 18, 1 << 14  #: counters of shingles, and counters of a row while they are summed
 LIGHTEST = 4096  #: no set above this size is ever light
 LEADERS, LIST, BLOCK = 4, 64, 256
+HOT = 1 << 20  #: rows of a key, by the counts, from which on it is salted
+BITS = 1024  #: least bits of a signature; sets of more shingles have more
 _SEED = 42
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,13 +112,30 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
 
 
+def signature(s: np.ndarray) -> bytes:
+    """A bit for each residue of a shingle, flipped by every shingle that has it; at least half as many bits as shingles."""
+    bits = max(BITS, 1 << max(0, (len(s) // 2 - 1)).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(a: bytes, b: bytes, na: int, nb: int, least: int = LEAST) -> bool:
+    """Whether signatures allow two sets of these sizes to link; never false for sets that do."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (100 + least) <= (100 - least) * (na + nb)
+
+
 def _prefixes(words: int, least: int, ranks: np.ndarray, partners: np.ndarray):
-    """row, n, prefix (in the common order), and what scanning its lists would cost."""
+    """row, n, prefix (in the common order), signature, and what scanning its lists would cost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(words)
         for b in batches:
-            n, prefix, cost = [], [], []
+            n, prefix, cost, signs = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = of(t)
                 slots = _slot(s)
@@ -123,8 +144,9 @@ def _prefixes(words: int, least: int, ranks: np.ndarray, partners: np.ndarray):
                 prefix.append(s[order].view(np.int64))
                 lists = order[: len(s) - need(len(s), least) + 1]
                 cost.append(len(lists) + float(partners[ranks[slots[lists]]].sum()))
+                signs.append(signature(s))
             flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(p) for p in prefix]))), pa.int32()), pa.array(np.concatenate(prefix), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), flat, pa.array(cost, pa.float64())], names=["row", "n", "prefix", "cost"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), flat, pa.array(signs, pa.binary()), pa.array(cost, pa.float64())], names=["row", "n", "prefix", "sign", "cost"])
 
     return run
 
@@ -144,30 +166,91 @@ def boundary(sizes: list[tuple[int, int, float]], least: int = LEAST) -> int:
     return at
 
 
-def _keys(least: int, light: int):
+#: Kinds of key rows: a subset of a light set, and a light or heavy set in an inverted list.
+SUBSET, LIGHT, HEAVY = 0, 1, 2
+
+
+def _keys(least: int, light: int, ranks: np.ndarray, rows: np.ndarray):
+    """key, salt, id, n, kind; rows: how many rows a shingle of each rank may have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[np.ndarray, int, int, bool, bool]] = []
+            out: list[tuple[np.ndarray, np.ndarray, int, int, int]] = []
             for i, n, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 p = p.values.to_numpy().view(np.uint64)
+                salts = np.maximum(1, rows[ranks[_slot(p)]] // HOT)
                 if n <= light:
                     x, y = np.triu_indices(len(p), 1)
-                    out.append((mix(p[x] * _MIX + p[y] + np.uint64(K)), i, n, False, False))
+                    out.append((mix(p[x] * _MIX + p[y] + np.uint64(K)), np.minimum(salts[x], salts[y]), i, n, SUBSET))
                 if n > light or 100 * n >= least * (light + 1):
-                    out.append((p[: n - need(n, least) + 1], i, n, n > light, True))
+                    lists = n - need(n, least) + 1
+                    out.append((p[:lists], salts[:lists], i, n, HEAVY if n > light else LIGHT))
             many = [len(k) for k, *_ in out]
-            wide = lambda j, kind: pa.array(np.repeat(np.array([x[j] for x in out], kind), many))
-            key = np.concatenate([k for k, *_ in out]).view(np.int64) if out else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), wide(1, np.int64), wide(2, np.int64), wide(3, bool), wide(4, bool)], names=["key", "id", "n", "heavy", "lists"])
+            wide = lambda j, kind: np.repeat(np.array([x[j] for x in out], kind), many)
+            both = lambda j, kind: np.concatenate([x[j] for x in out]) if out else np.empty(0, kind)
+            ids, salts = wide(2, np.int64), both(1, np.int64)
+            salt = np.where(salts > 1, mix(ids.view(np.uint64)) % salts.astype(np.uint64) + np.uint64(1), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(both(0, np.uint64).view(np.int64)), pa.array(salt), pa.array(ids), pa.array(wide(3, np.int32)), pa.array(wide(4, np.int8))], names=["key", "salt", "id", "n", "kind"])
 
     return run
 
 
-def _sets(words: int):
+class _Key:
+    """What is held of the key that streams past: its first row, until there is a second, and its leaders."""
+
+    def __init__(self, key: tuple[int, int], least: int):
+        self.key, self.least, self.first, self.leaders = key, least, None, {}
+        self.salted = key[1] > 0
+
+    def feed(self, i: int, n: int, kind: int, met: list, pairs: list) -> None:
+        if self.first is None:
+            self.first = (i, n, kind)
+            if self.salted:
+                met.append((self.key[0], *self.first, True))
+        elif not self.salted and self.first:
+            met.append((self.key[0], *self.first, False))
+            self.first = ()
+        own = i % LEADERS
+        if self.leaders:
+            met.append((self.key[0], i, n, kind, self.salted and own not in self.leaders))
+        for other, m, k in self.leaders.values():
+            if other != i and 100 * min(n, m) >= self.least * max(n, m) and not kind == k == LIGHT:
+                pairs.append((i, other))
+        self.leaders.setdefault(own, (i, n, kind))
+
+
+def _heads(least: int):
+    """Of rows sorted by key, salt and id: those that aren't alone in their key (other null), and pairs of a row and a leader."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Shingler(words)
+        now = None
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "s"])
+            met: list[tuple] = []
+            pairs: list[tuple[int, int]] = []
+            key, salt, ids, n, kind = (c.to_numpy() for c in b.columns)
+            new = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1
+            for s, e in zip(np.concatenate(([0], new)).tolist(), np.concatenate((new, [len(key)])).tolist(), strict=True):
+                if e - s == 1 and s and e < len(key) and not salt[s]:
+                    continue  # alone
+                at = (int(key[s]), int(salt[s]))
+                if now is None or now.key != at:
+                    now = _Key(at, least)
+                for row in zip(ids[s:e].tolist(), n[s:e].tolist(), kind[s:e].tolist(), strict=True):
+                    now.feed(*row, met, pairs)
+            pairs = list(dict.fromkeys(pairs))
+            rows = [(*m, None) for m in met] + [(None, i, None, None, None, o) for i, o in pairs]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=["key", "id", "n", "kind", "head", "other"])
+
+    return run
+
+
+def _allowed(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb, sa, sb = (c.to_pylist() for c in b.columns[2:])
+            hit = pa.array([100 * min(m, n) >= least * max(m, n) and may_link(x, y, m, n, least) for m, n, x, y in zip(na, nb, sa, sb, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(hit), b.column(1).filter(hit)], names=["a", "b"])
 
     return run
 
@@ -177,11 +260,20 @@ def linked(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
     return 100 * both >= least * (len(a) + len(b) - both)
 
 
-def _judge(least: int):
+def _judge(words: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Shingler(words)
+        held: dict[int, np.ndarray] = {}
+
+        def set_of(i: int, text: bytes) -> np.ndarray:
+            if i not in held:
+                if len(held) >= 64:
+                    held.clear()
+                held[i] = of(text)
+            return held[i]
+
         for b in batches:
-            sets = [[np.frombuffer(x, np.uint64) for x in b.column(c).to_pylist()] for c in (2, 3)]
-            hit = pa.array([linked(x, y, least) for x, y in zip(*sets, strict=True)], pa.bool_())
+            hit = pa.array([linked(set_of(i, x), set_of(j, y), least) for i, j, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(hit), b.column(1).filter(hit)], names=["a", "b"])
 
     return run
@@ -217,13 +309,13 @@ def unit_links(ids: np.ndarray, comps: np.ndarray, minor: np.ndarray, sets: list
     return out
 
 
-def _units(least: int):
+def _units(words: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, of = None, [], Shingler(words)
 
         def out() -> pa.RecordBatch:
             ids, comps, minor, sets = zip(*held, strict=True)
-            pairs = unit_links(np.array(ids), np.array(comps), np.array(minor), [np.frombuffer(s, np.uint64) for s in sets], least)
+            pairs = unit_links(np.array(ids), np.array(comps), np.array(minor), list(sets), least)
             return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
 
         for b in batches:  # sorted by unit; a unit has about two blocks
@@ -232,57 +324,70 @@ def _units(least: int):
                     yield out()
                     held = []
                 now = unit
-                held.append(row)
+                held.append((*row[:3], of(row[3])))
         if held:
             yield out()
 
     return run
 
 
-def links(entries: DataFrame, texts: DataFrame, light: int, words: int = WORDS, least: int = LEAST) -> DataFrame:
-    """a, b: links that span every component of entries (id, n, prefix); texts: id, text (binary) of at least these."""
-    keys = cut(mapped(entries.select("id", "n", "prefix"), _keys(least, light), "key long, id long, n long, heavy boolean, lists boolean", rows=500), "keys")
-    of_class = [F.min(F.when(F.pmod("id", F.lit(LEADERS)) == i, F.col("id"))).alias(f"l{i}") for i in range(LEADERS)]
-    heads = keys.groupBy("lists", "key").agg(F.count("*").alias("m"), *of_class).where("m > 1")
-    met = cut(keys.join(heads, ["lists", "key"]), "met")
-    pairs = met.select("id", F.explode(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("other")).where("id <> other")
-    pairs = cut(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pairs")
-    sets = cut(mapped(texts.join(met.select("id").distinct(), "id", "left_semi"), _sets(words), "id long, s binary"), "sets")
-    sizes = entries.select("id", "n")
+def links(entries: DataFrame, texts: DataFrame, light: int, ranks: np.ndarray, rows: np.ndarray, words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """a, b: links that span every component of entries (id, n, prefix, sign); texts: id, text (binary) of at least these."""
+    made = "key long, id long, n int, kind byte, head boolean, other long"
+    keys = mapped(entries.select("id", "n", "prefix"), _keys(least, light, ranks, rows), "key long, salt int, id long, n int, kind byte", rows=500)
+    heads = cut(mapped(keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "id"), _heads(least), made, rows=20_000), "heads")
+    met = heads.where("other is null").select("key", "id", "n", "kind")
+    salted = heads.where("head").select("key", F.lit(0).alias("salt"), "id", "n", "kind")
+    again = mapped(salted.repartition("key").sortWithinPartitions("key", "id"), _heads(least), made, rows=20_000).where("other is not null")
+    pairs = heads.where("other is not null").select("id", "other").unionByName(again.select("id", "other"))
+    signs = entries.select("id", "n", "sign")
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(signs.toDF("a", "na", "sa"), "a").join(signs.toDF("b", "nb", "sb"), "b")
+        return cut(mapped(both.select("a", "b", "na", "nb", "sa", "sb"), _allowed(least), "a long, b long"), "allowed")
+
+    def judged(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+        both = pairs.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b")
+        return mapped(both.select("a", "b", "ta", "tb"), _judge(words, least), "a long, b long")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
-    def judged(pairs: DataFrame) -> DataFrame:
-        fit = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * least)
-        whole = fit.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        return mapped(whole.select("a", "b", "sa", "sb"), _judge(least), "a long, b long")
+    def fetched(ids: DataFrame) -> DataFrame:
+        return cut(texts.join(cut(ids, "ids"), "id", "left_semi"), "texts")
 
-    found = cut(judged(pairs), "links")
+    first = allowed(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+    whole = fetched(ends(first))
+    found = cut(judged(first, whole), "links")
     comps = components(found).withColumnRenamed("component", "comp")
-    some = met.where("m > 2").select("lists", "key", "id", "n", "heavy", "m").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    some = cut(some, "open")
-    parts = some.groupBy("lists", "key", "comp").agg(F.count("*").alias("size"))
-    split = parts.groupBy("lists", "key").agg(F.count("*").alias("comps"), F.sum("size").alias("rows"), F.max_by("comp", F.struct("size", "comp")).alias("major"), F.max("size").alias("most")).where("comps > 1")
-    rows = cut(some.drop("m").join(split, ["lists", "key"]), "split")
-    few = rows.where(F.col("rows") <= LIST).select("lists", "key", "id", "n", "heavy", "comp")
-    across = few.join(few.toDF("lists", "key", "other", "n2", "heavy2", "comp2"), ["lists", "key"]).where("id < other and comp <> comp2 and (not lists or heavy or heavy2)")
+    some = cut(met.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "open")
+    parts = some.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    split = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("size").alias("rows"), F.max_by("comp", F.struct("size", "comp")).alias("major"), F.max("size").alias("most")).where("comps > 1 and rows > 2")
+    open_ = cut(some.join(split, "key"), "split")
+    few = open_.where(F.col("rows") <= LIST).select("key", "id", "n", "kind", "comp")
+    across = few.join(few.toDF("key", "other", "n2", "kind2", "comp2"), "key").where(f"id < other and comp <> comp2 and not (kind = {LIGHT} and kind2 = {LIGHT})")
     across = across.where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * least).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    rest = judged(cut(across.join(pairs, ["a", "b"], "left_anti"), "pairs"))
-    return found.unionByName(rest).unionByName(mapped(_dealt(rows, sets), _units(least), "a long, b long"))
+    second = allowed(across.join(first, ["a", "b"], "left_anti"))
+    dealt = cut(_dealt(open_), "dealt")
+    rest = fetched(ends(second).unionByName(dealt.select("id")).distinct())
+    units = dealt.join(rest, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    unit = F.concat_ws(" ", "key", "i", "j").alias("unit")
+    return found.unionByName(judged(second, rest)).unionByName(mapped(units.select(unit, "id", "comp", "minor", "text"), _units(words, least), "a long, b long"))
 
 
-def _dealt(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """unit, id, comp, minor, s, sorted by unit, of keys with more than LIST rows: each block of minor rows with every block."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    """key, i, j, id, comp, minor of keys with more than LIST rows: each block of minor rows (i) with every block (j; major ones below 0)."""
     minor = F.col("comp") != F.col("major")
     blocks = lambda n: F.ceil(n / BLOCK)
-    many = rows.where(F.col("rows") > LIST).select("lists", "key", "id", "comp", minor.alias("minor"), blocks(F.col("rows") - F.col("most")).alias("mine"), blocks(F.col("most")).alias("theirs"))
+    many = rows.where(F.col("rows") > LIST).select("key", "id", "comp", minor.alias("minor"), blocks(F.col("rows") - F.col("most")).alias("mine"), blocks(F.col("most")).alias("theirs"))
     at = F.pmod(F.xxhash64("id", F.lit(_SEED)), F.when(F.col("minor"), F.col("mine")).otherwise(F.col("theirs")))
-    placed = many.withColumn("at", at)
-    own = F.transform(F.sequence(F.lit(0).cast("long"), F.col("mine") - 1), lambda j: F.struct(F.least(j, "at").alias("i"), F.greatest(j, "at").alias("j")))
-    to_major = F.transform(F.sequence(F.lit(0).cast("long"), F.col("theirs") - 1), lambda j: F.struct(F.col("at").alias("i"), (-j - 1).alias("j")))
-    from_major = F.transform(F.sequence(F.lit(0).cast("long"), F.col("mine") - 1), lambda i: F.struct(i.alias("i"), (-F.col("at") - 1).alias("j")))
-    dealt = placed.select("id", "comp", "minor", "lists", "key", F.explode(F.when(F.col("minor"), F.concat(own, to_major)).otherwise(from_major)).alias("u"))
-    unit = F.struct("lists", "key", "u.i", "u.j")
-    whole = dealt.select(unit.alias("unit"), "id", "comp", "minor").join(sets, "id")
-    return whole.repartition("unit").sortWithinPartitions("unit").select(F.to_json("unit").alias("unit"), "id", "comp", "minor", "s")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    unit = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    own = F.transform(upto("mine"), lambda j: unit(F.least(j, F.col("at")), F.greatest(j, F.col("at"))))
+    to_major = F.transform(upto("theirs"), lambda j: unit(F.col("at"), -j - 1))
+    from_major = F.transform(upto("mine"), lambda i: unit(i, -F.col("at") - 1))
+    dealt = many.withColumn("at", at).select("key", "id", "comp", "minor", F.explode(F.when(F.col("minor"), F.concat(own, to_major)).otherwise(from_major)).alias("u"))
+    return dealt.select("key", "u.i", "u.j", "id", "comp", "minor")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -295,14 +400,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
         counts[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int64)
     ranks = np.rint(4 * np.log2(counts + 1)).astype(np.uint8)
     chance = counts.mean() + 3 * counts.mean() ** 0.5
-    partners = np.maximum(0, 2 ** (np.arange(256) / 4) - chance) / 2
+    held = np.maximum(0, 2 ** (np.arange(256) / 4) - chance)  # rows of a shingle beyond what its slot holds by chance
     each = first.where("chunk is null").select("row", "doc_id", "n", "digest")
     distinct = cut(each.where("n > 0").groupBy("digest").agg(F.min("row").alias("id"), F.min("doc_id").alias("least_id")), "distinct-sets")
-    prefixes = mapped(rows.select("row", "text"), _prefixes(words, least, ranks, partners), "row long, n long, prefix array<long>, cost double")
+    prefixes = mapped(rows.select("row", "text"), _prefixes(words, least, ranks, held / 2), "row long, n int, prefix array<long>, sign binary, cost double")
     entries = cut(prefixes.withColumnRenamed("row", "id").join(distinct.select("id"), "id", "left_semi"), "entries")
     sizes = entries.where(F.col("n") <= LIGHTEST).groupBy("n").agg(F.count("*"), F.sum("cost")).collect()  # at most LIGHTEST rows
     light = boundary([tuple(r) for r in sizes], least)
-    spanning = links(entries, rows.select(F.col("row").alias("id"), "text"), light, words, least)
+    spanning = links(entries, rows.select(F.col("row").alias("id"), "text"), light, ranks, np.minimum(held, 2.0**62).astype(np.int64), words, least)
     grouped = components(spanning)
     named = distinct.join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
