@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,6 +43,7 @@ LIGHTEST = 4096  #: no set above this size is ever light
 LEADERS, LIST, BLOCK = 4, 64, 256
 HOT = 1 << 20  #: rows of a key, by the counts, from which on it is salted
 BITS = 1024  #: least bits of a signature; sets of more shingles have more
+MOST_BITS = 1 << 25  #: bits of a test for ids
 _SEED = 42
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -331,6 +333,24 @@ def _units(words: int, least: int):
     return run
 
 
+def may_hold(ids: DataFrame):
+    """A test of ids that is true for all of ids (id) and for few others, so that little more than their texts is shuffled: a bit for each slot
+    of a hash. It has at most MOST_BITS bits; beyond that it lets more through, and the join that follows decides."""
+    bits = min(MOST_BITS, max(1 << 16, 1 << (8 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))).alias("set"))
+    held = np.zeros(bits >> 6, np.int64)
+    for r in words.toLocalIterator():  # at most MOST_BITS / 64 rows
+        held[r.word] = r["set"]
+
+    @F.pandas_udf("boolean")
+    def test(slots: pd.Series) -> pd.Series:
+        s = slots.to_numpy()
+        return pd.Series((held[s >> 6] >> (s & 63)) & 1 == 1)
+
+    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(bits)))
+
+
 def links(entries: DataFrame, texts: DataFrame, light: int, ranks: np.ndarray, rows: np.ndarray, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """a, b: links that span every component of entries (id, n, prefix, sign); texts: id, text (binary) of at least these."""
     made = "key long, id long, n int, kind byte, head boolean, other long"
@@ -354,7 +374,8 @@ def links(entries: DataFrame, texts: DataFrame, light: int, ranks: np.ndarray, r
         return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def fetched(ids: DataFrame) -> DataFrame:
-        return cut(texts.join(cut(ids, "ids"), "id", "left_semi"), "texts")
+        ids = cut(ids, "ids")
+        return cut(texts.where(may_hold(ids)("id")).join(ids, "id", "left_semi"), "texts")
 
     first = allowed(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
     whole = fetched(ends(first))
