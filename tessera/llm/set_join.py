@@ -338,7 +338,7 @@ def may_hold(ids: DataFrame):
     of a hash. It has at most MOST_BITS bits; beyond that it lets more through, and the join that follows decides."""
     bits = min(MOST_BITS, max(1 << 16, 1 << (8 * ids.count()).bit_length()))
     slot = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))).alias("set"))
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("set"))
     held = np.zeros(bits >> 6, np.int64)
     for r in words.toLocalIterator():  # at most MOST_BITS / 64 rows
         held[r.word] = r["set"]
@@ -389,18 +389,42 @@ def links(entries: DataFrame, texts: DataFrame, light: int, ranks: np.ndarray, r
     across = few.join(few.toDF("key", "other", "n2", "kind2", "comp2"), "key").where(f"id < other and comp <> comp2 and not (kind = {LIGHT} and kind2 = {LIGHT})")
     across = across.where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * least).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     second = allowed(across.join(first, ["a", "b"], "left_anti"))
-    dealt = cut(_dealt(open_), "dealt")
+    dealt = cut(_dealt(_pooled(open_)), "dealt")
     rest = fetched(ends(second).unionByName(dealt.select("id")).distinct())
     units = dealt.join(rest, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     unit = F.concat_ws(" ", "key", "i", "j").alias("unit")
     return found.unionByName(judged(second, rest)).unionByName(mapped(units.select(unit, "id", "comp", "minor", "text"), _units(words, least), "a long, b long"))
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """rows (key, id, comp) with their key's rows, major component, its rows (most), and the rows that its units would have (cost); keys with
+    one component fall out."""
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    split = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("size").alias("rows"), F.max_by("comp", F.struct("size", "comp")).alias("major"), F.max("size").alias("most")).where("comps > 1").drop("comps")
+    minor, mine, theirs = F.col("rows") - F.col("most"), F.ceil((F.col("rows") - F.col("most")) / BLOCK), F.ceil(F.col("most") / BLOCK)
+    return rows.join(split.withColumn("cost", minor * (mine + theirs) + F.col("most") * mine), "key")
+
+
+def _pooled(rows: DataFrame) -> DataFrame:
+    """Rows of keys with more than LIST rows, by key or pooled. A group of near copies shares dozens of keys, under each of which its rows
+    would meet again; keys that have rows in common are pooled to one where the pool's units have fewer rows than those of its keys."""
+    hot = cut(_sized(rows.where(F.col("rows") > LIST).select("key", "id", "comp")), "hot")
+    even, odd = F.shiftleft("id", 1), F.shiftleft("key", 1).bitwiseOR(1)  # ids and keys as nodes of one graph
+    found = components(hot.select(even.alias("a"), odd.alias("b"))).withColumnRenamed("id", "node")
+    pooled = hot.withColumn("node", even).join(found, "node", "left").withColumn("pool", F.coalesce("component", "node"))
+    pooled = cut(pooled.select("pool", "key", "id", "comp", "cost"), "pools")
+    once = cut(_sized(pooled.select(F.col("pool").alias("key"), "id", "comp").distinct()), "pooled")
+    each = pooled.groupBy("pool", "key").agg(F.first("cost").alias("cost")).groupBy("pool").agg(F.sum("cost").alias("by_key"))
+    better = each.join(once.groupBy(F.col("key").alias("pool")).agg(F.first("cost").alias("cost")), "pool").where("cost <= by_key").select("pool")
+    kept = hot.join(pooled.select("pool", "key", "id").join(better, "pool", "left_anti").select("key", "id"), ["key", "id"], "left_semi")
+    return kept.unionByName(once.join(better.withColumnRenamed("pool", "key"), "key", "left_semi"))
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
-    """key, i, j, id, comp, minor of keys with more than LIST rows: each block of minor rows (i) with every block (j; major ones below 0)."""
+    """key, i, j, id, comp, minor of keys' rows: each block of minor rows (i) with every block (j; major ones below 0)."""
     minor = F.col("comp") != F.col("major")
     blocks = lambda n: F.ceil(n / BLOCK)
-    many = rows.where(F.col("rows") > LIST).select("key", "id", "comp", minor.alias("minor"), blocks(F.col("rows") - F.col("most")).alias("mine"), blocks(F.col("most")).alias("theirs"))
+    many = rows.select("key", "id", "comp", minor.alias("minor"), blocks(F.col("rows") - F.col("most")).alias("mine"), blocks(F.col("most")).alias("theirs"))
     at = F.pmod(F.xxhash64("id", F.lit(_SEED)), F.when(F.col("minor"), F.col("mine")).otherwise(F.col("theirs")))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     unit = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
