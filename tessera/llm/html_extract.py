@@ -1,14 +1,18 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read once into blocks: runs of text between block-level tags, each with its root-to-leaf path of tags and classes. For each
-path, text outside links and punctuation are summed and divided by the path's blocks; both ratios are smoothed along the page
-and fused into one score. What elements say about themselves enters the score as a factor of the path: zero for menus, footers and the
-like (by tag, role or hiding), SOFT for forms and class words such as "ad" or "comments", more than one for declared content.
-A class word on the frame around everything says nothing: marks on an element that holds FRAME of all text are void.
+path, text outside links and punctuation are summed and divided by the path's blocks; both ratios are smoothed along the page,
+fused into one score, and weighed by how much of the page's text the path holds.
 
-Paths with a share THRESHOLD of the best score are chosen. The content node is the deepest element that holds HOLDS of their text, or
-the article around it. Inside it stay the blocks of chosen paths, in declared content also those of paths with a share LOW of
-the best, and headings in front of a block that stays.
+What elements say of themselves enters in three ways. By tag, role or hiding (menus, footers, ...) a path scores 0, and by words for what
+readers or the site add (comments, side bars, cookie notices, ...) next to nothing. Words that often mean an advert or a notice are only
+a doubt: such a path needs as good a ratio as the best other one, and where there is too little text (EVIDENCE) for ratios to tell, the word
+decides. Declared content scores somewhat more. A word on the frame around everything says nothing: marks on an element that holds FRAME
+of all text are void.
+
+Paths with a share THRESHOLD of the best score are chosen, and all their blocks stay, wherever they stand. The content node is the deepest
+element that holds HOLDS of their text (of a paragraph, cell or item: what is around it), or the article or main element around it.
+It adds the blocks in it of paths with a share LOW of the best, unless it is the body. Headings in front of a block that stays stay.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined in page order by an empty line.
 Null or empty html, and pages without text: empty string. Null page_id or url stay null; repeated rows each get a row; extra
@@ -50,16 +54,24 @@ CONTENT = frozenset("article main".split())
 CONTENT_WORDS = frozenset("article content post entry story main body".split())
 BOILERPLATE = frozenset("nav footer aside button select option datalist dialog menu svg canvas object head".split())
 BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay"
-    " sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments disqus reply replies respond related recommended"
-    " share sharing social newsletter subscribe subscription signup login widget pagination pager search skip".split()
+    "cookie cookies consent gdpr popup modal overlay sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments disqus reply"
+    " replies respond related recommended share sharing social newsletter subscribe subscription signup login widget pagination pager search skip".split()
 )
+DOUBTFUL_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner notice notices alert".split())
 #: Before such a word a class word names what is missing or around, as in "no-sidebar".
 MODIFIERS = frozenset("no not has with without is hide".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 
-#: Shares of the best path's score: to be chosen, and to stay inside declared content. Share of the chosen text in the content node.
-THRESHOLD, LOW, HOLDS = 0.25, 0.06, 0.9
+#: Elements that are part of a text, not around one.
+PARTS = frozenset("p li ul ol dl dt dd td th tr tbody thead table blockquote pre figure figcaption address h1 h2 h3 h4 h5 h6".split())
+FRAMES = frozenset("# html body".split())
+
+#: Shares of the best path's score: to be chosen, and to stay inside the content node. Share of the chosen text in the content node.
+THRESHOLD, LOW, HOLDS = 0.2, 0.06, 0.9
+#: Text that a path without a mark must have for ratios to overrule a doubt.
+EVIDENCE = 500
+#: Power of a path's text, as a share of the largest path's, in its score.
+WEIGHT = 0.125
 #: Factors of a path's score.
 SOFT, DECLARED, DECLARED_WORD = 0.02, 1.5, 1.2
 #: A mark on an element with this share of all text, and as many characters outside links, is void.
@@ -69,13 +81,14 @@ KERNEL = (1.0, 0.6, 0.15)
 
 
 class Node:
-    """An element. hard: menu, footer, ... by tag, role or hiding, or inside one; soft: so by its own class words, or a form."""
+    """An element. hard: menu, footer, ... by tag, role or hiding, or inside one; soft: so by its own class words, or a form; doubt: an advert
+    or a notice by its own class words."""
 
-    __slots__ = ("block", "content", "depth", "hard", "heading", "link", "number", "parent", "paragraph", "path", "soft", "tag", "wall", "word")
+    __slots__ = ("block", "content", "depth", "doubt", "hard", "heading", "link", "number", "parent", "paragraph", "path", "soft", "tag", "wall", "word")
 
-    def __init__(self, tag: str, parent: Node | None, number: int, path: int, hard: bool = False, soft: bool = False, word: bool = False):
+    def __init__(self, tag: str, parent: Node | None, number: int, path: int, hard: bool = False, soft: bool = False, word: bool = False, doubt: bool = False):
         inline = tag in INLINE
-        self.tag, self.parent, self.number, self.path, self.soft, self.word = tag, parent, number, path, soft, word
+        self.tag, self.parent, self.number, self.path, self.soft, self.word, self.doubt = tag, parent, number, path, soft, word, doubt
         self.depth = parent.depth + 1 if parent else 0
         self.link = tag == "a" or (parent is not None and parent.link)
         self.heading = tag in HEADINGS or (parent is not None and parent.heading)
@@ -140,7 +153,7 @@ class Page:
         path = parent.path
         if tag not in INLINE:
             path = self.paths.setdefault((path, tag + "".join("." + w for w in sorted(words))), len(self.paths) + 1)
-        node = Node(tag, parent, len(self.nodes), path, hard, soft, plain and bool(words & CONTENT_WORDS))
+        node = Node(tag, parent, len(self.nodes), path, hard, soft, plain and bool(words & CONTENT_WORDS), plain and bool(marks & DOUBTFUL_WORDS))
         self.nodes.append(node)
         self.open.setdefault(tag, []).append(node)
         self._node = node
@@ -229,7 +242,7 @@ class Page:
 
 
 def path_scores(found: list[tuple[str, Node, int]]) -> dict[int, float]:
-    """Fused ratio of each path, by what its blocks hold alone."""
+    """Fused ratio of each path, by what its blocks hold alone, weighed by its text."""
     sums: dict[int, list[float]] = {}
     for text, node, linked in found:
         s = sums.setdefault(node.path, [0, 0, 0, 0])
@@ -250,7 +263,8 @@ def path_scores(found: list[tuple[str, Node, int]]) -> dict[int, float]:
     fused: dict[int, list[float]] = {}
     for (_, node, _), t, p in zip(found, smooth(text_ratio), smooth(mark_ratio), strict=True):
         fused.setdefault(node.path, []).append(math.log1p(t) * math.sqrt(1 + p))
-    return {path: sum(v) / len(v) * math.sqrt(sums[path][1] / sums[path][3]) for path, v in fused.items()}
+    most = max(s[1] for s in sums.values()) or 1
+    return {path: sum(v) / len(v) * math.sqrt(sums[path][1] / sums[path][3]) * (sums[path][1] / most) ** WEIGHT for path, v in fused.items()}
 
 
 def _sum_up(nodes: list[Node], own: dict[int, int]) -> list[int]:
@@ -261,18 +275,51 @@ def _sum_up(nodes: list[Node], own: dict[int, int]) -> list[int]:
     return held
 
 
-def factors(nodes: list[Node], held: list[int]) -> tuple[list[float], list[bool]]:
-    """Each element's factor, and whether it lies in declared content; held: text outside links in each."""
+def factors(nodes: list[Node], held: list[int]) -> tuple[list[float], list[bool], list[bool]]:
+    """Each element's factor, whether it lies in declared content, and whether in doubt; held: text outside links in each."""
     total = held[0]
     out, declared = [1.0] * len(nodes), [False] * len(nodes)
-    marked = [False] * len(nodes)
+    marked, doubtful = [False] * len(nodes), [False] * len(nodes)
     for n in nodes[1:]:
         up = n.parent.number
         void = held[n.number] >= FRAME * total and held[n.number] >= FRAME_TEXT
         marked[n.number] = marked[up] or (n.soft and not void)
+        doubtful[n.number] = doubtful[up] or (n.doubt and not void)
         declared[n.number] = declared[up] or n.tag in CONTENT or n.word
         out[n.number] = 0.0 if n.hard else (SOFT if marked[n.number] else 1.0) * (DECLARED if n.content else DECLARED_WORD if declared[n.number] else 1.0)
-    return out, declared
+    return out, declared, doubtful
+
+
+def scores(found: list[tuple[str, Node, int]], factor: list[float], doubtful: list[bool]) -> list[float]:
+    """Each block's score: its path's ratio by what its elements say; what is in doubt must stand against the best of the others."""
+    ratio = path_scores(found)
+    text: dict[int, int] = {}
+    for t, node, linked in found:
+        if factor[node.number] >= 1 and not doubtful[node.number]:
+            text[node.path] = text.get(node.path, 0) + len(t) - linked
+    best = max(text, key=lambda p: ratio[p], default=None)
+    tells = best is not None and max(text.values()) >= EVIDENCE
+    out = []
+    for _, node, _ in found:
+        low = doubtful[node.number] and not (tells and ratio[node.path] >= ratio[best])
+        out.append(ratio[node.path] * factor[node.number] * (SOFT if low else 1.0))
+    return out
+
+
+def content_node(found: list[tuple[str, Node, int]], chosen: list[bool], nodes: list[Node]) -> Node:
+    """The deepest element around most of the chosen text, and what is around it where it is part of a text or in an article."""
+    own: dict[int, int] = {}
+    for (text, node, linked), yes in zip(found, chosen, strict=True):
+        if yes:
+            own[node.number] = own.get(node.number, 0) + len(text) - linked
+    held = _sum_up(nodes, own)
+    holder = max((n for n in nodes if held[n.number] >= HOLDS * held[0]), key=lambda n: n.depth)
+    if holder.content:
+        while holder.tag not in CONTENT:
+            holder = holder.parent
+    while holder.tag in PARTS or holder.tag in INLINE:
+        holder = holder.parent
+    return holder
 
 
 def extract(page: str | None) -> str:
@@ -284,36 +331,25 @@ def extract(page: str | None) -> str:
     own: dict[int, int] = {}
     for text, node, linked in found:
         own[node.number] = own.get(node.number, 0) + len(text) - linked
-    held = _sum_up(nodes, own)
-    factor, declared = factors(nodes, held)
-    ratio = path_scores(found)
-    score = [ratio[node.path] * factor[node.number] for _, node, _ in found]
+    factor, declared, doubtful = factors(nodes, _sum_up(nodes, own))
+    score = scores(found, factor, doubtful)
     best = max(score)
-    marked_only = all(factor[node.number] < 1 for (_, node, _), s in zip(found, score, strict=True) if s > 0)
-    if best <= 0 or marked_only:
+    fine = [factor[node.number] >= 1 and not doubtful[node.number] for _, node, _ in found]
+    if best <= 0 or not any(yes and s > 0 for yes, s in zip(fine, score, strict=True)):
         return ""
     chosen = [s >= THRESHOLD * best for s in score]
-    own = {}
-    for (text, node, linked), yes in zip(found, chosen, strict=True):
-        if yes:
-            own[node.number] = own.get(node.number, 0) + len(text) - linked
-    held = _sum_up(nodes, own)
-    holder = max((n for n in nodes if held[n.number] >= HOLDS * held[0]), key=lambda n: n.depth)
-    if holder.content:
-        around = holder
-        while around.tag not in CONTENT:
-            around = around.parent
-        holder = around if around.tag == "article" else holder
+    holder = content_node(found, chosen, nodes)
     end = [n.number for n in nodes]  # last element inside each
     for n in reversed(nodes[1:]):
         end[n.parent.number] = max(end[n.parent.number], end[n.number])
+    adds = holder.tag not in FRAMES
     kept, after = [], False
-    for (text, node, _), s, yes in reversed(list(zip(found, score, chosen, strict=True))):
-        if holder.number <= node.number <= end[holder.number]:
-            stays = yes or (declared[node.number] and s >= LOW * best) or (node.heading and after and s > 0)
-            after = stays
-            if stays:
-                kept.append(text)
+    for (text, node, _), s, yes, ok in reversed(list(zip(found, score, chosen, fine, strict=True))):
+        inside = holder.number <= node.number <= end[holder.number]
+        stays = yes or (inside and s >= LOW * best and (declared[node.number] or (adds and ok))) or (node.heading and after and ok and s > 0)
+        after = stays
+        if stays:
+            kept.append(text)
     return "\n\n".join(reversed(kept))
 
 
