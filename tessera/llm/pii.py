@@ -17,6 +17,7 @@ Null or empty text: no spans. Null doc_id stays null; repeated rows each get a r
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -270,6 +271,26 @@ def train(spark: SparkSession, n: int = EXAMPLES, seed: int = SEED) -> tuple[lis
     return trees, limits
 
 
+#: Characters of a piece of text, and pieces of a stretch, by which spans are looked up.
+PIECE, STRETCH = 1024, 64
+
+
+def by_place(items: str, length: Column, span: Callable[[Column], Column]) -> Column:
+    """For each piece of a text of that length the items whose spans reach into it. Stretches of pieces come first, so that each item is
+    looked at about as often as there are stretches, and not for each piece."""
+    inside = lambda x, at, size: (span(x)["start"] < (at + 1) * size) & (span(x)["end"] > at * size)
+    upto = lambda size: F.sequence(F.lit(0).cast("long"), F.floor(length / size))
+    stretches = F.transform(upto(PIECE * STRETCH), lambda i: F.filter(items, lambda x: inside(x, i, PIECE * STRETCH)))
+    # the array is bound once, for all pieces that are looked up in it
+    return F.transform(F.array(stretches), lambda s: F.transform(upto(PIECE), lambda i: F.filter(F.get(s, F.floor(i / STRETCH).cast("int")), lambda x: inside(x, i, PIECE))))[0]
+
+
+def any_near(near: str, span: Column, test: Callable[[Column], Column]) -> Column:
+    """Whether the test holds of an item in the pieces that a span (not empty) reaches into."""
+    pieces = F.sequence(F.floor(span["start"] / PIECE), F.floor((span["end"] - 1) / PIECE))
+    return F.exists(pieces, lambda i: F.exists(F.get(near, i.cast("int")), test))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the columns in carry, base and spans: arrays of (start, ord, kind, end) by start, then kind; all in one projection of the rows."""
     trees, limits = model or train(docs.sparkSession)
@@ -289,10 +310,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     picked = [scored(k) for k in GENERATORS if limits[k] < float("inf")]
     df = df.withColumn("picked", F.concat(*picked) if picked else F.array().cast("array<struct<score:double,span:struct<start:long,ord:int,kind:string,end:long>>>"))
     meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    free = F.filter("picked", lambda c: ~F.exists("base", lambda b: meets(b, c["span"])))
-    df = df.withColumn("free", free)
+    df = df.withColumn("near", by_place("base", F.length("text"), lambda b: b))
+    df = df.withColumn("free", F.filter("picked", lambda c: ~any_near("near", c["span"], lambda b: meets(b, c["span"]))))
+    df = df.withColumn("near", by_place("free", F.length("text"), lambda d: d["span"]))
     better = lambda d, c: (d["score"] > c["score"]) | ((d["score"] == c["score"]) & ((d["span"]["start"] < c["span"]["start"]) | ((d["span"]["start"] == c["span"]["start"]) & (d["span"]["ord"] < c["span"]["ord"]))))
-    best = F.filter("free", lambda c: ~F.exists("free", lambda d: meets(d["span"], c["span"]) & better(d, c)))
+    best = F.filter("free", lambda c: ~any_near("near", c["span"], lambda d: meets(d["span"], c["span"]) & better(d, c)))
     return df.select("doc_id", "text", *(F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)), "base", F.array_sort(F.concat("base", F.transform(best, lambda c: c["span"]))).alias("spans"))
 
 
