@@ -166,7 +166,8 @@ def _grow(prints: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]
 
 def _split(prints: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Spanning links of a very long run: prints within radius bits agree on one of radius + 1 parts of the bits that vary in the
-    run, so the run falls apart by each part in turn, and what is unrelated is hardly ever compared."""
+    run, so the run falls apart by each part in turn, and what is unrelated is hardly ever compared. What is still very long falls
+    apart again, by the bits that vary in it; these get fewer each time."""
     differ = np.bitwise_or.reduce(prints ^ prints[0])
     bits = [1 << i for i in range(64) if int(differ) >> i & 1]
     if len(bits) <= radius:
@@ -179,7 +180,7 @@ def _split(prints: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray
         for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if e - s > 1:
                 own = order[s:e]
-                links += [(own[a], own[b]) for a, b in _grow(prints[own], radius)]
+                links += [(own[a], own[b]) for a, b in (_split if e - s > SPLIT else _grow)(prints[own], radius)]
     return links
 
 
@@ -221,13 +222,13 @@ def _linker(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:  # rows of a key are adjacent, so all before the last key are complete
-            held.append(np.stack([c.to_numpy() for c in batch.columns], 1))
-            if sum(map(len, held)) < 200_000:
+            rows = np.stack([c.to_numpy() for c in batch.columns], 1)
+            last = rows[-1, 0]
+            if sum(map(len, held)) + len(rows) < 200_000 or rows[0, 0] == last:  # too few, or all of one key: nothing is put together yet
+                held.append(rows)
                 continue
-            rows = np.ascontiguousarray(np.concatenate(held))
-            end = int(np.flatnonzero(rows[:, 0] != rows[-1, 0])[-1]) + 1 if (rows[:, 0] != rows[-1, 0]).any() else 0
-            if end:
-                yield out(np.asfortranarray(rows[:end]))
+            end = int(np.searchsorted(rows[:, 0], last))
+            yield out(np.asfortranarray(np.concatenate([*held, rows[:end]])))
             held = [rows[end:]]
         if held and sum(map(len, held)):
             yield out(np.asfortranarray(np.concatenate(held)))
