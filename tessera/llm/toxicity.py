@@ -95,8 +95,8 @@ def fit(labels: np.ndarray, terms: list[np.ndarray], seed: int = SEED) -> Machin
     """Fit on labelled lists of buckets."""
     rng = np.random.default_rng(seed)
     n, toxic = len(labels), int(labels.sum())
-    if not toxic or toxic == n:
-        return Machine(np.empty(0, np.int64), -40.0, np.empty(0), np.empty((0, RANK)), 1.0, 0.0)
+    if not toxic or toxic == n:  # nothing to tell apart: the base rate, smoothed; nothing is toxic where there is no label at all
+        return Machine(np.empty(0, np.int64), float(np.log((toxic + 1) / (n - toxic + 1))) if n else -40.0, np.empty(0), np.empty((0, RANK)), 1.0, 0.0)
     held = np.zeros(n, bool)
     held[rng.permutation(n)[: n // 5]] = True
     flat = np.concatenate(terms).astype(np.int32)
