@@ -38,11 +38,11 @@ from .simhash import components
 
 WORDS, LEAST = 4, 85  #: least: percent of the union
 K = 2  #: shingles of an enumerated subset
-SLOTS, CHUNK = 1 << 18, 1 << 14  #: counters of shingles, and counters of a row while they are summed
+SLOTS, CHUNK = 1 << 22, 1 << 16  #: counters of shingles, and counters of a row while they are summed
 LIGHTEST = 4096  #: no set above this size is ever light
 LEADERS, LIST, BLOCK = 4, 64, 256
 HOT = 1 << 20  #: rows of a key, by the counts, from which on it is salted
-BITS = 1024  #: least bits of a signature; sets of more shingles have more
+BITS = 128  #: least bits of a signature; sets of more shingles have more
 MOST_BITS = 1 << 25  #: bits of a test for ids
 _SEED = 42
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,12 +86,12 @@ def need(n, least: int = LEAST):
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(46)).astype(np.int64)
+    return (h >> np.uint64(42)).astype(np.int64)
 
 
 def _first(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, counts = Shingler(words), np.zeros(SLOTS, np.int64)
+        of, counts = Shingler(words), np.zeros(SLOTS, np.int32)
         names = ["row", "doc_id", "n", "digest", "chunk", "counts"]
         for b in batches:
             sets = [of(t) for t in b.column(2).to_pylist()]
@@ -101,17 +101,19 @@ def _first(words: int):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         cut_ = range(0, SLOTS, CHUNK)
         none = pa.nulls(len(cut_))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64())] * 3 + [none.cast(pa.binary()), pa.array([i // CHUNK for i in cut_], pa.int32()), pa.array([counts[i : i + CHUNK].tobytes() for i in cut_], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64())] * 3 + [none.cast(pa.binary()), pa.array([i // CHUNK for i in cut_], pa.int32()), pa.array([pa.compress(counts[i : i + CHUNK].tobytes(), "zstd", asbytes=True) for i in cut_], pa.binary())], names=names)
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ranks of a chunk's slots: four steps for each doubling of what all tasks counted."""
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            total[c] = total.get(c, 0) + np.frombuffer(x, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
+            total[c] = total.get(c, 0) + np.frombuffer(pa.decompress(x, 4 * CHUNK, "zstd", asbytes=True), np.int32).astype(np.int64)
+    ranks = [np.rint(4 * np.log2(x + 1)).astype(np.uint8).tobytes() for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], names=["chunk", "ranks"])
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -409,9 +411,9 @@ def _pooled(rows: DataFrame) -> DataFrame:
     """Rows of keys with more than LIST rows, by key or pooled. A group of near copies shares dozens of keys, under each of which its rows
     would meet again; keys that have rows in common are pooled to one where the pool's units have fewer rows than those of its keys."""
     hot = cut(_sized(rows.where(F.col("rows") > LIST).select("key", "id", "comp")), "hot")
-    even, odd = F.shiftleft("id", 1), F.shiftleft("key", 1).bitwiseOR(1)  # ids and keys as nodes of one graph
-    found = components(hot.select(even.alias("a"), odd.alias("b"))).withColumnRenamed("id", "node")
-    pooled = hot.withColumn("node", even).join(found, "node", "left").withColumn("pool", F.coalesce("component", "node"))
+    first = hot.groupBy("key").agg(F.min("id").alias("b"))  # the same one for many keys that share their rows
+    found = components(hot.join(first, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    pooled = hot.join(found, "id", "left").withColumn("pool", F.coalesce("component", "id"))
     pooled = cut(pooled.select("pool", "key", "id", "comp", "cost"), "pools")
     once = cut(_sized(pooled.select(F.col("pool").alias("key"), "id", "comp").distinct()), "pooled")
     each = pooled.groupBy("pool", "key").agg(F.first("cost").alias("cost")).groupBy("pool").agg(F.sum("cost").alias("by_key"))
@@ -439,13 +441,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     first = cut(mapped(rows, _first(words), "row long, doc_id long, n long, digest binary, chunk int, counts binary"), "shingled")
-    counts = np.zeros(SLOTS, np.int64)
-    summed = first.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary")
-    for r in summed.collect():  # SLOTS numbers, whatever the input
-        counts[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int64)
-    ranks = np.rint(4 * np.log2(counts + 1)).astype(np.uint8)
-    chance = counts.mean() + 3 * counts.mean() ** 0.5
-    held = np.maximum(0, 2 ** (np.arange(256) / 4) - chance)  # rows of a shingle beyond what its slot holds by chance
+    ranks = np.zeros(SLOTS, np.uint8)
+    summed = mapped(first.where("chunk is not null").select("chunk", "counts").repartition("chunk"), _ranks, "chunk int, ranks binary", rows=64)
+    for r in summed.collect():  # SLOTS bytes, whatever the input
+        ranks[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.ranks, np.uint8)
+    mean = (first.agg(F.sum("n")).first()[0] or 0) / SLOTS
+    held = np.maximum(0, 2 ** (np.arange(256) / 4) - mean - 3 * mean**0.5)  # rows of a shingle beyond what its slot holds by chance
     each = first.where("chunk is null").select("row", "doc_id", "n", "digest")
     distinct = cut(each.where("n > 0").groupBy("digest").agg(F.min("row").alias("id"), F.min("doc_id").alias("least_id")), "distinct-sets")
     prefixes = mapped(rows.select("row", "text"), _prefixes(words, least, ranks, held / 2), "row long, n int, prefix array<long>, sign binary, cost double")
