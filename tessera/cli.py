@@ -13,6 +13,7 @@ from .functions import code
 from .operators import build, context, traverse
 from .sources import files, sinks
 from .sources.store import Store
+from .streaming import progressive
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
     text = lambda *n: (n, {})
     flag = lambda n: ((n,), {"action": "store_true"})
     number = lambda n, d: ((n,), {"type": int, "default": d})
-    add("build", text("root"), flag("--force"), flag("--no-viz"), help="build the graph of a folder")
+    add("build", text("root"), flag("--force"), flag("--no-viz"), flag("--update"), flag("--progressive"), help="build the graph of a folder")
     add("query", text("question"), help="ask the graph")
     add("context", text("question"), number("--budget", 6000), help="context lines for a model")
     add("impact", text("node"), number("--depth", 3), help="what depends on a node")
@@ -58,7 +59,10 @@ def run(spark: SparkSession, argv: list[str]) -> str:
         return "\n".join(json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False) for r in df.limit(most).collect())
 
     if a.command == "build":
-        b = build.build_graph(spark, a.root, a.out, force=a.force, viz=not a.no_viz)
+        if a.progressive:
+            b = progressive.build_progressively(spark, a.root, a.out)
+        else:
+            b = build.build_graph(spark, a.root, a.out, force=a.force, viz=not a.no_viz, only_named=a.update)
         return "unchanged" if b.skipped else json.dumps(b.counts)
     if a.command == "build-status":
         return json.dumps(store.status())
@@ -80,10 +84,10 @@ def run(spark: SparkSession, argv: list[str]) -> str:
     if a.command == "watch":
         from .streaming import ledger_stream
 
-        q = ledger_stream.rebuild_on(ledger_stream.watch_files(spark, a.root), lambda df, i: build.build_graph(spark, a.root, a.out, force=True), f"{a.out}/watch-state", "3 seconds")
+        q = ledger_stream.rebuild_on(ledger_stream.watch_files(spark, a.root), lambda df, i: build.build_graph(spark, a.root, a.out), f"{a.out}/watch-state", "3 seconds")
         q.awaitTermination()
         return "stopped"
-    nodes, edges = spark.read.parquet(f"{a.out}/nodes"), spark.read.parquet(f"{a.out}/edges")
+    nodes, edges = store.frame("nodes"), store.frame("edges")
     engine = Engine(nodes, edges, store=store)
     if a.command == "query":
         return engine.ask(a.question)

@@ -1,4 +1,4 @@
-"""From a folder of files to a graph: scan, leave out what is generated, parse, merge, enrich, cluster, compare, write."""
+"""From a folder of files to a graph: list, parse what changed, merge, enrich, cluster, compare, write."""
 
 from __future__ import annotations
 
@@ -9,11 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import code
 from ..sources import files as source
 from ..sources import sinks
 from ..sources.store import Store
-from . import communities, fragments, git, graph, packages, parse, types
+from . import communities, fragments, git, graph, increment, packages
 from .keep import keep
 
 
@@ -25,37 +24,36 @@ class Build:
     counts: dict = field(default_factory=dict)
 
 
-def merged(files: DataFrame, extract: Callable[[DataFrame], fragments.Fragments] | None = None) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges of files (path, content): parsed, merged, with docstrings and type signatures in the summaries. extract: gives the
-    fragments of files that no parser knows, in place of stubs."""
-    known = files.where(fragments.kind(F.col("path")).isNotNull())
-    found = fragments.parse(known) + (extract or fragments.stub)(files.where(fragments.kind(F.col("path")).isNull()))
-    found = fragments.Fragments(keep(found.nodes, "fragments"), keep(found.edges, "fragments"))
-    first = F.concat_ws("|", F.coalesce("file", F.lit("~")), F.coalesce("summary", F.lit("")))
-    nodes, edges = graph.merge_fragments(found.nodes.withColumns({"community": F.lit(None).cast("int"), "ord": first}), found.edges)
-    sources = files.where(fragments.is_code(F.col("path")))
-    nodes = parse.enrich(nodes, parse.docstrings(sources, code.language(F.col("path"))))
-    return types.enrich(nodes, types.python_types(sources).unionByName(types.typescript_types(sources))), edges
-
-
 def is_unchanged(root: str, store: Store, force: bool = False) -> bool:
     """Whether the tree is clean and its last commit not younger than the graph that is there."""
     status, when = source.git(root, "status", "--short"), source.git(root, "log", "-1", "--format=%ct")
     return status is not None and git.unchanged(not status.strip(), store.modified("nodes"), float(when) if when and when.strip() else None, force)
 
 
-def build_graph(spark: SparkSession, root: str, out: str, extract: Callable | None = None, force: bool = False, viz: bool = True, threshold: float = 0.05) -> Build:
-    """Builds the graph of a folder into `out`: Parquet tables nodes and edges, last_diff, node-link JSON, a report, a page, the status."""
+def build_graph(spark: SparkSession, root: str, out: str, extract: Callable | None = None, force: bool = False, viz: bool = True, threshold: float = 0.05, only_named: bool = False) -> Build:
+    """Builds the graph of a folder into `out`: tables nodes and edges, last_diff, node-link JSON, a report, a page, the status.
+
+    Only files that changed since the build before are read, and only contents not seen under their path are parsed; force parses all.
+    only_named: looks at no other files than those that the working tree names as changed or untracked, where it can say so.
+    """
     store = Store(spark, out)
-    old = (spark.read.parquet(f"{out}/nodes"), spark.read.parquet(f"{out}/edges")) if store.exists("nodes") and store.exists("edges") else None
+    old = (store.frame("nodes"), store.frame("edges")) if store.exists("nodes") and store.exists("edges") else None
     if old and is_unchanged(root, store, force):
         return Build(*old, skipped=True)
     started = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
-    every = source.scan(spark, root, with_content=True)
-    every = keep(every.withColumn("path", source.below(F.col("path"), root)).where(~parse.is_generated(F.col("path"), F.col("content"))), "files")
-    total = every.count()
-    store.write_status("building", 0, total, started, "parsing")
-    nodes, edges = merged(every, extract)
+    store.write_status("building", 0, 1, started, "parsing")
+    named = source.git(root, "status", "--porcelain", "--untracked-files=all") if only_named and not force else None
+    if force:
+        increment.reset(store)
+    only = None if named is None or not store.exists("sources") else git.changed(spark.createDataFrame([(named,)], "content string"))
+    change = increment.update(store, root, extract, force, only)
+    return finish(store, started, change, old, viz, threshold)
+
+
+def finish(store: Store, started: str, change: increment.Change, old: tuple[DataFrame, DataFrame] | None, viz: bool = True, threshold: float = 0.05) -> Build:
+    """The store's merged graph as the current one: clustered, compared with the one before, written in all forms."""
+    spark, out = store.spark, store.root
+    nodes, edges = increment.settle(store)
     nodes, edges = keep(nodes, "nodes"), keep(edges, "edges")
     if old:
         known = old[0].select("id", F.col("community").alias("before"))
@@ -66,9 +64,10 @@ def build_graph(spark: SparkSession, root: str, out: str, extract: Callable | No
     store.save_diff(keep(changes), keep(moved))
     store.replace("nodes", nodes)
     store.replace("edges", edges)
-    nodes, edges = spark.read.parquet(f"{out}/nodes"), spark.read.parquet(f"{out}/edges")
+    nodes, edges = store.frame("nodes"), store.frame("edges")
     sinks.node_link(nodes, edges, f"{out}/graph.json")
-    counts = {"files": total, "nodes": nodes.count(), "edges": edges.count(), "communities": nodes.select("community").distinct().count()}
+    total = increment.sources(store).where("not generated").count()
+    counts = {"files": total, "read": change.read, "parsed": change.parsed, "nodes": nodes.count(), "edges": edges.count(), "communities": nodes.select("community").distinct().count()}
     report = {"Counts": spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts)), "Nodes by type": graph.count_by(nodes, "type", "unknown"), "Best connected": graph.top_by_degree(nodes, edges), "Externals": graph.top_external(nodes, edges)}
     store.write_text("GRAPH_REPORT.md", sinks.markdown_report(report))
     if viz:
@@ -81,7 +80,7 @@ def build_packages(files: DataFrame, parsers: dict | None = None) -> tuple[DataF
     """nodes and edges of files (path, content) with the package they belong to, and the edges across packages. Packages are a column of
     one build, not a build each."""
     own = keep(packages.with_package(files, packages.roots(files)))
-    found = fragments.parse(own, parsers)
+    found = fragments.parse(own, parsers).bare()
     where = own.select(F.col("path").alias("file"), "package")
     nodes = found.nodes.join(where, "file")
     edges = found.edges.join(nodes.select(F.col("id").alias("src"), "package"), "src")

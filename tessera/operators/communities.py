@@ -1,11 +1,12 @@
-"""Communities by modularity: parallel local moving on frames, level by level, and the measure itself."""
+"""Communities by modularity: parallel local moving on frames, level by level, with or without a refinement, and the measure itself."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keep import discard, keep
+from .keep import discard, keep, ranked
+from .traverse import connected_components
 
 
 def modularity(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -34,29 +35,48 @@ def _move(links: DataFrame, own: DataFrame, degree: DataFrame, two_m: float, tur
     return moved.unionByName(own.join(moved, "id", "left_anti"))
 
 
+def _links(edges: DataFrame) -> DataFrame:
+    """a, b, w: both directions of the edges between different nodes, with how many there are."""
+    flat = edges.where("src <> dst")
+    return keep(flat.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(flat.select(F.col("dst").alias("a"), F.col("src").alias("b"))).groupBy("a", "b").agg(F.count("*").cast("double").alias("w")), "links")
+
+
+def _local_moving(links: DataFrame, start: DataFrame, degree: DataFrame, two_m: float, rounds: int, seed: int) -> DataFrame:
+    """id, c: the best state by modularity of some rounds from the start."""
+    best, best_q, now, old = start, _quality(links, start, degree, two_m), start, []
+    for turn in range(rounds):
+        now = keep(_move(links, now, degree, two_m, seed + turn), "moved")
+        q = _quality(links, now, degree, two_m)
+        if q <= best_q + 1e-6:
+            discard(now)
+            break
+        if best is not start:
+            old.append(best)
+        best, best_q = now, q
+    discard(*old)
+    return best
+
+
+def _grown(links: DataFrame, name: DataFrame) -> DataFrame:
+    """Links between what nodes (id) are merged into (to)."""
+    to = lambda side: name.select(F.col("id").alias(side), F.col("to").alias(f"{side}2"))
+    return keep(links.join(to("a"), "a").join(to("b"), "b").groupBy(F.col("a2").alias("a"), F.col("b2").alias("b")).agg(F.sum("w").alias("w")), "links")
+
+
 def louvain(ids: DataFrame, edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
     """id, community (its smallest id). Each level moves nodes between communities for some rounds, half of the nodes at a time so that
     neighbours don't swap, keeps the best state by modularity, and merges each community into one node for the next. Levels end when
-    nothing gains; what a round needs are joins and aggregations on keys of nodes.
+    nothing gains; what a round needs are joins and aggregations on keys of nodes. A community need not be connected: see `leiden`.
     """
-    flat = edges.where("src <> dst")
-    links = keep(flat.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(flat.select(F.col("dst").alias("a"), F.col("src").alias("b"))).groupBy("a", "b").agg(F.count("*").cast("double").alias("w")))
+    links = _links(edges)
     result = keep(ids.select("id", F.col("id").alias("community")))
     two_m = links.agg(F.sum("w")).first()[0]
     for level in range(levels if two_m else 0):
-        degree = keep(links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")))
-        best, best_q = degree.select("id", F.col("id").alias("c")), None
-        now = best
-        for turn in range(rounds):
-            now = keep(_move(links, now, degree, two_m, level * rounds + turn))
-            q = _quality(links, now, degree, two_m)
-            if best_q is not None and q <= best_q + 1e-6:
-                break
-            best, best_q = now, q
-        name = keep(best.join(best.groupBy("c").agg(F.min("id").alias("to")), "c").select("id", "to"))
+        degree = keep(links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "degree")
+        best = _local_moving(links, degree.select("id", F.col("id").alias("c")), degree, two_m, rounds, level * rounds)
+        name = keep(best.join(best.groupBy("c").agg(F.min("id").alias("to")), "c").select("id", "to"), "names")
         old, result = result, keep(result.join(name.withColumnRenamed("id", "community"), "community", "left").select("id", F.coalesce("to", "community").alias("community")))
-        to = lambda side: name.withColumnsRenamed({"id": side, "to": f"{side}2"})  # noqa: B023, E731
-        grown = keep(links.join(to("a"), "a").join(to("b"), "b").groupBy(F.col("a2").alias("a"), F.col("b2").alias("b")).agg(F.sum("w").alias("w")))
+        grown = _grown(links, name)
         done = name.where("id <> to").isEmpty()
         discard(old, links, degree, name)
         links = grown
@@ -65,6 +85,73 @@ def louvain(ids: DataFrame, edges: DataFrame, levels: int = 3, rounds: int = 6)
     return result
 
 
+def _inside(links: DataFrame, own: DataFrame) -> DataFrame:
+    """Links between different nodes of one community of own (id, c)."""
+    of = lambda side: own.select(F.col("id").alias(side), F.col("c").alias(f"c{side}"))
+    return links.where("a <> b").join(of("a"), "a").join(of("b"), "b").where("ca = cb").select("a", "b", "w")
+
+
+def connected_parts(links: DataFrame, own: DataFrame) -> DataFrame:
+    """id, c: every community of own (id, c) cut into its connected parts, each named by its smallest id."""
+    inside = _inside(links, own).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return connected_components(own.select("id"), inside).select("id", F.col("component").alias("c"))
+
+
+def _refined(links: DataFrame, own: DataFrame, degree: DataFrame, two_m: float, rounds: int, seed: int) -> DataFrame:
+    """id, c: a finer state than own, each part connected. Every node starts alone and may join a part of its own community once, if that
+    gains and nobody has joined it."""
+    inside = keep(_inside(links, own), "inside")
+    now = keep(degree.select("id", F.col("id").alias("c")), "refined")
+    for turn in range(rounds):
+        alone = now.groupBy("c").agg(F.count("*").alias("n")).where("n = 1").select("c")
+        free = now.join(alone, "c", "left_semi").select("id").withColumn("free", F.lit(True))
+        moved = _move(inside, now, degree, two_m, seed + turn).withColumnRenamed("c", "to").join(free, "id", "left").join(now, "id")
+        old, now = now, keep(moved.select("id", F.when(F.col("free"), F.col("to")).otherwise(F.col("c")).alias("c")), "refined")
+        discard(old)
+    out = keep(connected_parts(inside, now), "refined")
+    discard(inside, now)
+    return out
+
+
+def leiden(ids: DataFrame, edges: DataFrame, levels: int = 2, rounds: int = 6, refining: int = 2, start: DataFrame | None = None) -> DataFrame:
+    """id, community (its smallest id); every community is connected, and the modularity is at least that of `louvain`.
+
+    From what local moving finds, a level's communities are not merged as wholes: nodes move once more, then each community is refined into
+    connected parts, the parts become the nodes of the next level, and they begin there in the community they came from. So a part that
+    was merged wrongly can leave again. A level keeps its best state, its start included, and what is found at the end is cut into connected
+    parts, so neither can lower the modularity. start: communities (id, community) to begin with, in place of those of local moving.
+    """
+    links = first = _links(edges)
+    two_m = links.agg(F.sum("w")).first()[0]
+    if not two_m:
+        return ids.select("id", F.col("id").alias("community"))
+    inner = keep(links.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("node")), "nodes")
+    own = (start or louvain(ids, edges)).join(inner.select("id"), "id", "left_semi").select("id", F.col("community").alias("c"))
+    for level in range(levels):
+        degree = keep(links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "degree")
+        best = _local_moving(links, own, degree, two_m, rounds, level * (rounds + refining))
+        own = keep(best, "own")
+        name = _refined(links, own, degree, two_m, refining, level * (rounds + refining) + rounds).select("id", F.col("c").alias("to"))
+        done = level == levels - 1 or name.where("id <> to").isEmpty()
+        if done:
+            break
+        old, inner = inner, keep(inner.join(name.withColumnRenamed("id", "node"), "node").select("id", F.col("to").alias("node")), "nodes")
+        own = keep(own.join(name, "id").groupBy(F.col("to").alias("id")).agg(F.min("c").alias("c")), "own")
+        grown = _grown(links, name)
+        discard(old, degree, *([links] if links is not first else []))
+        links = grown
+    found = inner.join(own.withColumnRenamed("id", "node"), "node").select("id", "c")
+    parts = keep(connected_parts(first, keep(found, "found")), "communities")
+    return ids.join(parts, "id", "left").select("id", F.coalesce("c", "id").alias("community"))
+
+
+def split_communities(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """community, parts of the communities of members (id, community) that aren't connected within themselves."""
+    own = keep(members.select("id", F.col("community").alias("c")))
+    parts = connected_parts(_links(edges), own).withColumnRenamed("c", "part")
+    return own.join(parts, "id").groupBy(F.col("c").alias("community")).agg(F.countDistinct("part").alias("parts")).where("parts > 1")
+
+
 def _quality(links: DataFrame, own: DataFrame, degree: DataFrame, two_m: float) -> float:
     inside = links.join(own.withColumnsRenamed({"id": "a", "c": "ca"}), "a").join(own.withColumnsRenamed({"id": "b", "c": "cb"}), "b").agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0))).first()[0]
     spread = own.join(degree, "id").groupBy("c").agg(F.sum("k").alias("k")).agg(F.sum(F.pow(F.col("k") / two_m, F.lit(2)))).first()[0]
@@ -78,9 +165,7 @@ def cluster(nodes: DataFrame, edges: DataFrame, previous: int | None = None, thr
         seen = nodes.agg(F.count("*"), F.count("community")).first()
         if seen[1] and abs(seen[0] - previous) / previous < threshold:
             return nodes
-    found = louvain(nodes.select("id"), edges)
+    found = leiden(nodes.select("id"), edges)
     sizes = found.groupBy("community").agg(F.count("*").alias("n"))
-    from .keep import ranked
-
     number = ranked(sizes, F.desc("n"), F.col("community"), name="number").select("community", F.col("number").cast("int").alias("number"))
     return nodes.drop("community").join(found.join(number, "community").select("id", F.col("number").alias("community")), "id", "left").select(*nodes.columns)

@@ -1,7 +1,8 @@
 """Graph fragments of file contents (path, content): nodes and edges of source code, documents, schemas and configuration.
 
 Every parser gives a Fragments of two frames, without collecting anything: regular expressions and JSON functions of the JVM. `parse`
-sends each file to its parsers by name; `graph.merge_fragments` makes one graph of what they give.
+sends each file to its parsers by name; `graph.merge_fragments` makes one graph of what they give. A row's origin is the file that it
+was found in, also where its node belongs to none, so that a file's rows can be replaced when it changes.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ class Fragments:
     nodes: DataFrame
     edges: DataFrame
 
+    def bare(self) -> Fragments:
+        """Without origins; a node that several files give and none owns is one row."""
+        shared = F.col("file").isNull()
+        nodes = self.nodes.where(~shared).select(*NODE).unionByName(self.nodes.where(shared).select(*NODE).distinct())
+        return Fragments(nodes, self.edges.select(*EDGE))
+
     def __add__(self, other: Fragments) -> Fragments:
         return Fragments(self.nodes.unionByName(other.nodes), self.edges.unionByName(other.edges))
 
@@ -33,13 +40,17 @@ def _col(x: Column | str | None) -> Column:
     return F.lit(x).cast("string") if x is None or isinstance(x, str) else x.cast("string")
 
 
-def _nodes(df: DataFrame, id: Column, label: Column | str, type: Column | str, summary: Column | str, file: Column | None = None, lang: Column | str | None = None) -> DataFrame:
-    values = (id, label, type, F.col("path") if file is None else file, lang, summary)
-    return df.select(*(_col(v).alias(n) for n, v in zip(NODE, values, strict=True)))
+def _nodes(df: DataFrame, id: Column, label: Column | str, type: Column | str, summary: Column | str, file: Column | str | None = None, lang: Column | str | None = None) -> DataFrame:
+    values = (id, label, type, F.col("path") if file is None else None if file is NOWHERE else file, lang, summary)
+    return df.select(*(_col(v).alias(n) for n, v in zip(NODE, values, strict=True)), F.col("path").alias("origin"))
 
 
 def _edges(df: DataFrame, src: Column, dst: Column, relation: Column | str) -> DataFrame:
-    return df.select(*(_col(v).alias(n) for n, v in zip(EDGE, (src, dst, relation), strict=True)))
+    return df.select(*(_col(v).alias(n) for n, v in zip(EDGE, (src, dst, relation), strict=True)), F.col("path").alias("origin"))
+
+
+#: The file of a node that no file owns, such as a package.
+NOWHERE = ""
 
 
 def _join(*parts: Column | str) -> Column:
@@ -92,14 +103,14 @@ def source(files: DataFrame) -> Fragments:
     found = df.select("path", "lang", F.posexplode("d").alias("pos", "d")).select("path", "lang", "pos", "d.*")
     one = found.groupBy("path", "lang", "name").agg(F.min_by("kind", "pos").alias("kind"))
     used = df.select("path", "lang", F.explode("m").alias("module")).withColumn("target", code.import_target(F.col("module"), _path()))
-    stubs = used.where("module not like '.%' and module not like '/%'").select(F.lit(None).cast("string").alias("path"), "target").distinct()
+    stubs = used.where("module not like '.%' and module not like '/%'").select("path", "target").distinct()
     own = _join(_path(), "::", F.col("name"))
     what = F.when(F.col("kind") == "interface", "interface/type").otherwise(F.col("kind"))
     package = F.regexp_replace("target", "^pkg:", "")
     nodes = _union(
         _nodes(df, _path(), _stem(), "module", _join(F.col("lang"), " module: ", _stem()), lang=F.col("lang")),
         _nodes(one, own, F.col("name"), F.col("kind"), _join(F.col("lang"), " ", what, " in ", _stem()), lang=F.col("lang")),
-        _nodes(stubs, F.col("target"), package, "external", _join("External package: ", package)),
+        _nodes(stubs, F.col("target"), package, "external", _join("External package: ", package), NOWHERE),
     )
     edges = _union(
         _edges(one, _path(), own, "defines"),
@@ -137,8 +148,7 @@ def markdown(files: DataFrame) -> Fragments:
     langs = files.select("path", F.explode(fences).alias("l")).where(~F.col("l").isin(*NO_LANGUAGE))
     links = F.slice(F.regexp_extract_all(_content(), F.lit(r"\[[^\]]+\]\(([^)]+\.md[^)]*)\)"), F.lit(1)), 1, MOST_LINKS)
     linked = files.select("path", F.explode(links).alias("to")).withColumn("to", code.joined(_path(), F.substring_index("to", "#", 1)))
-    kinds = langs.select(F.lit(None).cast("string").alias("path"), "l").distinct()
-    nodes = _union(_doc(files, F.coalesce(F.nullif(text.first_paragraph(_content()), F.lit("")), _join("Markdown: ", _name()))), tree.nodes, _nodes(kinds, _join("lang:", F.col("l")), F.col("l"), "external", _join("Programming language: ", F.col("l"))))
+    nodes = _union(_doc(files, F.coalesce(F.nullif(text.first_paragraph(_content()), F.lit("")), _join("Markdown: ", _name()))), tree.nodes, _nodes(langs, _join("lang:", F.col("l")), F.col("l"), "external", _join("Programming language: ", F.col("l")), NOWHERE))
     edges = _union(tree.edges, _edges(langs, _path(), _join("lang:", F.col("l")), "uses"), _edges(linked, _path(), F.col("to"), "references"))
     return Fragments(nodes, edges)
 
@@ -301,10 +311,10 @@ def package_json(files: DataFrame) -> Fragments:
     deps = _union(*(d.select("path", F.explode(f"d.{k}").alias("dep", "version")).withColumn("relation", F.lit(r)) for k, r in kinds.items()))
     scripts = d.select("path", F.explode("d.scripts").alias("name", "run"))
     own, package = _join(_path(), "::script:", F.col("name")), _join("pkg:", F.col("dep"))
-    stubs = deps.groupBy("dep").agg(F.min("version").alias("version"), F.first(F.lit(None).cast("string")).alias("path"))
+    stubs = deps.groupBy("path", "dep").agg(F.min("version").alias("version"))
     nodes = _union(
         _nodes(d, _path(), name, "module", F.coalesce(F.nullif(F.col("d.description"), F.lit("")), _join("npm package ", name, "@", F.coalesce("d.version", F.lit("?"))))),
-        _nodes(stubs, package, F.col("dep"), "external", _join("npm ", F.col("dep"), "@", F.col("version"))),
+        _nodes(stubs, package, F.col("dep"), "external", _join("npm ", F.col("dep"), "@", F.col("version")), NOWHERE),
         _nodes(scripts, own, F.col("name"), "function", _join("npm script: ", F.substring("run", 1, 80))),
     )
     return Fragments(nodes, _union(_edges(deps, _path(), package, F.col("relation")), _edges(scripts, _path(), own, "defines")))
@@ -364,8 +374,7 @@ def pyproject(files: DataFrame) -> Fragments:
     keyed = F.regexp_extract_all(F.col("t"), F.lit(r"(?m)^([\w.-]+)\s*="), F.lit(1))
     deps = d.select("path", F.explode(F.array_distinct(F.concat(listed, keyed))).alias("dep")).where("dep <> 'python' and dep <> ''")
     name = F.coalesce(value("name"), code.base_name(code.folder(_path())))
-    stubs = deps.select(F.lit(None).cast("string").alias("path"), "dep").distinct()
-    nodes = _nodes(d, _path(), name, "module", F.coalesce(value("description"), _join("Python package ", name, "@", F.coalesce(value("version"), F.lit("?"))))).unionByName(_nodes(stubs, _join("pkg:", F.col("dep")), F.col("dep"), "external", _join("Python package ", F.col("dep"))))
+    nodes = _nodes(d, _path(), name, "module", F.coalesce(value("description"), _join("Python package ", name, "@", F.coalesce(value("version"), F.lit("?"))))).unionByName(_nodes(deps, _join("pkg:", F.col("dep")), F.col("dep"), "external", _join("Python package ", F.col("dep")), NOWHERE))
     return Fragments(nodes, _edges(deps, _path(), _join("pkg:", F.col("dep")), "depends_on"))
 
 
@@ -382,8 +391,7 @@ def dockerfile(files: DataFrame) -> Fragments:
     d = files.withColumns({"i": F.regexp_extract_all(_content(), F.lit(r"(?im)^FROM\s+(\S+)"), F.lit(1)), "e": F.regexp_extract_all(_content(), F.lit(r"(?im)^EXPOSE\s+(\d+)"), F.lit(1))})
     images = d.select("path", F.explode(F.array_distinct("i")).alias("name"))
     ports = F.when(F.size("e") > 0, F.concat(F.lit(", ports: "), F.array_join("e", ","))).otherwise("")
-    stubs = images.select(F.lit(None).cast("string").alias("path"), "name").distinct()
-    nodes = _nodes(d, _path(), "Dockerfile", "config", F.concat(F.lit("Docker image from "), F.coalesce(F.get("i", F.lit(0)), F.lit("?")), ports)).unionByName(_nodes(stubs, _join("docker:", F.col("name")), F.col("name"), "external", _join("Base Docker image: ", F.col("name"))))
+    nodes = _nodes(d, _path(), "Dockerfile", "config", F.concat(F.lit("Docker image from "), F.coalesce(F.get("i", F.lit(0)), F.lit("?")), ports)).unionByName(_nodes(images, _join("docker:", F.col("name")), F.col("name"), "external", _join("Base Docker image: ", F.col("name")), NOWHERE))
     return Fragments(nodes, _edges(images, _path(), _join("docker:", F.col("name")), "extends"))
 
 
@@ -443,7 +451,7 @@ PARSERS = {
 def parse(files: DataFrame, parsers: dict | None = None) -> Fragments:
     """Fragments of all files (path, content), each from the parser of its kind; files of no kind become stubs."""
     parsers = parsers or PARSERS
-    df = files.withColumn("kind", kind(_path()))
+    df = keep(files.withColumn("kind", kind(_path())), "kinds")
     there = {r.kind for r in df.select("kind").distinct().collect()}  # at most as many as there are parsers
     parts = [f(df.where(F.col("kind") == name).drop("kind")) for name, f in parsers.items() if name in there]
     return reduce(Fragments.__add__, [*parts, stub(df.where("kind is null").drop("kind"))])

@@ -5,18 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.code import base_name
 
+#: How a path finds its file in a log: by the longest end that both paths have, or the busiest file of the same name.
+LONGEST, BUSIEST = "longest", "busiest"
 
-def by_base_name(log: DataFrame) -> DataFrame:
-    """base, file, n, authors, bug, recent for each file name of a log's files (file, n, authors, bug, recent): the most frequent of
-    the files that share the name (ties: the first by path), and whether any of them was mended or changed lately.
 
-    A node's file belongs to a file of the log if one path ends with the other, which takes equal file names. So the choice among the
-    log's files is an aggregation, and nodes join one row each: no pairs of many with many, however common a name.
-    """
+def ends(path: Column, choice: str = LONGEST) -> Column:
+    """The ends of a path with how many parts they have: util.py, a/util.py, src/a/util.py; only the first for the busiest."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    most = F.size(parts) if choice == LONGEST else F.lit(1)
+    return F.transform(F.sequence(F.lit(1), most), lambda i: F.struct(i.alias("parts"), F.array_join(F.slice(parts, F.size(parts) - i + 1, i), "/").alias("end")))
+
+
+def by_end(log: DataFrame, choice: str = LONGEST) -> DataFrame:
+    """end, file, n, authors, bug, recent for each end of the paths of a log's files (file, n, authors, bug, recent): the most frequent of the
+    files with that end (ties: the first by path), and whether any of them was mended or changed lately. One row for each end, so
+    paths look theirs up and no pairs of many with many are made, however common a name."""
     best = F.min_by(F.struct("file", "n", "authors"), F.struct((-F.col("n")).alias("neg"), "file"))
-    return log.groupBy(base_name(F.col("file")).alias("base")).agg(best.alias("best"), F.bool_or("bug").alias("bug"), F.bool_or("recent").alias("recent")).select("base", "best.*", "bug", "recent")
+    every = log.select("*", F.explode(ends(F.col("file"), choice)).alias("e"))
+    return every.groupBy("e.end").agg(best.alias("best"), F.bool_or("bug").alias("bug"), F.bool_or("recent").alias("recent")).select("end", "best.*", "bug", "recent")
+
+
+def found(paths: DataFrame, known: DataFrame, choice: str = LONGEST) -> DataFrame:
+    """For each of the paths (path) the row of known (end, ...) with the longest end it has; paths without any are left out."""
+    every = paths.where("path is not null").select("path").distinct().select("path", F.explode(ends(F.col("path"), choice)).alias("e"))
+    hits = every.select("path", F.col("e.parts").alias("parts"), F.col("e.end").alias("end")).join(known, "end")
+    rest = [c for c in known.columns if c != "end"]
+    return hits.groupBy("path").agg(F.max_by(F.struct(*rest), "parts").alias("best")).select("path", "best.*")
 
 
 def risk(n: Column, bug: Column, recent: Column) -> Column:
@@ -25,26 +40,29 @@ def risk(n: Column, bug: Column, recent: Column) -> Column:
     return F.round(F.least(score, F.lit(1.0)), 3)
 
 
-def enrich(nodes: DataFrame, log: DataFrame) -> DataFrame:
+def enrich(nodes: DataFrame, log: DataFrame, choice: str = LONGEST) -> DataFrame:
     """nodes with git_frequency, git_bug_fixes, git_recent, git_authors, git_risk_score (null where no file matches) and a note in the
-    summary."""
-    files = by_base_name(log).select("base", F.col("n").alias("git_frequency"), F.col("bug").alias("git_bug_fixes"), F.col("recent").alias("git_recent"), F.col("authors").alias("git_authors"))
-    out = nodes.withColumn("base", base_name(F.col("file"))).join(files, "base", "left").drop("base")
+    summary. A node takes the history of the log's file with the longest end of its path, which is at least the file name."""
+    files = found(nodes.select(F.col("file").alias("path")), by_end(log, choice), choice)
+    files = files.select(F.col("path").alias("file"), F.col("n").alias("git_frequency"), F.col("bug").alias("git_bug_fixes"), F.col("recent").alias("git_recent"), F.col("authors").alias("git_authors"))
+    out = nodes.join(files, "file", "left").select(*nodes.columns, *files.columns[1:])
     out = out.withColumn("git_risk_score", F.when(F.col("git_frequency").isNotNull(), risk(F.col("git_frequency"), F.col("git_bug_fixes"), F.col("git_recent"))))
     note = F.concat(F.lit("[git: "), F.col("git_frequency").cast("string"), F.lit(" commits"), F.when(F.col("git_bug_fixes"), ", has bug fixes").otherwise(""), F.when(F.col("git_recent"), ", recently changed").otherwise(""), F.lit("]"))
     now = F.coalesce("summary", F.lit(""))
     return out.withColumn("summary", F.when(F.col("git_frequency").isNull() | F.contains(now, note), F.col("summary")).otherwise(F.trim(F.concat_ws(" ", now, note))))
 
 
-def coupling(nodes: DataFrame, log: DataFrame, pairs: DataFrame, least: int = 3) -> DataFrame:
+def coupling(nodes: DataFrame, log: DataFrame, pairs: DataFrame, least: int = 3, choice: str = LONGEST) -> DataFrame:
     """src, dst, relation, weight of files (file_a, file_b, n) that change together, between their nodes: the node that a file is the
-    best match of, else a node with that file name. Nodes of one file: the first by id."""
-    owner = nodes.where("file is not null").groupBy(base_name(F.col("file")).alias("base")).agg(F.min("id").alias("node"))
-    exact = by_base_name(log).join(owner, "base").select("file", "node")
+    best match of, else the node with the longest end of its path. Nodes of one file: the first by id."""
+    own = nodes.where("file is not null").groupBy(F.col("file").alias("path")).agg(F.min("id").alias("node"))
+    exact = found(own, by_end(log, choice), choice).join(own, "path").groupBy("file").agg(F.min("node").alias("own"))
     far = pairs.where(F.col("n") >= least)
+    asked = far.select(F.explode(F.array("file_a", "file_b")).alias("path")).distinct()
+    near = own.select("node", F.explode(ends(F.col("path"), choice)).alias("e")).groupBy("e.end").agg(F.min("node").alias("near"))
+    of = asked.join(exact.withColumnRenamed("file", "path"), "path", "left").join(found(asked, near, choice), "path", "left").select("path", F.coalesce("own", "near").alias("node"))
     for side in ("a", "b"):
-        far = far.join(exact.select(F.col("file").alias(f"file_{side}"), F.col("node").alias("own")), f"file_{side}", "left")
-        far = far.withColumn("base", base_name(F.col(f"file_{side}"))).join(owner.withColumnRenamed("node", "near"), "base", "left").withColumn(f"node_{side}", F.coalesce("own", "near")).drop("base", "own", "near")
+        far = far.join(of.toDF(f"file_{side}", f"node_{side}"), f"file_{side}", "left")
     return far.where("node_a is not null and node_b is not null and node_a <> node_b").select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"), F.lit("co_changes_with").alias("relation"), F.col("n").alias("weight"))
 
 

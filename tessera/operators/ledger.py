@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .keep import keep
+
 
 def usage(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("tool").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
@@ -67,24 +69,58 @@ def sessions(ledger: DataFrame, gap_minutes: int) -> DataFrame:
     return numbered.groupBy("session", "part").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
 
 
+def _runs(gap: int):
+    """Adds to rows sorted by key and time the number of their run within the task; a run ends before another key or a pause of `gap`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            out = []
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if last is not None and (key != last[0] or t - last[1] >= gap):
+                    n += 1
+                last = (key, t)
+                out.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "run"])
+
+    return run
+
+
 def _accepted(gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last = None, None
         for batch in batches:
             kept = []
-            for i, (key, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if key != now or last is None or t - last >= gap:
-                    now, last = key, t
+            for i, (part, piece, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)), strict=True)):
+                if (part, piece) != now or t - last >= gap:
+                    now, last = (part, piece), t
                     kept.append(i)
-            yield batch.take(pa.array(kept, pa.int64())).select([0, 2])
+            yield batch.take(pa.array(kept, pa.int64())).select([2, 4])
 
     return run
 
 
 def debounce(ledger: DataFrame, key: str, seconds: float) -> DataFrame:
-    """Calls that come at least `seconds` after the last accepted one of their key. A fold in order of time, which a window over
-    neighbours can't say: rows are sorted by key and time and stream through with the last accepted time, so a key may have any number."""
-    t = F.unix_micros(F.col("ts").cast("timestamp")).alias("t")
-    rows = ledger.select(F.col(key), t, "call").repartition(key).sortWithinPartitions(key, "t", "call")
+    """Calls that come at least `seconds` after the last accepted one of their key: a fold in order of time, which no window can say.
+
+    A row after a pause of at least `seconds` is accepted whatever came before, so runs between such pauses are folded each by itself.
+    Rows are sorted over all tasks by key and time and cut into runs there; what a task's first run continues follows from the tasks' first
+    and last rows. Then runs are dealt out, so a key with all rows is many tasks. A run without any pause streams through one task that
+    holds one time. Rows without a time are left out; a null key is a key.
+    """
     kind = lambda c: ledger.schema[c].dataType.simpleString()
-    return rows.mapInArrow(_accepted(int(seconds * 1e6)), f"{key} {kind(key)}, call {kind('call')}")
+    gap = int(seconds * 1e6)
+    rows = ledger.select(F.col(key).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "call").where("t is not null")
+    placed = rows.repartitionByRange("key", "t", "call").sortWithinPartitions("key", "t", "call")
+    cut = keep(placed.mapInArrow(_runs(gap), f"key {kind(key)}, t long, call {kind('call')}, run long").select("*", F.spark_partition_id().alias("part")), "runs")
+    end = lambda f, c: f(c, F.struct("run", "t", "call")).alias(f"{'first' if f is F.min_by else 'last'}_{c}")
+    ends = cut.groupBy("part").agg(F.max("run").alias("runs"), *(end(f, c) for f in (F.min_by, F.max_by) for c in ("key", "t")))  # a row for each task
+    order = W.orderBy("part")
+    ends = ends.withColumn("goes_on", F.lag("last_key").over(order).eqNullSafe(F.col("first_key")) & (F.col("first_t") - F.lag("last_t").over(order) < gap))
+    own = F.when((F.col("runs") > 0) | ~F.coalesce("goes_on", F.lit(False)), F.struct(F.col("part").cast("long").alias("part"), F.col("runs").alias("run")))
+    ends = ends.withColumn("open", F.last(own, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    before = F.broadcast(ends.select("part", F.coalesce("goes_on", F.lit(False)).alias("goes_on"), "open"))
+    piece = F.when(F.col("goes_on") & (F.col("run") == 0), F.col("open")).otherwise(F.struct(F.col("part").cast("long").alias("part"), "run"))
+    pieces = cut.join(before, "part").withColumn("piece", piece).select(F.col("piece.part").alias("part"), F.col("piece.run").alias("run"), "key", "t", "call")
+    dealt = pieces.repartition("part", "run").sortWithinPartitions("part", "run", "t", "call")
+    return dealt.mapInArrow(_accepted(gap), f"key {kind(key)}, call {kind('call')}").withColumnRenamed("key", key)

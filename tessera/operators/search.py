@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import jaccard, ranking_terms, tokens
-from .keep import ranked
+from .keep import keep, ranked
+from .traverse import connected_components
 
 
 def weighted(nodes: DataFrame) -> DataFrame:
@@ -77,21 +79,70 @@ def dense_top_k(vectors: DataFrame, query: DataFrame, k: int = 15) -> DataFrame:
     return vectors.crossJoin(q).select("vec_id", F.round(dot(F.col("embedding"), F.col("q")), 5).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def _ordered(sets: DataFrame) -> DataFrame:
+    """id, n, x, p: the words of sets (id, s) with their places, rarest first."""
+    words = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("x"))
+    rarity = words.groupBy("x").agg(F.count("*").alias("df"))
+    return words.join(rarity, "x").withColumn("p", F.row_number().over(W.partitionBy("id").orderBy("df", "x"))).drop("df")
+
+
+#: Rows of one key that are paired directly; words of a longest key.
+PAIRED, LONGEST = 64, 3
+
+
+def _fewest(n: str | Column, least: float) -> Column:
+    """Words that a set of n must share with one that similar."""
+    return F.ceil((F.col(n) if isinstance(n, str) else n) * least - 1e-9)
+
+
+def keyed(words: DataFrame, least: float, paired: int = PAIRED, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+    """Keys under which sets of Jaccard `least` and more meet, from their ordered words (id, n, x, p): rows (key, id, n, p) of keys with at
+    most `paired` rows, and of the others. p: the place of the key's last word.
+
+    Sets that similar share a word among the first n - c + 1 of each, c being what they must share (prefix filter). Where a word is in
+    too many sets, its rows get keys of two words, then three: the first k words two sets share are among the first n - c + k of each.
+    So a frequent word costs pairs only of sets that share rarer company, too. Different sets of this Jaccard share as many words as keys
+    are long, or keys stay shorter.
+    """
+    longest = max(1, min(longest, max((k for k in range(1, 10) if least > (k - 1) / k), default=1)))
+    words = keep(words, "words")
+    rows = words.where(F.col("p") <= F.col("n") - _fewest("n", least) + 1).select(F.xxhash64("x").alias("key"), "id", "n", "p")
+    few = []
+    for k in range(1, longest + 1):
+        rows = keep(rows, f"keys{k}")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("m"))
+        few.append(rows.join(sizes.where(F.col("m").between(2, paired)), "key").drop("m"))
+        hot = rows.join(sizes.where(F.col("m") > paired), "key").drop("m")
+        if k == longest:
+            break
+        more = hot.join(words.select("id", "x", F.col("p").alias("q")), "id").where((F.col("q") > F.col("p")) & (F.col("q") <= F.col("n") - _fewest("n", least) + k + 1))
+        rows = more.select(F.xxhash64("key", "x").alias("key"), "id", "n", F.col("q").alias("p"))
+    return reduce(DataFrame.unionByName, few), hot
+
+
+def _met(rows: DataFrame, least: float) -> DataFrame:
+    """a, b (a < b): pairs of rows of one key that sizes and places allow to be that similar, if the key is the first they share."""
+    other = rows.toDF("key", "other", "n2", "p2")
+    both = rows.join(other, "key").where("id < other")
+    most = 1 + F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) + F.lit(LONGEST - 1)
+    needed = F.ceil((F.col("n") + F.col("n2")) * (least / (1 + least)) - 1e-6)
+    fits = (F.least("n", "n2") >= F.greatest("n", "n2") * least - 1e-9) & (most >= needed)
+    return both.where(fits).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+
+
 def earlier_match(questions: DataFrame, least: float = 0.8) -> DataFrame:
     """For each question (id, w: its distinct words) the earlier one of highest Jaccard at or over `least`; ties: the smallest id.
 
-    Equal sets are one entry. Sets this similar share one of their rarest words (prefix filter), so only those are joined.
+    Equal sets are one entry. Entries meet under keys of their rarest words (`keyed`), so only those are joined.
     """
     rows = questions.where(F.size("w") > 0).select("id", F.array_sort("w").alias("w"))
-    entries = rows.groupBy("w").agg(F.min("id").alias("key"))
-    words = entries.select("key", F.size("w").alias("n"), F.explode("w").alias("x"))
-    rarity = words.groupBy("x").agg(F.count("*").alias("df"))
-    order = F.row_number().over(W.partitionBy("key").orderBy("df", "x"))
-    prefix = words.join(rarity, "x").withColumn("rn", order).where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("key", "x")
-    pairs = prefix.join(prefix.withColumnRenamed("key", "other"), "x").select("key", "other").distinct()
+    entries = keep(rows.groupBy("w").agg(F.min("id").alias("key")), "entries")
+    few, hot = keyed(_ordered(entries.select(F.col("key").alias("id"), F.col("w").alias("s"))), least)
+    pairs = _met(few.unionByName(hot), least).select(F.col("a").alias("key"), F.col("b").alias("other"))
     scored = pairs.join(entries.select("key", F.col("w").alias("a")), "key").join(entries.select(F.col("key").alias("other"), F.col("w").alias("b")), "other")
-    scored = scored.select("key", "other", jaccard(F.col("a"), F.col("b")).alias("j")).where(F.col("j") >= least)
-    found = rows.join(entries, "w").select("id", "key").join(scored, "key").where("other < id")
+    scored = keep(scored.select("key", "other", jaccard(F.col("a"), F.col("b")).alias("j")).where(F.col("j") >= least), "scored")
+    each = scored.unionByName(scored.select(F.col("other").alias("key"), F.col("key").alias("other"), "j")).unionByName(entries.select("key", F.col("key").alias("other"), F.lit(1.0).alias("j")))
+    found = rows.join(entries, "w").select("id", "key").join(each, "key").where("other < id")
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("j"), "other"))
     return found.withColumn("rn", rank).where("rn = 1").select("id", F.col("other").alias("key"), F.round("j", 6).alias("similarity"))
 
@@ -106,73 +157,106 @@ def shingles(text: Column, n: int = 4) -> Column:
     return F.transform(F.array(tokens(text)), of)[0]
 
 
-#: Rows of one word that are paired directly; the rows of a more frequent word are grown into groups.
-PAIRED = 64
+#: Rows of a block; two blocks are compared in one unit of work.
+BLOCK = 256
+
+
+def unit_links(ids: list[int], comps: list[int], minor: list[bool], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links between rows of different components, at least one of them minor, that join what isn't joined yet."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    if not sizes.all():
+        raise ValueError("sets must not be empty")
+    flat, word = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    marked, head = np.zeros(len(flat), np.int64), {c: c for c in comps}
 
+    def find(c: int) -> int:
+        while head[c] != c:
+            head[c] = c = head[head[c]]
+        return c
 
-def _jaccard_grow(words: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
-    """Links that span the groups of similar sets: the frontier of a group against what is not yet in one."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    flat, row = np.concatenate(words), np.repeat(np.arange(len(words)), sizes)
-    rest = np.ones(len(words), bool)
-    for start in range(len(words)):
-        if not rest[start]:
-            continue
-        rest[start], frontier = False, [start]
-        while frontier:
-            now = frontier.pop()
-            open_ = rest[row]
-            both = np.bincount(row[open_][np.isin(flat[open_], words[now])], minlength=len(words))
-            hit = np.flatnonzero(rest & (both >= least * (sizes + sizes[now] - both) - 1e-9))
-            rest[hit] = False
-            frontier.extend(hit.tolist())
-            yield from ((now, h) for h in hit.tolist())
-            flat, row = flat[open_], row[open_]
+    out = []
+    for x in np.flatnonzero(minor).tolist():
+        own = word[start[x] : start[x] + sizes[x]]
+        marked[own] = 1
+        both = np.add.reduceat(marked[word], start)
+        marked[own] = 0
+        for y in np.flatnonzero(both >= least * (sizes + sizes[x] - both) - 1e-9).tolist():
+            u, v = find(comps[x]), find(comps[y])
+            if u != v:
+                head[u] = v
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+    return out
 
 
-def _grown(least: float):
+def _units(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, words = None, [], []
+        now, held = None, []
 
         def out() -> pa.RecordBatch:
-            pairs = [(ids[a], ids[b]) for a, b in _jaccard_grow(words, least)]
-            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
+            pairs = unit_links(*(list(c) for c in zip(*held, strict=True)), least)
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        for batch in batches:  # sorted by word
-            for x, i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if x != now and ids:
+        for batch in batches:  # sorted by unit, each of about two blocks
+            for key, i, j, id_, comp, minor, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != now and held:
                     yield out()
-                    ids, words = [], []
-                now = x
-                ids.append(i)
-                words.append(np.unique(np.array(s, np.int64)))
-        if ids:
+                    held = []
+                now = (key, i, j)
+                held.append((id_, comp, minor, np.unique(np.array(s, np.int64))))
+        if held:
             yield out()
 
     return run
 
 
+def dealt(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Blocks of keys whose rows (key, id, n, comp) are in several components: the rows with their block (key, id, comp, minor, n, at), and the
+    blocks with the sizes in them (key, minor, at, low, high). Rows outside of a key's largest component are minor. A block has about
+    `block` rows of neighbouring sizes: it follows from how many rows are smaller, and within one size from the id."""
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    split = parts.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("major")).where("comps > 1").drop("comps")
+    side = rows.join(split, "key").withColumn("minor", F.col("comp") != F.col("major")).drop("major")
+    sizes = side.groupBy("key", "minor", "n").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(W.partitionBy("key", "minor").orderBy("n")) - F.col("c")
+    spread = sizes.withColumn("before", before)  # a row for each size
+    at = F.floor((F.col("before") + F.pmod(F.xxhash64("id"), F.col("c"))) / block)
+    placed = keep(side.join(spread, ["key", "minor", "n"]).select("key", "id", "comp", "minor", "n", at.alias("at")), "placed")
+    blocks = placed.groupBy("key", "minor", "at").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    return placed, blocks
+
+
 def similar_pairs(docs: DataFrame, least: float) -> DataFrame:
     """a, b (a < b): links of rows (id, s: a set) with Jaccard at or over `least`; every group of such rows is spanned, no link
     between different groups is lost, and not all pairs within a group are made.
 
-    Sets this similar share one of their rarest words (prefix filter), which is exact where banded signatures only likely find a
-    pair. Words of at most PAIRED rows pair them; the rows of a more frequent word grow into groups in one pass over them each.
-    Equal sets are one row before.
+    Sets meet under keys of one to LONGEST of their rarest words (`keyed`). Keys of at most PAIRED rows pair them. What shares a whole key and
+    is still many, as near copies of one text are, meets the key's first row; what is then in one component needs no more, and the rest
+    is compared in units of two blocks, dealt out over tasks. Equal sets are one row before; empty sets are linked with nothing.
     """
-    sets = docs.where(F.size("s") > 0).select("id", F.transform("s", lambda x: F.xxhash64(x)).alias("s"))
-    words = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("x"))
-    rarity = words.groupBy("x").agg(F.count("*").alias("df"))
-    order = F.row_number().over(W.partitionBy("id").orderBy("df", "x"))
-    prefix = words.join(rarity, "x").withColumn("rn", order).where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("x", "id")
-    often = prefix.groupBy("x").agg(F.count("*").alias("m"))
-    few = prefix.join(often.where(F.col("m").between(2, PAIRED)), "x").select("x", "id")
-    pairs = few.join(few.withColumnRenamed("id", "other"), "x").where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    near = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    near = near.where(jaccard(F.col("sa"), F.col("sb")) >= least).select("a", "b")
-    hot = prefix.join(often.where(F.col("m") > PAIRED), "x").join(sets, "id").select("x", "id", "s")
-    grown = hot.repartition("x").sortWithinPartitions("x", "id").mapInArrow(_grown(least), "a long, b long")
-    return near.unionByName(grown).distinct()
+    sets = keep(docs.where(F.size("s") > 0).select("id", F.transform("s", lambda x: F.xxhash64(x)).alias("s")), "sets")
+    few, hot = keyed(_ordered(sets), least)
+    hot = keep(hot, "hot")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        return both.where(jaccard(F.col("sa"), F.col("sb")) >= least).select("a", "b")
+
+    first = hot.join(hot.groupBy("key").agg(F.min("id").alias("first")), "key").where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    found = keep(near(_met(few, least).unionByName(first).distinct()), "links")
+    if hot.isEmpty():
+        return found
+    comps = connected_components(hot.select("id").distinct(), found.select(F.col("b").alias("src"), F.col("a").alias("dst"))).withColumnRenamed("component", "comp")
+    placed, blocks = dealt(hot.drop("p").join(comps, "id"))
+    mine, other = blocks.where("minor").drop("minor"), blocks.toDF("key", "minor2", "at2", "low2", "high2")
+    fit = (F.col("low") <= F.col("high2") / least + 1e-9) & (F.col("low2") <= F.col("high") / least + 1e-9) & (~F.col("minor2") | (F.col("at") <= F.col("at2")))
+    pairs = keep(mine.join(other, "key").where(fit).select("key", F.col("at").alias("i"), F.when(F.col("minor2"), F.col("at2")).otherwise(-F.col("at2") - 1).alias("j")), "units")
+    at = F.when(F.col("minor"), F.col("at")).otherwise(-F.col("at") - 1)
+    rows = placed.select("key", "id", "comp", "minor", at.alias("at"))
+    sides = pairs.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("at"))
+    whole = sides.join(rows, ["key", "at"]).join(sets, "id").select("key", "i", "j", "id", "comp", "minor", "s")
+    compared = whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_units(least), "a long, b long")
+    return found.unionByName(compared).distinct()
 
 
 def representatives(groups: DataFrame) -> DataFrame:

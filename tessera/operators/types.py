@@ -26,15 +26,15 @@ def _signatures(content: str | None) -> Iterator[tuple[str, str]]:
 
 def _python(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(f"{path}::{name}", s) for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True) for name, s in _signatures(content)]
+        rows = [(f"{path}::{name}", s) for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True) for name, s in dict(_signatures(content)).items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["key", "signature"])
 
 
 def python_types(files: DataFrame) -> DataFrame:
-    """key (path::name), signature of the Python files (path, content); the last definition of a name stands. Python's own parser says
-    what no pattern can, so this is a map in Arrow batches."""
+    """key (path::name), signature of the Python files (path, content); the last definition of a name in a file stands. Python's own
+    parser says what no pattern can, so this is a map in Arrow batches. Of repeated paths: the greatest signature."""
     found = files.where("path like '%.py'").select("path", "content").mapInArrow(_python, "key string, signature string")
-    return found.groupBy("key").agg(F.last("signature").alias("signature"))
+    return found.groupBy("key").agg(F.max("signature").alias("signature"))
 
 
 # Declarations of functions and methods with a return type.
@@ -49,14 +49,34 @@ def _found(files: DataFrame, pattern: str, rank: int) -> DataFrame:
     return z.select("path", F.col("z.n").alias("name"), F.col("z.p").alias("params"), F.trim(F.regexp_replace("z.r", r"\s+$", "")).alias("gives"), F.lit(rank).alias("rank"))
 
 
+IS_DECLARATION = "path like '%.d.ts'"
+
+
+def _typescript(files: DataFrame) -> DataFrame:
+    """path, key, signature, kind (declared, plain) of each file by itself."""
+    declared, sources = files.where(IS_DECLARATION), files.where(f"path like '%.ts' and not ({IS_DECLARATION})")
+    own = _found(declared, DECLARED, 0).unionByName(_found(declared, METHOD, 1).where("name <> 'constructor' and length(gives) < 80"))
+    every = own.unionByName(_found(sources, PLAIN, 2).where("length(gives) < 60"))
+    every = every.select("path", F.concat_ws("::", "path", "name").alias("key"), F.concat("params", F.lit(": "), "gives").alias("signature"), "rank")
+    best = every.groupBy("path", "key").agg(F.min_by("signature", F.struct("rank", "signature")).alias("signature"), F.min("rank").alias("rank"))
+    return best.select("path", "key", "signature", F.when(F.col("rank") < 2, "declared").otherwise("plain").alias("kind"))
+
+
+def harvest(files: DataFrame) -> DataFrame:
+    """origin, key, signature, kind of the types that each file (path, content) names; `settled` says which of them count."""
+    python = python_types(files).select(F.substring_index("key", "::", 1).alias("path"), "key", "signature", F.lit("python").alias("kind"))
+    return python.unionByName(_typescript(files)).withColumnRenamed("path", "origin")
+
+
+def settled(harvested: DataFrame, paths: DataFrame) -> DataFrame:
+    """key, signature: TypeScript's from declaration files if any of the paths (path) is one, else from sources."""
+    any_ = paths.agg(F.coalesce(F.bool_or(F.expr(IS_DECLARATION)), F.lit(False)).alias("has"))  # one row
+    return harvested.crossJoin(F.broadcast(any_)).where("not (kind = 'plain' and has)").groupBy("key").agg(F.min("signature").alias("signature"))
+
+
 def typescript_types(files: DataFrame) -> DataFrame:
     """key, signature: from declaration files if there are any, else from sources."""
-    declared, sources = files.where("path like '%.d.ts'"), files.where("path like '%.ts' and path not like '%.d.ts'")
-    any_ = declared.agg((F.count("*") > 0).alias("has"))  # one row
-    own = _found(declared, DECLARED, 0).unionByName(_found(declared, METHOD, 1).where("name <> 'constructor' and length(gives) < 80"))
-    plain = _found(sources, PLAIN, 2).where("length(gives) < 60").crossJoin(F.broadcast(any_)).where("not has").drop("has")
-    every = own.unionByName(plain).select(F.concat_ws("::", "path", "name").alias("key"), F.concat("params", F.lit(": "), "gives").alias("signature"), "rank")
-    return every.groupBy("key").agg(F.min_by("signature", F.struct("rank", "signature")).alias("signature"))
+    return settled(_typescript(files), files)
 
 
 def enrich(nodes: DataFrame, types: DataFrame) -> DataFrame:

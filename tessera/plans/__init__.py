@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("graph_queries", "ledger_queries", "git_queries", "text_queries", "stream_queries", "misc_queries", "extract_queries", "answer_queries")
+MODULES = ("graph_queries", "ledger_queries", "git_queries", "text_queries", "stream_queries", "misc_queries", "extract_queries", "answer_queries", "build_queries")
 
 
 def load() -> None:

@@ -153,6 +153,33 @@ def coupling_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return git.coupling(n, log, pairs).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
 
 
+ENDS = f"""s AS (SELECT s_suppkey AS k, s_suppkey % 5 AS f, s_nationkey AS n FROM supplier), h AS (SELECT l_suppkey AS k, count(*) AS c FROM lineitem GROUP BY 1),
+g AS (SELECT n, f, 'n' || n || '/mod_' || f || '.py' AS file, CAST(sum(COALESCE(c, 0)) AS BIGINT) + 1 AS c FROM s LEFT JOIN h USING (k) GROUP BY n, f), top AS (SELECT f, arg_min({{'file': file, 'c': c}}, {{'c': -c, 'file': file}}) AS t FROM g GROUP BY f)"""
+
+
+def _ends(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A log in which five file names stand in every nation's folder, and nodes in these folders and in others."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.expr("CAST(s_suppkey % 5 AS STRING)").alias("f"), F.col("s_nationkey").cast("string").alias("n"))
+    count = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").alias("c"))
+    name = F.concat(F.lit("n"), "n", F.lit("/mod_"), "f", F.lit(".py"))
+    log = s.join(count, "k", "left").groupBy(name.alias("file")).agg((F.sum(F.coalesce("c", F.lit(0))) + 1).alias("n")).withColumns({"authors": F.lit(1).cast("long"), "bug": F.lit(False), "recent": F.lit(False)})
+    own = s.select(F.concat(F.lit("src/"), name).alias("id")).distinct()
+    other = s.select(F.concat(F.lit("lib/mod_"), "f", F.lit(".py")).alias("id")).distinct()
+    return own.unionByName(other).select("id", F.col("id").alias("file"), F.lit("Module").alias("summary")), log
+
+
+@query(f"WITH {ENDS} SELECT 'src/' || file AS id, 'Module [git: ' || c || ' commits]' AS summary FROM g UNION ALL SELECT 'lib/mod_' || f || '.py', 'Module [git: ' || t.c || ' commits]' FROM top")
+def git_by_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of equal names take the history of the path they share most of; where only the name is left, the busiest file's."""
+    return git.enrich(*_ends(spark, sf)).select("id", "summary")
+
+
+@query(f"WITH {ENDS} SELECT 'src/' || file AS id, 'Module [git: ' || t.c || ' commits]' AS summary FROM g JOIN top USING (f) UNION ALL SELECT 'lib/mod_' || f || '.py', 'Module [git: ' || t.c || ' commits]' FROM top")
+def git_by_busiest(spark: SparkSession, sf: str) -> DataFrame:
+    """The other choice: of all files of a name the busiest."""
+    return git.enrich(*_ends(spark, sf), git.BUSIEST).select("id", "summary")
+
+
 # ---- reputation
 
 RUNS = """runs AS (SELECT CASE WHEN user_id % 7 = 0 THEN 'web/dist/f' || user_id || '.js' WHEN user_id % 7 = 1 THEN 'src/' || event_type || '/g' || user_id || '.lock' ELSE 'src/' || event_type || '/f' || user_id || '.py' END AS file, CAST(floor(abs(value)) AS BIGINT) % 6 AS score, ts FROM events),

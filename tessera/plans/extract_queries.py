@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ P = "CAST(p_partkey AS STRING)"
 
 
 def _code(spark: SparkSession, sf: str) -> fragments.Fragments:
-    return fragments.source(files(spark, sf, "python", "typescript"))
+    return fragments.source(files(spark, sf, "python", "typescript")).bare()
 
 
 CODE_NODES = f"""WITH py AS (SELECT {PY} AS path, {K} AS k, CAST(s_nationkey AS STRING) AS n FROM supplier), ts AS (SELECT {TS} AS path, {P} AS k FROM part)
@@ -54,7 +56,7 @@ UNION ALL SELECT 'x::' || {K}, 'other | sig: (amount: int, rate: float) -> str'
 def type_enriched(spark: SparkSession, sf: str) -> DataFrame:
     """By id, and by label where the id is unknown."""
     d = files(spark, sf, "python")
-    own = fragments.source(d).nodes.where("type = 'function'").select("id", "label", "summary")
+    own = fragments.source(d).bare().nodes.where("type = 'function'").select("id", "label", "summary")
     other = table(spark, sf, "supplier").select(F.expr(f"'x::' || {K}").alias("id"), F.expr(f"'call_' || {K}").alias("label"), F.lit("other").alias("summary"))
     return types.enrich(own.unionByName(other), types.python_types(d)).select("id", "summary")
 
@@ -67,7 +69,7 @@ def docstrings(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT {PY} || '::Supplier' || {K} AS id, 'Supplies parts to nation ' || CAST(s_nationkey AS STRING) || '.' AS summary FROM supplier")
 def docstring_enriched(spark: SparkSession, sf: str) -> DataFrame:
     d = files(spark, sf, "python")
-    weak = fragments.source(d).nodes.where("type = 'class'").withColumn("summary", F.lit("short"))
+    weak = fragments.source(d).bare().nodes.where("type = 'class'").withColumn("summary", F.lit("short"))
     return parse.enrich(weak, parse.docstrings(d, code.language(F.col("path")))).select("id", "summary")
 
 
@@ -78,13 +80,13 @@ CN = "CAST(c_nationkey AS STRING)"
 @query(f"""SELECT {MD} AS id, 'customer_' || {C} AS label, 'doc' AS type, 'Buys in the ' || c_mktsegment || ' segment of nation ' || {CN} || ' and pays well.' AS summary FROM customer
 UNION ALL SELECT {MD} || '::' || h, h, 'concept', 'Section: ' || h FROM (SELECT *, unnest(['Customer ' || {C}, 'Orders', 'Recent', 'Contact']) AS h FROM customer) UNION ALL SELECT 'lang:python', 'python', 'external', 'Programming language: python'""")
 def markdown_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return fragments.markdown(files(spark, sf, "markdown")).nodes.select("id", "label", "type", "summary")
+    return fragments.markdown(files(spark, sf, "markdown")).bare().nodes.select("id", "label", "type", "summary")
 
 
 @query(f"""WITH m AS (SELECT {MD} AS path, {C} AS k, {CN} AS n FROM customer) SELECT path AS src, path || '::Customer ' || k AS dst, 'contains' AS relation FROM m UNION ALL SELECT path || '::Customer ' || k, path || '::' || unnest(['Orders', 'Contact']), 'contains' FROM m
 UNION ALL SELECT path || '::Orders', path || '::Recent', 'contains' FROM m UNION ALL SELECT path, 'lang:python', 'uses' FROM m UNION ALL SELECT path, 'docs/nation_' || n || '.md', 'references' FROM m""")
 def markdown_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return fragments.markdown(files(spark, sf, "markdown")).edges
+    return fragments.markdown(files(spark, sf, "markdown")).bare().edges
 
 
 RST = path_sql("rst")
@@ -92,7 +94,7 @@ RST = path_sql("rst")
 
 @query(f"SELECT {RST} AS src, {RST} || '::' || unnest([n_name, 'Trade']) AS dst, 'contains' AS relation FROM nation")
 def rst_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return fragments.rst(files(spark, sf, "rst")).edges
+    return fragments.rst(files(spark, sf, "rst")).bare().edges
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,7 +141,7 @@ def schema_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def _schemas(spark: SparkSession, sf: str) -> fragments.Fragments:
     d = lambda n: files(spark, sf, n)
-    return fragments.openapi(d("openapi")) + fragments.prisma(d("prisma")) + fragments.graphql(d("graphql")) + fragments.protobuf(d("proto"))
+    return (fragments.openapi(d("openapi")) + fragments.prisma(d("prisma")) + fragments.graphql(d("graphql")) + fragments.protobuf(d("proto"))).bare()
 
 
 @query(f"""SELECT {_root('openapi.json')} AS src, unnest([{_root('openapi.json::GET:/nations')}, {_root('openapi.json::schema:Nation')} || {R}]) AS dst, 'defines' AS relation FROM region
@@ -155,7 +157,7 @@ def schema_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def _configs(spark: SparkSession, sf: str) -> fragments.Fragments:
     d = lambda n: files(spark, sf, n)
-    return fragments.package_json(d("package")) + fragments.compose(d("compose")) + fragments.dotenv(d("env")) + fragments.dockerfile(d("dockerfile")) + fragments.pyproject(d("pyproject"))
+    return (fragments.package_json(d("package")) + fragments.compose(d("compose")) + fragments.dotenv(d("env")) + fragments.dockerfile(d("dockerfile")) + fragments.pyproject(d("pyproject"))).bare()
 
 
 NN, NR = "CAST(n_nationkey AS STRING)", "CAST(n_regionkey AS STRING)"
@@ -347,3 +349,35 @@ def package_layouts(spark: SparkSession, sf: str) -> DataFrame:
     for o in own[1:]:
         out = out.unionByName(o)
     return packages.layout(out)
+
+
+_MEMBERS = {
+    0: ["('packages/a', '@x/a' || k, 'javascript')", "('packages/b', 'b', 'unknown')", "('tools', 'tools' || k, 'javascript')"],
+    1: ["('packages/a', 'p' || k, 'python')", "('packages/c', 'c', 'unknown')"],
+    2: ["('libs/u', 'u', 'unknown')", "('apps/web', 'web' || k, 'mixed')", "('deep/x/core', 'core' || k, 'javascript')"],
+    3: ["('mods/r', 'r' || k, 'unknown')"],
+    4: ["('a', 'py' || k, 'python')", "('b', 'set' || k, 'python')"],
+    5: ["('libs/q', 'q', 'unknown')", "('apps/w', 'w' || k, 'javascript')"],
+}
+_LAYOUTS = ("pnpm", "lerna", "npm-workspaces", "rush", "python", "nx")
+
+
+@query(" UNION ALL ".join(f"SELECT repo, '{_LAYOUTS[i]}' AS tool, u.m[1] AS root, u.m[2] AS package, u.m[3] AS lang FROM (SELECT n_name AS repo, CAST(n_nationkey AS STRING) AS k FROM nation WHERE n_nationkey % 6 = {i}) n, LATERAL (SELECT unnest([" + ", ".join("[" + m[1:-1] + "]" for m in rows) + "]) AS m) u" for i, rows in _MEMBERS.items()))
+def package_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Packages of six layouts, whose manifests are written in two ways: order, quotes, comments and nesting follow from the key."""
+    n = table(spark, sf, "nation").withColumn("k", F.col("n_nationkey").cast("string"))
+    odd = F.col("n_nationkey") % 4 >= 2
+
+    def shape(i: int, *rows: tuple) -> DataFrame:
+        made = [F.struct(F.lit(r[0]).alias("path"), F.replace(F.when(odd, F.lit(r[-1])).otherwise(F.lit(r[1])), F.lit("<k>"), F.col("k")).alias("content")) for r in rows]
+        return n.where(f"n_nationkey % 6 = {i}").select(F.col("n_name").alias("repo"), F.inline(F.array(*made)))
+
+    own = [
+        shape(0, ("pnpm-workspace.yaml", "packages:\n  - 'packages/*'\n  - tools\n  - '!packages/old'\n", '# all\npackages:\n- "!packages/old"\n- "tools"   # here\n- packages/**\n'), ("packages/a/package.json", '{"name": "@x/a<k>"}', '{"version": "1", "name": "@x/a<k>"}'), ("packages/b/x.ts", ""), ("packages/old/package.json", "{}"), ("packages/.cache/x", ""), ("tools/package.json", '{"name":"tools<k>"}'), ("tools/sub/x.ts", "")),
+        shape(1, ("lerna.json", "{}", '{"packages": ["packages/*"]}'), ("packages/a/pyproject.toml", '[project]\nname = "p<k>"\n', "[tool.poetry]\nversion = '1'\nname='p<k>'\n"), ("packages/c/deep/x.ts", ""), ("packages/.hid/x.ts", "")),
+        shape(2, ("package.json", '{"workspaces": ["libs/*", "apps/web", "deep/*/core"]}', '{"workspaces": {"packages": ["deep/*/core", "./apps/web/", "libs/**"]}}'), ("libs/u/x.js", ""), ("apps/web/package.json", '{"name": "web<k>"}'), ("apps/web/pyproject.toml", ""), ("apps/web/sub/x.js", ""), ("apps/other/package.json", "{}"), ("deep/x/core/package.json", '{"name": "core<k>"}'), ("deep/x/more/package.json", "{}")),
+        shape(3, ("rush.json", '{"projects": [{"packageName": "r<k>", "projectFolder": "mods/r"}, {"packageName": "gone", "projectFolder": "mods/gone"}]}', '{ // projects\n"projects": [{"projectFolder": "mods/r/", "packageName": "r<k>"}] // end\n}'), ("mods/r/x.ts", ""), ("packages/a/x.ts", ""), ("packages/b/x.ts", "")),
+        shape(4, ("a/pyproject.toml", 'name = "py<k>"'), ("b/setup.py", "setup(name='set<k>')", 'from x import setup\nsetup(\n  name = "set<k>")'), ("lerna.json", '{"packages": ["none/*"]}', '{"packages": []}'), ("packages/a/x.py", "")),
+        shape(5, ("nx.json", "{}", "not json"), ("libs/q/x.ts", ""), ("apps/w/package.json", '{"name": "w<k>"}'), ("apps/.h/x.ts", ""), ("lib/z/x.ts", "")),
+    ]
+    return packages.members(reduce(DataFrame.unionByName, own))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..operators import communities, context, graph, importance, traverse
 from ..registry import query
 from ..sources import tables
-from ..sources.tables import DEGREES_SQL, EDGES_SQL, GRAPH_SQL, NODES_SQL, SPARSE_SQL, edges, nodes
+from ..sources.tables import DEGREES_SQL, EDGES_SQL, GRAPH_SQL, NODES_SQL, SPARSE_SQL, edges, nodes, table
 from ..operators.keep import keep
 
 N = f"WITH {NODES_SQL} "
@@ -295,15 +295,38 @@ def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.connected_components(nodes(spark, sf).select("id"), edges(spark, sf, sparse=True))
 
 
-@query()
+@query(f"WITH {NODES_SQL}, {SPARSE_SQL}, both_ways AS (SELECT src, dst FROM sparse WHERE src <> dst UNION SELECT dst, src FROM sparse WHERE src <> dst), l0 AS (SELECT id, id AS c FROM nodes), "
++ ", ".join(f"l{i} AS (SELECT id, arg_min(c, {{'n': -n, 'c': c}}) AS c FROM (SELECT id, c, count(*) AS n FROM (SELECT e.src AS id, l.c FROM both_ways e JOIN l{i - 1} l ON l.id = e.dst UNION ALL SELECT id, c FROM l{i - 1}) GROUP BY id, c) GROUP BY id)" for i in range(1, 6))
++ " SELECT id, c AS community FROM l5")
 def label_communities(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.label_propagation(nodes(spark, sf).select("id"), edges(spark, sf, sparse=True), keep)
 
 
-@query()
+@query("SELECT 0 AS split_communities, true AS at_least_local_moving, true AS covers_all")
 def modularity_communities(spark: SparkSession, sf: str) -> DataFrame:
-    """Parallel local moving is a heuristic without an SQL form; the tests hold it against planted groups and label propagation."""
-    return communities.louvain(nodes(spark, sf).select("id"), edges(spark, sf, sparse=True))
+    """What must hold of the communities of the tables' graph, a heuristic's result that SQL can't give: each is connected, their modularity
+    is at least that of local moving without refinement, and every node is in one."""
+    n, e = nodes(spark, sf).select("id"), keep(edges(spark, sf, sparse=True))
+    plain = communities.louvain(n, e)
+    found = keep(communities.leiden(n, e, start=plain))
+    q = communities.modularity(found, e).withColumnRenamed("q", "refined").crossJoin(communities.modularity(plain, e))  # one row each
+    split = communities.split_communities(found, e).agg(F.count("*").alias("split_communities"))
+    every = n.join(found, "id", "left_anti").agg((F.count("*") == 0).alias("covers_all"))
+    return split.crossJoin(q).crossJoin(every).select("split_communities", (F.col("refined") >= F.col("q") - 1e-9).alias("at_least_local_moving"), "covers_all")
+
+
+@query("SELECT 'c' || c_custkey AS id, 'c' || min(c_custkey) OVER (PARTITION BY c_nationkey % 5) AS community FROM customer")
+def planted_communities(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers of five groups of nations each know the first of their group, and these know each other in a ring; the groups come out."""
+    c = table(spark, sf, "customer").select((F.col("c_nationkey") % 5).alias("g"), "c_custkey")
+    heads = c.groupBy("g").agg(F.min("c_custkey").alias("head"))
+    spokes = c.join(heads, "g").where("c_custkey <> head").select("c_custkey", F.col("head").alias("other"))
+    ring = heads.join(heads.select((F.pmod(F.col("g") - 1, F.lit(5))).alias("g"), F.col("head").alias("next")), "g").select(F.col("head").alias("c_custkey"), F.col("next").alias("other"))
+    name = lambda x: F.concat(F.lit("c"), F.col(x).cast("string"))
+    e = keep(spokes.unionByName(ring).select(name("c_custkey").alias("src"), name("other").alias("dst"), F.lit("knows").alias("relation")))
+    found = communities.leiden(c.select(name("c_custkey").alias("id")), e)
+    first = found.groupBy("community").agg(F.min(F.substring("id", 2, 20).cast("long")).alias("first"))  # by number, not by text
+    return found.join(first, "community").select("id", name("first").alias("community"))
 
 
 @query(f"""WITH {NODES_SQL}, {SPARSE_SQL}, e AS (SELECT s.community AS a, t.community AS b FROM sparse JOIN nodes s ON s.id = src JOIN nodes t ON t.id = dst), m AS (SELECT 2.0 * count(*) AS two_m FROM sparse),

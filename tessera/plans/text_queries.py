@@ -165,7 +165,7 @@ def near_dups_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 def projected_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """What was extracted of a representative, put down for its duplicate: the one's stem becomes the other's."""
     d = files(spark, sf, "python")
-    own = fragments.source(d).nodes.where("file is not null")
+    own = fragments.source(d).bare().nodes.where("file is not null")
     stem = code.stem(F.col("path"))
     pairs = d.select(F.col("path").alias("file"), stem.alias("old"), F.regexp_replace(stem, "supplier_", "copy_").alias("new"))
     return graph.project(own, pairs).select("id")
@@ -248,49 +248,15 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.explode(text.links(F.col("html"))).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
-def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+_STEM = "CASE s_suppkey % 3 WHEN 0 THEN 'supplier_' WHEN 1 THEN 'test_supplier_' ELSE 'auth_' END || CAST(s_suppkey AS STRING)"
+_ABOUT = "['what does ' || s || ' do?', 'who calls functions in ' || s || '?'"
+_AUTH = "['how does authentication work?', 'what is the auth flow?', 'which files handle user sessions?', 'what handles login?']"
 
 
-@query("SELECT * FROM (VALUES (1, 'Title'), (2, 'Part one'), (4, 'Deep')) t(level, title)")
-def md_headings(spark: SparkSession, sf: str) -> DataFrame:
-    d = _rows(spark, [("# Title\n\ntext\n## Part one\n#### Deep\n##### too deep\n#no",)], "content string")
-    return d.select(F.inline(text.headings(F.col("content"))))
-
-
-SOURCES = [
-    ("app/auth.py", "import os\nfrom flask import Flask\n\nclass Login(Base):\n    pass\n\ndef check(user):\n    return user\n"),
-    ("web/main.ts", "import { a } from './lib'\nexport interface Props { x: number }\nfunction start() {}\n"),
-    ("core/lib.rs", "use std::fmt;\npub struct Point;\npub fn area() {}\n"),
-]
-
-
-@query("""SELECT * FROM (VALUES ('app/auth.py','class','Login'), ('app/auth.py','function','check'), ('app/auth.py','import','flask'), ('app/auth.py','import','os'), ('core/lib.rs','class','Point'), ('core/lib.rs','function','area'), ('core/lib.rs','import','std::fmt'), ('web/main.ts','function','start'), ('web/main.ts','import','./lib'), ('web/main.ts','interface','Props')) t(path, kind, name)""")
-def code_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, SOURCES, "path string, content string").select("path", F.inline(code.symbols(F.col("content"), code.language(F.col("path")))))
-
-
-@query("SELECT * FROM (VALUES ('app/auth.py','api'), ('core/lib.rs','unknown'), ('web/main.ts','unknown')) t(path, layer)")
-def layer_classify(spark: SparkSession, sf: str) -> DataFrame:
-    d = _rows(spark, SOURCES, "path string, content string")
-    found = F.transform(F.filter(code.symbols(F.col("content"), code.language(F.col("path"))), lambda s: s["kind"] == "import"), lambda s: s["name"])
-    return d.select("path", code.layer(F.col("path"), found).alias("layer"))
-
-
-@query("SELECT * FROM (VALUES ('os', NULL), ('json', 'loads'), ('json', 'dumps'), ('math', NULL)) t(module, symbol)")
-def import_scan(spark: SparkSession, sf: str) -> DataFrame:
-    diff = "+import os\n-import sys\n from re import sub\n+from json import loads, dumps\n+from math import *\n+import os\n"
-    return _rows(spark, [(diff,)], "diff string").select(F.inline(code.added_imports(F.col("diff"))))
-
-
-@query("SELECT * FROM (VALUES (0, 'what does user_service do?'), (1, 'who calls functions in user_service?'), (2, 'which files have test coverage?'), (3, 'what does test_user_service do?'), (4, 'who calls functions in test_user_service?'), (5, 'what does test_user_service depend on?'), (6, 'how does authentication work?'), (7, 'what is the auth flow?'), (8, 'which files handle user sessions?'), (9, 'what handles login?')) t(pos, question)")
+@query(f"""WITH f AS (SELECT s_suppkey % 3 AS k, {_STEM} AS s, replace({_STEM}, 'test_', '') AS bare FROM supplier),
+q AS (SELECT s, CASE k WHEN 1 THEN {_ABOUT.replace('|| s ||', '|| bare ||')}, 'which files have test coverage?'] ELSE [] END || {_ABOUT}, 'what does ' || s || ' depend on?'] || CASE k WHEN 2 THEN {_AUTH} ELSE [] END AS q FROM f)
+SELECT 'scm/' || s || '.py' AS path, i - 1 AS pos, q[i] AS question FROM q, LATERAL (SELECT unnest(range(1, len(q) + 1)) AS i)""")
 def predict_questions(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, [("src/test_user_service.py",)], "path string").select(F.posexplode(code.predicted_questions(F.col("path"))).alias("pos", "question"))
-
-
-@query("SELECT 'pkg_a' AS src, 'pkg_b' AS dst, 'imports_from' AS relation")
-def cross_package_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Imports across packages: imported module names join the package names, no pattern for each pair."""
-    files = _rows(spark, [("pkg_a", "pkg_a/main.py", "import pkg_b\nfrom pkg_b import x\nfrom pkg_b.sub import y\n"), ("pkg_b", "pkg_b/lib.py", "import os\n")], "package string, path string, content string")
-    used = files.select("package", F.explode(code.symbols(F.col("content"), code.language(F.col("path")))).alias("s")).where("s.kind = 'import'").select(F.col("package").alias("src"), F.regexp_extract("s.name", r"^@?([\w-]+)", 1).alias("dst"))
-    return used.join(files.select(F.col("package").alias("dst")).distinct(), "dst").where("src <> dst").select("src", "dst", F.lit("imports_from").alias("relation")).distinct()
+    """Likely questions about suppliers' files, of which some are tests and some about signing in."""
+    path = table(spark, sf, "supplier").select(F.concat(F.lit("scm/"), F.expr(_STEM), F.lit(".py")).alias("path"))
+    return path.select("path", F.posexplode(code.predicted_questions(F.col("path"))).alias("pos", "question"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pdf
+
 # File types by suffix, in order of precedence, and directories that a scan leaves out.
 TYPES = {
     "code": ".py .pyw .js .jsx .mjs .cjs .ts .tsx .mts .go .rs .java .kt .kts .swift .cs .cpp .cc .cxx .hpp .h .c .rb .php .vue .svelte .dart .scala .zig .lua .r .sh .bash .yaml .yml .json .toml .css .scss .sass .less .html .htm .tf .hcl .sql".split(),
@@ -37,15 +39,33 @@ def file_type(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED, largest: int = LARGEST, with_content: bool = False) -> DataFrame:
-    """path, length, modified, type (and content) below a root, without excluded directories, other types and very large files.
+    """path, length, modified, type (and content) below a root, without excluded directories, other types, very large and empty files (the
+    latter are not listed by the source).
 
     Without content only the listing is read. The order of paths is left to who shows them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = wanted(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root, excluded, largest)
+    return decoded(found) if with_content else found.drop("content")
+
+
+def wanted(files: DataFrame, root: str, excluded: tuple[str, ...] = EXCLUDED, largest: int = LARGEST) -> DataFrame:
+    """The rows of a binaryFile source, batch or stream, that `scan` keeps: path, length, modified, type, content (bytes)."""
     inside = F.split(F.regexp_replace("path", r"^.*?" + _escaped(root), ""), "/")
     kept = files.where(F.col("length") <= largest).where(~F.arrays_overlap(inside, F.array(*[F.lit(x) for x in excluded]))).withColumn("type", file_type(F.col("path"))).where("type <> 'other'")
-    columns = ["path", "length", F.col("modificationTime").alias("modified"), "type"]
-    return kept.select(*columns, F.decode("content", "UTF-8").alias("content")) if with_content else kept.select(*columns)
+    return kept.select("path", "length", F.col("modificationTime").alias("modified"), "type", "content")
+
+
+#: Suffixes of files whose text has to be taken out of their bytes.
+BINARY = (".pdf", ".docx")
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """Files (path, ..., content: bytes) with their text as content: read out of PDF and word-processor documents (null where there is no text
+    in them), else decoded. Only the former go through Python."""
+    binary = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*BINARY)
+    plain = files.where(~binary).withColumn("content", F.decode("content", "UTF-8"))
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == 'content' else f.dataType.simpleString()}" for f in files.schema)
+    return plain.unionByName(files.where(binary).mapInArrow(_documents, kinds))
 
 
 def below(path: Column, root: str) -> Column:
@@ -93,16 +113,17 @@ def dependencies(manifests: DataFrame) -> DataFrame:
 
 
 def document_text(spark: SparkSession, root: str) -> DataFrame:
-    """path, content of word-processor documents below a root: a line for each paragraph, headings with # in front. A document is a zip
-    of XML, which no built-in reads, so this is a map in Arrow batches."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(root)
-    return files.select("path", "content").mapInArrow(_word_documents, "path string, content string")
+    """path, content of the PDF and word-processor documents below a root: a line for each paragraph or line, headings of the latter with # in
+    front. What they hold is compressed, which no built-in reads, so this is a map in Arrow batches."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{pdf,docx}").load(root)
+    return decoded(files.select("path", "content"))
 
 
-def _word_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [_paragraphs(b) for b in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "content"])
+        at, path = batch.schema.get_field_index("content"), batch.column(batch.schema.get_field_index("path"))
+        texts = [pdf.text_of(b) if p.lower().endswith(".pdf") else _paragraphs(b) for p, b in zip(path.to_pylist(), batch.column(at).to_pylist(), strict=True)]
+        yield batch.set_column(at, pa.field("content", pa.string()), pa.array(texts, pa.string()))
 
 
 def _paragraphs(raw: bytes) -> str | None:

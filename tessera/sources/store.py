@@ -1,7 +1,8 @@
 """Tables that a session leaves behind: appended Parquet folders below one root, and small documents written only when they change.
 
-An append is a new set of files (Spark's commit protocol: all of them or none); what is current is a view over all rows. Nothing is kept
-in the driver.
+An append is a new set of files (Spark's commit protocol: all of them or none); what is current is a view over all rows. A table that is
+replaced is a new version folder; the newest one whose write was committed is what readers see, so there is never none, and a crash
+leaves the version before. Nothing is kept in the driver.
 """
 
 from __future__ import annotations
@@ -21,9 +22,17 @@ SCHEMAS = {
     "packages": "key string, package string, version string, extraction string, ts timestamp, hit boolean",
     "extractions": "hash string, path string, extraction string, ts timestamp",
     "learned": "layer string, description string, diff_snippet string, ts timestamp",
+    # what files gave when they were parsed, by path and hash of the content: see operators.increment
+    "parsed": "origin string, hash string, ts timestamp",
+    "fragment_nodes": "id string, label string, type string, file string, lang string, summary string, origin string, hash string, ts timestamp",
+    "fragment_edges": "src string, dst string, relation string, origin string, hash string, ts timestamp",
+    "fragment_docs": "origin string, name string, doc string, hash string, ts timestamp",
+    "fragment_types": "origin string, key string, signature string, kind string, hash string, ts timestamp",
     "benchmarks": "question string, graph_tokens long, raw_tokens long, saved_pct double, ts timestamp",
 }
 CALLS, MEMORY, PACKAGES, BENCHMARKS, PREVIEW = 200, 8, 500, 50, 200
+#: Versions of a replaced table that stay, for who still reads the one before; files of an appended table that are put together.
+VERSIONS, FILES = 2, 64
 
 
 class Store:
@@ -36,31 +45,57 @@ class Store:
     def _fs(self, name: str):
         return self._path(name).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _children(self, name: str) -> list[str]:
+        at = self._path(name)
+        return [s.getPath().getName() for s in self._fs(name).listStatus(at)] if self._fs(name).exists(at) else []
+
+    def _versions(self, name: str) -> list[str]:
+        """Committed versions of a replaced table, oldest first."""
+        done = (v for v in sorted(self._children(f"{name}.versions")) if self._fs(name).exists(self._path(f"{name}.versions/{v}/_SUCCESS")))
+        return [f"{name}.versions/{v}" for v in done]
+
+    def at(self, name: str) -> str:
+        """Where the current rows of a table are, below the root."""
+        return (self._versions(name) or [name])[-1]
+
     def exists(self, name: str) -> bool:
-        return self._fs(name).exists(self._path(name))
+        return self._fs(name).exists(self._path(self.at(name)))
 
     def modified(self, name: str) -> float | None:
         """Seconds since the epoch of the last change."""
-        return self._fs(name).getFileStatus(self._path(name)).getModificationTime() / 1000 if self.exists(name) else None
+        return self._fs(name).getFileStatus(self._path(self.at(name))).getModificationTime() / 1000 if self.exists(name) else None
 
     def append(self, name: str, rows: DataFrame | list[tuple]) -> None:
-        """Rows in the columns of the table; a list is made a frame. ts is filled with the time of the write where it is missing."""
+        """Rows in the columns of the table; a list is made a frame. ts is filled with the time of the write where it is missing. A table
+        of more than FILES files is written anew as few."""
         schema = SCHEMAS[name]
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, schema)
-        df.withColumn("ts", F.coalesce("ts", F.current_timestamp())).write.mode("append").parquet(f"{self.root}/{name}")
+        df.withColumn("ts", F.coalesce("ts", F.current_timestamp())).write.mode("append").parquet(f"{self.root}/{self.at(name)}")
+        if len(self._children(self.at(name))) > FILES:
+            self.compact(name)
+
+    def compact(self, name: str) -> None:
+        """The same rows in few files: about as many as their size asks for."""
+        size = self._fs(name).getContentSummary(self._path(self.at(name))).getLength()
+        self.replace(name, self.read(name).coalesce(max(1, min(FILES // 2, size >> 27))))
 
     def read(self, name: str) -> DataFrame:
         if not self.exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{self.at(name)}")
+
+    def frame(self, name: str) -> DataFrame | None:
+        """A replaced table with the schema it was written in, if it is there."""
+        return self.spark.read.parquet(f"{self.root}/{self.at(name)}") if self.exists(name) else None
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Write df beside the old folder, then put it in its place: readers find the one or the other."""
-        fresh = f"{name}.new"
-        df.write.mode("overwrite").parquet(f"{self.root}/{fresh}")
-        fs = self._fs(name)
-        fs.delete(self._path(name), True)
-        fs.rename(self._path(fresh), self._path(name))
+        """Write df as the next version. It counts once its write is committed; versions before the last VERSIONS go then."""
+        old = sorted(self._children(f"{name}.versions"))
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}.versions/{int(old[-1]) + 1 if old else 0:09d}")
+        stay = self._versions(name)[-VERSIONS:]
+        for gone in [name, *(f"{name}.versions/{v}" for v in old)]:
+            if gone not in stay:
+                self._fs(name).delete(self._path(gone), True)
 
     # ---- views
 
@@ -134,11 +169,12 @@ class Store:
         best = self.packages().orderBy(F.desc("last_used"), "key").limit(most)
         self.replace("packages", best.select("key", "package", "version", "extraction", F.col("last_used").alias("ts"), F.lit(False).alias("hit")))
 
-    def cached_extractions(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Files (path, content) that an extraction is known of, with it, and the others; by hash of the content."""
+    def cached_extractions(self, files: DataFrame, *also: str) -> tuple[DataFrame, DataFrame]:
+        """Files (path, content) that an extraction is known of, with it, and the others; by hash of the content (and also the path)."""
+        key = ["hash", *also]
         hashed = files.withColumn("hash", F.sha2(F.col("content").cast("binary"), 256))
-        known = self.read("extractions").groupBy("hash").agg(F.max_by("extraction", "ts").alias("extraction"))
-        return hashed.join(known, "hash"), hashed.join(known, "hash", "left_anti")
+        known = self.read("extractions").groupBy(*key).agg(F.max_by("extraction", "ts").alias("extraction"))
+        return hashed.join(known, key), hashed.join(known, key, "left_anti")
 
     def save_extractions(self, rows: DataFrame) -> None:
         self.append("extractions", rows.select("hash", "path", "extraction", F.lit(None).cast("timestamp").alias("ts")))
@@ -160,7 +196,7 @@ class Store:
         self.replace("last_diff", n.unionByName(edges.select(F.lit("edge").alias("what"), F.col("src").alias("id"), "dst", "relation", "change")))
 
     def load_diff(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.root}/last_diff") if self.exists("last_diff") else None
+        return self.frame("last_diff")
 
     # ---- small documents
 

@@ -166,6 +166,68 @@ def test_louvain_finds_planted_groups(spark):
     assert again.select("community").distinct().count() == 6 and again.where("id = 'alone'").first().community == 5
 
 
+def test_leiden_is_connected(spark):
+    """Random graphs: communities are connected, all nodes are in one, and modularity is not below that of local moving."""
+    import random
+
+    from tessera.operators import communities
+
+    r = random.Random(4)
+    for n, m in ((40, 60), (120, 200)):
+        rows = list({(f"n{a}", f"n{b}", "r") for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(m)) if a != b})
+        e = spark.createDataFrame(rows, "src string, dst string, relation string")
+        ids = spark.createDataFrame([(f"n{i}",) for i in range(n)], "id string")
+        found, plain = communities.leiden(ids, e), communities.louvain(ids, e)
+        of = {x.id: x.community for x in found.collect()}
+        assert len(of) == n and all(of[c] == c and min(i for i in of if of[i] == c) == c for c in of.values())
+        near = {i: set() for i in of}
+        for a, b, _ in rows:
+            near[a].add(b)
+            near[b].add(a)
+        for c in set(of.values()):
+            reached, todo = {c}, [c]
+            while todo:
+                new = {x for x in near[todo.pop()] if of[x] == c} - reached
+                reached |= new
+                todo += new
+            assert reached == {i for i in of if of[i] == c}
+        assert communities.split_communities(found, e).isEmpty()
+        q = lambda df: communities.modularity(df, e).first().q  # noqa: B023, E731
+        assert q(found) >= q(plain) - 1e-9 and q(found) > 0.2
+    apart = spark.createDataFrame([("n0", "x"), ("n1", "x"), ("n2", "y")], "id string, community string")
+    e = spark.createDataFrame([("n0", "n2", "r"), ("n2", "n1", "r")], "src string, dst string, relation string")
+    assert [(x.community, x.parts) for x in communities.split_communities(apart, e).collect()] == [("x", 2)]
+    none = e.limit(0)
+    assert {x.community for x in communities.leiden(apart.select("id"), none).collect()} == {"n0", "n1", "n2"}
+
+
+def folded(rows, seconds):
+    """Accepted calls of (call, key, t): the fold itself."""
+    last, out = {}, []
+    for call, key, t in sorted(rows, key=lambda x: (x[2], x[0])):
+        if key not in last or t - last[key] >= seconds:
+            last[key] = t
+            out.append(call)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["one key", "no pause", "pauses", "many keys", "ties"])
+def test_debounce_deals_runs(spark, kind):
+    import random
+
+    r = random.Random(3)
+    t, rows = 0.0, []
+    for i in range(3000):
+        t += {"no pause": 0.3, "pauses": r.choice([0.1, 0.5, 2.0, 30.0])}.get(kind, r.choice([0.0, 0.25, 0.5, 1.75, 2.0]))
+        rows.append((i, None if kind == "many keys" and i % 7 == 0 else r.randrange(9) if kind == "many keys" else 1, round(t, 2) if kind != "ties" else float(i // 50)))
+    df = spark.createDataFrame([*rows, (-1, 1, None)], "call long, session long, t double").select("call", "session", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("ts")).repartition(7)
+    assert sorted(x.call for x in ledger.debounce(df, "session", 2.0).collect()) == folded(rows, 2.0)
+    assert ledger.debounce(df.limit(0), "session", 2.0).collect() == []
+    if kind == "pauses":  # one key is many tasks
+        parts = ledger.debounce(df, "session", 2.0).select(F.spark_partition_id().alias("p")).distinct().count()
+        assert parts > 1
+
+
 def test_shortest_path(spark):
     e = spark.createDataFrame([("a", "b", "r"), ("b", "c", "r"), ("a", "x", "r"), ("x", "c", "r"), ("c", "a", "r"), ("c", "d", "r")], "src string, dst string, relation string")
     path = lambda a, b: [(r.hop, r.path) for r in traverse.shortest_path(e, a, b).collect()]
