@@ -126,7 +126,7 @@ def leiden(ids: DataFrame, edges: DataFrame, levels: int = 2, rounds: int = 6, r
     if not two_m:
         return ids.select("id", F.col("id").alias("community"))
     inner = keep(links.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("node")), "nodes")
-    own = (start or louvain(ids, edges)).join(inner.select("id"), "id", "left_semi").select("id", F.col("community").alias("c"))
+    own = (louvain(ids, edges) if start is None else start).join(inner.select("id"), "id", "left_semi").select("id", F.col("community").alias("c"))
     for level in range(levels):
         degree = keep(links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "degree")
         best = _local_moving(links, own, degree, two_m, rounds, level * (rounds + refining))

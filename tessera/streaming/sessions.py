@@ -105,14 +105,14 @@ class _Debounce(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "at long, call long")
 
     def _release(self, k, watermark_ms: int) -> pd.DataFrame:
-        """Rows at or before the watermark in order; the others stay."""
+        """Rows at or before the watermark, which counts milliseconds, in order; the others stay."""
         rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        due = [r for r in rows if r[0] <= watermark_ms * 1000]
+        due = [r for r in rows if r[0] // 1000 <= watermark_ms]
         left = rows[len(due) :]
         self.waiting.clear()
         if left:
             self.waiting.put(left)
-            self.handle.registerTimer(-(-left[0][0] // 1000))
+            self.handle.registerTimer(left[0][0] // 1000)
         last = self.last.get()[0] if self.last.exists() else None
         kept = []
         for at, call in due:
