@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -50,11 +50,29 @@ def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratio, pa.float64())], names=[*batch.schema.names, "ratio"])
 
 
+#: Classes that characters are counted in; characters of one class count as equal, so a bound from the counts holds.
+CLASSES = 32
+
+
+def _counts(word: str) -> Column:
+    """How many characters of a word fall into each class."""
+    chars = F.transform(F.split(word, ""), lambda c: F.pmod(F.ascii(c), F.lit(CLASSES)))
+    return F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: F.size(F.filter(chars, lambda c: c == k)))
+
+
 def suggestions(wanted: DataFrame, symbols: DataFrame, n: int = 3, least: float = 0.6) -> DataFrame:
-    """module, symbol, rank, name: the closest public names of a module for symbols that it lacks. The ratio of matching blocks has no
-    built-in counterpart, so it is a map in Arrow batches over the names of those modules only."""
-    missing = validity(wanted, symbols).where("severity = 'warning'").select("module", "symbol").distinct()
-    pairs = missing.join(symbols.where("not symbol like '\\\\_%'").select("module", F.col("symbol").alias("name")).distinct(), "module").select("module", "symbol", "name")
+    """module, symbol, rank, name: the closest public names of a module for symbols that it lacks.
+
+    A ratio of matching blocks of at least `least` needs lengths that are not too far apart and enough characters in common, so a symbol
+    is joined with the names of its module by each length that will do, and counts of characters bound the ratio from above before
+    it is computed. The ratio itself has no built-in counterpart and is a map in Arrow batches over what is left."""
+    missing = validity(wanted, symbols).where("severity = 'warning'").select("module", "symbol").distinct().where("length(symbol) > 0")
+    size, share = F.length("symbol"), least / (2 - least)
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(size * share - 1e-9)).cast("int"), F.floor(size / share + 1e-9).cast("int"))
+    asked = missing.select("module", "symbol", _counts("symbol").alias("have"), F.explode(lengths).alias("size"))
+    names = symbols.where("not symbol like '\\\\_%'").select("module", F.col("symbol").alias("name")).distinct().select("module", "name", F.length("name").alias("size"), _counts("name").alias("own"))
+    both = F.aggregate(F.zip_with("have", "own", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    pairs = asked.join(names, ["module", "size"]).where(2 * both >= least * (F.length("symbol") + F.col("size")) - 1e-9).select("module", "symbol", "name")
     near = pairs.mapInArrow(_ratios, "module string, symbol string, name string, ratio double").where(F.col("ratio") >= least)
     rank = F.row_number().over(W.partitionBy("module", "symbol").orderBy(F.desc("ratio"), F.desc("name")))
     return near.withColumn("rank", rank).where(F.col("rank") <= n).select("module", "symbol", "rank", "name")

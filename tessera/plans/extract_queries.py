@@ -310,6 +310,14 @@ def _validity(wanted: DataFrame, known: DataFrame) -> DataFrame:
     return wanted.join(found, same).select(F.col("s_suppkey").cast("long").alias("k"), "valid", "severity")
 
 
+@query("SELECT 'nation_' || s_nationkey AS module, 'no_' || s_name AS symbol, s_name AS name FROM supplier WHERE s_suppkey % 2 = 1")
+def import_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    """For names that are wanted with a prefix too many, the closest one that the module has."""
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string")).alias("module"), "s_name", "s_suppkey")
+    wanted = s.where("s_suppkey % 2 = 1").select("module", F.concat(F.lit("no_"), "s_name").alias("symbol"))
+    return guard.suggestions(wanted, s.select("module", F.col("s_name").alias("symbol"))).where("rank = 1").select("module", "symbol", "name")
+
+
 IMPORTANCE_SAMPLES = {"python": 0.0, "openapi": 0.10, "prisma": 0.25, "graphql": 0.25, "env": 0.0, "dockerfile": 0.0, "compose": 0.0}
 
 

@@ -152,6 +152,22 @@ def test_types_and_guards(spark):
     assert [r.l for r in layers.select(code.layer(F.col("p"), F.col("i")).alias("l")).collect()] == ["config", "api", "test", "unknown", "ui"]
 
 
+def test_suggestions_are_those_of_all_pairs(spark):
+    import difflib
+    import random
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdé_XY") for _ in range(r.randrange(1, 12)))
+    known = sorted({(f"m{r.randrange(2)}", word()) for _ in range(150)})
+    wanted = sorted({(f"m{r.randrange(3)}", word()) for _ in range(60)} - set(known))
+    frame = lambda rows: spark.createDataFrame(rows, "module string, symbol string")
+    want = set()
+    for m, s in wanted:
+        near = [(difflib.SequenceMatcher(None, n, s).ratio(), n) for k, n in known if k == m and not n.startswith("_")]
+        want |= {(m, s, i + 1, n) for i, (_, n) in enumerate(sorted((x for x in near if x[0] >= 0.6), reverse=True)[:3])}
+    assert {tuple(x) for x in guard.suggestions(frame(wanted), frame(known)).collect()} == want and len(want) > 20
+
+
 def test_compression(spark):
     rows = [
         ("a.md", "![CI](x)\n[![License: MIT](y)](z)\n# T\n\n\n\n## Installation\npip\n\nmore\n## Use\nit \n", "# T\n\n## Use\nit\n"),
