@@ -41,7 +41,7 @@ LANGUAGES = {
 }
 
 # For each language and kind the patterns whose first group is the name. Languages not listed use "generic".
-_JS_IMPORT = (r"""import\s+(?:[\w*{}\s,]+\s+from\s+)?['"]([^'"]+)['"]""", r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)""")
+_JS_IMPORT = (r"""import\s+(?:[\w*{}\s,]+\s+from\s+)?['"]([^'"]+)['"]""", r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)""", r"""import\s*\(\s*['"]([^'"]+)['"]\s*\)""")
 PATTERNS: dict[str, dict[str, tuple[str, ...]]] = {
     "javascript": {
         "import": _JS_IMPORT,

@@ -1,5 +1,4 @@
-"""Table functions over file contents (path, content): schemas, configuration, documents, docstrings. Regular expressions and JSON
-functions of the JVM; a row for each thing found."""
+"""Docstrings of source files (path, content) and marks of generated files, by regular expressions of the JVM."""
 
 from __future__ import annotations
 
@@ -8,70 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NAME = lambda: F.element_at(F.split("path", "/"), -1)
-
-
-def _each(df: DataFrame, pattern: str, kind: str, group: int = 1) -> DataFrame:
-    return df.select("path", F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(F.col("content"), F.lit(pattern), F.lit(group))).alias("name"))
-
-
-def openapi(files: DataFrame) -> DataFrame:
-    """path, kind (endpoint, schema, reference), name of OpenAPI documents in JSON."""
-    methods = ("get", "put", "post", "delete", "patch", "head", "options")
-    doc = files.withColumn("d", F.from_json("content", "paths map<string,map<string,string>>, components struct<schemas:map<string,string>>, definitions map<string,string>"))
-    ops = doc.select("path", F.explode("d.paths").alias("url", "ops")).select("path", "url", F.explode("ops").alias("method", "op")).where(F.lower("method").isin(*methods))
-    ends = ops.select("path", F.lit("endpoint").alias("kind"), F.concat_ws(" ", F.upper("method"), "url").alias("name"))
-    refs = ops.select("path", F.lit("reference").alias("kind"), F.explode(F.regexp_extract_all(F.col("op"), F.lit(r'"\$ref"\s*:\s*"[^"]*/([^"/]+)"'), F.lit(1))).alias("name"))
-    empty = F.create_map().cast("map<string,string>")
-    schemas = doc.select("path", F.lit("schema").alias("kind"), F.explode(F.map_keys(F.map_concat(F.coalesce("d.components.schemas", empty), F.coalesce("d.definitions", empty)))).alias("name"))
-    return reduce(DataFrame.unionByName, (ends, refs, schemas)).distinct()
-
-
-def json_schema(files: DataFrame) -> DataFrame:
-    """path, kind, name of a JSON schema's properties; required ones marked with *."""
-    doc = files.withColumn("d", F.from_json("content", "properties map<string,string>, required array<string>"))
-    p = doc.select("path", F.explode(F.map_keys("d.properties")).alias("name"), F.col("d.required").alias("r"))
-    return p.select("path", F.lit("property").alias("kind"), F.when(F.array_contains(F.coalesce("r", F.array()), F.col("name")), F.concat("name", F.lit("*"))).otherwise(F.col("name")).alias("name"))
-
-
-def graphql(files: DataFrame) -> DataFrame:
-    types = _each(files, r"(?m)^\s*(?:type|interface|input)\s+(\w+)", "type")
-    return types.unionByName(_each(files, r"(?m)^\s*enum\s+(\w+)", "enum")).unionByName(_each(files, r"(?m)^\s*(?:union|scalar)\s+(\w+)", "scalar"))
-
-
-def protobuf(files: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, (_each(files, r"(?m)^\s*service\s+(\w+)", "service"), _each(files, r"(?m)^\s*rpc\s+(\w+)", "rpc"), _each(files, r"(?m)^\s*message\s+(\w+)", "message")))
-
-
-def prisma(files: DataFrame) -> DataFrame:
-    return _each(files, r"(?m)^\s*model\s+(\w+)", "model").unionByName(_each(files, r"(?m)^\s*enum\s+(\w+)", "enum"))
-
-
-def config(files: DataFrame) -> DataFrame:
-    """path, kind, name found in configuration files, by file name: packages and scripts, aliases, services, jobs, variables, images."""
-    n = F.lower(_NAME())
-    empty = F.create_map().cast("map<string,string>")
-    pkg = files.where(n == "package.json").withColumn("d", F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>, scripts map<string,string>"))
-    keys = lambda df, field, kind: df.select("path", F.lit(kind).alias("kind"), F.explode(F.map_keys(F.coalesce(F.col(field), empty))).alias("name"))
-    ts = files.where(n.startswith("tsconfig")).withColumn("d", F.from_json("content", "compilerOptions struct<paths:map<string,array<string>>>"))
-    compose = files.where(n.rlike(r"^docker-compose.*\.ya?ml$")).withColumn("content", F.regexp_extract("content", r"(?ms)^services:\s*\n(.*?)(?=^\S|\z)", 1))
-    flow = files.where(F.col("path").rlike(r"\.github/workflows/.*\.ya?ml$")).withColumn("content", F.regexp_extract("content", r"(?ms)^jobs:\s*\n(.*?)(?=^\S|\z)", 1))
-    toml = files.where(n == "pyproject.toml").withColumn("content", F.regexp_extract("content", r"(?ms)^dependencies\s*=\s*\[(.*?)\]", 1))
-    parts = [
-        keys(pkg, "d.dependencies", "depends_on"),
-        keys(pkg, "d.devDependencies", "dev_depends_on"),
-        keys(pkg, "d.scripts", "script"),
-        ts.select("path", F.lit("alias").alias("kind"), F.explode(F.map_keys("d.compilerOptions.paths")).alias("name")),
-        _each(compose, r"(?m)^  ([\w-]+):\s*$", "service"),
-        _each(flow, r"(?m)^  ([\w-]+):\s*$", "job"),
-        _each(toml, r"[\"']([A-Za-z0-9_.-]+)", "depends_on"),
-        _each(files.where(n.startswith(".env")), r"(?m)^\s*(?:export\s+)?([A-Za-z_]\w*)\s*=", "variable"),
-        _each(files.where(n.startswith("dockerfile")), r"(?im)^FROM\s+(\S+)", "base_image"),
-        _each(files.where(n.startswith("dockerfile")), r"(?im)^EXPOSE\s+(\d+)", "port"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
 #: Pattern (symbol and text groups) of a documented definition, by language.
 DOCSTRINGS: dict[str, tuple[str, int, int]] = {
     "python": (r'(?m)^\s*(?:async\s+)?(?:def|class)\s+(\w+)[^\n]*:\s*\n\s*"""((?s:.*?))"""', 1, 2),

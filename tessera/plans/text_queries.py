@@ -89,9 +89,14 @@ TIERS = {"tier0_cache": ("[cached]", "cache hit", "(from cache)"), "tier1_determ
 _TIER = "CASE " + " ".join(f"WHEN {_any(w, 'lower(substr(text, 1, 300))')} THEN '{k}'" for k, w in TIERS.items()) + " ELSE 'tier_unknown' END"
 
 
-@query(f"SELECT {_TIER} AS tier, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1")
+_WORDS = ", ".join(f"({i}, '{k}', '{w}')" for i, (k, ws) in enumerate(TIERS.items()) for w in ws)
+
+
+@query(f"""WITH w AS (SELECT * FROM (VALUES {_WORDS}) t(place, tier, word)), m AS (SELECT conv_id, turn, arg_min(tier, place) AS tier FROM conversations JOIN w ON position(word IN lower(left(text, 300))) > 0 WHERE role = 'assistant' GROUP BY conv_id, turn)
+SELECT conv_id, turn, COALESCE(tier, 'tier_unknown') AS tier FROM conversations LEFT JOIN m USING (conv_id, turn) WHERE role = 'assistant'""")
 def tier_classify(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").where("role = 'assistant'").groupBy(F.expr(_TIER).alias("tier")).agg(F.count("*").alias("n"))
+    """The tier that each answer came from, by the first list of words that it has one of; the oracle joins the words."""
+    return table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.expr(_TIER).alias("tier"))
 
 
 @query("SELECT tier, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM (SELECT CAST(length(text) // 4 AS BIGINT) AS tokens, CASE WHEN length(text) // 4 < 1500 THEN 'cheap' WHEN length(text) // 4 < 8000 THEN 'medium' ELSE 'cloud' END AS tier FROM documents) GROUP BY tier")

@@ -207,10 +207,13 @@ def test_parsers(spark):
         ],
         "path string, content string",
     )
-    got = {(r.kind, r.name) for r in parse.config(f).collect()}
-    assert got == {("depends_on", "x"), ("script", "go"), ("service", "web"), ("service", "db"), ("variable", "A_KEY"), ("variable", "B"), ("base_image", "python:3"), ("port", "80"), ("depends_on", "flask")}
-    api = spark.createDataFrame([("api.json", '{"paths": {"/u": {"get": {"r": {"$ref": "#/components/schemas/User"}}}}, "components": {"schemas": {"User": {}}}}')], "path string, content string")
-    assert {(r.kind, r.name) for r in parse.openapi(api).collect()} == {("endpoint", "GET /u"), ("reference", "User"), ("schema", "User")}
+    ids = {r.id for r in fragments.parse(f).bare().nodes.collect()}
+    assert {"pkg:x", "a/package.json::script:go", "docker-compose.yml::svc:web", "docker-compose.yml::svc:db", ".env::A_KEY", "docker:python:3", "pkg:flask"} <= ids
+    api = spark.createDataFrame([("api.json", '{"openapi": "3", "paths": {"/u": {"get": {"responses": {"200": {"content": {"x": {"schema": {"$ref": "#/components/schemas/User"}}}}}}}}, "components": {"schemas": {"User": {}}}}')], "path string, content string")
+    found = fragments.parse(api).bare()
+    assert {r.id for r in found.nodes.collect()} == {"api.json", "api.json::GET:/u", "api.json::schema:User"} and ("api.json::GET:/u", "api.json::schema:User", "returns") in {tuple(r) for r in found.edges.collect()}
+    js = spark.createDataFrame([("a.js", "const x = await import('./late');\nimport {y} from 'pkg';\nrequire('old')")], "path string, content string")
+    assert {r.dst for r in fragments.parse(js).edges.where("relation = 'imports'").collect()} == {"late", "pkg:pkg", "pkg:old"}
     src = spark.createDataFrame([("m.py", 'def load(x):\n    """Loads the rows. And more."""\n'), ("m.rs", "/// Adds two numbers.\npub fn add() {}\n"), ("m.ts", "/** Starts it all. */\nexport function start() {}\n")], "path string, content string")
     docs = {r.name: r.doc for r in parse.docstrings(src, code.language(F.col("path"))).collect()}
     assert docs == {"load": "Loads the rows.", "add": "Adds two numbers.", "start": "Starts it all."}
