@@ -40,7 +40,7 @@ WORDS, LEAST = 4, 85  #: least: percent of the union
 K = 2  #: shingles of an enumerated subset
 SLOTS, CHUNK = 1 << 22, 1 << 16  #: counters of shingles, and counters of a row while they are summed
 LIGHTEST = 4096  #: no set above this size is ever light
-LEADERS, LIST, BLOCK = 4, 64, 256
+LEADERS, LIST, BLOCK = 4, 16, 256
 HOT = 1 << 20  #: rows of a key, by the counts, from which on it is salted
 BITS = 128  #: least bits of a signature; sets of more shingles have more
 MOST_BITS = 1 << 25  #: bits of a test for ids
