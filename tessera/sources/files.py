@@ -28,6 +28,8 @@ EXCLUDED = (
     ".svelte-kit", "target", "vendor", ".idea", ".vscode-test", "coverage", ".tox", "egg-info",
 )  # and whatever folder a build writes to
 LARGEST = 2 * 1024 * 1024
+#: The schema of Spark's binaryFile source, which streams of it must name.
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 NODE_LINK = "nodes array<struct<id:string,label:string,type:string,file:string,lang:string,summary:string,community:int>>, links array<struct<source:string,target:string,relation:string>>"
 CALL = "name string, args string, result_preview string, token_est int, timestamp string"

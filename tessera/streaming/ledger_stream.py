@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.code import predicted_questions
 from ..operators.keep import shared_dir
+from ..sources.files import BINARY_FILE
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -47,7 +48,7 @@ def first_seen(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 def watch_files(spark: SparkSession, path: str, pattern: str = "*.py") -> DataFrame:
     """path, length, modified of files as they appear or change under a directory."""
-    return spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    return spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
 def rebuild_on(stream: DataFrame, rebuild: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import build, increment
+from ..operators.keep import keep
 from ..sources import files as source
 from ..sources.store import Store
 
@@ -33,7 +34,7 @@ def read(store: Store) -> Graph | None:
 
 def file_stream(spark: SparkSession, root: str, at_once: int = 64) -> DataFrame:
     """path (below root), length, modified, content (bytes) of the files that a scan of root keeps, `at_once` in a micro-batch."""
-    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", at_once).load(root)
+    raw = spark.readStream.format("binaryFile").schema(source.BINARY_FILE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", at_once).load(root)
     return source.wanted(raw, root).withColumn("path", source.below(F.col("path"), root)).drop("type")
 
 
@@ -42,6 +43,7 @@ def merge_batch(store: Store, extract: Callable | None = None) -> Callable[[Data
     its contents are known by then, and rows of a path replace each other."""
 
     def run(batch: DataFrame, _: int) -> None:
+        batch = keep(batch, "batch")  # the source is read once, so that its row count is that of the files
         files = source.decoded(batch) if batch.schema["content"].dataType.simpleString() == "binary" else batch
         increment.apply(store, files, batch.select("path").limit(0), extract)
         nodes, edges = increment.settle(store)
