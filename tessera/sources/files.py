@@ -63,9 +63,9 @@ BINARY = (".pdf", ".docx")
 
 def decoded(files: DataFrame) -> DataFrame:
     """Files (path, ..., content: bytes) with their text as content: read out of PDF and word-processor documents (null where there is no text
-    in them), else decoded. Only the former go through Python."""
+    in them), else as UTF-8, with a mark in place of bytes that are none. Only the former go through Python."""
     binary = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*BINARY)
-    plain = files.where(~binary).withColumn("content", F.decode("content", "UTF-8"))
+    plain = files.where(~binary).withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
     kinds = ", ".join(f"`{f.name}` {'string' if f.name == 'content' else f.dataType.simpleString()}" for f in files.schema)
     return plain.unionByName(files.where(binary).mapInArrow(_documents, kinds))
 
