@@ -149,7 +149,9 @@ def cost_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cost_view(report: DataFrame, price: float = 3.0) -> DataFrame:
-    naive = F.round(F.col("naive_cost_usd") * 1e6 / price).cast("long")
+    """report with naive_tokens, actual_tokens, tokens_saved, compression_pct. Millionths of dollars are taken to six places: what the doubles
+    of dollars leave behind would turn halves of a token down."""
+    naive = F.round(F.round(F.col("naive_cost_usd") * 1e6, 6) / price).cast("long")
     actual = (F.col("total_input_tokens") + F.col("total_output_tokens")).cast("long")
     out = report.withColumns({"naive_tokens": naive, "actual_tokens": actual})
     pct = F.when(F.col("naive_tokens") > 0, F.greatest(F.lit(0), F.round((1 - F.col("actual_tokens") / F.col("naive_tokens")) * 100).cast("long"))).otherwise(0)

@@ -43,3 +43,8 @@ def test_logs_and_manifests(spark, tmp_path):
     assert [(r.file, r.function) for r in files.changed_functions(d).collect()] == [("x.py", "foo")]
     s = spark.createDataFrame([('{"a.py": [{"name": "F", "kind": 12}, {"name": "Q", "kind": 99}]}',)], "content string")
     assert {(r.id, r.type) for r in files.lsp_symbols(spark, s).collect()} == {("a.py::F", "function"), ("a.py::Q", "symbol")}
+
+
+def test_cost_view_keeps_halves(spark):
+    report = spark.createDataFrame([(124.5 / 1e6, 2.0, 0.0), (1.5 / 1e6, 0.0, 0.0), (0.0, 5.0, 0.0)], "naive_cost_usd double, total_input_tokens double, total_output_tokens double")
+    assert [(r.naive_tokens, r.tokens_saved) for r in files.cost_view(report).collect()] == [(42, 40), (1, 1), (0, 0)]
