@@ -5,8 +5,9 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -43,37 +44,69 @@ def validity(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.select("module", "symbol", fine.alias("valid"), F.when(fine, "info").when(F.col("there").isNull(), "error").otherwise("warning").alias("severity"))
 
 
-def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        module, symbol, name = (c.to_pylist() for c in batch.columns)
-        ratio = [difflib.SequenceMatcher(None, n, s).ratio() for s, n in zip(symbol, name, strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratio, pa.float64())], names=[*batch.schema.names, "ratio"])
-
-
-#: Classes that characters are counted in; characters of one class count as equal, so a bound from the counts holds.
-CLASSES = 32
-
-
-def _counts(word: str) -> Column:
-    """How many characters of a word fall into each class."""
-    chars = F.transform(F.split(word, ""), lambda c: F.pmod(F.ascii(c), F.lit(CLASSES)))
-    return F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: F.size(F.filter(chars, lambda c: c == k)))
+#: Words of a block; two blocks are compared in one row. Classes that characters are counted in at most: those of one class count as equal.
+BLOCK, CLASSES = 1024, 1024
+
+
+def closest(symbols: list[str], names: list[str], n: int, least: float) -> Iterator[tuple[str, str, float]]:
+    """symbol, name, ratio: for each symbol the n names (all of one length, none twice) of the highest ratio of matching blocks at or over
+    `least`, ties by the later name. Characters in common bound the ratio from above; names are tried from the highest bound down, and
+    no more once the bound is below what n names have."""
+    names = sorted(names, reverse=True)
+    size, kinds = len(names[0]), lambda text: np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % CLASSES
+    used, place = np.unique(kinds("".join(names)), return_inverse=True)
+    count = np.zeros((len(used), len(names)), np.int32)
+    np.add.at(count, (place.ravel(), np.repeat(np.arange(len(names)), size)), 1)
+    at = {k: i for i, k in enumerate(used.tolist())}
+    for symbol in symbols:
+        whole, both = len(symbol) + size, np.zeros(len(names), np.int32)
+        for kind, times in zip(*(x.tolist() for x in np.unique(kinds(symbol), return_counts=True)), strict=True):
+            if kind in at:
+                both += np.minimum(count[at[kind]], times)
+        found: list[tuple[float, str]] = []  # best first
+        tried = np.flatnonzero(2.0 * both / whole >= least)
+        for i in tried[np.argsort(-both[tried], kind="stable")].tolist():
+            if len(found) == n and (2.0 * int(both[i]) / whole, names[i]) <= found[-1]:
+                if 2.0 * int(both[i]) / whole < found[-1][0]:
+                    break
+                continue
+            ratio = difflib.SequenceMatcher(None, names[i], symbol).ratio()
+            if ratio >= least:
+                found = sorted([*found, (ratio, names[i])], reverse=True)[:n]
+        yield from ((symbol, name, ratio) for ratio, name in found)
+
+
+def _closest(n: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for module, symbols, names in zip(*(batch.column(c).to_pylist() for c in ("module", "symbols", "names")), strict=True):
+                rows = list(closest(symbols, names, n, least))
+                yield pa.RecordBatch.from_pydict({"module": pa.array([module] * len(rows), pa.string())} | {c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("symbol", pa.string()), ("name", pa.string()), ("ratio", pa.float64())))})
+
+    return run
+
+
+def _blocks(words: DataFrame, column: str) -> DataFrame:
+    """module, size, block, and the words of a module that are that long, some BLOCK of them in a row."""
+    sized = words.withColumn("size", F.length(column))
+    many = sized.groupBy("module", "size").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64(column), F.col("blocks"))
+    return sized.join(many, ["module", "size"]).groupBy("module", "size", block.alias("block")).agg(F.collect_list(column).alias(f"{column}s"))
 
 
 def suggestions(wanted: DataFrame, symbols: DataFrame, n: int = 3, least: float = 0.6) -> DataFrame:
     """module, symbol, rank, name: the closest public names of a module for symbols that it lacks.
 
-    A ratio of matching blocks of at least `least` needs lengths that are not too far apart and enough characters in common, so a symbol
-    is joined with the names of its module by each length that will do, and counts of characters bound the ratio from above before
-    it is computed. The ratio itself has no built-in counterpart and is a map in Arrow batches over what is left."""
+    A ratio of matching blocks of at least `least` needs lengths that are not too far apart. Symbols and names are dealt into blocks of one
+    module and length, and blocks of fitting lengths are compared in a row each (`closest`), so no pair is a row. The ratio has no built-in
+    counterpart and is worked out only where characters in common say that it may be among the n best."""
     missing = validity(wanted, symbols).where("severity = 'warning'").select("module", "symbol").distinct().where("length(symbol) > 0")
-    size, share = F.length("symbol"), least / (2 - least)
-    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(size * share - 1e-9)).cast("int"), F.floor(size / share + 1e-9).cast("int"))
-    asked = missing.select("module", "symbol", _counts("symbol").alias("have"), F.explode(lengths).alias("size"))
-    names = symbols.where("not symbol like '\\\\_%'").select("module", F.col("symbol").alias("name")).distinct().select("module", "name", F.length("name").alias("size"), _counts("name").alias("own"))
-    both = F.aggregate(F.zip_with("have", "own", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = asked.join(names, ["module", "size"]).where(2 * both >= least * (F.length("symbol") + F.col("size")) - 1e-9).select("module", "symbol", "name")
-    near = pairs.mapInArrow(_ratios, "module string, symbol string, name string, ratio double").where(F.col("ratio") >= least)
+    names = symbols.where("not symbol like '\\\\_%' and length(symbol) > 0").select("module", F.col("symbol").alias("name")).distinct()
+    asked, share = _blocks(missing, "symbol").withColumnsRenamed({"size": "long", "block": "row"}), least / (2 - least)
+    fits = F.col("size").between(F.ceil(F.col("long") * share - 1e-9), F.floor(F.col("long") / share + 1e-9))
+    tasks = max(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64)  # few bytes are much work here
+    pairs = asked.join(_blocks(names, "name"), "module").where(fits).repartition(tasks, "module", "long", "row", "size", "block")
+    near = pairs.select("module", "symbols", "names").mapInArrow(_closest(n, least), "module string, symbol string, name string, ratio double")
     rank = F.row_number().over(W.partitionBy("module", "symbol").orderBy(F.desc("ratio"), F.desc("name")))
     return near.withColumn("rank", rank).where(F.col("rank") <= n).select("module", "symbol", "rank", "name")
 

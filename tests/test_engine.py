@@ -1,5 +1,6 @@
 """The facade, the build, the stores and the parsers."""
 
+import difflib
 import json
 import zipfile
 
@@ -219,3 +220,16 @@ def test_parsers(spark):
     assert docs == {"load": "Loads the rows.", "add": "Adds two numbers.", "start": "Starts it all."}
     g = spark.createDataFrame([("x/yarn.lock", ""), ("a.py", "# Generated by y\n"), ("b.py", "x = 1"), ("c.ts", "says it is generated by hand")], "p string, c string")
     assert [r.g for r in g.select(parse.is_generated(F.col("p"), F.col("c")).alias("g")).collect()] == [True, True, False, False]
+
+
+def test_suggestions_try_few_names(monkeypatch):
+    """Of names that share most characters only those are compared that may be among the best."""
+    names, symbols = [f"Part#{i:06d}" for i in range(3000)], [f"no_Part#{i:06d}" for i in range(0, 3000, 150)]
+    real, tried = difflib.SequenceMatcher, []
+    want = {s: sorted(((real(None, n, s).ratio(), n) for n in names), reverse=True)[:3] for s in symbols}
+    monkeypatch.setattr(guard.difflib, "SequenceMatcher", lambda *a: tried.append(a) or real(*a))
+    got = {}
+    for symbol, name, ratio in guard.closest(symbols, names, 3, 0.6):
+        got.setdefault(symbol, []).append((ratio, name))
+    assert got == want
+    assert len(tried) < len(symbols) * len(names) / 20
