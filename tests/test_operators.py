@@ -166,6 +166,16 @@ def test_louvain_finds_planted_groups(spark):
     assert again.select("community").distinct().count() == 6 and again.where("id = 'alone'").first().community == 5
 
 
+def test_local_moving_leaves_no_mover(spark):
+    """Ends of lone edges come together, though a round may draw none of them, or both."""
+    from tessera.operators import communities
+
+    rows = [(f"a{i}", f"b{i}") for i in range(12)]
+    ids = spark.createDataFrame([(x,) for r in rows for x in r], "id string")
+    got = {r.id: r.community for r in communities.louvain(ids, spark.createDataFrame(rows, "src string, dst string")).collect()}
+    assert got == {x: r[0] for r in rows for x in r}
+
+
 def test_leiden_is_connected(spark):
     """Random graphs: communities are connected, all nodes are in one, and modularity is not below that of local moving."""
     import random
