@@ -34,7 +34,7 @@ def top_external(nodes: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
 
 def isolated(nodes: DataFrame, edges: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """Nodes that no edge touches, but for some types."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()  # each task sends an end once
     return nodes.where(~F.col("type").isin(*without) if without else F.lit(True)).join(ends, "id", "left_anti").select("id", "type")
 
 

@@ -291,3 +291,15 @@ def test_shared_folder_is_asked_for(spark):
     k.discard(kept)
     d = k.ranked(spark.range(1000).repartition(7), F.desc("id")).collect()
     assert all(r["rank"] == 999 - r.id for r in d)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_isolated_takes_each_end_once(spark):
+    n = spark.createDataFrame([("a", "function"), ("b", "class"), ("c", "external"), ("d", "class")], "id string, type string")
+    e = spark.createDataFrame([("a", "b", "calls"), ("a", "b", "calls"), ("b", "a", "calls")], "src string, dst string, relation string")
+    found = graph.isolated(n, e, ("external",))
+    assert [tuple(r) for r in found.collect()] == [("d", "class")]
+    assert "Aggregate [id" in _plan(found)
