@@ -123,8 +123,9 @@ def merge_fragments(fragments: DataFrame, edges: DataFrame) -> tuple[DataFrame,
 
     merged = fragments.where("id is not null and id <> ''").groupBy("id").agg(first("label", ("",)), first("type", ("", "unknown")), first("file", ("",)), first("lang", ("",)), first("summary", ("",)), first("community", ("",)))
     merged = merged.withColumns({"label": F.coalesce("label", "id"), "type": F.coalesce("type", F.lit("unknown"))})
-    kept = edges.withColumn("relation", F.coalesce("relation", F.lit("related"))).where("src <> '' and dst <> '' and src <> dst").dropDuplicates(["src", "dst", "relation"])
-    extra = stubs(merged, kept)
+    fine = edges.withColumn("relation", F.coalesce("relation", F.lit("related"))).where("src <> '' and dst <> '' and src <> dst")
+    kept = fine.dropDuplicates(["src", "dst", "relation"])
+    extra = stubs(merged, fine)  # repeats are no new ends
     return merged.unionByName(extra, allowMissingColumns=True), kept
 
 

@@ -303,3 +303,11 @@ def test_isolated_takes_each_end_once(spark):
     found = graph.isolated(n, e, ("external",))
     assert [tuple(r) for r in found.collect()] == [("d", "class")]
     assert "Aggregate [id" in _plan(found)
+
+
+def test_stubs_need_no_distinct_edges(spark):
+    f = spark.createDataFrame([("a", "A", "class", None, None, None, 1, 1)], "id string, label string, type string, file string, lang string, summary string, community int, ord int")
+    e = spark.createDataFrame([("a", "x", "calls"), ("a", "x", "calls"), ("a", "a", "calls")], "src string, dst string, relation string")
+    nodes, edges = graph.merge_fragments(f, e)
+    assert sorted((r.id, r.type) for r in nodes.collect()) == [("a", "class"), ("x", "external")] and edges.count() == 1
+    assert "relation" not in "".join(x for x in _plan(nodes).split("\n") if "Aggregate" in x)
