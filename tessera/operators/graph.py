@@ -85,9 +85,11 @@ def landmark_lines(nodes: DataFrame, edges: DataFrame, top: int = 25, budget: in
 
 def cross_community(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges between two different known communities, but for imports of externals."""
-    s = nodes.select(F.col("id").alias("src"), F.col("community").alias("sc"))
-    t = nodes.select(F.col("id").alias("dst"), F.col("community").alias("tc"), F.col("type").alias("dst_type"))
-    return edges.join(s, "src").join(t, "dst").where("sc is not null and tc is not null and sc <> tc and not (relation = 'imports' and dst_type = 'external')").select("sc", "tc", "src", "dst", "relation")
+    known = nodes.where("community is not null")
+    s = known.select(F.col("id").alias("src"), F.col("community").alias("sc"))
+    t = known.select(F.col("id").alias("dst"), F.col("community").alias("tc"), F.col("type").alias("dst_type"))
+    inner = edges.join(t, "dst").where("not (relation = 'imports' and dst_type = 'external')")  # imports go before the second join
+    return inner.join(s, "src").where("sc <> tc").select("sc", "tc", "src", "dst", "relation")
 
 
 def module_rollup(nodes: DataFrame, labels: int = 5) -> DataFrame:

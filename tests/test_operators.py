@@ -311,3 +311,16 @@ def test_stubs_need_no_distinct_edges(spark):
     nodes, edges = graph.merge_fragments(f, e)
     assert sorted((r.id, r.type) for r in nodes.collect()) == [("a", "class"), ("x", "external")] and edges.count() == 1
     assert "relation" not in "".join(x for x in _plan(nodes).split("\n") if "Aggregate" in x)
+
+
+def test_crossing_edges_meet_known_nodes_only(spark):
+    n = spark.createDataFrame([("a", "class", 1), ("b", "class", 2), ("p", "external", 3), ("q", "external", None)], "id string, type string, community int")
+    e = spark.createDataFrame([("a", "b", "imports"), ("a", "p", "imports"), ("a", "p", "calls"), ("a", "q", "calls"), ("b", "b", "calls")], "src string, dst string, relation string")
+    assert {tuple(r) for r in graph.cross_community(n, e).collect()} == {(1, 2, "a", "b", "imports"), (1, 3, "a", "p", "calls")}
+
+
+def test_crossing_queries_make_no_imports(spark):
+    from tessera import registry
+
+    for name in ("cross_community_edges", "cross_community_matrix"):
+        assert "l_partkey" not in _plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
