@@ -320,7 +320,17 @@ def test_crossing_edges_meet_known_nodes_only(spark):
 
 
 def test_crossing_queries_make_no_imports(spark):
-    from tessera import registry
+    from tessera import plans, registry
 
+    plans.load()
     for name in ("cross_community_edges", "cross_community_matrix"):
-        assert "l_partkey" not in _plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "imports AS relation" not in _plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_co_changes_are_dealt_by_rows(spark):
+    from tessera.operators import git
+
+    df = spark.createDataFrame([(1, 5), (1, 3), (1, 9), (2, 3), (2, 5), (3, 9)], "commit int, file int")
+    found = git.co_changes(df, 40_000_000, 15)
+    assert "RepartitionByExpression [file_a" in _plan(found) and ", 40" in [x for x in _plan(found).split("\n") if "RepartitionByExpression" in x][0]
+    assert {tuple(r) for r in found.collect()} == {(3, 5, 2), (3, 9, 1), (5, 9, 1)}
