@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,13 +80,6 @@ def dense_top_k(vectors: DataFrame, query: DataFrame, k: int = 15) -> DataFrame:
     return vectors.crossJoin(q).select("vec_id", F.round(dot(F.col("embedding"), F.col("q")), 5).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def _ordered(sets: DataFrame) -> DataFrame:
-    """id, n, x, p: the words of sets (id, s) with their places, rarest first."""
-    words = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("x"))
-    rarity = words.groupBy("x").agg(F.count("*").alias("df"))
-    return words.join(rarity, "x").withColumn("p", F.row_number().over(W.partitionBy("id").orderBy("df", "x"))).drop("df")
-
-
 #: Rows of one key that are paired directly; words of a longest key.
 PAIRED, LONGEST = 64, 3
 
@@ -95,28 +89,113 @@ def _fewest(n: str | Column, least: float) -> Column:
     return F.ceil((F.col(n) if isinstance(n, str) else n) * least - 1e-9)
 
 
-def keyed(words: DataFrame, least: float, paired: int = PAIRED, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
-    """Keys under which sets of Jaccard `least` and more meet, from their ordered words (id, n, x, p): rows (key, id, n, p) of keys with at
+#: Counters by which words are ordered; each task sends what it counted in rows of CHUNK.
+SLOTS, CHUNK = 1 << 20, 1 << 16
+
+
+def _slot(words: np.ndarray) -> np.ndarray:
+    """A counter for each hashed word; its multiplier spreads words that are small numbers, too."""
+    return ((words.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and where each list begins (and the last one ends)."""
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False), at - at[0]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        counts += np.bincount(_slot(_lists(batch.column(0))[0]), minlength=SLOTS)
+    used = [i for i in range(SLOTS // CHUNK) if counts[i * CHUNK : (i + 1) * CHUNK].any()]
+    packed = [pa.compress(counts[i * CHUNK : (i + 1) * CHUNK].astype(np.int32).tobytes(), "lz4", asbytes=True) for i in used]
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "counts"])
+
+
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for c, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+            total[c] = total.get(c, 0) + np.frombuffer(pa.decompress(x, 4 * CHUNK, "lz4", asbytes=True), np.int32).astype(np.int64)
+    ranks = [np.rint(4 * np.log2(x + 1)).astype(np.uint8).tobytes() for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], names=["chunk", "ranks"])
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """A byte for each counter of words, more for more frequent ones: what the words of all sets (id, s: hashed words) count in it. It orders
+    words for all sets alike, with ties by the word; no shuffle holds a word."""
+    counted = sets.select("s").mapInArrow(_counted, "chunk int, counts binary").repartition("chunk").mapInArrow(_ranks, "chunk int, ranks binary")
+    out = np.zeros(SLOTS, np.uint8)
+    for r in counted.collect():  # SLOTS bytes in all
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.ranks, np.uint8)
+    return out
+
+
+def parities(words: np.ndarray) -> bytes:
+    """A bit for each residue of a word, flipped by every word that has it; at least half as many bits as words."""
+    bits = max(128, 1 << max(0, (len(words) // 2 - 1)).bit_length())
+    odd = np.bincount((words & (bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def parted(a: bytes, b: bytes) -> int:
+    """Words that are in one of two sets only, at the least, by their parities."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _prefixed(least: float, longest: int, ranks: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, at = _lists(batch.column(1))
+            size, firsts, signs = np.diff(at), [], []
+            for i, n in enumerate(size.tolist()):
+                s = flat[at[i] : at[i + 1]]
+                firsts.append(s[np.lexsort((s, ranks[_slot(s)]))[: n - int(np.ceil(n * least - 1e-9)) + longest]])
+                signs.append(parities(s))
+            ends = np.concatenate(([0], np.cumsum([len(f) for f in firsts])))
+            w = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts) if firsts else flat[:0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), w, pa.array(signs, pa.binary())], names=["id", "n", "w", "sign"])
+
+    return run
+
+
+def _longest(least: float, longest: int = LONGEST) -> int:
+    """Words of a longest key: different sets of this Jaccard share as many words as keys are long, or keys stay shorter."""
+    return max(1, min(longest, max((k for k in range(1, 10) if least > (k - 1) / k), default=1)))
+
+
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """id, n, w, sign of sets (id long, s: hashed words): size, the words that keys are made of (rarest first), and parities."""
+    return sets.select(F.col("id").cast("long").alias("id"), "s").mapInArrow(_prefixed(least, _longest(least), rarity(sets)), "id long, n int, w array<long>, sign binary")
+
+
+def keyed(first: DataFrame, least: float, paired: int = PAIRED, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+    """Keys under which sets of Jaccard `least` and more meet, from what `prefixes` gives, written: rows (key, id, n, p) of keys with at
     most `paired` rows, and of the others. p: the place of the key's last word.
 
     Sets that similar share a word among the first n - c + 1 of each, c being what they must share (prefix filter). Where a word is in
     too many sets, its rows get keys of two words, then three: the first k words two sets share are among the first n - c + k of each.
-    So a frequent word costs pairs only of sets that share rarer company, too. Different sets of this Jaccard share as many words as keys
-    are long, or keys stay shorter.
+    So a frequent word costs pairs only of sets that share rarer company, too.
     """
-    longest = max(1, min(longest, max((k for k in range(1, 10) if least > (k - 1) / k), default=1)))
-    words = keep(words, "words")
-    rows = words.where(F.col("p") <= F.col("n") - _fewest("n", least) + 1).select(F.xxhash64("x").alias("key"), "id", "n", "p")
+    longest = _longest(least, longest)
+    upto = lambda k: (F.col("n") - _fewest("n", least) + k).cast("int")
+    rows = first.select("id", "n", F.posexplode(F.slice("w", 1, upto(1))).alias("i", "key")).select("key", "id", "n", (F.col("i") + 1).alias("p"))
     few = []
     for k in range(1, longest + 1):
-        rows = keep(rows, f"keys{k}")
-        sizes = rows.groupBy("key").agg(F.count("*").alias("m"))
-        few.append(rows.join(sizes.where(F.col("m").between(2, paired)), "key").drop("m"))
-        hot = rows.join(sizes.where(F.col("m") > paired), "key").drop("m")
+        sizes = keep(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), f"sizes{k}")  # most words are in one set
+        met = keep(rows.join(sizes, "key"), f"keys{k}")
+        few.append(met.where(F.col("m") <= paired).drop("m"))
+        hot = met.where(F.col("m") > paired).drop("m")
         if k == longest:
             break
-        more = hot.join(words.select("id", "x", F.col("p").alias("q")), "id").where((F.col("q") > F.col("p")) & (F.col("q") <= F.col("n") - _fewest("n", least) + k + 1))
-        rows = more.select(F.xxhash64("key", "x").alias("key"), "id", "n", F.col("q").alias("p"))
+        more = hot.join(first.select("id", "w"), "id").select("key", "id", "n", "p", F.posexplode(F.slice("w", 1, upto(k + 1))).alias("i", "x")).where("i >= p")
+        rows = more.select(F.xxhash64("key", "x").alias("key"), "id", "n", (F.col("i") + 1).alias("p"))
     return reduce(DataFrame.unionByName, few), hot
 
 
@@ -137,7 +216,7 @@ def earlier_match(questions: DataFrame, least: float = 0.8) -> DataFrame:
     """
     rows = questions.where(F.size("w") > 0).select("id", F.array_sort("w").alias("w"))
     entries = keep(rows.groupBy("w").agg(F.min("id").alias("key")), "entries")
-    few, hot = keyed(_ordered(entries.select(F.col("key").alias("id"), F.col("w").alias("s"))), least)
+    few, hot = keyed(keep(prefixes(entries.select(F.col("key").alias("id"), _hashed("w").alias("s")), least), "first"), least)
     pairs = _met(few.unionByName(hot), least).select(F.col("a").alias("key"), F.col("b").alias("other"))
     scored = pairs.join(entries.select("key", F.col("w").alias("a")), "key").join(entries.select(F.col("key").alias("other"), F.col("w").alias("b")), "other")
     scored = keep(scored.select("key", "other", jaccard(F.col("a"), F.col("b")).alias("j")).where(F.col("j") >= least), "scored")
@@ -147,6 +226,10 @@ def earlier_match(questions: DataFrame, least: float = 0.8) -> DataFrame:
     return found.withColumn("rn", rank).where("rn = 1").select("id", F.col("other").alias("key"), F.round("j", 6).alias("similarity"))
 
 
+def _hashed(words: str) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
 def shingles(text: Column, n: int = 4) -> Column:
     """Distinct n-word shingles, the whole text if it has fewer words."""
 
@@ -157,6 +240,62 @@ def shingles(text: Column, n: int = 4) -> Column:
     return F.transform(F.array(tokens(text)), of)[0]
 
 
+def _windows(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(n)]
+        for batch in batches:
+            flat, at = _lists(batch.column(1))
+            flat, sets = flat.view(np.uint64), []
+            for i in range(len(at) - 1):
+                h = flat[at[i] : at[i + 1]]
+                k = min(n, len(h))
+                out = np.full(len(h) - k + 1 if k else 0, k, np.uint64)
+                for j in range(k):
+                    out += h[j : len(h) - k + 1 + j] * odd[j]
+                out = (out ^ (out >> np.uint64(32))) * odd[0]
+                sets.append(np.unique((out ^ (out >> np.uint64(29))).view(np.int64)))
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+            s = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else flat[:0].view(np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), s], names=["id", "chars", "s"])
+
+    return run
+
+
+def hashed_shingles(docs: DataFrame, n: int = 4) -> DataFrame:
+    """id, chars, s of docs (id long, text): the length of the text, and the sorted hashes of its shingles (as `shingles` has them). Nothing
+    is shuffled or written, so it may be asked for more than once."""
+    words = docs.select(F.col("id").cast("long").alias("id"), F.coalesce(_hashed(tokens(F.col("text"))), F.array().cast("array<long>")).alias("t"), F.length("text").alias("chars"))
+    return words.mapInArrow(_windows(n), "id long, chars int, s array<long>")
+
+
+#: Bits of a test for ids, at most.
+MOST_BITS = 1 << 25
+
+
+def may_hold(ids: DataFrame):
+    """A test of a column of ids: true for all of ids (id) and few others, so that little more than their sets is shuffled; the join that
+    follows decides. A bit for each slot of a hash, at most MOST_BITS, whatever the number of ids."""
+    bits = min(MOST_BITS, max(1 << 16, 1 << (8 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    set_ = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("set"))
+    held = np.zeros(bits >> 6, np.int64)
+    for r in set_.toLocalIterator():  # at most MOST_BITS / 64 rows
+        held[r.word] = r["set"]
+
+    @F.pandas_udf("boolean")
+    def test(slots: pd.Series) -> pd.Series:
+        s = slots.to_numpy()
+        return pd.Series((held[s >> 6] >> (s & 63)) & 1 == 1)
+
+    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(bits)))
+
+
+def fetched(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of texts (id, ...) whose id is in ids (id, each once)."""
+    ids = keep(ids, "ids")
+    return texts.where(may_hold(ids)("id")).join(ids, "id", "left_semi")
+
+
 #: Rows of a block; two blocks are compared in one unit of work.
 BLOCK = 256
 
@@ -226,24 +365,47 @@ def dealt(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     return placed, blocks
 
 
-def similar_pairs(docs: DataFrame, least: float) -> DataFrame:
+def _allowed(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, sa, sb, most = (c.to_pylist() for c in batch.columns)
+            hit = pa.array([parted(x, y) <= m for x, y, m in zip(sa, sb, most, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["a", "b"])
+
+    return run
+
+
+def similar_pairs(docs: DataFrame, least: float, texts: Callable[[DataFrame], DataFrame] | None = None, only: DataFrame | None = None) -> DataFrame:
     """a, b (a < b): links of rows (id, s: a set) with Jaccard at or over `least`; every group of such rows is spanned, no link
     between different groups is lost, and not all pairs within a group are made.
 
     Sets meet under keys of one to LONGEST of their rarest words (`keyed`). Keys of at most PAIRED rows pair them. What shares a whole key and
     is still many, as near copies of one text are, meets the key's first row; what is then in one component needs no more, and the rest
     is compared in units of two blocks, dealt out over tasks. Equal sets are one row before; empty sets are linked with nothing.
+
+    A set is not shuffled before the parities of its words and another's allow a link; until then only its first words are. docs is read
+    for the counts, the first words, and the sets of what may link. texts: docs of some ids (id) only, where the caller knows a
+    shorter way. only: the ids (id) that are to be linked, where docs has more.
     """
-    sets = keep(docs.where(F.size("s") > 0).select("id", F.transform("s", lambda x: F.xxhash64(x)).alias("s")), "sets")
-    few, hot = keyed(_ordered(sets), least)
+    whole_of = texts or (lambda ids: fetched(docs, ids))
+    long_ = dict(docs.dtypes)["s"] == "array<bigint>"
+    hashed = lambda df: df.select("id", F.col("s") if long_ else _hashed("s").alias("s"))
+    first = prefixes(hashed(docs.where(F.size("s") > 0)), least)
+    first = keep(first if only is None else first.join(only, "id", "left_semi"), "first")
+    few, hot = keyed(first, least)
     hot = keep(hot, "hot")
+    signs = first.select("id", "n", "sign")
 
     def near(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        both = pairs.join(signs.toDF("a", "na", "sa"), "a").join(signs.toDF("b", "nb", "sb"), "b")
+        most = ((F.col("na") + F.col("nb")) * ((1 - least) / (1 + least)) + 1e-6).alias("most")
+        some = keep(both.select("a", "b", "sa", "sb", most).mapInArrow(_allowed(least), "a long, b long"), "allowed")
+        sets = keep(hashed(whole_of(some.select(F.explode(F.array("a", "b")).alias("id")).distinct())), "sets")
+        both = some.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         return both.where(jaccard(F.col("sa"), F.col("sb")) >= least).select("a", "b")
 
-    first = hot.join(hot.groupBy("key").agg(F.min("id").alias("first")), "key").where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    found = keep(near(_met(few, least).unionByName(first).distinct()), "links")
+    star = hot.join(hot.groupBy("key").agg(F.min("id").alias("first")), "key").where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    found = keep(near(_met(few, least).unionByName(star).distinct()), "links")
     if hot.isEmpty():
         return found
     comps = connected_components(hot.select("id").distinct(), found.select(F.col("b").alias("src"), F.col("a").alias("dst"))).withColumnRenamed("component", "comp")
@@ -254,16 +416,19 @@ def similar_pairs(docs: DataFrame, least: float) -> DataFrame:
     at = F.when(F.col("minor"), F.col("at")).otherwise(-F.col("at") - 1)
     rows = placed.select("key", "id", "comp", "minor", at.alias("at"))
     sides = pairs.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("at"))
-    whole = sides.join(rows, ["key", "at"]).join(sets, "id").select("key", "i", "j", "id", "comp", "minor", "s")
+    sides = keep(sides.join(rows, ["key", "at"]), "sides")
+    sets = hashed(whole_of(sides.select("id").distinct()))
+    whole = sides.join(sets, "id").select("key", "i", "j", "id", "comp", "minor", "s")
     compared = whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_units(least), "a long, b long")
     return found.unionByName(compared).distinct()
 
 
 def representatives(groups: DataFrame) -> DataFrame:
-    """component, representative, members, similarity of groups (component, id, text, s: a set) with two members and more: the member
+    """component, representative, members, similarity of groups (component, id, text or its chars, s: a set) with two members and more: the member
     with the longest text (ties: the first by id), and the average similarity of pairs as MinHash estimates it: the share of equal
     hashes in HASHES positions. Positions are counted by value, so no pairs are made."""
-    many = groups.groupBy("component").agg(F.count("*").alias("members"), F.min_by("id", F.struct((-F.length("text")).alias("neg"), "id")).alias("representative")).where("members > 1")
+    chars = F.col("chars") if "chars" in groups.columns else F.length("text")
+    many = groups.groupBy("component").agg(F.count("*").alias("members"), F.min_by("id", F.struct((-chars).alias("neg"), "id")).alias("representative")).where("members > 1")
     signed = groups.join(many.select("component"), "component").select("component", F.posexplode(minhash(F.col("s"), HASHES)).alias("i", "h"))
     equal = signed.groupBy("component", "i", "h").agg((F.count("*") * (F.count("*") - 1) / 2).alias("p")).groupBy("component").agg(F.sum("p").alias("p"))
     pairs = F.col("members") * (F.col("members") - 1) / 2

@@ -334,3 +334,25 @@ def test_co_changes_are_dealt_by_rows(spark):
     found = git.co_changes(df, 40_000_000, 15)
     assert "RepartitionByExpression [file_a" in _plan(found) and ", 40" in [x for x in _plan(found).split("\n") if "RepartitionByExpression" in x][0]
     assert {tuple(r) for r in found.collect()} == {(3, 5, 2), (3, 9, 1), (5, 9, 1)}
+
+
+def test_similar_pairs_put_aside_first_words_only(spark):
+    """What is written follows the first words of sets, not all of their words."""
+    import random
+    from pathlib import Path
+
+    r, at = random.Random(5), Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    d = keep(spark.createDataFrame([(i, [r.getrandbits(62) for _ in range(2000)]) for i in range(200)], "id long, s array<long>"))
+    size = lambda: sum(p.stat().st_size for p in at.rglob("*") if p.is_file())
+    before = size()
+    assert search.similar_pairs(d, 0.82).collect() == []
+    assert size() - before < 200 * 2000 * 8 / 2
+
+
+def test_hashed_shingles_are_shingles(spark):
+    texts = ["a b c d e a b c d e", "A, b!", "", None, "x", "a b c d e", "b c d e a", "é ß"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    plain = {x.id: frozenset(x.s or []) for x in d.select("id", search.shingles(F.col("text")).alias("s")).collect()}
+    hashed = {x.id: frozenset(x.s) for x in search.hashed_shingles(d.repartition(3)).collect()}
+    assert {i: len(s) for i, s in plain.items()} == {i: len(s) for i, s in hashed.items()}
+    assert all((plain[i] & plain[j] == frozenset()) == (hashed[i] & hashed[j] == frozenset()) and (plain[i] == plain[j]) == (hashed[i] == hashed[j]) for i in plain for j in plain)
