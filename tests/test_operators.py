@@ -356,3 +356,11 @@ def test_hashed_shingles_are_shingles(spark):
     hashed = {x.id: frozenset(x.s) for x in search.hashed_shingles(d.repartition(3)).collect()}
     assert {i: len(s) for i, s in plain.items()} == {i: len(s) for i, s in hashed.items()}
     assert all((plain[i] & plain[j] == frozenset()) == (hashed[i] & hashed[j] == frozenset()) and (plain[i] == plain[j]) == (hashed[i] == hashed[j]) for i in plain for j in plain)
+
+
+def test_impact_goes_over_edges_once_a_hop(impact_graph):
+    """What is returned holds levels and degrees that were put aside: no join with the edges is left in it, let alone many of the first hop's."""
+    nodes, edges = impact_graph
+    scored = traverse.impact(nodes, edges, "db", 3)
+    assert "[src" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: (r.hop, r.in_degree) for r in scored.collect()} == {"session": (1, 1), "billing": (1, 0), "auth": (2, 2), "api": (3, 0), "admin": (3, 0)}
