@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import code, text
 from ..operators import fragments, git, guard, importance, packages, parse, types
 from ..operators.build import build_packages
+from ..operators.keep import spread
 from ..registry import query
 from ..sources import files as source
 from ..sources.samples import SAMPLES, files, path_sql, sql
@@ -267,8 +268,9 @@ def lsp_symbol_nodes(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT 'c' || o_orderkey AS commit, 'a' || o_custkey AS author, CAST(CAST(o_orderdate AS DATE) AS STRING) AS date, o_orderpriority || ' | fix' AS subject, 'part_' || l_partkey AS file FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey")
 def git_log_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The commit log written out as git prints it, a text for each commit, and read back."""
-    o, line = table(spark, sf, "orders"), table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    names = line.groupBy("l_orderkey").agg(F.array_join(F.transform(F.collect_list("l_partkey"), lambda p: F.concat(F.lit("part_"), p.cast("string"))), "\n").alias("names"))
+    o, line = table(spark, sf, "orders"), table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    dealt = line.repartition(spread(spark, line.count()), "l_orderkey")  # by order once; a task's share doesn't grow with the lines
+    names = dealt.groupBy("l_orderkey").agg(F.array_join(F.transform(F.collect_set("l_partkey"), lambda p: F.concat(F.lit("part_"), p.cast("string"))), "\n").alias("names"))
     head = F.expr("'@c' || CAST(o_orderkey AS STRING) || '|a' || CAST(o_custkey AS STRING) || '|' || CAST(CAST(o_orderdate AS DATE) AS STRING) || '|' || o_orderpriority || ' | fix' || chr(10)")
     log = names.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(head, "names", F.lit("\n\n")).alias("content"))
     return source.commit_log(log).withColumn("date", F.col("date").cast("string"))

@@ -364,3 +364,11 @@ def test_impact_goes_over_edges_once_a_hop(impact_graph):
     scored = traverse.impact(nodes, edges, "db", 3)
     assert "[src" not in scored._jdf.queryExecution().optimizedPlan().toString()
     assert {r.id: (r.hop, r.in_degree) for r in scored.collect()} == {"session": (1, 1), "billing": (1, 0), "auth": (2, 2), "api": (3, 0), "admin": (3, 0)}
+
+
+def test_log_is_dealt_by_rows(spark):
+    """Lines are dealt by their order once, over tasks that follow from the number of lines."""
+    from tessera.plans import extract_queries
+
+    plan = extract_queries.git_log_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("hashpartitioning(l_orderkey") == 1
