@@ -372,3 +372,16 @@ def test_log_is_dealt_by_rows(spark):
 
     plan = extract_queries.git_log_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("hashpartitioning(l_orderkey") == 1
+
+
+def test_rounds_shuffle_numbers(spark, monkeypatch):
+    """Rounds hold numbers for names; the smallest name still wins, also of ends that are no ids."""
+    held = []
+    marked = traverse.keep_marked
+    monkeypatch.setattr(traverse, "keep_marked", lambda df, *c: (held.append(dict(df.dtypes)["u"]), marked(df, *c))[1])
+    ids = spark.createDataFrame([("b10",), ("b9",), ("c",), ("d",)], "id string")
+    edges = spark.createDataFrame([("b9", "b10"), ("c", "a"), ("d", "d"), ("c", None)], "src string, dst string")
+    assert {r.id: r.component for r in traverse.connected_components(ids, edges).collect()} == {"b10": "b10", "b9": "b10", "c": "a", "d": "d"}
+    assert set(held) == {"bigint"}
+    labels = {r.id: r.community for r in traverse.label_propagation(ids, edges, lambda df: (held.append(df.dtypes[0][1]), keep(df))[1], 1).collect()}
+    assert labels == {"b10": "b10", "b9": "b10", "c": "c", "d": "d", "a": "c"} and set(held) == {"bigint"}
