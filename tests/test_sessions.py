@@ -56,3 +56,66 @@ def test_debounce_in_event_time(spark, tmp_path):
     assert sorted(x.call for x in got) == want  # the last ten seconds still wait
     every = fed(spark, tmp_path, [rows[i : i + 30] for i in range(0, 300, 30)], lambda s: sessions.debounced(s, "session", 2.0), "ordered")
     assert sorted(x.call for x in every) == folded([(c, k, t) for c, k, _, _, t in rows], 2.0)
+
+
+def test_tracker_reads_and_writes_a_node_once():
+    import pandas as pd
+
+    class Value:
+        held, calls = None, 0
+
+        def __getattr__(self, name):
+            def call(*given):
+                self.calls += 1
+                if name == "exists":
+                    return self.held is not None
+                self.held = given[0] if name == "update" else None if name == "clear" else self.held
+                return self.held
+
+            return call
+
+    class Map(dict):
+        calls = 0
+
+        def getValue(self, k):
+            self.calls += 1
+            return self[k]
+
+        def containsKey(self, k):
+            self.calls += 1
+            return k in self
+
+        def updateValue(self, k, v):
+            self.calls += 1
+            self[k] = v
+
+    class Handle:
+        clock, nodes, timers, listed = Value(), Map(), [], 0
+
+        def getValueState(self, *_):
+            return self.clock
+
+        def getMapState(self, *_):
+            return self.nodes
+
+        def listTimers(self):
+            self.listed += 1
+            return iter(list(self.timers))
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+    handle, tracker = Handle(), sessions._Tracker(1, 1800.0)
+    tracker.init(handle)
+    rows = pd.DataFrame({"call": range(300), "node": ["a", "b", None] * 100, "tool": "x", "ts": pd.to_datetime(range(300), unit="s")})
+    (first,) = tracker.handleInputRows((1,), iter([rows[:200]]), None)
+    assert handle.nodes.calls == 3 and handle.listed == 0  # a new session: nothing to read
+    (rest,) = tracker.handleInputRows((1,), iter([rows[200:]]), None)
+    assert handle.nodes.calls <= 3 + 3 * 3 and handle.listed == 1 and len(handle.timers) == 1
+    assert [*first.hits, *rest.hits] == [i // 3 for i in range(300)] and [*first.turn, *rest.turn] == list(range(1, 301))
+    later = pd.DataFrame({"call": [300, 301], "node": ["a", "a"], "tool": "y", "ts": pd.to_datetime([299 + 1800, 5000], unit="s")})
+    (anew,) = tracker.handleInputRows((1,), iter([later]), None)  # after exactly the pause, and again after another
+    assert list(anew.turn) == [1, 1] and list(anew.hits) == [0, 0] and dict(handle.nodes) == {("a",): (1, "y", 1)}
