@@ -265,3 +265,23 @@ def test_sql(spark, name):
     got = queries.QUERIES[name](spark, SF)
     want = con.sql(f"select {', '.join(got.columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
     assert got_sets(got) == sorted(want, key=str)
+
+
+def test_key_rows_travel_in_half_their_bytes():
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import set_join
+
+    r = np.random.default_rng(1)
+    ids = np.sort(r.integers(5 << 33, (5 << 33) + 500, 400))
+    rows = [r.integers(0, 1 << set_join.KEY_BITS, 400), np.where(np.arange(400) % 50, 0, 3).astype(np.int32), ids, r.integers(4, 300, 400).astype(np.int32), r.integers(0, 3, 400).astype(np.int8)]
+    blob = set_join.packed(rows)
+    assert all(np.array_equal(x, y) and x.dtype == y.dtype for x, y in zip(rows, set_join.unpacked(blob, 400), strict=True))
+    assert len(blob) < 12 * 400  # 18 bytes a row before, measured in the shuffle
+    entries = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([20, 20], pa.int32()), pa.array([[1, 2, 3, 4, 5], [3, 4, 5, 6, 7]], pa.list_(pa.int64()))], names=["id", "n", "prefix"])
+    made = list(set_join._keys(85, 100, np.zeros(set_join.SLOTS, np.uint8), np.ones(256, np.int64), 8)(iter([entries])))
+    (out,) = set_join._unpacked(iter(made))
+    keys = list(zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True))
+    both = {k for k, i in keys if i == 7} & {k for k, i in keys if i == 8}
+    assert len(keys) == 20 and len(both) == 3 and set(out.column(3).to_pylist()) == {20}  # pairs of 5 shingles each, three of them shared
