@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .keep import keep
+from .keep import keep, spread
 
 
 def usage(ledger: DataFrame) -> DataFrame:
@@ -122,5 +122,5 @@ def debounce(ledger: DataFrame, key: str, seconds: float) -> DataFrame:
     before = F.broadcast(ends.select("part", F.coalesce("goes_on", F.lit(False)).alias("goes_on"), "open"))
     piece = F.when(F.col("goes_on") & (F.col("run") == 0), F.col("open")).otherwise(F.struct(F.col("part").cast("long").alias("part"), "run"))
     pieces = cut.join(before, "part").withColumn("piece", piece).select(F.col("piece.part").alias("part"), F.col("piece.run").alias("run"), "key", "t", "call")
-    dealt = pieces.repartition("part", "run").sortWithinPartitions("part", "run", "t", "call")
+    dealt = pieces.repartition(spread(ledger.sparkSession, cut.count()), "part", "run").sortWithinPartitions("part", "run", "t", "call")
     return dealt.mapInArrow(_accepted(gap), f"key {kind(key)}, call {kind('call')}").withColumnRenamed("key", key)
