@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, mapped, shuffle_partitions
+from .common import LOWER, batch_bytes, cut, mapped, shuffle_partitions
 from .simhash import components
 
 WORDS, LEAST = 4, 85  #: least: percent of the union
@@ -41,6 +41,8 @@ K = 2  #: shingles of an enumerated subset
 SLOTS, CHUNK = 1 << 22, 1 << 16  #: counters of shingles, and counters of a row while they are summed
 LIGHTEST = 4096  #: no set above this size is ever light
 LEADERS, LIST, BLOCK = 4, 16, 256
+HELD = 1 << 16  #: words whose hashes a task keeps
+TEXTS = 500  #: texts whose sets a task holds at once
 HOT = 1 << 20  #: rows of a key, by the counts, from which on it is salted
 KEY_BITS = 48  #: of a key in the shuffle; keys that fall together only give pairs to look at
 BITS = 128  #: least bits of a signature; sets of more shingles have more
@@ -64,7 +66,7 @@ class Shingler:
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").translate(LOWER).split()
-        if len(self.known) > 500_000:
+        if len(self.known) > HELD:
             self.known.clear()
         h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         n = min(self.words, len(h))
@@ -477,8 +479,13 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    with batch_bytes(docs.sparkSession):  # all that runs Python runs in here
+        return _near_duplicates(docs, words, least)
+
+
+def _near_duplicates(docs: DataFrame, words: int, least: int) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    first = cut(mapped(rows, _first(words), "row long, doc_id long, n long, digest binary, chunk int, counts binary"), "shingled")
+    first = cut(mapped(rows, _first(words), "row long, doc_id long, n long, digest binary, chunk int, counts binary", rows=TEXTS), "shingled")
     ranks = np.zeros(SLOTS, np.uint8)
     summed = mapped(first.where("chunk is not null").select("chunk", "counts").repartition("chunk"), _ranks, "chunk int, ranks binary", rows=64)
     for r in summed.collect():  # SLOTS bytes, whatever the input
@@ -487,7 +494,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
     held = np.maximum(0, 2 ** (np.arange(256) / 4) - mean - 3 * mean**0.5)  # rows of a shingle beyond what its slot holds by chance
     each = first.where("chunk is null").select("row", "doc_id", "n", "digest")
     distinct = cut(each.where("n > 0").groupBy("digest").agg(F.min("row").alias("id"), F.min("doc_id").alias("least_id")), "distinct-sets")
-    prefixes = mapped(rows.select("row", "text"), _prefixes(words, least, ranks, held / 2), "row long, n int, prefix array<long>, sign binary, cost double")
+    prefixes = mapped(rows.select("row", "text"), _prefixes(words, least, ranks, held / 2), "row long, n int, prefix array<long>, sign binary, cost double", rows=TEXTS)
     entries = cut(prefixes.withColumnRenamed("row", "id").join(distinct.select("id"), "id", "left_semi"), "entries")
     sizes = entries.where(F.col("n") <= LIGHTEST).groupBy("n").agg(F.count("*"), F.sum("cost")).collect()  # at most LIGHTEST rows
     light = boundary([tuple(r) for r in sizes], least)

@@ -84,6 +84,25 @@ def test_set_join_odd(spark):
     assert set_join.near_duplicates(documents(spark, [])).collect() == []
 
 
+def test_set_join_memory(spark, monkeypatch):
+    """Hashes kept and batches handed to workers are bounded, whatever the texts and the session's settings."""
+    of = set_join.Shingler()
+    for i in range(150):
+        of(b" ".join(b"%d" % j for j in range(1000 * i, 1000 * i + 1000)))
+        assert len(of.known) <= (1 << 16) + 1000
+    sizes, plain = [], set_join.mapped
+
+    def seen(df, *args, **more):
+        sizes.append(int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")))
+        return plain(df, *args, **more)
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(set_join, "mapped", seen)
+    set_join.near_duplicates(documents(spark, ODD))
+    assert sizes and max(sizes) <= 16 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 @pytest.mark.parametrize(("light", "hot"), [(0, 1 << 20), (20, 1 << 20), (10**6, 1 << 20), (20, 10)])
 def test_set_join_branches(spark, monkeypatch, light, hot):
     """All sets heavy, some, none; keys with more rows than a list, and more than a block; salted keys."""
