@@ -3,6 +3,7 @@
 1. Documents become blocks (one for each Arrow batch): token numbers and a dictionary of the batch's distinct words. Written once.
 2. Each block's words, with their counts in training documents, go to buckets by hash and come back with the counts of all blocks:
    distinct words of blocks are shuffled, not tokens. This gives the exact base score, N and V, and the HEAD most frequent words.
+   A block is written again as its tokens' input numbers (two bytes each) and the sums by document that no weights change.
 3. P(word) = P(class | state) * P(word | class, state). Head words are binned by frequency into classes of WIDTH, with a softmax
    inside the class; the others fall into TAIL classes by a hash of their last letters, inside which a word has (c + 1) / (N_k + V_k + 1),
    which leaves one share for all words never seen. The gated unit reads the word before (a head word or a tail class).
@@ -34,6 +35,8 @@ HEAD, WIDTH, TAIL = 1536, 48, 48
 EMBED, HIDDEN, STEPS, RATE, CLIP, SEED = 16, 24, 16, 0.008, 1.0, 5
 #: Training documents fall into PARTS by hash of doc_id; round r trains on part r, so the rounds pass over all of them once.
 ROUNDS = PARTS = 4
+#: Rows of states whose outputs are held at once, so that they stay in a core's cache.
+ROWS = 1024
 #: Lanes side by side in training and scoring. A training document goes in stretches of SPAN tokens, each from a cleared state.
 LANES, SCORE_LANES, SPAN = 256, 512, 256
 END = b"\n"  # white space, so no word
@@ -43,23 +46,60 @@ LN10 = float(np.log(10.0))
 # ---- blocks and counts
 
 
-def _pack(words: list[bytes]) -> tuple[bytes, bytes]:
-    return b"\n".join(words), np.fromiter(map(len, words), "<u4", len(words)).tobytes()
+def _pack(words: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The words' bytes one after the other, and their lengths."""
+    if not len(words):
+        return b"", np.zeros(0, "<u4")
+    _, offsets, flat = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    return flat[int(at[0]) : int(at[-1])].to_pybytes() if flat else b"", np.diff(at).astype("<u4")
 
 
-def _unpack(flat: bytes, sizes: bytes) -> list[bytes]:
-    out, at = [], 0
-    for n in np.frombuffer(sizes, "<u4").tolist():
-        out.append(flat[at : at + n])
-        at += n + 1
+def _unpack(flat: bytes, sizes: bytes) -> pa.Array:
+    at = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, "<u4")))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(flat)])
+
+
+def _last(words: pa.Array) -> np.ndarray:
+    """Number of each word's last letters (three at most): the letters' count, then the letters."""
+    flat, sizes = _pack(words)
+    flat, ends = np.frombuffer(flat, np.uint8), np.cumsum(sizes, dtype=np.int64)
+    out = np.minimum(sizes, 3).astype(np.int64) << 24
+    for k in range(3):
+        some = np.flatnonzero(sizes > k)
+        out[some] |= flat[ends[some] - 1 - k].astype(np.int64) << (8 * k)
     return out
 
 
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """tail_class of each word."""
+    each, at = np.unique(_last(words), return_inverse=True)
+    return np.array([zlib.crc32((x & 0xFFFFFF).to_bytes(3, "big")[3 - (x >> 24) :]) % TAIL for x in each.tolist()], np.int64)[at]
+
+
+def _spread(words: pa.Array) -> np.ndarray:
+    """A hash of each word: of its length and its first and last 8 bytes."""
+    flat, sizes = _pack(words)
+    flat, ends = np.frombuffer(flat, np.uint8), np.cumsum(sizes, dtype=np.int64)
+    out, first = sizes.astype(np.uint64), ends - sizes
+    for k in range(8):
+        some = np.flatnonzero(sizes > k)
+        for at in (first[some] + k, ends[some] - 1 - k):
+            out[some] = (out[some] ^ flat[at]) * np.uint64(0x9E3779B97F4A7C15)
+            out[some] ^= out[some] >> np.uint64(29)
+    return out >> np.uint64(16)
+
+
 BLOCK = "block long, docs array<long>, sizes array<long>, tokens binary, flat binary, widths binary, seen binary"
 
 
 def tokens_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words (END first), the number of each token, tokens of each text (words, then END)."""
+    words, *rest = _tokens_of(texts)
+    return words.to_pylist(), *rest
+
+
+def _tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))  # ascii_lower makes a fresh array of a slice
     words = lists.flatten().cast(pa.binary())
     real = np.asarray(pc.greater(pc.binary_length(words), 0))  # white space at an end gives an empty word
@@ -70,18 +110,18 @@ def tokens_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     own = np.ones(len(tokens), bool)
     own[ends] = False
     tokens[own] = coded.indices.to_numpy() + 1
-    return [END, *coded.dictionary.to_pylist()], tokens, np.diff(before) + 1
+    return pa.concat_arrays([pa.array([END], pa.binary()), coded.dictionary]), tokens, np.diff(before) + 1
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     for i, batch in enumerate(batches):
         docs = batch.column(0).to_pylist()
-        words, tokens, sizes = tokens_of(batch.column(1))
+        words, tokens, sizes = _tokens_of(batch.column(1))
         train = np.repeat([fold_of(doc, FOLDS) not in (None, HELD_OUT) for doc in docs], sizes)
         seen = np.bincount(tokens[train], minlength=len(words))
         flat, widths = _pack(words)
-        row = [[part << 32 | i], [docs], [sizes], [tokens.tobytes()], [flat], [widths], [seen.astype("<u4").tobytes()]]
+        row = [[part << 32 | i], [docs], [sizes], [tokens.tobytes()], [flat], [widths.tobytes()], [seen.astype("<u4").tobytes()]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 4), strict=True)], names=[x.split()[0] for x in BLOCK.split(", ")])
 
 
@@ -95,11 +135,13 @@ def _ask(buckets: int):
         for batch in batches:
             for block, flat, widths, seen in zip(*(batch.column(c).to_pylist() for c in ("block", "flat", "widths", "seen")), strict=True):
                 words, seen = _unpack(flat, widths), np.frombuffer(seen, "<u4")
-                own = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
-                order = np.argsort(own, kind="stable")
-                edge = np.searchsorted(own[order], np.arange(buckets + 1))
-                rows = [(b, block, order[edge[b] : edge[b + 1]]) for b in range(buckets) if edge[b] < edge[b + 1]]
-                packed = [(b, k, at.astype("<u4").tobytes(), *_pack([words[i] for i in at.tolist()]), seen[at].tobytes()) for b, k, at in rows]
+                own = (_spread(words) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(own.astype(np.uint16) if buckets <= 1 << 16 else own, kind="stable")
+                edge = np.searchsorted(own[order], np.arange(buckets + 1)).tolist()
+                flat, sizes = _pack(words.take(pa.array(order)))
+                at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).tolist()
+                seen, order = seen[order], order.astype("<u4")
+                packed = [(b, block, order[i:j].tobytes(), flat[at[i] : at[j]], sizes[i:j].tobytes(), seen[i:j].tobytes()) for b, (i, j) in enumerate(zip(edge, edge[1:], strict=False)) if i < j]
                 types = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*packed, strict=True), types, strict=True)], names=["bucket", "block", "places", "flat", "widths", "seen"])
 
@@ -111,13 +153,18 @@ ANSWER = "block long, places binary, counts binary, class int, n long, v long, w
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one partition's buckets: counts back to each block, sums by tail class, and the partition's HEAD most frequent words."""
-    total: dict[bytes, int] = {}
-    rows = []
+    rows, words, seen = [], [], []
     for batch in batches:
-        for block, places, flat, widths, seen in zip(*(batch.column(c).to_pylist() for c in ("block", "places", "flat", "widths", "seen")), strict=True):
-            for w, n in zip(_unpack(flat, widths), np.frombuffer(seen, "<u4").tolist(), strict=True):
-                total[w] = total.get(w, 0) + n
-            rows.append((block, places, flat, widths))
+        for block, places, flat, widths, own in zip(*(batch.column(c).to_pylist() for c in ("block", "places", "flat", "widths", "seen")), strict=True):
+            rows.append((block, places))
+            words.append(_unpack(flat, widths))
+            seen.append(np.frombuffer(own, "<u4"))
+    coded = pa.chunked_array(words, pa.binary()).dictionary_encode()  # one dictionary for all chunks
+    distinct = coded.chunk(coded.num_chunks - 1).dictionary if rows else pa.array([], pa.binary())
+    total = np.zeros(len(distinct), np.int64)
+    numbers = [c.indices.to_numpy() for c in coded.chunks]
+    for c, own in zip(numbers, seen, strict=True):
+        total[c] += own  # the words of a row are distinct
     names = [x.split()[0] for x in ANSWER.split(", ")]
     types = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
 
@@ -125,19 +172,18 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([pa.array(columns.get(k, [None] * n), t) for k, t in zip(names, types, strict=True)], names=names)
 
-    for block, places, flat, widths in rows:
-        words = _unpack(flat, widths)
-        yield out(block=[block], places=[places], counts=[np.fromiter((total[w] for w in words), "<i8", len(words)).tobytes()])
-    known = [(w, n) for w, n in total.items() if n]
-    n_of, v_of = np.zeros(TAIL, np.int64), np.zeros(TAIL, np.int64)
-    for w, n in known:
-        k = tail_class(w)
-        n_of[k] += n
-        v_of[k] += 1
+    for i in range(0, len(rows), 64):
+        block, places = zip(*rows[i : i + 64], strict=True)
+        yield out(block=block, places=places, counts=[total[c].astype("<i8").tobytes() for c in numbers[i : i + 64]])
+    known, classes = np.flatnonzero(total), tail_classes(distinct)
+    n_of, v_of = np.zeros(TAIL, np.int64), np.bincount(classes[known], minlength=TAIL)
+    np.add.at(n_of, classes[known], total[known])
     yield out(**{"class": list(range(TAIL)), "n": n_of.tolist(), "v": v_of.tolist()})
-    known.sort(key=lambda x: (-x[1], x[0]))
-    if known[:HEAD]:
-        yield out(word=[w for w, _ in known[:HEAD]], total=[n for _, n in known[:HEAD]])
+    if len(known) > HEAD:
+        known = known[total[known] >= np.partition(total[known], -HEAD)[-HEAD]]
+    head = sorted(zip((-total[known]).tolist(), distinct.take(pa.array(known)).to_pylist(), strict=True))[:HEAD]
+    if head:
+        yield out(word=[w for _, w in head], total=[-n for n, _ in head])
 
 
 # ---- the model
@@ -158,15 +204,11 @@ class Vocabulary:
         self.classes = self.bins + TAIL
         self.inputs = len(head) + TAIL
 
-    def number(self, words: list[bytes]) -> np.ndarray:
+    def number(self, words: list[bytes] | pa.Array) -> np.ndarray:
         """Input number of each word: its rank in the head, or else the head's size plus its tail class."""
-        n = len(self.rank)
-        inputs = np.empty(len(words), np.int64)
-        get = self.rank.get
-        for i, w in enumerate(words):
-            r = get(w)
-            inputs[i] = r if r is not None else n + zlib.crc32(w[-3:]) % TAIL
-        return inputs
+        words = pa.array(words, pa.binary())
+        ranks = pc.fill_null(pc.index_in(words, value_set=pa.array(list(self.rank), pa.binary())), -1).to_numpy().astype(np.int64)
+        return np.where(ranks < 0, len(self.rank) + tail_classes(words), ranks)
 
     def classes_of(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class and place in the class (-1 in a tail class) of each input number."""
@@ -200,20 +242,22 @@ def initial(vocabulary: Vocabulary, seed: int = SEED) -> dict[str, np.ndarray]:
     return views(flat_of(p), p)
 
 
-def input_table(p: dict) -> np.ndarray:
-    """What each input adds to the gates; the last row is for no input, where a text begins."""
-    return np.concatenate((p["embed"] @ p["in"], np.zeros((1, 3 * HIDDEN), p["in"].dtype))) + p["bias"]
+def input_table(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What each input adds to the gates, negated, and to the new state; the last row is for no input, where a text begins."""
+    table = np.zeros((len(p["embed"]) + 1, 3 * HIDDEN), p["in"].dtype)
+    np.matmul(p["embed"], p["in"], out=table[:-1])
+    table += p["bias"]
+    return -table[:, : 2 * HIDDEN], table[:, 2 * HIDDEN :].copy()
 
 
-def _forward(p: dict, table: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
+def _forward(p: dict, table: tuple[np.ndarray, np.ndarray], inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
     """States before each token of a window (steps, lanes, hidden). inputs[t] is the token before, -1 where a text begins (fresh)."""
     steps, lanes = inputs.shape
     states = np.empty((steps, lanes, HIDDEN), h.dtype)
     before, reset = (np.empty_like(states), np.empty_like(states)) if keep else (None, None)
     u, u2 = -p["state"][:, : 2 * HIDDEN], p["state"][:, 2 * HIDDEN :].copy()
     any_fresh = fresh.any(1).tolist()
-    x = table[inputs]  # of all steps at once; the gates are kept negated up to their exp
-    every_gate, every_c = -x[..., : 2 * HIDDEN], x[..., 2 * HIDDEN :].copy()
+    every_gate, every_c = (x.take(inputs, axis=0) for x in table)  # of all steps at once; the gates are kept negated up to their exp
     for t in range(steps):
         if any_fresh[t]:
             h = h.copy()
@@ -242,10 +286,18 @@ def _large(p: dict) -> bool:
     return any(float(np.abs(p[k]).sum(-2).max(initial=0) + p[k + "_bias"].max(initial=0)) > 80 for k in ("class", "word"))
 
 
-def _exp_sum(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray]:
-    """exp(states @ weights + bias) and its row sums."""
+def _with_bias(p: dict, name: str) -> np.ndarray:
+    """Weights of a softmax with the bias as their last row; states get a last column of ones."""
+    return np.concatenate((p[name], p[name + "_bias"][..., None, :]), -2)
+
+
+def _with_one(states: np.ndarray) -> np.ndarray:
+    return np.concatenate((states, np.ones((len(states), 1), states.dtype)), 1)
+
+
+def _exp_sum(states: np.ndarray, weights: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray]:
+    """exp(states @ weights) and its row sums."""
     x = states @ weights
-    x += bias
     if large:
         np.minimum(x, 80, out=x)
     np.exp(x, out=x)
@@ -262,20 +314,23 @@ def _by_bin(classes: np.ndarray, bins: int) -> tuple[np.ndarray, list[tuple[int,
 def log_probabilities(p: dict, bins: int, states: np.ndarray, classes: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Natural log of P(class) and, in the head, P(word | class), for each row of states."""
     out, large = np.empty(len(states)), _large(p)
-    for a in range(0, len(states), 2048):
-        e, total = _exp_sum(states[a : a + 2048], p["class"], p["class_bias"], large)
-        out[a : a + 2048] = np.log(np.maximum(e[np.arange(len(e)), classes[a : a + 2048]] / total, 1e-30))
+    states, by_class, by_word = _with_one(states), _with_bias(p, "class"), _with_bias(p, "word")
+    for a in range(0, len(states), ROWS):
+        e, total = _exp_sum(states[a : a + ROWS], by_class, large)
+        out[a : a + ROWS] = np.log(np.maximum(e[np.arange(len(e)), classes[a : a + ROWS]] / total, 1e-30))
     order, runs = _by_bin(classes, bins)
     order = order[: runs[-1][2] if runs else 0]
     rows, place, inside = states[order], places[order], np.empty(len(order), states.dtype)
-    for k, a, b in runs:
-        e, total = _exp_sum(rows[a:b], p["word"][k], p["word_bias"][k], large)
-        inside[a:b] = e[np.arange(b - a), place[a:b]] / total
+    for k, first, end in runs:
+        for a in range(first, end, ROWS):
+            b = min(end, a + ROWS)
+            e, total = _exp_sum(rows[a:b], by_word[k], large)
+            inside[a:b] = e[np.arange(b - a), place[a:b]] / total
     out[order] += np.log(np.maximum(inside, 1e-30))
     return out
 
 
-def _gradients(p: dict, bins: int, table: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, classes: np.ndarray, places: np.ndarray, live: np.ndarray) -> tuple[dict, np.ndarray]:
+def _gradients(p: dict, bins: int, table: tuple[np.ndarray, np.ndarray], inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, classes: np.ndarray, places: np.ndarray, live: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of the mean loss over the live tokens of one window, and the state after it."""
     steps, lanes = inputs.shape
     states, last, saved = _forward(p, table, inputs, fresh, h, True)
@@ -284,21 +339,26 @@ def _gradients(p: dict, bins: int, table: np.ndarray, inputs: np.ndarray, fresh:
     g = views(np.zeros(sum(v.size for v in p.values()), flat.dtype), p)
     scale = flat.dtype.type(1.0 / max(1, len(on)))
     large = _large(p)
-    d, total = _exp_sum(rows, p["class"], p["class_bias"], large)
-    d *= (scale / total)[:, None]
-    d[np.arange(len(k)), k] -= scale
-    np.matmul(rows.T, d, out=g["class"])
-    g["class_bias"][:] = np.ones(len(d), d.dtype) @ d
-    back = d @ p["class"].T
+    rows, by_class, by_word = _with_one(rows), _with_bias(p, "class"), _with_bias(p, "word")
+    back, out = np.empty((len(rows), HIDDEN), flat.dtype), np.zeros_like(by_class)
+    by_class_t = p["class"].T.copy()
+    for i in range(0, len(rows), ROWS):
+        own = rows[i : i + ROWS]
+        d, total = _exp_sum(own, by_class, large)
+        d *= (scale / total)[:, None]
+        d[np.arange(len(d)), k[i : i + ROWS]] -= scale
+        out += own.T @ d
+        np.matmul(d, by_class_t, out=back[i : i + ROWS])
+    g["class"][:], g["class_bias"][:] = out[:-1], out[-1]
     order, runs = _by_bin(k, bins)
     order = order[: runs[-1][2] if runs else 0]
     rows, place, inner = rows[order], place[order], np.empty((len(order), HIDDEN), flat.dtype)
     for b, i, j in runs:
-        e, total = _exp_sum(rows[i:j], p["word"][b], p["word_bias"][b], large)
+        e, total = _exp_sum(rows[i:j], by_word[b], large)
         e *= (scale / total)[:, None]
         e[np.arange(j - i), place[i:j]] -= scale
-        np.matmul(rows[i:j].T, e, out=g["word"][b])
-        g["word_bias"][b] = e.sum(0)
+        out = rows[i:j].T @ e
+        g["word"][b], g["word_bias"][b] = out[:-1], out[-1]
         np.matmul(e, p["word"][b].T, out=inner[i:j])
     back[order] += inner
     dh_out = np.zeros_like(flat)
@@ -309,7 +369,13 @@ def _gradients(p: dict, bins: int, table: np.ndarray, inputs: np.ndarray, fresh:
     ut, u2t = p["state"][:, : 2 * HIDDEN].T.copy(), p["state"][:, 2 * HIDDEN :].T.copy()
     before, z, r, rh, c = saved
     rest = 1 - z
-    by_c, by_z, by_r = z * (1 - c * c), (c - before) * z * rest, before * r * (1 - r)
+    by_c, by_z, by_r = c * c, c - before, 1 - r
+    np.subtract(1, by_c, out=by_c)
+    by_c *= z
+    by_z *= z
+    by_z *= rest
+    by_r *= r
+    by_r *= before
     for t in reversed(range(steps)):
         dh += dh_out[t]
         dc, gates = dx[t, :, 2 * HIDDEN :], dx[t, :, : 2 * HIDDEN]
@@ -331,9 +397,10 @@ def _gradients(p: dict, bins: int, table: np.ndarray, inputs: np.ndarray, fresh:
     order = some[np.argsort(number[some].astype(np.uint16), kind="stable")]  # at most HEAD + TAIL inputs
     number = number[order]
     edge = np.flatnonzero(np.concatenate((number[:1] >= 0, number[1:] != number[:-1])))
-    np.matmul(p["embed"][number].T, flat_dx[order], out=g["in"])
-    if len(edge):
-        g["embed"][number[edge]] = np.add.reduceat((flat_dx @ p["in"].T)[order], edge, axis=0)
+    if len(edge):  # sums by input first, as words come again and again in a window
+        sums, number = np.add.reduceat(flat_dx.take(order, axis=0), edge, axis=0), number[edge]
+        np.matmul(p["embed"][number].T, sums, out=g["in"])
+        g["embed"][number] = sums @ p["in"].T
     return g, last
 
 
@@ -414,7 +481,19 @@ def windows(first: np.ndarray, sizes: np.ndarray, most: int, inputs: np.ndarray)
         yield here, fresh, before
 
 
-ENCODED = "docs array<long>, sizes array<long>, tokens binary, inputs binary, counts binary"
+ENCODED = "docs array<long>, sizes array<long>, inputs binary, known array<long>, base array<double>, tail array<double>"
+
+
+def _sums(vocabulary: Vocabulary, tokens: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What of each document's scores doesn't hang on the weights: n_known, base_score, and the natural log of its words' shares in tail classes."""
+    classes, places = vocabulary.classes_of(numbers)
+    base = np.log10((counts + 1) / (vocabulary.train_tokens + vocabulary.distinct + 1))
+    inside = np.zeros(len(numbers))
+    tail = places < 0
+    k = classes[tail] - vocabulary.bins
+    inside[tail] = np.log((counts[tail] + 1) / (vocabulary.n_of[k] + vocabulary.v_of[k] + 1))
+    first = np.cumsum(sizes) - sizes
+    return tuple(np.add.reduceat(x[tokens], first) for x in ((counts > 0).astype(np.int64), base, inside))
 
 
 def _encoder(vocabulary: Vocabulary):
@@ -425,9 +504,10 @@ def _encoder(vocabulary: Vocabulary):
                 counts = np.zeros(len(words), "<i8")
                 for a in row["answers"]:
                     counts[np.frombuffer(a["places"], "<u4")] = np.frombuffer(a["counts"], "<i8")
-                out = [[row["docs"]], [row["sizes"]], [row["tokens"]], [vocabulary.number(words).astype("<u2").tobytes()], [counts.tobytes()]]
-                types = (pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 3)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["docs", "sizes", "tokens", "inputs", "counts"])
+                tokens, sizes, numbers = np.frombuffer(row["tokens"], "<u4"), np.array(row["sizes"], np.int64), vocabulary.number(words)
+                out = [[row["docs"]], [sizes], [numbers.astype("<u2")[tokens].tobytes()], *([x] for x in _sums(vocabulary, tokens, sizes, numbers, counts))]
+                types = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[x.split()[0] for x in ENCODED.split(", ")])
 
     return run
 
@@ -438,12 +518,17 @@ def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train_block(p: dict, adam: Adam, vocabulary: Vocabulary, row: dict, part: int) -> int:
-    """One pass of truncated backpropagation over the block's training documents of this part; returns its tokens."""
-    chosen = np.array([fold_of(d, FOLDS) not in (None, HELD_OUT) and zlib.crc32(f"part {d}".encode()) % PARTS == part for d in row["docs"]], bool)
+    """The same as `train`, of a block with its words' input numbers."""
+    tokens, sizes, numbers = _arrays(row)
+    return train(p, adam, vocabulary, row["docs"], sizes, numbers[tokens], part)
+
+
+def train(p: dict, adam: Adam, vocabulary: Vocabulary, docs: list[int | None], sizes: np.ndarray, inputs: np.ndarray, part: int) -> int:
+    """One pass of truncated backpropagation over a block's training documents of this part; returns its tokens."""
+    chosen = np.array([fold_of(d, FOLDS) not in (None, HELD_OUT) and zlib.crc32(f"part {d}".encode()) % PARTS == part for d in docs], bool)
     if not chosen.any():
         return 0
-    tokens, sizes, numbers = _arrays(row)
-    inputs = numbers[tokens[np.repeat(chosen, sizes)]]
+    inputs = inputs[np.repeat(chosen, sizes)].astype(np.int64)
     sizes = sizes[chosen]
     classes, places = vocabulary.classes_of(inputs)
     begin = np.cumsum(sizes) - sizes
@@ -474,7 +559,7 @@ def _trainer(vocabulary: Vocabulary, weights: dict, part: int, rate: float):
         adam = Adam(p, rate)
         for batch in batches:
             for row in batch.to_pylist():
-                n += train_block(p, adam, vocabulary, row, part)
+                n += train(p, adam, vocabulary, row["docs"], np.array(row["sizes"], np.int64), np.frombuffer(row["inputs"], "<u2"), part)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([_dump(p)])], names=["n", "weights"])
 
@@ -495,17 +580,17 @@ RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score dou
 
 
 def score_block(p: dict, vocabulary: Vocabulary, row: dict) -> list[np.ndarray]:
-    """n_tokens, n_known, base_score and score of each document of a block."""
+    """n_tokens, n_known, base_score and score of each document of a block with its words' input numbers and counts."""
     tokens, sizes, numbers = _arrays(row)
-    counts = np.frombuffer(row["counts"], "<i8")
-    classes_w, places_w = vocabulary.classes_of(numbers)
-    base_w = np.log10((counts + 1) / (vocabulary.train_tokens + vocabulary.distinct + 1))
-    tail_w = np.zeros(len(numbers))
-    tail = places_w < 0
-    k = classes_w[tail] - vocabulary.bins
-    tail_w[tail] = np.log((counts[tail] + 1) / (vocabulary.n_of[k] + vocabulary.v_of[k] + 1))
-    inputs, classes, places = numbers[tokens], classes_w[tokens], places_w[tokens]
-    log_p = tail_w[tokens]
+    known, base, tail = _sums(vocabulary, tokens, sizes, numbers, np.frombuffer(row["counts"], "<i8"))
+    return [sizes, known, base, (log_of_texts(p, vocabulary, sizes, numbers[tokens]) + tail) / LN10]
+
+
+def log_of_texts(p: dict, vocabulary: Vocabulary, sizes: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+    """Natural log of each document's probability, without its words' shares in tail classes."""
+    inputs = inputs.astype(np.int64)
+    classes, places = vocabulary.classes_of(inputs)
+    log_p = np.zeros(len(inputs))
     first = np.cumsum(sizes) - sizes
     table = input_table(p)
     h = np.zeros((SCORE_LANES, HIDDEN), np.float32)
@@ -527,15 +612,16 @@ def score_block(p: dict, vocabulary: Vocabulary, row: dict) -> list[np.ndarray]:
             settle()
     if size:
         settle()
-    add = lambda x: np.add.reduceat(x, first)
-    return [sizes, add((counts > 0).astype(np.int64)[tokens]), add(base_w[tokens]), add(log_p) / LN10]
+    return np.add.reduceat(log_p, first)
 
 
 def _scorer(vocabulary: Vocabulary, weights: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                columns = score_block(weights, vocabulary, row)
+                sizes = np.array(row["sizes"], np.int64)
+                log_p = log_of_texts(weights, vocabulary, sizes, np.frombuffer(row["inputs"], "<u2"))
+                columns = (sizes, row["known"], row["base"], (log_p + np.array(row["tail"])) / LN10)
                 types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[x.split()[0] for x in RESULT.split(", ")])
 
@@ -560,7 +646,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         discard(blocks, answers)
         weights = initial(vocabulary)
         for part in range(ROUNDS if vocabulary.train_tokens else 0):
-            own = mapped(encoded.drop("counts"), _trainer(vocabulary, weights, part, RATE / (1 + part)), "n long, weights binary")
+            own = mapped(encoded.select("docs", "sizes", "inputs"), _trainer(vocabulary, weights, part, RATE / (1 + part)), "n long, weights binary")
             few = list(mapped(own.repartition(8), _mean, "n long, weights binary").toLocalIterator())
             total = sum(r[0] for r in few)
             if total:

@@ -407,3 +407,63 @@ def test_slices_are_bounded():
     out = list(common.sliced(iter([b, b.slice(0, 0)]), rows=64, size=1500))
     assert pa.Table.from_batches(out).column("i").to_pylist() == list(range(1000))
     assert all(0 < x.num_rows <= 64 and (x.nbytes <= 1500 or x.num_rows == 1) for x in out)
+
+
+def test_words_are_counted_and_classed_as_one_by_one(monkeypatch):
+    """Arrow arrays of words give what words in Python give: packing, classes, input numbers, counts over blocks, the most frequent words."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.integers(33, 256, n).astype(np.uint8).tobytes()) for n in (1, 2, 3, 4, 7, 8, 9, 40) for _ in range(30)]
+    words = list(dict.fromkeys([lm.END, *words, b"w\0", b"w\0\0"]))
+    arrow = pa.array([b"before", *words], pa.binary()).slice(1)
+    flat, widths = lm._pack(arrow)
+    assert lm._unpack(flat, widths.tobytes()).to_pylist() == words and lm._pack(arrow.slice(0, 0))[0] == b""
+    assert lm.tail_classes(arrow).tolist() == [lm.tail_class(w) for w in words]
+    vocabulary = lm.Vocabulary([(w, 5) for w in words[:20]], np.full(lm.TAIL, 50), np.full(lm.TAIL, 5))
+    assert vocabulary.number(words).tolist() == [i if i < 20 else 20 + lm.tail_class(w) for i, w in enumerate(words)]
+
+    monkeypatch.setattr(lm, "HEAD", 10)
+    want, blocks = Counter(), []
+    for k in range(70):
+        own = sorted({words[i] for i in rng.integers(0, len(words), 60)})
+        seen = rng.integers(0, 9, len(own)).astype("<u4")
+        flat, widths = lm._pack(pa.array(own, pa.binary()))
+        blocks.append((k, flat, widths.tobytes(), seen.tobytes(), own))
+        want.update(dict(zip(own, seen.tolist(), strict=True)))
+    batch = pa.RecordBatch.from_arrays([pa.array([b[i] for b in blocks], t) for i, t in enumerate((pa.int64(), *[pa.binary()] * 3))], names=["block", "flat", "widths", "seen"])
+    asked = list(lm._ask(3)(iter([batch])))
+    got, head, n_of, v_of = [{} for _ in blocks], [], Counter(), Counter()
+    for bucket in range(3):
+        part = [b.filter(pa.array([x == bucket for x in b.column(0).to_pylist()])) for b in asked]
+        for r in (r for b in lm._answer(iter([b for b in part if b.num_rows])) for r in b.to_pylist()):
+            if r["block"] is not None:
+                got[r["block"]].update(zip(np.frombuffer(r["places"], "<u4").tolist(), np.frombuffer(r["counts"], "<i8").tolist(), strict=True))
+            elif r["class"] is not None:
+                n_of[r["class"]] += r["n"]
+                v_of[r["class"]] += r["v"]
+            else:
+                head.append((-r["total"], r["word"]))
+    for k, *_, own in blocks:
+        assert got[k] == {i: want[w] for i, w in enumerate(own)}
+    assert sorted(head)[:10] == sorted((-n, w) for w, n in want.items())[:10]
+    for k in range(lm.TAIL):
+        assert (n_of[k], v_of[k]) == (sum(n for w, n in want.items() if lm.tail_class(w) == k), sum(n > 0 and lm.tail_class(w) == k for w, n in want.items()))
+    assert [r for b in lm._answer(iter([])) for r in b.to_pylist() if r["class"] is None] == []
+
+
+def test_blocks_hold_two_bytes_a_token(small_model):
+    """What training and scoring read: a token's input number; sums by document that no weights change are made once."""
+    import pyarrow as pa
+
+    count, vocabulary, p = small_model
+    texts = [np.random.default_rng(4).integers(0, 150, n) for n in (1, 5, 300, 40)]
+    row = _row(vocabulary, count, texts)
+    flat, widths = lm._pack(pa.array(list(count), pa.binary()))
+    answers = [{"places": np.arange(150, dtype="<u4").tobytes(), "counts": row["counts"]}]
+    block = {"docs": row["docs"], "sizes": row["sizes"], "tokens": row["tokens"], "flat": flat, "widths": widths.tobytes(), "answers": answers}
+    (made,) = lm._encoder(vocabulary)(iter([pa.RecordBatch.from_pylist([block])]))
+    assert len(made.column("inputs")[0].as_py()) == 2 * 346 and "tokens" not in made.schema.names
+    (got,) = lm._scorer(vocabulary, p)(iter([made]))
+    for a, b in zip(got.columns[1:], lm.score_block(p, vocabulary, row), strict=True):
+        assert a.to_pylist() == pytest.approx(b.tolist())
