@@ -176,6 +176,31 @@ def test_local_moving_leaves_no_mover(spark):
     assert got == {x: r[0] for r in rows for x in r}
 
 
+def test_community_rounds_shuffle_numbers(spark, monkeypatch):
+    """Rounds hold numbers for names, links are dealt by their other end once for all rounds, and the last level isn't refined."""
+    from tessera.operators import communities
+
+    held, refined = [], []
+    put, refine = communities.keep, communities._refined
+    monkeypatch.setattr(communities, "keep", lambda df, *n: (held.append((n, dict(df.dtypes).get("id"))), put(df, *n))[1])
+    monkeypatch.setattr(communities, "_refined", lambda *a: (refined.append(1), refine(*a))[1])
+    ids = spark.createDataFrame([("b10",), ("b9",), ("c",), ("d",)], "id string")
+    edges = spark.createDataFrame([("b9", "b10"), ("d", "c"), ("d", "d"), ("c", None)], "src string, dst string")
+    for found in (communities.louvain(ids, edges), communities.leiden(ids, edges), communities.leiden(ids, edges, start=ids.withColumn("community", F.lit("x")))):
+        assert {r.id: r.community for r in found.collect()} == {"b10": "b10", "b9": "b10", "c": "c", "d": "c"}
+    kinds = {t for (n, t) in held if n in (("placed",), ("choices",))}
+    assert kinds == {"bigint"} and len(refined) <= 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        dealt = communities._dealt(put(spark.range(1000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"), F.lit(1.0).alias("w"))))
+        joined = dealt.join(spark.range(7).select(F.col("id").alias("b"), F.lit(1).alias("to")), "b")
+        before = joined._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+        assert "SortMergeJoin" in before and "Exchange" not in before and "Sort [" not in before
+        dealt.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_leiden_is_connected(spark):
     """Random graphs: communities are connected, all nodes are in one, and modularity is not below that of local moving."""
     import random
