@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import jaccard, ranking_terms, tokens
-from .keep import keep, ranked
+from .keep import discard, keep, ranked
 from .traverse import connected_components
 
 
@@ -177,7 +177,7 @@ def prefixes(sets: DataFrame, least: float) -> DataFrame:
 
 def keyed(first: DataFrame, least: float, paired: int = PAIRED, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """Keys under which sets of Jaccard `least` and more meet, from what `prefixes` gives, written: rows (key, id, n, p) of keys with at
-    most `paired` rows, and of the others. p: the place of the key's last word.
+    most `paired` rows, and of the others, with the key's first id. p: the place of the key's last word.
 
     Sets that similar share a word among the first n - c + 1 of each, c being what they must share (prefix filter). Where a word is in
     too many sets, its rows get keys of two words, then three: the first k words two sets share are among the first n - c + k of each.
@@ -188,14 +188,16 @@ def keyed(first: DataFrame, least: float, paired: int = PAIRED, longest: int = L
     rows = first.select("id", "n", F.posexplode(F.slice("w", 1, upto(1))).alias("i", "key")).select("key", "id", "n", (F.col("i") + 1).alias("p"))
     few = []
     for k in range(1, longest + 1):
-        sizes = keep(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), f"sizes{k}")  # most words are in one set
+        sizes = keep(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("first")).where("m > 1"), f"sizes{k}")  # most words are in one set
         met = keep(rows.join(sizes, "key"), f"keys{k}")
-        few.append(met.where(F.col("m") <= paired).drop("m"))
+        discard(sizes)
+        few.append(met.where(F.col("m") <= paired).drop("m", "first"))
         hot = met.where(F.col("m") > paired).drop("m")
         if k == longest:
             break
         more = hot.join(first.select("id", "w"), "id").select("key", "id", "n", "p", F.posexplode(F.slice("w", 1, upto(k + 1))).alias("i", "x")).where("i >= p")
         rows = more.select(F.xxhash64("key", "x").alias("key"), "id", "n", (F.col("i") + 1).alias("p"))
+    hot.written = met.written
     return reduce(DataFrame.unionByName, few), hot
 
 
@@ -217,7 +219,7 @@ def earlier_match(questions: DataFrame, least: float = 0.8) -> DataFrame:
     rows = questions.where(F.size("w") > 0).select("id", F.array_sort("w").alias("w"))
     entries = keep(rows.groupBy("w").agg(F.min("id").alias("key")), "entries")
     few, hot = keyed(keep(prefixes(entries.select(F.col("key").alias("id"), _hashed("w").alias("s")), least), "first"), least)
-    pairs = _met(few.unionByName(hot), least).select(F.col("a").alias("key"), F.col("b").alias("other"))
+    pairs = _met(few.unionByName(hot.drop("first")), least).select(F.col("a").alias("key"), F.col("b").alias("other"))
     scored = pairs.join(entries.select("key", F.col("w").alias("a")), "key").join(entries.select(F.col("key").alias("other"), F.col("w").alias("b")), "other")
     scored = keep(scored.select("key", "other", jaccard(F.col("a"), F.col("b")).alias("j")).where(F.col("j") >= least), "scored")
     each = scored.unionByName(scored.select(F.col("other").alias("key"), F.col("key").alias("other"), "j")).unionByName(entries.select("key", F.col("key").alias("other"), F.lit(1.0).alias("j")))
@@ -349,6 +351,30 @@ def _units(least: float):
     return run
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """key, first, cost of keys whose rows (key, id, comp) are in several components: the first id, and how many rows the key's units would have."""
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min("id").alias("first"))
+    keys = parts.groupBy("key").agg(F.count("*").alias("comps"), F.min("first").alias("first"), F.sum("size").alias("rows"), F.max("size").alias("most")).where("comps > 1")
+    minor = F.col("rows") - F.col("most")
+    mine, theirs = F.ceil(minor / BLOCK), F.ceil(F.col("most") / BLOCK)
+    return keys.select("key", "first", (minor * (mine + theirs) + F.col("most") * mine).alias("cost"))
+
+
+def pooled(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, n, comp) of keys in several components, by key or pooled. A group of near copies shares very many keys, under each of which its
+    rows would meet again; keys with one first row are pooled to one key of all their rows where its units have no more rows than theirs."""
+    keys = keep(_sized(rows), "sized")
+    open_ = keep(rows.join(keys, "key").select("key", "id", "n", "comp", "first"), "open")
+    once = keep(open_.select(F.xxhash64("first").alias("key"), "id", "n", "comp", "first").distinct(), "pooled")
+    together = _sized(once).select("key", F.col("cost").alias("together"))
+    by_key = keys.groupBy(F.xxhash64("first").alias("key"), "first").agg(F.sum("cost").alias("by_key"))
+    better = keep(by_key.join(together, "key").where("together <= by_key").select("first"), "better")
+    apart, one = open_.join(better, "first", "left_anti"), once.join(better, "first", "left_semi")
+    out = keep(apart.unionByName(one).select("key", "id", "n", "comp"), "meeting")
+    discard(keys, open_, once, better)
+    return out
+
+
 def dealt(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Blocks of keys whose rows (key, id, n, comp) are in several components: the rows with their block (key, id, comp, minor, n, at), and the
     blocks with the sizes in them (key, minor, at, low, high). Rows outside of a key's largest component are minor. A block has about
@@ -381,7 +407,7 @@ def similar_pairs(docs: DataFrame, least: float, texts: Callable[[DataFrame], Da
 
     Sets meet under keys of one to LONGEST of their rarest words (`keyed`). Keys of at most PAIRED rows pair them. What shares a whole key and
     is still many, as near copies of one text are, meets the key's first row; what is then in one component needs no more, and the rest
-    is compared in units of two blocks, dealt out over tasks. Equal sets are one row before; empty sets are linked with nothing.
+    is compared in units of two blocks, dealt out over tasks, once for all keys that such a group shares (`pooled`). Equal sets are one row before; empty sets are linked with nothing.
 
     A set is not shuffled before the parities of its words and another's allow a link; until then only its first words are. docs is read
     for the counts, the first words, and the sets of what may link. texts: docs of some ids (id) only, where the caller knows a
@@ -393,7 +419,6 @@ def similar_pairs(docs: DataFrame, least: float, texts: Callable[[DataFrame], Da
     first = prefixes(hashed(docs.where(F.size("s") > 0)), least)
     first = keep(first if only is None else first.join(only, "id", "left_semi"), "first")
     few, hot = keyed(first, least)
-    hot = keep(hot, "hot")
     signs = first.select("id", "n", "sign")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -402,14 +427,19 @@ def similar_pairs(docs: DataFrame, least: float, texts: Callable[[DataFrame], Da
         some = keep(both.select("a", "b", "sa", "sb", most).mapInArrow(_allowed(least), "a long, b long"), "allowed")
         sets = keep(hashed(whole_of(some.select(F.explode(F.array("a", "b")).alias("id")).distinct())), "sets")
         both = some.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        return both.where(jaccard(F.col("sa"), F.col("sb")) >= least).select("a", "b")
+        out = keep(both.where(jaccard(F.col("sa"), F.col("sb")) >= least).select("a", "b"), "links")
+        discard(some, sets)
+        return out
 
-    star = hot.join(hot.groupBy("key").agg(F.min("id").alias("first")), "key").where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    found = keep(near(_met(few, least).unionByName(star).distinct()), "links")
+    star = hot.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    found = near(_met(few, least).unionByName(star).distinct())
+    discard(first)
     if hot.isEmpty():
         return found
     comps = connected_components(hot.select("id").distinct(), found.select(F.col("b").alias("src"), F.col("a").alias("dst"))).withColumnRenamed("component", "comp")
-    placed, blocks = dealt(hot.drop("p").join(comps, "id"))
+    meeting = pooled(hot.drop("p", "first").join(comps, "id"))
+    discard(hot)
+    placed, blocks = dealt(meeting)
     mine, other = blocks.where("minor").drop("minor"), blocks.toDF("key", "minor2", "at2", "low2", "high2")
     fit = (F.col("low") <= F.col("high2") / least + 1e-9) & (F.col("low2") <= F.col("high") / least + 1e-9) & (~F.col("minor2") | (F.col("at") <= F.col("at2")))
     pairs = keep(mine.join(other, "key").where(fit).select("key", F.col("at").alias("i"), F.when(F.col("minor2"), F.col("at2")).otherwise(-F.col("at2") - 1).alias("j")), "units")

@@ -392,6 +392,24 @@ def test_similar_pairs_put_aside_first_words_only(spark):
     assert size() - before < 200 * 2000 * 8 / 2
 
 
+def test_keys_of_a_group_meet_once(spark):
+    """Keys that share their rows are one, however many; keys that share only their first row stay; no two rows that met are parted."""
+    shared = [(k, i, 50, i % 3) for k in range(40) for i in range(100) if i != k + 1]
+    lone = [(k, i, 50, i) for k in range(1000, 1050) for i in (500, *range(k * 70, k * 70 + 70))]
+    rows = shared + lone + [(7777, i, 50, 0) for i in range(0, 99, 3)]
+    found = search.pooled(spark.createDataFrame(rows, "key long, id long, n int, comp long")).collect()
+    assert len(found) == 100 + len(lone) and len({r.key for r in found}) == 1 + 50
+    meet = lambda rs: {(a, b) for ids in _by_key(rs).values() for a in ids for b in ids if a < b}
+    assert meet([(r.key, r.id) for r in found]) >= meet([r[:2] for r in shared + lone])
+
+
+def _by_key(rows) -> dict:
+    out: dict = {}
+    for key, i in rows:
+        out.setdefault(key, set()).add(i)
+    return out
+
+
 def test_hashed_shingles_are_shingles(spark):
     texts = ["a b c d e a b c d e", "A, b!", "", None, "x", "a b c d e", "b c d e a", "é ß"]
     d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
