@@ -292,10 +292,11 @@ def may_hold(ids: DataFrame):
     return lambda column: test(F.pmod(F.xxhash64(column), F.lit(bits)))
 
 
-def fetched(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of texts (id, ...) whose id is in ids (id, each once)."""
+def fetched(texts: DataFrame, ids: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows of texts (id, ...) whose id is in ids (id, each once), dealt over that many tasks where it is set."""
     ids = keep(ids, "ids")
-    return texts.where(may_hold(ids)("id")).join(ids, "id", "left_semi")
+    some = texts.where(may_hold(ids)("id"))
+    return (some if tasks is None else some.repartition(tasks, "id")).join(ids, "id", "left_semi")
 
 
 #: Rows of a block; two blocks are compared in one unit of work.
@@ -454,12 +455,12 @@ def similar_pairs(docs: DataFrame, least: float, texts: Callable[[DataFrame], Da
 
 
 def representatives(groups: DataFrame) -> DataFrame:
-    """component, representative, members, similarity of groups (component, id, text or its chars, s: a set) with two members and more: the member
+    """component, representative, members, similarity of groups (component, id, text or its chars, s: a set, or h: its `minhash`) with two members and more: the member
     with the longest text (ties: the first by id), and the average similarity of pairs as MinHash estimates it: the share of equal
     hashes in HASHES positions. Positions are counted by value, so no pairs are made."""
     chars = F.col("chars") if "chars" in groups.columns else F.length("text")
     many = groups.groupBy("component").agg(F.count("*").alias("members"), F.min_by("id", F.struct((-chars).alias("neg"), "id")).alias("representative")).where("members > 1")
-    signed = groups.join(many.select("component"), "component").select("component", F.posexplode(minhash(F.col("s"), HASHES)).alias("i", "h"))
+    signed = groups.join(many.select("component"), "component").select("component", F.posexplode(F.col("h") if "h" in groups.columns else minhash(F.col("s"), HASHES)).alias("i", "h"))
     equal = signed.groupBy("component", "i", "h").agg((F.count("*") * (F.count("*") - 1) / 2).alias("p")).groupBy("component").agg(F.sum("p").alias("p"))
     pairs = F.col("members") * (F.col("members") - 1) / 2
     return many.join(equal, "component").select("component", "representative", "members", F.round(F.col("p") / (pairs * HASHES), 6).alias("similarity"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,8 +141,8 @@ u AS (SELECT id, len(s) AS n, unnest(s) AS x FROM g), pairs AS (SELECT a, b FROM
 _LABELS = "l0 AS (SELECT id, id AS c FROM w), " + ", ".join(f"l{i} AS (SELECT a.id, min(least(a.c, COALESCE(b.c, a.c))) AS c FROM l{i - 1} a LEFT JOIN (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs) e ON e.x = a.id LEFT JOIN l{i - 1} b ON b.id = e.y GROUP BY a.id)" for i in range(1, 7))
 
 
-def _similar(spark: SparkSession, sf: str) -> tuple[Callable, DataFrame]:
-    """What gives the shingles of some documents, and the group of each document: rows of equal shingle sets first, then linked sets."""
+def _similar(spark: SparkSession, sf: str) -> DataFrame:
+    """The group of each document: rows of equal shingle sets first, then linked sets."""
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
     some = lambda ids: search.hashed_shingles(search.fetched(d, ids))
     sets = search.hashed_shingles(d)
@@ -152,23 +151,25 @@ def _similar(spark: SparkSession, sf: str) -> tuple[Callable, DataFrame]:
     pairs = keep(search.similar_pairs(sets, 0.82, some, lead.select("id")))
     groups = traverse.connected_components(lead.select("id"), pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     named = docs.select("id", "h").join(lead.select("h", F.col("id").alias("lead")), "h", "left").join(groups.select(F.col("id").alias("lead"), "component"), "lead", "left")
-    return some, named.select("id", F.coalesce("component", "id").alias("component"))
+    return named.select("id", F.coalesce("component", "id").alias("component"))
 
 
 @query(f"WITH {SIMILAR}, {_LABELS} SELECT id AS doc_id, c AS component FROM l6")
 def minhash_lsh(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of near duplicates: a row for each document with the smallest id of its group."""
-    return _similar(spark, sf)[1].select(F.col("id").alias("doc_id"), "component")
+    return _similar(spark, sf).select(F.col("id").alias("doc_id"), "component")
 
 
 @query(f"WITH {SIMILAR}, {_LABELS}, m AS (SELECT c, count(*) AS members FROM l6 GROUP BY c HAVING count(*) > 1), r AS (SELECT c, id, row_number() OVER (PARTITION BY c ORDER BY length(text) DESC, id) AS rn FROM l6 JOIN documents ON doc_id = id) SELECT c AS component, id AS representative, members, true AS similar FROM m JOIN r USING (c) WHERE rn = 1")
 def near_dups_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Representative and size of each group; similar: whether the average similarity of its pairs, as 128 hashes estimate it, is high."""
-    some, groups = _similar(spark, sf)
-    groups = keep(groups)
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
+    groups = keep(_similar(spark, sf))
     members = keep(groups.join(groups.groupBy("component").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "component"))
     tasks = spread(spark, members.count(), 2000)  # a set has 128 hashes taken of each of its words
-    r = search.representatives(members.join(some(members.select("id")), "id").select("component", "id", "chars", "s").repartition(tasks, "id"))
+    sets = search.hashed_shingles(search.fetched(d, members.select("id"), tasks))  # texts are dealt out, and no set: hashes of a set are fewer than its words
+    signed = keep(members.join(sets.select("id", "chars", search.minhash(F.col("s"), search.HASHES).alias("h")), "id"))
+    r = search.representatives(signed)
     return r.select("component", "representative", "members", (F.col("similarity") > 0.7).alias("similar"))
 
 

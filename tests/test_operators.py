@@ -403,6 +403,21 @@ def test_keys_of_a_group_meet_once(spark):
     assert meet([(r.key, r.id) for r in found]) >= meet([r[:2] for r in shared + lone])
 
 
+def test_representatives_shuffle_no_sets(spark, monkeypatch):
+    """What is put aside to compare the members of groups are 128 hashes of each, not its set, and it gives the same."""
+    from tessera.plans import text_queries
+
+    seen, real = [], search.representatives
+    monkeypatch.setattr(search, "representatives", lambda df: (seen.append(df), real(df))[1])
+    got = text_queries.near_dups_jaccard(spark, "/root/testdata/sf0.001").collect()
+    assert set(seen[0].columns) == {"component", "id", "chars", "h"} and got and seen[0].where("size(h) <> 128").isEmpty()
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    whole = seen[0].select("component", "id").join(search.hashed_shingles(d), "id")
+    want = {(r.component, r.representative, r.members, r.similarity) for r in real(whole).collect()}
+    assert {(r.component, r.representative, r.members, r.similarity) for r in real(seen[0]).collect()} == want
+    assert {(r.component, r.representative, r.members) for r in got} == {w[:3] for w in want}
+
+
 def _by_key(rows) -> dict:
     out: dict = {}
     for key, i in rows:
